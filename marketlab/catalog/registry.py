@@ -96,3 +96,13 @@ def query(name: str, sql: str | None = None, uses: str = "", floats: str = ""):
         return fn
 
     return wrap
+
+
+def memo(lake: Lake, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A shared intermediate table: built once per lake, kept on reliable storage."""
+    from marketlab.session import materialise
+
+    cache = lake.__dict__.setdefault("_memo", {})
+    if key not in cache:
+        cache[key] = materialise(build())
+    return cache[key]

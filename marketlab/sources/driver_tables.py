@@ -32,7 +32,7 @@ class Lake:
         b = (
             e.groupBy("snapshot_ts", F.col("user_id").alias("token_id"))
             .agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("n"), side("purchase", "click").alias("bid_depth"), side("view", "signup").alias("ask_depth"))
-            .withColumn("m", F.round(F.col("v") / (F.col("v") + 50.0), 9))
+            .withColumn("m", F.round(F.col("v") / (F.col("v") + 50.0), 12))
             .withColumn("hs", F.lit(4e-3) * (1 + F.col("n") % 3))
         )
         return b.select(
@@ -89,7 +89,7 @@ class Lake:
         """Trades from ``lineitem``; ids repeat, tokens match the snapshots."""
         k = self.table("events").agg(F.max("user_id") + 1).scalar()
         unit = F.col("l_extendedprice") / F.col("l_quantity")
-        price = F.round(unit / (unit + 1000.0), 9)
+        price = unit / (unit + 1000.0)
         return (
             self.table("lineitem")
             .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").alias("size"), price.alias("price"))
@@ -102,7 +102,7 @@ class Lake:
                 F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
                 "price",
                 "size",
-                F.round(F.col("price") * F.col("size"), 6).alias("notional"),
+                (F.col("price") * F.col("size")).alias("notional"),
                 (_stamp("2024-01-01 00:00:00") + F.make_dt_interval(hours=((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 720).cast("int"))).alias("trade_ts"),
             )
         )
@@ -135,7 +135,7 @@ SELECT snapshot_ts, CAST(floor(token_id / 2) AS BIGINT) AS market_id, token_id,
        m AS mid, 2 * hs AS spread, 2 * hs / m * 10000 AS spread_bps,
        bid_depth, ask_depth, least(bid_depth, ask_depth) AS liquidity_score,
        CASE WHEN token_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS outcome_label
-FROM (SELECT *, round(v / (v + 50), 9) AS m, 4e-3 * (1 + n % 3) AS hs FROM (
+FROM (SELECT *, round(v / (v + 50), 12) AS m, 4e-3 * (1 + n % 3) AS hs FROM (
   SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS snapshot_ts, user_id AS token_id,
          avg(value) AS v, count(*) AS n,
          round(sum(CASE WHEN event_type IN ('purchase', 'click') THEN value ELSE 0 END), 6) AS bid_depth,
@@ -162,12 +162,12 @@ SELECT market_id, TIMESTAMP '2024-01-31 00:00:00' AS resolved_ts,
 FROM (SELECT DISTINCT CAST(floor(user_id / 2) AS BIGINT) AS market_id FROM events) WHERE market_id % 3 = 0""",
     "trd": """
 SELECT trade_id, CAST(floor(token_id / 2) AS BIGINT) AS market_id, token_id, trader, side, price, size,
-       round(price * size, 6) AS notional, trade_ts
+       price * size AS notional, trade_ts
 FROM (SELECT l_orderkey * 10 + l_linenumber AS trade_id,
        l_partkey % (SELECT max(user_id) + 1 FROM events) AS token_id,
        l_suppkey AS trader,
        CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
-       round((l_extendedprice / l_quantity) / (l_extendedprice / l_quantity + 1000), 9) AS price,
+       (l_extendedprice / l_quantity) / (l_extendedprice / l_quantity + 1000) AS price,
        l_quantity AS size,
        TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST((l_orderkey * 7 + l_linenumber) % 720 AS INT) AS trade_ts
 FROM lineitem)""",
