@@ -28,3 +28,12 @@ def timed_returns(snapshots: DataFrame, hours: Sequence[int] = (1, 6, 24)) -> Da
         past = F.last("mid", ignorenulls=True).over(w)
         cols.append(F.when(past > 0, F.col("mid") / past - 1).alias(f"ret_{h}h"))
     return s.select("token_id", "ts", *cols)
+
+
+def period_returns(curve: DataFrame, keys: Sequence[str], capital: float = 100_000.0) -> DataFrame:
+    """Step return on the starting capital and percent change of equity."""
+    w = W.partitionBy(*keys).orderBy("ts")
+    last = F.lag("equity").over(w)
+    return curve.select("ts", *keys, F.coalesce(F.when(last.isNotNull(), F.col("pnl")), F.lit(0.0)).alias("_p"), (F.col("equity") / last - 1).alias("pct_return")).select(
+        "ts", *keys, (F.col("_p") / capital).alias("step_return"), "pct_return"
+    )
