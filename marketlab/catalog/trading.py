@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlab.catalog.base import UNIT, panel_of, sane_of, yes_of
+from marketlab.catalog.base import yes_of
 from marketlab.catalog.registry import CTES, memo, query
 from marketlab.functions import direction as D
-from marketlab.functions.columns import clip, lit, number
+from marketlab.functions.columns import clip, lit
 from marketlab.operators import costing as C, signals as S, summary as R
 from marketlab.operators.config import CostConfig, regime_costs
-from marketlab.operators.studies import wallet_flow
+from marketlab.session import materialise
 
 CFG = CostConfig()
 THRESHOLDS = (0.10, 0.15, 0.20, 0.25)
@@ -340,7 +340,7 @@ _A12 = "trade_count win_rate expectancy sharpe total_pnl ret_p50"
 @query("a12_parameter_grid", f"SELECT g.threshold, CAST(g.holding_period AS BIGINT) AS holding_period, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _A12.split()) + " FROM (SELECT unnest([0.10::DOUBLE, 0.15, 0.20, 0.25]) AS threshold, h AS holding_period FROM (SELECT unnest([1, 3, 6, 12]) AS h)) g LEFT JOIN tr_sum s ON s.threshold = g.threshold AND s.holding_period = g.holding_period", "tr_sum", "threshold " + _A12)
 def a12(lake):
     cells = C.grid_of(CFG, THRESHOLDS)
-    t = C.run_grid(signal_of(lake), CFG, THRESHOLDS)
+    t = materialise(C.run_grid(signal_of(lake), CFG, THRESHOLDS))
     return R.full_grid(R.trade_summary(t), cells).select("threshold", "holding_period", *_A12.split())
 
 
@@ -349,13 +349,13 @@ _A13 = "trade_count expectancy sharpe total_pnl avg_expected_ev observed_cost_bp
 
 @query("a13_regime_sensitivity", f"SELECT 'execution_regime' AS analysis_type, execution_regime, impact_coeff_input, breakeven_cost_bps - observed_cost_bps AS cost_headroom_bps, {', '.join(_A13.split())} FROM trr_sum", "trr_sum", "impact_coeff_input cost_headroom_bps " + _A13)
 def a13(lake):
-    t = C.run_grid(signal_of(lake), REG, (0.15,), ("optimistic", "base", "pessimistic"))
+    t = materialise(C.run_grid(signal_of(lake), REG, (0.15,), ("optimistic", "base", "pessimistic")))
     return R.sensitivity(R.trade_summary(t), "execution_regime").select("analysis_type", "execution_regime", "impact_coeff_input", "cost_headroom_bps", *_A13.split())
 
 
 @query("a13_impact_sensitivity", f"SELECT 'impact_coeff_grid' AS analysis_type, execution_regime, impact_coeff_input, breakeven_cost_bps - observed_cost_bps AS cost_headroom_bps, {', '.join(_A13.split())} FROM tri_sum", "tri_sum", "impact_coeff_input cost_headroom_bps " + _A13)
 def a13b(lake):
-    t = C.run_grid(signal_of(lake), REG, (0.15,), ("base",), IMPACTS)
+    t = materialise(C.run_grid(signal_of(lake), REG, (0.15,), ("base",), IMPACTS))
     return R.sensitivity(R.trade_summary(t), "impact_coeff_grid").select("analysis_type", "execution_regime", "impact_coeff_input", "cost_headroom_bps", *_A13.split())
 
 

@@ -276,7 +276,7 @@ def _with_impact(cfg: CostConfig, imp: float) -> CostConfig:
     return replace(cfg, impact_coeff=float(imp))
 
 
-def explode_grid(df: DataFrame, cells: Sequence[dict], carried: Sequence[str] = ("future_mid", "future_spread")) -> DataFrame:
+def explode_grid(df: DataFrame, cells: Sequence[dict], carried: Sequence[str] = ("future_mid", "future_spread"), needed: Sequence[str] = ("future_mid",), strict: bool = True) -> DataFrame:
     """One row per signal and grid cell that the signal can trade in.
 
     Each cell also carries the forward columns of its own horizon. Cells are
@@ -289,8 +289,16 @@ def explode_grid(df: DataFrame, cells: Sequence[dict], carried: Sequence[str] =
         ahead = [(F.col(f"{n}_{h}") if has(df, f"{n}_{h}") else F.lit(None).cast("double")).alias(n) for n in carried]
         items.append(F.struct(*[num(v).alias(k) for k, v in c.items()], *ahead))
     strength = F.abs(number("signal", 0.0))
-    main = carried[0]
-    usable = F.filter(F.array(*items), lambda x: (strength > F.greatest(x["threshold"], lit(0))) & x[main].isNotNull())
+
+
+    def usable_cell(x: Column) -> Column:
+        cut = F.greatest(x["threshold"], lit(0))
+        ok = strength > cut if strict else strength >= cut
+        for n in needed:
+            ok = ok & x[n].isNotNull()
+        return ok
+
+    usable = F.filter(F.array(*items), usable_cell)
     keep = [c for c in df.columns if not any(c.startswith(f"{n}_") and c.removeprefix(f"{n}_").isdigit() for n in carried) and c not in cells[0]]
     return df.select(*keep, F.explode(usable).alias("_g")).select(*keep, "_g.*")
 
@@ -355,7 +363,7 @@ def execution_costs(df: DataFrame, cfg: CostConfig) -> DataFrame:
     return out.withColumns({"actual_fill_proxy": clip(thick * F.exp(-F.col("_bps") / 250.0), 0.0, 1.0), "realized_slippage": F.col("entry_price") - F.col("_mid")})
 
 
-def expected_ev(df: DataFrame, source: DataFrame, fallback_moves: Column | None = None) -> DataFrame:
+def expected_ev(df: DataFrame, source: DataFrame) -> DataFrame:
     """Expected value of a trade in the space of its model target, and the gap to the result."""
     mid, sgn, yes, px = F.col("_mid_yes"), D.sign_of("direction"), F.col("_yes"), F.col("entry_price")
     default = "FUTURE_MID" if has(source, "model_pred_future_mid") else "OUTCOME_PROB" if has(source, "model_pred_outcome_prob_yes") else "UP_MOVE_PROB" if has(source, "model_proba") else "FUTURE_MID"
@@ -382,7 +390,7 @@ def expected_ev(df: DataFrame, source: DataFrame, fallback_moves: Column | None
     up = prob(F.coalesce(first_present(source, [("model_pred_up_move_proba", read("model_pred_up_move_proba"))], up), lit(0.5)))
 
     # mean absolute move of the rows that trade at this cell, as the last resort
-    typical = fallback_moves if fallback_moves is not None else lit(0.01)
+    typical = F.col("typical_move") if has(df, "typical_move") else lit(0.01)
     horizons = sorted({int(c.removeprefix("expected_move_size_")) for c in source.columns if c.startswith("expected_move_size_") and c.removeprefix("expected_move_size_").isdigit()})
     sized = F.lit(None).cast("double")
     if has(source, "expected_move_size"):
@@ -446,29 +454,26 @@ def trade_layout(df: DataFrame) -> DataFrame:
         }
     )
     work = [c for c in out.columns if c.startswith("_")]
-    params = ["impact_coeff", "max_impact", "vol_slippage_coeff", "fill_alpha", "fill_beta", "fill_gamma", "future_mid", "future_spread"]
+    params = ["impact_coeff", "max_impact", "vol_slippage_coeff", "fill_alpha", "fill_beta", "fill_gamma", "future_mid", "future_spread", "typical_move"]
     return D.attach_contract(out.drop(*work, *params))
 
 
-def typical_moves(df: DataFrame, cells: Sequence[dict]) -> Column:
-    """Mean absolute forward move per (threshold, holding period) as a literal-keyed lookup.
+def typical_moves(df: DataFrame, cells: Sequence[dict]) -> tuple[list[dict], Column]:
+    """Mean absolute forward move of the rows each cell trades.
 
-    One aggregate over the signals: one number per grid cell.
+    One aggregate over the signals gives one number per (threshold, holding
+    period); every cell carries the position of its number.
     """
-    seen = {(c["threshold"], c["holding_period"]) for c in cells}
+    seen = sorted({(c["threshold"], c["holding_period"]) for c in cells})
     strength = F.abs(number("signal", 0.0))
     mid = prob(number("mid", 0.5))
     aggs = []
-    names = {}
-    for i, (thr, h) in enumerate(sorted(seen)):
-        names[(thr, h)] = f"m{i}"
+    for thr, h in seen:
         fut = F.col(f"future_mid_{h}") if has(df, f"future_mid_{h}") else F.lit(None).cast("double")
-        aggs.append(F.avg(F.when((strength > thr) & fut.isNotNull(), F.abs(prob(fut) - mid))).alias(f"m{i}"))
-    row = df.agg(F.struct(*aggs).alias("v")).scalar()
-    out = F.lit(None).cast("double")
-    for (thr, h), n in names.items():
-        out = F.when((F.col("threshold") == lit(thr)) & (F.col("holding_period") == h), row[n]).otherwise(out)
-    return out
+        aggs.append(F.avg(F.when((strength > thr) & fut.isNotNull(), F.abs(prob(fut) - mid))))
+    numbers = df.agg(F.array(*aggs).alias("v")).scalar()
+    at = {cell: i for i, cell in enumerate(seen)}
+    return [{**c, "_move_no": at[(c["threshold"], c["holding_period"])]} for c in cells], F.get(numbers, F.col("_move_no"))
 
 
 def run_grid(signals: DataFrame, cfg: CostConfig, thresholds: Sequence[float], regimes: Sequence[str] = ("base",), impacts: Sequence[float] | None = None) -> DataFrame:
@@ -476,6 +481,11 @@ def run_grid(signals: DataFrame, cfg: CostConfig, thresholds: Sequence[float], r
     ok = admitted(signals)
     cells = grid_of(cfg, thresholds, regimes, impacts)
     sized = has(ok, "expected_move_size") or any(c.startswith("expected_move_size_") for c in ok.columns)
-    moves = None if sized and has(ok, "model_pred_future_mid") else typical_moves(ok, cells)
-    t = execution_costs(size_and_fill(explode_grid(ok, cells), cfg), cfg)
-    return trade_layout(expected_ev(t, ok, moves))
+    moves = None
+    if not (sized and has(ok, "model_pred_future_mid")):
+        cells, moves = typical_moves(ok, cells)
+    t = explode_grid(ok, cells)
+    if moves is not None:
+        t = t.withColumn("typical_move", moves)
+    t = execution_costs(size_and_fill(t, cfg), cfg)
+    return trade_layout(expected_ev(t, ok))
