@@ -16,7 +16,12 @@ DIGITS = 6
 class Query:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+    uses: str
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.body is None else with_ctes(self.body, self.uses)
 
 
 REGISTRY: dict[str, Query] = {}
@@ -83,16 +88,13 @@ def query(name: str, sql: str | None = None, uses: str = "", floats: str = ""):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finish(fn(lake_for(spark, path)))
 
-        full = None
-        if sql is not None:
-            body = sql.strip()
-            if floats:
-                swaps = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in floats.split())
-                body = f"SELECT * REPLACE ({swaps}) FROM (\n{body}\n) AS q_"
-            full = with_ctes(body, uses)
+        body = sql.strip() if sql is not None else None
+        if body is not None and floats:
+            swaps = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in floats.split())
+            body = f"SELECT * REPLACE ({swaps}) FROM (\n{body}\n) AS q_"
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Query(name, run, full)
+        REGISTRY[name] = Query(name, run, body, uses)
         return fn
 
     return wrap

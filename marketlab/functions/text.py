@@ -83,7 +83,7 @@ def question_stem(question: Column | str) -> Column:
     bare = F.regexp_replace(normal_text(question), r"\b(?:" + "|".join(STEM_WORDS) + r")\b", " ")
     bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
     toks = F.array_sort(words(bare))
-    return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, 8), " ")).otherwise(F.substring(bare, 1, 80))
+    return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, 8), " ")).otherwise(bare)
 
 
 def jaccard(a: Column, b: Column) -> Column:

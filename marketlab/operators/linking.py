@@ -75,8 +75,8 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
 def best_partners(pairs: DataFrame, k: int, score: str = "score", left: str = "market_a", right: str = "market_b") -> DataFrame:
     """Pairs that are among the k best of either end.
 
-    Ranks are taken per end after a bounded pre-aggregation: each end keeps its
-    k best scores through a top-k aggregate, not a full sort of its partners.
+    The rank filter lets Spark cut each end to its k best inside every map
+    task before the shuffle, so a popular end stays small.
     """
     ends = pairs.select(F.explode(F.array(F.struct(F.col(left).alias("me"), F.col(right).alias("you")), F.struct(F.col(right).alias("me"), F.col(left).alias("you")))).alias("e"), score).select("e.me", "e.you", score)
     ranked = ends.withColumn("_rk", F.row_number().over(W.partitionBy("me").orderBy(F.col(score).desc(), F.col("you").desc()))).where(F.col("_rk") <= k)

@@ -51,3 +51,281 @@ def wallet_flow(trades: DataFrame, resolutions: DataFrame, quantile: float = 0.9
         F.sum(F.col("signed") * (0.5 + F.coalesce("wallet_alpha", lit(0)))).alias("whale_flow"),
         F.try_divide(F.sum(F.col("wallet_alpha") * F.col("n")), F.sum(known)).alias("whale_alpha"),
     )
+
+
+def price_frame(snapshots: DataFrame, markets: DataFrame) -> DataFrame:
+    """Quoted prices with the market category."""
+    s = snapshots.where(F.col("mid").isNotNull()).select(F.col("snapshot_ts").alias("ts"), "token_id", "market_id", "mid", "spread", "bid_depth", "ask_depth")
+    return s.join(markets.select("market_id", "category"), "market_id", "left")
+
+
+def latest_per_token(snapshots: DataFrame, cols: tuple[str, ...] = ("market_id", "mid", "spread_bps", "liquidity_score"), quoted: bool = True) -> DataFrame:
+    """Newest row per token by a max aggregate, with no sort."""
+    s = snapshots.where(F.col("mid").isNotNull()) if quoted else snapshots
+    return s.groupBy("token_id").agg(F.max_by(F.struct(*cols), "snapshot_ts").alias("r"), F.max("snapshot_ts").alias("snapshot_ts")).select("token_id", "snapshot_ts", "r.*")
+
+
+def latest_yes_probabilities(snapshots: DataFrame, outcomes: DataFrame, markets: DataFrame) -> DataFrame:
+    from marketlab.operators.panel import yes_tokens
+
+    yes = yes_tokens(outcomes).select("token_id")
+    now = latest_per_token(snapshots.join(yes, "token_id", "left_semi"), ("market_id", "mid")).withColumnRenamed("mid", "prob")
+    keep = [c for c in ("event_id", "question", "category", "close_ts") if c in markets.columns]
+    return now.join(markets.select("market_id", *keep), "market_id")
+
+
+def yes_probability_panel(snapshots: DataFrame, outcomes: DataFrame, ids: DataFrame) -> DataFrame:
+    """YES price history of the listed markets (semi join on the id table)."""
+    from marketlab.operators.panel import yes_tokens
+
+    yes = yes_tokens(outcomes.join(ids, "market_id", "left_semi")).select("token_id")
+    s = snapshots.where(F.col("mid").isNotNull()).join(ids, "market_id", "left_semi").join(yes, "token_id", "left_semi")
+    return s.select("snapshot_ts", "market_id", F.col("mid").alias("prob"))
+
+
+def resolution_targets(markets: DataFrame, resolutions: DataFrame, hours: int = 24) -> DataFrame:
+    """One target instant per resolved market, the horizon before its resolution."""
+    keep = [c for c in ("category", "question", "description") if c in markets.columns]
+    r = resolutions.join(markets.select("market_id", "close_ts", *keep), "market_id")
+    r = r.select("market_id", "winner_token_id", F.coalesce("resolved_ts", "close_ts").alias("resolved_ts"), *keep).where(F.col("resolved_ts").isNotNull())
+    return r.withColumn("target_ts", F.col("resolved_ts") - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def nearest_rows(targets: DataFrame, rows: DataFrame, ts: str, tie: str | None = None) -> DataFrame:
+    """The row of each (market, token) closest in time to the market's target.
+
+    Ties go to the earlier row (then the smaller ``tie`` column). A min-by
+    aggregate finds it with map-side combine: no sort, no ranking window.
+    """
+    vals = [c for c in rows.columns if c not in ("market_id", "token_id")]
+    j = rows.join(targets.select("market_id", "target_ts"), "market_id")
+    away = F.abs(F.unix_seconds(F.col(ts)) - F.unix_seconds("target_ts"))
+    order = F.struct(away, F.col(ts), *([F.col(tie)] if tie else []))
+    near = j.groupBy("market_id", "token_id").agg(F.min_by(F.struct(*vals), order).alias("r")).select("market_id", "token_id", "r.*")
+    return near.join(targets, "market_id")
+
+
+def pre_resolution_frame(snapshots: DataFrame, trades: DataFrame, markets: DataFrame, resolutions: DataFrame, hours: int = 24) -> DataFrame:
+    """Nearest quote before resolution per token; the nearest trade where there is no quote."""
+    targets = resolution_targets(markets, resolutions, hours)
+    q = nearest_quotes(targets, snapshots)
+    t = nearest_trades(targets, trades)
+    f = q.unionByName(t.join(q.select("market_id", "token_id"), ["market_id", "token_id"], "left_anti"))
+    y = flag(F.col("token_id") == F.col("winner_token_id"))
+    return f.withColumn("y", y).withColumns(
+        {
+            "abs_error": F.abs(F.col("prob") - F.col("y")),
+            "signed_error": F.col("prob") - F.col("y"),
+            "edge_long": F.col("y") - F.col("prob"),
+            "hours_to_resolution": (F.unix_micros("resolved_ts") - F.unix_micros("snapshot_ts")) / lit(3.6e9),
+        }
+    )
+
+
+def nearest_quotes(targets: DataFrame, snapshots: DataFrame) -> DataFrame:
+    rows = snapshots.where(F.col("mid").isNotNull()).select("market_id", "token_id", "snapshot_ts", F.col("mid").alias("prob"), "spread_bps", "liquidity_score")
+    return nearest_rows(targets, rows, "snapshot_ts")
+
+
+def nearest_trades(targets: DataFrame, trades: DataFrame) -> DataFrame:
+    rows = trades.select("market_id", "token_id", F.col("trade_ts").alias("snapshot_ts"), F.col("price").alias("prob"), F.lit(None).cast("double").alias("spread_bps"), F.col("notional").alias("liquidity_score"), F.struct("trade_id", "price", "size").alias("_tie"))
+    return nearest_rows(targets, rows, "snapshot_ts", "_tie").drop("_tie")
+
+
+# ------------------------------------------------------------- statistics
+
+
+def regression(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Slope, intercept, correlation, R2 and the t statistic of the slope.
+
+    Constant x gives zeros; fewer than three points leave R2 missing.
+    """
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    d = df.where(ok)
+    flat = (F.stddev_pop(x) < 1e-12) | F.stddev_pop(x).isNull()
+    r = F.coalesce(F.corr(x, y), lit(0))
+    aggs = [
+        F.count(F.lit(1)).alias("n"),
+        F.when(flat, lit(0)).otherwise(F.regr_slope(y, x)).alias("slope"),
+        F.when(flat, lit(0)).otherwise(F.regr_intercept(y, x)).alias("intercept"),
+        F.when(flat, lit(0)).otherwise(r).alias("r"),
+        F.when(F.count(F.lit(1)) >= 3, F.regr_r2(y, x)).alias("r2"),
+    ]
+    g = d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
+    dof = F.col("n") - 2
+    return g.withColumn("t_stat", F.when((dof > 0) & (F.abs("r") < 1), F.col("r") * F.sqrt(dof / (1.0 - F.col("r") * F.col("r")))))
+
+
+def welch(df: DataFrame, value: str, side: str, a: object, b: object) -> DataFrame:
+    """Unequal-variance t statistic of two groups with its degrees of freedom."""
+    v = lambda g, fn: fn(F.when(F.col(side) == F.lit(g), F.col(value)))
+    row = df.agg(
+        *[x for n, g in (("a", a), ("b", b)) for x in (v(g, F.count).alias(f"n_{n}"), v(g, F.avg).alias(f"mean_{n}"), v(g, F.var_samp).alias(f"var_{n}"), v(g, F.stddev_pop).alias(f"sd_{n}"))]
+    )
+    sa, sb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
+    few = (F.col("n_a") < 2) | (F.col("n_b") < 2)
+    still = (F.col("sd_a") < 1e-12) & (F.col("sd_b") < 1e-12)
+    t = F.when(few, None).when(still, lit(0)).otherwise((F.col("mean_a") - F.col("mean_b")) / F.sqrt(sa + sb))
+    dof = F.when(few | still, None).otherwise((sa + sb) * (sa + sb) / (sa * sa / (F.col("n_a") - 1) + sb * sb / (F.col("n_b") - 1)))
+    return row.select("n_a", "n_b", "mean_a", "mean_b", t.alias("t_stat"), dof.alias("dof"))
+
+
+def bucket_errors(frame: DataFrame, value: str, bins: int, tie: tuple[str, ...], out: str) -> DataFrame:
+    """Error statistics per equal-count bucket of a column."""
+    from marketlab.operators.ranking import bin_rows, quantile_groups
+
+    b = bin_rows(frame, value, bins, tie, out)
+    med = quantile_groups(b.select(out, "abs_error"), [out], {"median_abs_error": ("abs_error", 0.5)})
+    g = b.groupBy(out).agg(F.avg("abs_error").alias("mean_abs_error"), F.avg(value).alias(f"avg_{value}"), F.count("market_id").alias("n"))
+    return g.join(med, out)
+
+
+def momentum_frame(snapshots: DataFrame, markets: DataFrame, back: int = 3, ahead: int = 3, max_hours: float = 24 * 365) -> DataFrame:
+    """Past and future returns per token before the close."""
+    m = markets.select("market_id", F.coalesce("close_ts", "end_ts").alias("close_ts"), "category")
+    p = snapshots.where(F.col("mid").isNotNull()).select("snapshot_ts", "market_id", "token_id", "mid").join(m, "market_id")
+    w = W.partitionBy("token_id").orderBy("snapshot_ts")
+    p = p.withColumns(
+        {
+            "ret_lb": F.try_divide(F.col("mid"), F.lag("mid", back).over(w)) - 1,
+            "ret_fw": F.try_divide(F.lead("mid", ahead).over(w), F.col("mid")) - 1,
+            "hours_to_close": (F.unix_micros("close_ts") - F.unix_micros("snapshot_ts")) / lit(3.6e9),
+        }
+    )
+    return p.where(F.col("hours_to_close").between(1, max_hours) & F.col("ret_lb").isNotNull() & F.col("ret_fw").isNotNull())
+
+
+def hours_bucket(h: Column) -> Column:
+    return F.when(h <= 24, "0-24h").when(h <= 72, "24-72h").otherwise("72h+")
+
+
+def resolution_bucket(h: Column) -> Column:
+    return F.when(h <= 24, "<=24h").when(h <= 72, "24-72h").when(h <= 168, "3-7d").otherwise(">7d")
+
+
+# ----------------------------------------------------------------- wallets
+
+
+def wallet_stats(trades: DataFrame, min_trades: int = 30) -> DataFrame:
+    """Per-wallet counts, notional and buy share.
+
+    Distinct counts go through pre-aggregated (wallet, trade) and (wallet,
+    market) rows, so a dominant wallet is combined before its last step.
+    """
+    t = trades.where(F.col("trader").isNotNull())
+    base = t.groupBy("trader").agg(F.sum("notional").alias("total_notional"), F.avg("notional").alias("avg_trade_notional"), F.avg(flag(F.upper("side") == "BUY")).alias("buy_ratio"))
+    ids = t.select("trader", "trade_id").distinct().groupBy("trader").agg(F.count(F.lit(1)).alias("trades"))
+    mk = t.select("trader", "market_id").distinct().groupBy("trader").agg(F.count("market_id").alias("markets"))
+    return base.join(ids, "trader").join(mk, "trader").where(F.col("trades") >= min_trades)
+
+
+def whale_flags(trades: DataFrame, stats: DataFrame, quantile: float = 0.95, early: float = 0.2) -> DataFrame:
+    """Trades with whale and early-in-life flags and the alpha per share."""
+    cut = quantile_row(stats, {"c": ("total_notional", quantile)}).scalar()
+    whales = stats.where(F.col("total_notional") >= cut).select("trader", F.lit(True).alias("_w"))
+    opened = trades.groupBy("market_id").agg(F.min("trade_ts").alias("market_open"))
+    t = trades.join(whales, "trader", "left").join(opened, "market_id")
+    life = F.unix_seconds("close_ts") - F.unix_seconds("market_open")
+    since = F.unix_seconds("trade_ts") - F.unix_seconds("market_open")
+    return t.withColumns({"is_whale": F.coalesce("_w", F.lit(False)), "is_early": F.coalesce((since >= 0) & (since <= early * life), F.lit(False)), "alpha_per_share": trade_alpha()}).drop("_w")
+
+
+# --------------------------------------------------------------- rule texts
+
+
+def unresolved_candidates(markets: DataFrame, snapshots: DataFrame, outcomes: DataFrame, resolutions: DataFrame, top: int = 50) -> DataFrame:
+    """Ambiguous open markets by ambiguity x spread over liquidity."""
+    from marketlab.functions.text import ambiguity_score
+    from marketlab.operators.panel import yes_tokens
+
+    open_ = markets.join(resolutions, "market_id", "left_anti")
+    now = latest_per_token(snapshots, ("mid", "spread_bps", "liquidity_score"), quoted=False).drop("snapshot_ts")
+    u = open_.join(yes_tokens(outcomes), "market_id").join(now, "token_id")
+    text = F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+    u = u.withColumn("ambiguity_score", ambiguity_score(text))
+    score = F.col("ambiguity_score") * F.greatest(F.coalesce("spread_bps", lit(0)), lit(0)) / (F.log1p(F.coalesce("liquidity_score", lit(0))) + 1.0)
+    return u.withColumn("candidate_score", score).select("market_id", "category", F.col("mid").alias("prob"), "spread_bps", "liquidity_score", "ambiguity_score", "candidate_score").orderBy(F.col("candidate_score").desc(), "market_id").limit(top)
+
+
+def active_market_probability(markets: DataFrame, snapshots: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Active markets with their mean YES price, else mean price, else one half."""
+    lab = outcomes.select("market_id", "token_id", (F.lower(F.coalesce("outcome_label", F.lit(""))) == "yes").alias("is_yes"))
+    m = snapshots.join(lab, ["market_id", "token_id"], "left").groupBy("market_id").agg(F.avg(F.when(F.col("is_yes"), F.col("mid"))).alias("y"), F.avg("mid").alias("a"))
+    act = markets.where(F.col("active") & F.col("question").isNotNull())
+    return act.join(m, "market_id", "left").withColumn("market_prob_yes", F.coalesce("y", "a", lit(0.5))).drop("y", "a")
+
+
+def precedent_counts(active: DataFrame, resolved: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """Resolved markets of the category with similar words: count and mean risk.
+
+    Both sides are folded to distinct word sets, joined exactly by Jaccard,
+    and the member counts and risk sums are added up per active set.
+    """
+    from marketlab.functions.text import normal_text, rule_scores
+    from marketlab.operators.similarity import fold_sets, jaccard_join
+
+    toks = F.filter(F.split(normal_text("question"), " "), lambda x: x != "")
+    cat = F.coalesce("category", F.lit("unknown"))
+    risk = rule_scores("question", "description")["rule_risk_score"]
+    a = active.select("market_id", cat.alias("category"), toks.alias("toks"))
+    r = resolved.where(F.col("question").isNotNull()).select("market_id", cat.alias("category"), toks.alias("toks"), risk.alias("risk"))
+    fa = fold_sets(a, "category", "toks", "market_id")
+    fr = fold_sets(r, "category", "toks", "market_id", {"risk_sum": F.sum("risk")})
+    pairs = jaccard_join(fa, fr, "category", threshold).join(fr.select(F.col("set_id").alias("r"), "members", "risk_sum"), "r")
+    per = pairs.groupBy("l").agg(F.sum("members").alias("n"), F.sum("risk_sum").alias("s"))
+    key = F.md5(F.concat_ws("\x1f", F.col("category").cast("string"), F.array_join(F.array_sort(F.array_distinct("toks")), "\x1e")))
+    out = a.withColumn("l", key).join(per, "l", "left")
+    return out.select("market_id", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("precedent_count"), F.coalesce(F.col("s") / F.col("n"), lit(0)).alias("precedent_rule_risk_mean"))
+
+
+def rule_candidates(scored: DataFrame, precedents: DataFrame, min_risk: float = 0.50, min_edge: float = 0.05, top: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Scored active markets and the best candidates for human review."""
+    from marketlab.functions.columns import clip
+
+    s = scored.join(precedents, "market_id", "left").withColumns({c: F.coalesce(c, lit(0)) for c in ("precedent_count", "precedent_rule_risk_mean")})
+    sure = F.abs(F.col("market_prob_yes") - 0.5) * 2.0
+    s = s.withColumns(
+        {
+            "human_review_required": F.when(F.col("rule_risk_score") >= min_risk, 1).otherwise(0),
+            "rule_edge_score": clip(F.col("rule_clarity_score") - F.col("rule_risk_score") + 0.25 * sure - 0.10 * F.col("precedent_rule_risk_mean"), -1.0, 1.0),
+        }
+    )
+    s = s.withColumns({"expected_net_return": clip(0.15 * F.col("rule_edge_score") - 0.02, -0.5, 0.5), "rationale": F.when(F.col("rule_edge_score") > 0, "price_extreme_vs_rule_clarity_or_precedent").otherwise("no_clear_rule_edge")})
+    c = s.where((F.col("human_review_required") == 1) & (F.col("expected_net_return") >= min_edge)).orderBy(F.col("expected_net_return").desc(), "market_id").limit(top)
+    return s, c.withColumns({"review_status": F.lit("PENDING"), "approval_required": F.lit(1)})
+
+
+# ------------------------------------------------------------ cross markets
+
+
+def pair_spreads(pairs: DataFrame, panel: DataFrame, at_least: int = 5) -> DataFrame:
+    """Mean, deviation and latest z of the price gap of related markets."""
+    p = panel.groupBy("market_id", "snapshot_ts").agg(F.avg("prob").alias("prob"))
+    side = lambda s: p.select(F.col("market_id").alias(f"market_{s}"), "snapshot_ts", F.col("prob").alias(f"p_{s}"))
+    j = pairs.select("market_a", "market_b").join(side("a"), "market_a").join(side("b"), ["market_b", "snapshot_ts"])
+    j = j.withColumn("gap", F.col("p_a") - F.col("p_b"))
+    g = j.groupBy("market_a", "market_b").agg(F.count(F.lit(1)).alias("n_obs"), F.avg("gap").alias("spread_mean"), F.stddev_pop("gap").alias("spread_std"), F.max_by("gap", "snapshot_ts").alias("_last"))
+    g = g.where((F.col("n_obs") >= at_least) & (F.col("spread_std") > 1e-12))
+    return g.withColumn("spread_zscore", (F.col("_last") - F.col("spread_mean")) / F.col("spread_std")).drop("_last")
+
+
+def inequality_violation(qa: Column, qb: Column, pa: Column, pb: Column) -> Column:
+    """A question contained in another must not be cheaper than it."""
+    a, b = F.lower(qa), F.lower(qb)
+    return F.when(F.contains(b, a) & (pb > pa), pb - pa).when(F.contains(a, b) & (pa > pb), pa - pb).otherwise(lit(0))
+
+
+def unit_root_stat(pairs: DataFrame, panel: DataFrame, at_least: int = 8) -> DataFrame:
+    """t statistic of regressing the change of a gap on its lag, one lag, no p-value.
+
+    The window runs inside one pair's history, bounded by the snapshot grid.
+    """
+    p = panel.groupBy("market_id", "snapshot_ts").agg(F.avg("prob").alias("prob"))
+    side = lambda s: p.select(F.col("market_id").alias(f"market_{s}"), "snapshot_ts", F.col("prob").alias(f"p_{s}"))
+    j = pairs.select("market_a", "market_b").join(side("a"), "market_a").join(side("b"), ["market_b", "snapshot_ts"]).withColumn("gap", F.col("p_a") - F.col("p_b"))
+    lagged = F.lag("gap").over(W.partitionBy("market_a", "market_b").orderBy("snapshot_ts"))
+    d = j.withColumn("x", lagged).where(F.col("x").isNotNull()).withColumn("dy", F.col("gap") - F.col("x"))
+    g = d.groupBy("market_a", "market_b").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("dy", "x").alias("slope"), F.regr_sxx("dy", "x").alias("sxx"), F.regr_syy("dy", "x").alias("syy"))
+    g = g.where((F.col("n") >= at_least) & (F.col("sxx") > 1e-12))
+    s2 = (F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")) / (F.col("n") - 2)
+    return g.select("market_a", "market_b", "n", "slope", F.when(s2 > 1e-15, F.col("slope") / F.sqrt(s2 / F.col("sxx"))).alias("unit_root_t"))
