@@ -367,7 +367,7 @@ def f2(lake):
 # the split is on non-word characters of any script, as the word boundary of the Spark side
 _STOPS = ", ".join(f"'{w}'" for w in T.STEM_WORDS)
 CTES["stem"] = f"""
-SELECT *, CASE WHEN len(k) > 0 THEN array_to_string(k[1:8], ' ') ELSE norm END AS question_stem FROM (
+SELECT *, CASE WHEN len(k) > 0 THEN array_to_string(k[1:8], ' ') ELSE trim(regexp_replace(regexp_replace(norm, '\\b(?:{'|'.join(T.STEM_WORDS)})\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS question_stem FROM (
 SELECT *, list_sort(list_distinct(regexp_extract_all(array_to_string(list_filter(regexp_split_to_array(norm, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_STOPS})), ' '), '[a-z0-9]+'))) AS k FROM (
 SELECT *, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS norm FROM txt))"""
 

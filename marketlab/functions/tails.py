@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -47,7 +48,7 @@ def normal_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper_tail(stat: pd.Series, df: pd.Series) -> pd.Series:
     """P(X > stat): Student's t with df degrees, normal where df is missing."""
     ok = lambda v: v is not None and v == v
@@ -59,7 +60,7 @@ def two_sided(stat, df):
     return F.least(F.lit(1.0), p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p(w: pd.Series, n: pd.Series, tie_term: pd.Series) -> pd.Series:
     """Two-sided p of the signed-rank statistic: exact counts to 50 pairs without ties, else normal."""
 

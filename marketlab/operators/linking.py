@@ -6,13 +6,14 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from marketlab.functions.columns import clip, lit
 from marketlab.functions.text import DATE_HINT, normal_text, question_stem, words
 from marketlab.operators.similarity import fold_sets, jaccard_join
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts, for candidate pairs only."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")

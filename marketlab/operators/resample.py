@@ -186,7 +186,7 @@ def half_splits(slices: DataFrame, max_trials: int = 200) -> DataFrame:
     beyond ``max_trials`` the masks with the smallest hashed draw are kept.
     """
     k = slices.agg(F.max("k")).scalar()
-    masks = slices.sparkSession.range(4096).withColumn("k", k).where((F.col("id") < F.shiftleft(F.lit(1), F.col("k").cast("int"))) & (F.bit_count("id") == F.floor(F.col("k") / 2)))
+    masks = slices.sparkSession.range(4096).withColumn("k", k).where(F.expr("id < shiftleft(1, cast(k as int)) AND bit_count(id) = floor(k / 2)"))
     return masks.orderBy(draw(F.col("id"), F.lit(23)), "id").limit(max_trials).select(F.col("id").alias("combo"))
 
 
