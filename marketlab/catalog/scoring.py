@@ -29,13 +29,13 @@ _STEPS = ("raw", "book_tradable_only", "top_confidence_0.75", "max_spread_bps",
     _FUN,
 )
 def p20(lake):
-    v = C.strategy_value(modelled(signal_of(lake)), CFG)
+    v = memo(lake, "valued", lambda: C.strategy_value(modelled(signal_of(lake)), CFG))
     return S.filter_funnel(v, "train", 0.0, top_confidence=0.75, max_spread=1500.0, regimes=(0, 1))[1]
 
 
 @query("p20_filtered_rows", "SELECT ts, token_id FROM fun WHERE reach = 5", "fun")
 def p20b(lake):
-    v = C.strategy_value(modelled(signal_of(lake)), CFG)
+    v = memo(lake, "valued", lambda: C.strategy_value(modelled(signal_of(lake)), CFG))
     return S.filter_funnel(v, "train", 0.0, top_confidence=0.75, max_spread=1500.0, regimes=(0, 1))[0].select("ts", "token_id")
 
 
@@ -280,7 +280,7 @@ _muv = {k: f"(SELECT avg(\"{n}\") FROM swide)" for k, n in zip(_cols, NAMES)}
 CTES["wst4"] = "SELECT " + ", ".join([f"avg(\"{n}\") AS mu_{k}" for k, n in zip(_cols, NAMES)] + [f"covar_pop(\"{m}\", \"{n}\") + {1e-6 if m == n else 0.0} AS c_{i}{j}" for i, m in zip(_cols, NAMES) for j, n in zip(_cols, NAMES)]) + " FROM swide"
 CTES["wgrid"] = "SELECT a / 20.0::DOUBLE AS a, b / 20.0::DOUBLE AS b, c / 20.0::DOUBLE AS c, d / 20.0::DOUBLE AS d FROM (SELECT a, b, c, 20 - a - b - c AS d FROM (SELECT unnest(range(11)) AS a), (SELECT unnest(range(11)) AS b), (SELECT unnest(range(11)) AS c)) WHERE d BETWEEN 0 AND 10"
 _mrc = {i: " + ".join(f"s.c_{i}{j} * g.{j}" for j in _cols) for i in _cols}
-CTES["wobj"] = "SELECT *, " + ", ".join(f"{i} * m_{i} / sqrt(v + 1e-12) AS rc_{i}" for i in _cols) + " FROM (SELECT *, " + " + ".join(f"{i} * m_{i}" for i in _cols) + " AS v FROM (SELECT g.*, " + ", ".join(f"{_mrc[i]} AS m_{i}" for i in _cols) + ", " + " + ".join(f"s.mu_{i} * g.{i}" for i in _cols) + " AS r, " + " + ".join(f"(g.{i} - 0.25) * (g.{i} - 0.25)" for i in _cols) + " AS far FROM wgrid g, wst4 s))"
+CTES["wobj"] = "SELECT *, " + ", ".join(f"{i} * m_{i} / sqrt(v + 1e-12) AS rc_{i}" for i in _cols) + " FROM (SELECT *, " + " + ".join(f"{i} * m_{i}" for i in _cols) + " AS v FROM (SELECT g.*, " + ", ".join(f"{_mrc[i]} AS m_{i}" for i in _cols) + ", " + " + ".join(f"s.mu_{i} * g.{i}" for i in _cols) + " AS r, " + " + ".join(f"(g.{i} - 0.25) * (g.{i} - 0.25)" for i in _cols) + " AS far FROM wgrid g CROSS JOIN wst4 s))"
 _rcm = "((rc_a + rc_b + rc_c + rc_d) / 4)"
 _obj = {
     "risk_parity": (" + ".join(f"(rc_{i} - {_rcm}) * (rc_{i} - {_rcm})" for i in _cols), "true"),
