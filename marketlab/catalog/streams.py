@@ -58,9 +58,9 @@ def r4(lake):
     return R.drain(R.sessions(trades(lake)), *fresh(lake, "r4"))
 
 
-@query("r5_running_returns", "SELECT user_id AS token_id, ts, (value + 1) / 1000 AS mid, (value + 1) / lag(value + 1) OVER (PARTITION BY user_id ORDER BY ts) - 1 AS ret_1 FROM events", "", "mid ret_1")
+@query("r5_running_returns", "SELECT user_id AS token_id, ts, (value + 1.2345678::DOUBLE) / 1000 AS mid, (value + 1.2345678::DOUBLE) / lag(value + 1.2345678::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) - 1 AS ret_1 FROM events", "", "mid ret_1")
 def r5(lake):
-    q = R.event_stream(lake.spark, lake.path).select(F.col("user_id").alias("token_id"), "ts", ((F.col("value") + 1) / 1000).alias("mid"))
+    q = R.event_stream(lake.spark, lake.path).select(F.col("user_id").alias("token_id"), "ts", ((F.col("value") + 1.2345678) / 1000).alias("mid"))
     return R.drain(R.running_returns(q), *fresh(lake, "r5"))
 
 

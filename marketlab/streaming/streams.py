@@ -16,10 +16,13 @@ from marketlab.functions.columns import flag, lit
 from marketlab.sources.warehouse import Warehouse
 
 
-def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
-    """File stream of the event tables in a folder, with a zoned event time."""
+def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_batch: int = 100) -> DataFrame:
+    """File stream of the event tables in a folder, with a zoned event time.
+
+    ``files_per_batch`` bounds a micro-batch, and with it the rows per key.
+    """
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    s = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    s = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
