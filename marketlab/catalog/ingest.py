@@ -126,9 +126,9 @@ def s12(lake):
 
 
 def holder_payloads(lake):
-    """Holder lists per token and month from the trades."""
+    """Pages of holder lists per token and day from the trades."""
     h = F.struct(F.when(F.col("trader") % 7 != 0, F.col("trader").cast("string")).alias("proxyWallet"), F.col("size").cast("string").alias("balance"), F.when(F.col("trade_id") % 2 == 0, "x").otherwise("0.5").alias("percent"))
-    g = lake.trades.groupBy("token_id", F.date_trunc("day", "trade_ts").alias("d")).agg(F.collect_list(h).alias("holders"))
+    g = lake.trades.groupBy("token_id", F.date_trunc("day", "trade_ts").alias("d"), (F.col("trade_id") % 50).alias("page")).agg(F.collect_list(h).alias("holders"))
     return g.select(F.to_json(F.struct(F.col("token_id").cast("string").alias("token"), F.unix_seconds("d").alias("snapshot_ts"), "holders")).alias("raw_json"))
 
 

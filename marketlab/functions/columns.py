@@ -80,6 +80,12 @@ def optional(df: DataFrame, name: str, default: float | None = None) -> Column:
     return lit(default) if default is not None else F.lit(None).cast("double")
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation, missing instead of an error when a side is constant."""
+    x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def sharpe(x: Column, periods: float = 8760.0) -> Column:
     """Annualised mean over population deviation, 0 below three points."""
     sd = F.stddev_pop(x)

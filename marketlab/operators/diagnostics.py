@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marketlab.functions.columns import lit, number
+from marketlab.functions.columns import correlation, lit, number
 from marketlab.operators.ranking import quantile_row
 
 
@@ -21,7 +21,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     r = average_rank(average_rank(d, a, "_ra"), b, "_rb")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("spearman"))
+    return r.agg(F.count(F.lit(1)).alias("n"), correlation("_ra", "_rb").alias("spearman"))
 
 
 # ---------------------------------------------------------------- per trade
@@ -161,7 +161,7 @@ def ev_diagnostics(trades: DataFrame, bins: int = 10, tie: tuple[str, ...] = TIE
     rho = spearman(t.select(F.round("ev", 12).alias("a"), F.round("r", 12).alias("b")), "a", "b").select("spearman").scalar()
     s = t.agg(
         F.struct(
-            F.count(F.lit(1)).alias("n"), F.stddev_pop("ev").alias("se"), F.stddev_pop("r").alias("sr"), F.regr_slope("r", "ev").alias("beta"), F.corr("ev", "r").alias("corr"), F.coalesce(F.avg(F.when(F.col("ev") > 0, F.when(F.col("r") > 0, lit(1)).otherwise(lit(0)))), lit(0)).alias("hit"), F.countDistinct(F.round("ev", 12)).alias("u")
+            F.count(F.lit(1)).alias("n"), F.stddev_pop("ev").alias("se"), F.stddev_pop("r").alias("sr"), F.regr_slope("r", "ev").alias("beta"), correlation("ev", "r").alias("corr"), F.coalesce(F.avg(F.when(F.col("ev") > 0, F.when(F.col("r") > 0, lit(1)).otherwise(lit(0)))), lit(0)).alias("hit"), F.countDistinct(F.round("ev", 12)).alias("u")
         ).alias("v")
     ).scalar()
     usable = (s["n"] >= 5) & (s["se"] > 1e-12) & (s["sr"] > 1e-12)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlab.functions.columns import clip, has, lit, logistic, number
+from marketlab.functions.columns import clip, correlation, has, lit, logistic, number
 from marketlab.operators.validate import classifier_metrics
 from marketlab.session import materialise
 
@@ -202,7 +202,7 @@ def return_importance(trades: DataFrame, cols: Sequence[str], top: int = 10, tre
     use = [c for c in cols if has(trades, c)]
     n = trades.count()
     if n < 30:
-        row = trades.agg(*[F.coalesce(F.corr(number(c, 0.0), number("trade_return", 0.0)), lit(0)).alias(c) for c in use])
+        row = trades.agg(*[F.coalesce(correlation(number(c, 0.0), number("trade_return", 0.0)), lit(0)).alias(c) for c in use])
         return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.col(c)).alias("importance")) for c in use]))).orderBy(F.col("importance").desc(), "feature").limit(top)
     d = features_of(trades, use).withColumn("label", number("trade_return", 0.0))
     m = Pipeline(stages=[*_inputs(use, False), RandomForestRegressor(featuresCol="vec", labelCol="label", numTrees=trees, minInstancesPerNode=min_leaf, seed=SEED)]).fit(d)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from marketlab.functions import direction as D
 from marketlab.functions.columns import clip, flag, has, hours_between, lit, logistic, number, optional
 from marketlab.operators.config import PairCostConfig, PairStrategyConfig, regime_costs
 from marketlab.operators.costing import explode_grid
 from marketlab.operators.panel import NEVER_H, rolling_std
+from marketlab.operators.series import series_window, split_series, whole_series
 
 LEG = ("token_id", "best_bid", "best_ask", "mid", "spread", "spread_bps", "bid_depth", "ask_depth")
 
@@ -112,12 +113,12 @@ def pair_features(pair: DataFrame, cfg: PairStrategyConfig, flow: DataFrame | No
             "category": F.coalesce("category", F.lit("unknown")),
         }
     )
-    w = W.partitionBy("market_id").orderBy("ts")
+    w = series_window(p, "market_id", "ts")
     p = p.withColumn("_ret", F.try_divide(F.col("pair_mid"), F.lag("pair_mid").over(w)) - 1)
     p = p.withColumns(
         {
             "signal": F.when(F.col("pair_direction") == "LONG_SET", F.col("edge_raw")).otherwise(-F.col("edge_raw")),
-            "pair_volatility": F.abs(F.coalesce(rolling_std("_ret", 6, 3, key="market_id"), lit(0))),
+            "pair_volatility": F.abs(F.coalesce(rolling_std("_ret", 6, 3, w), lit(0))),
         }
     ).drop("_ret")
     if flow is not None:
@@ -154,14 +155,15 @@ AHEAD = ("bid_yes", "ask_yes", "bid_no", "ask_no", "spread_yes", "spread_no", "e
 
 
 def forward_quotes(pair: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    w = W.partitionBy("market_id").orderBy("ts")
+    w = series_window(pair, "market_id", "ts")
     out = pair.withColumns({f"future_{c}_{h}": F.lead(c, h).over(w) for h in sorted(set(horizons) | {1}) for c in AHEAD})
     return out.withColumn("forward_ret_1", F.coalesce(F.col("future_edge_raw_1") - F.col("edge_raw"), lit(0)))
 
 
 def pair_signals(books: DataFrame, cfg: PairStrategyConfig, flow: DataFrame | None = None) -> DataFrame:
     """Tradable pairs with enough depth and fill chance, labelled for costing."""
-    p = forward_quotes(pair_features(complete_pairs(books), cfg, flow), cfg.holding_periods)
+    p = split_series(complete_pairs(books), "market_id", "ts", 8, max(cfg.holding_periods))
+    p = whole_series(forward_quotes(pair_features(p, cfg, flow), cfg.holding_periods))
     p = p.where((F.col("book_tradable") > 0) & (F.col("min_pair_depth") >= cfg.pair_min_depth) & (F.col("min_fill_prob_pair") >= cfg.min_pair_fill))
     return p.withColumns(
         {

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from marketlab.functions.columns import clip, flag, hours_between, lit, number, ratio
+from marketlab.functions.columns import clip, correlation, flag, hours_between, lit, number, ratio
 from marketlab.operators.ranking import average_rank, quantile_row, rank_rows
+from marketlab.operators.series import series_window, split_series, whole_series
 
 # fixed limits of the order-book sanity rule
 EXTREME_MID = 0.99
@@ -15,10 +16,11 @@ EXTREME_DEPTH = 50.0
 MAX_SPREAD_BPS = 2500.0
 HORIZONS = (1, 3, 6, 12)
 NEVER_H = 9999.0
+HISTORY = 220  # rows the longest token window looks back
 
 
-def by_token(*extra: str) -> W:
-    return W.partitionBy("token_id").orderBy("ts")
+def by_token(df: DataFrame) -> W:
+    return series_window(df, "token_id", "ts")
 
 
 def scan_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -86,22 +88,22 @@ def percent_change(value: str, k: int, w: W) -> Column:
     return ratio(F.col(value), F.lag(value, k).over(w)) - 1
 
 
-def rolling_std(value: str, rows: int, at_least: int, order: str = "ts", key: str = "token_id") -> Column:
-    w = W.partitionBy(key).orderBy(order).rowsBetween(1 - rows, 0)
+def rolling_std(value: str, rows: int, at_least: int, series: W) -> Column:
+    w = series.rowsBetween(1 - rows, 0)
     return F.when(F.count(value).over(w) >= at_least, F.stddev_samp(value).over(w))
 
 
 def dynamic_features(frame: DataFrame) -> DataFrame:
     """Velocity, acceleration, rolling volatility and book imbalance per token."""
-    w = by_token()
+    w = by_token(frame)
     depth = F.coalesce("bid_depth", lit(0)) + F.coalesce("ask_depth", lit(0))
     tilt = F.coalesce("bid_depth", lit(0)) - F.coalesce("ask_depth", lit(0))
     out = frame.withColumns({"velocity_1": percent_change("mid", 1, w), "velocity_3": percent_change("mid", 3, w), "depth_total": depth})
     out = out.withColumns(
         {
             "acceleration": F.col("velocity_1") - F.lag("velocity_1").over(w),
-            "prob_vol_6": rolling_std("velocity_1", 6, 3),
-            "prob_vol_24": rolling_std("velocity_1", 24, 6),
+            "prob_vol_6": rolling_std("velocity_1", 6, 3, w),
+            "prob_vol_24": rolling_std("velocity_1", 24, 6, w),
             "book_imbalance": F.coalesce(ratio(tilt, F.col("depth_total")), lit(0)),
         }
     )
@@ -143,7 +145,7 @@ def encode_category(frame: DataFrame, codes: DataFrame, dummies: Sequence[str] =
 
 
 def forward_targets(frame: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    w = by_token()
+    w = by_token(frame)
     cols: dict[str, Column] = {}
     for h in horizons:
         cols[f"future_mid_{h}"] = F.lead("mid", h).over(w)
@@ -201,10 +203,10 @@ def weighted_mean(history: Column, span: int, at_least: int) -> Column:
 def momentum_decay(frame: DataFrame) -> DataFrame:
     """Fast minus slow exponential mean of velocity, and its rate.
 
-    The history is capped at 219 earlier rows, where the slow weight is below
-    1e-15, so each row carries a bounded array.
+    The history ends where the slow weight falls below 1e-15, so each row
+    carries a bounded array.
     """
-    past = F.collect_list(F.coalesce("velocity_1", lit(0))).over(by_token().rowsBetween(-219, 0))
+    past = F.collect_list(F.coalesce("velocity_1", lit(0))).over(by_token(frame).rowsBetween(1 - HISTORY, 0))
     out = frame.withColumn("_hist", past).withColumns({"_fast": weighted_mean(F.col("_hist"), 3, 2), "_slow": weighted_mean(F.col("_hist"), 12, 4)})
     out = out.withColumn("momentum_decay", F.coalesce(F.col("_fast") - F.col("_slow"), lit(0)))
     return out.withColumns(
@@ -222,7 +224,8 @@ def group_context(frame: DataFrame) -> DataFrame:
     becoming one window task.
     """
     out = frame.withColumns({"event_id": F.coalesce("event_id", F.lit("unknown_event")), "category": F.coalesce("category", F.lit("unknown"))})
-    out = out.withColumn("ret_1", F.coalesce(percent_change("mid", 1, by_token()), lit(0)))
+    if "ret_1" not in out.columns:
+        out = out.withColumn("ret_1", F.coalesce(percent_change("mid", 1, by_token(out)), lit(0)))
     ev = out.groupBy("event_id", "ts").agg(F.avg("mid").alias("event_mean_mid"), (F.max("mid") - F.min("mid")).alias("event_prob_dispersion"))
     ca = out.groupBy("category", "ts").agg(F.avg("mid").alias("category_mean_mid"), F.avg("ret_1").alias("category_ret_1"))
     out = out.join(ev, ["event_id", "ts"], "left").join(ca, ["category", "ts"], "left")
@@ -240,7 +243,7 @@ def group_context(frame: DataFrame) -> DataFrame:
 def token_correlation(frame: DataFrame, at_least: int = 12) -> DataFrame:
     """Correlation of a token's returns with its category, and the quartile cluster."""
     corr = frame.groupBy("token_id").agg(
-        F.when((F.count(F.lit(1)) >= at_least) & (F.stddev_pop("ret_1") > 1e-12) & (F.stddev_pop("category_ret_1") > 1e-12), F.corr("ret_1", "category_ret_1")).alias("c")
+        F.when((F.count(F.lit(1)) >= at_least) & (F.stddev_pop("ret_1") > 1e-12) & (F.stddev_pop("category_ret_1") > 1e-12), correlation("ret_1", "category_ret_1")).alias("c")
     )
     corr = corr.select("token_id", F.round(F.coalesce("c", lit(0)), 12).alias("token_corr_category"))
     ranked = average_rank(corr, "token_corr_category", "_r")
@@ -269,10 +272,14 @@ def build_panel(
     p = p.join(winner_map(outcomes, resolutions), ["market_id", "token_id"], "left")
     p = p.withColumn("resolution_known", F.coalesce("resolution_known", lit(0)))
     codes = category_codes(p.select("category", "token_id", "ts"))
-    p = dynamic_features(clock_features(p))
+    # all token windows run side by side on one sort, then halo rows go
+    p = split_series(p, "token_id", "ts", HISTORY + 4, max(horizons))
+    p = forward_targets(momentum_decay(dynamic_features(p)), horizons)
+    p = p.withColumn("ret_1", F.coalesce(percent_change("mid", 1, by_token(p)), lit(0)))
+    p = clock_features(whole_series(p))
     p = join_trade_flow(p, trade_flow(trades, unit), unit)
-    p = log_transforms(forward_targets(encode_category(p, codes, dummies), horizons))
-    return cross_market_context(momentum_decay(resolution_clock(regime_flags(p))))
+    p = log_transforms(encode_category(p, codes, dummies))
+    return cross_market_context(resolution_clock(regime_flags(p)))
 
 
 def yes_panel(panel: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlab.functions.columns import lit, number, sharpe
+from marketlab.functions.columns import correlation, lit, number, sharpe
+from marketlab.operators.ranking import prefix_sums
+from marketlab.operators.series import series_window, split_series, whole_series
 from marketlab.operators.studies import resolution_bucket
 from marketlab.operators.summary import CAPITAL, equity_curve
 
@@ -40,7 +42,7 @@ def aligned(returns: DataFrame, names: Sequence[str]) -> DataFrame:
 def covariance(wide: DataFrame, names: Sequence[str], ridge: float = 0.0) -> DataFrame:
     """Correlation and population covariance of every pair, from one aggregate row."""
     pairs = [(a, b) for a in names for b in names]
-    aggs = [F.struct(F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("correlation"), (F.covar_pop(F.col(f"`{a}`"), F.col(f"`{b}`")) + (ridge if a == b else 0.0)).alias("covariance")) for a, b in pairs]
+    aggs = [F.struct(F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b"), correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("correlation"), (F.covar_pop(F.col(f"`{a}`"), F.col(f"`{b}`")) + (ridge if a == b else 0.0)).alias("covariance")) for a, b in pairs]
     return wide.agg(F.array(*aggs).alias("p")).select(F.inline("p"))
 
 
@@ -135,12 +137,11 @@ def mark_to_market(fills: DataFrame, prices: DataFrame) -> tuple[DataFrame, Data
 
     Fills are (ts, token_id, qty); the position is the running sum inside a token.
     """
-    from pyspark.sql import Window as W
-
     f = fills.groupBy("token_id", "ts").agg(F.sum("qty").alias("qty"))
     x = prices.join(f, ["token_id", "ts"], "left")
-    w = W.partitionBy("token_id").orderBy("ts")
-    x = x.withColumns({"position": F.sum(F.coalesce("qty", lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)), "step": F.col("mid") - F.lag("mid").over(w)})
+    x = prefix_sums(x, [F.col("ts").asc()], {"position": F.coalesce("qty", lit(0))}, ["token_id"])
+    x = split_series(x, "token_id", "ts", 1)
+    x = whole_series(x.withColumn("step", F.col("mid") - F.lag("mid").over(series_window(x, "token_id", "ts"))))
     x = x.withColumn("price_pnl", F.col("position") * F.coalesce("step", lit(0)))
     ts = x.groupBy("ts").agg(F.sum("price_pnl").alias("price_pnl"), F.sum(F.abs(F.col("position") * F.col("mid"))).alias("gross_exposure"), F.sum(F.col("position") * F.col("mid")).alias("net_exposure"))
     cat = x.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.sum("price_pnl").alias("pnl"))

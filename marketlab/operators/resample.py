@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from marketlab.functions.columns import lit, number, sharpe
+from marketlab.functions.columns import correlation, lit, number, sharpe
 from marketlab.operators.ranking import rank_rows
 
 PRIME = 2147483647
@@ -238,7 +238,7 @@ def shuffle_null(df: DataFrame, tie: Sequence[str], reps: int = 500, group: str
     reps_ = replicate(pos.select("id", group, "rx", "ry"), reps).withColumn("h", draw(F.col("id"), F.col("rep")))
     by_row = reps_.withColumn("k", F.row_number().over(W.partitionBy("rep", group).orderBy("id"))).select("rep", group, "k", "ry")
     by_hash = reps_.withColumn("k", F.row_number().over(W.partitionBy("rep", group).orderBy("h", "id"))).select("rep", group, "k", "rx")
-    corr = by_row.join(by_hash, ["rep", group, "k"]).groupBy("rep").agg(F.corr("rx", "ry").alias("c"))
-    seen = ranked.agg(F.struct(F.corr("rx", "ry").alias("c"), F.count(F.lit(1)).alias("n")).alias("v")).scalar()
+    corr = by_row.join(by_hash, ["rep", group, "k"]).groupBy("rep").agg(correlation("rx", "ry").alias("c"))
+    seen = ranked.agg(F.struct(correlation("rx", "ry").alias("c"), F.count(F.lit(1)).alias("n")).alias("v")).scalar()
     p = corr.where(F.col("c").isNotNull()).agg(F.avg(F.when(F.round(F.abs("c"), 12) >= F.round(F.abs(seen["c"]), 12), lit(1)).otherwise(lit(0))).alias("p"))
     return p.select(F.when((seen["n"] < 20) | seen["c"].isNull(), lit(1)).otherwise(F.coalesce("p", lit(1))).alias("null_shuffle_pvalue"), seen["c"].alias("observed"))

@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from marketlab.operators.series import series_window, split_series, whole_series
+
 
 def lagged_returns(snapshots: DataFrame, lags: Sequence[int] = (1, 6, 24)) -> DataFrame:
     """Row form: return against the quote k rows earlier, only if it was positive."""
-    w = W.partitionBy("token_id").orderBy("ts")
     s = snapshots.where(F.col("mid").isNotNull()).select("token_id", F.col("snapshot_ts").alias("ts"), "mid")
+    s = split_series(s, "token_id", "ts", max(lags))
+    w = series_window(s, "token_id", "ts")
     past = lambda k: F.lag("mid", k).over(w)
-    return s.select("token_id", "ts", *[F.when(past(k) > 0, F.col("mid") / past(k) - 1).alias(f"ret_{k}h") for k in lags])
+    s = s.withColumns({f"ret_{k}h": F.when(past(k) > 0, F.col("mid") / past(k) - 1) for k in lags})
+    return whole_series(s).select("token_id", "ts", *[f"ret_{k}h" for k in lags])
 
 
 def timed_returns(snapshots: DataFrame, hours: Sequence[int] = (1, 6, 24)) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from marketlab.functions.columns import flag, lit
+from marketlab.functions.columns import correlation, flag, lit
 from marketlab.operators.ranking import quantile_row
+from marketlab.operators.series import series_window, split_series, whole_series
 
 
 def trade_alpha(side: str = "side", price: str = "price") -> Column:
@@ -143,7 +144,7 @@ def regression(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> Dat
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
     d = df.where(ok)
     flat = (F.stddev_pop(x) < 1e-12) | F.stddev_pop(x).isNull()
-    r = F.coalesce(F.corr(x, y), lit(0))
+    r = F.coalesce(correlation(x, y), lit(0))
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.when(flat, lit(0)).otherwise(F.regr_slope(y, x)).alias("slope"),
@@ -184,7 +185,8 @@ def momentum_frame(snapshots: DataFrame, markets: DataFrame, back: int = 3, ahea
     """Past and future returns per token before the close."""
     m = markets.select("market_id", F.coalesce("close_ts", "end_ts").alias("close_ts"), "category")
     p = snapshots.where(F.col("mid").isNotNull()).select("snapshot_ts", "market_id", "token_id", "mid").join(m, "market_id")
-    w = W.partitionBy("token_id").orderBy("snapshot_ts")
+    p = split_series(p, "token_id", "snapshot_ts", back, ahead)
+    w = series_window(p, "token_id", "snapshot_ts")
     p = p.withColumns(
         {
             "ret_lb": F.try_divide(F.col("mid"), F.lag("mid", back).over(w)) - 1,
@@ -192,7 +194,7 @@ def momentum_frame(snapshots: DataFrame, markets: DataFrame, back: int = 3, ahea
             "hours_to_close": (F.unix_micros("close_ts") - F.unix_micros("snapshot_ts")) / lit(3.6e9),
         }
     )
-    return p.where(F.col("hours_to_close").between(1, max_hours) & F.col("ret_lb").isNotNull() & F.col("ret_fw").isNotNull())
+    return whole_series(p).where(F.col("hours_to_close").between(1, max_hours) & F.col("ret_lb").isNotNull() & F.col("ret_fw").isNotNull())
 
 
 def hours_bucket(h: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from marketlab.functions.columns import lit
 from marketlab.functions.tails import two_sided
 from marketlab.operators import linking as L, pairs as X, panel as P, portfolio as PF, quality as Q, reports as RP, scoring as S, signals as SG, studies as E, summary as R
+from marketlab.operators.series import series_window, split_series, whole_series
 from marketlab.plans.strategy import registry, report_row, run_by_name
 from marketlab.session import materialise
 
@@ -74,11 +75,10 @@ def first_run(t: Tables) -> dict[str, DataFrame]:
     sign = F.when(trend.select("slope").scalar() > 0, lit(1)).otherwise(lit(-1))
     sig = SG.cross_section_z(mom.withColumnRenamed("snapshot_ts", "ts"), sign=sign).select("ts", "token_id", "signal")
     # target weight of each signal as the traded quantity, marked at mids
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("token_id").orderBy("ts")
     target = F.col("signal") * 0.05 * PF.CAPITAL / F.col("mid")
-    fills = sig.join(t.snapshots.select(F.col("snapshot_ts").alias("ts"), "token_id", "mid"), ["ts", "token_id"]).withColumn("q", target).withColumn("qty", F.col("q") - F.coalesce(F.lag("q").over(w), lit(0)))
+    fills = sig.join(t.snapshots.select(F.col("snapshot_ts").alias("ts"), "token_id", "mid"), ["ts", "token_id"]).withColumn("q", target)
+    fills = split_series(fills, "token_id", "ts", 1)
+    fills = whole_series(fills.withColumn("qty", F.col("q") - F.coalesce(F.lag("q").over(series_window(fills, "token_id", "ts")), lit(0))))
     book, by_cat = PF.mark_to_market(fills, E.price_frame(t.snapshots, t.markets))
     frames["book_timeseries"] = R.equity_curve(book, "price_pnl")
     frames["book_pnl_by_category"] = by_cat
