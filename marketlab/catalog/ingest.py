@@ -15,7 +15,7 @@ from marketlab.session import ensure_checkpoint_dir
 from marketlab.sources import landing as L, warehouse as H
 from marketlab.sources.schemas import KEYS, TABLES
 
-SEEN = F.lit("2024-02-01 00:00:00")
+SEEN = "2024-02-01 00:00:00"
 
 
 def scratch(lake, name: str) -> str:
@@ -59,7 +59,7 @@ def market_payloads(lake):
     "mkt",
 )
 def s1(lake):
-    return L.markets(market_payloads(lake), SEEN).select("market_id", "event_id", "question", "category", "tags", "condition_id", "created_ts", "end_ts", "close_ts", "active", "closed", "last_seen_ts")
+    return L.markets(market_payloads(lake), F.lit(SEEN)).select("market_id", "event_id", "question", "category", "tags", "condition_id", "created_ts", "end_ts", "close_ts", "active", "closed", "last_seen_ts")
 
 
 @query("s2_outcome_rows", "SELECT o.market_id::VARCHAR AS market_id, o.token_id::VARCHAR AS token_id, o.outcome_index, o.outcome_label, coalesce(r.winner_token_id = o.token_id, false) AS winner FROM (SELECT market_id, 2 * market_id + k AS token_id, k::BIGINT AS outcome_index, CASE WHEN k = 0 THEN 'Yes' ELSE 'No' END AS outcome_label FROM mkt, (SELECT unnest([0, 1]) AS k)) o LEFT JOIN res r ON r.market_id = o.market_id", "mkt res")
@@ -188,7 +188,7 @@ def snapshot_ingest(lake):
     key = "_wh"
     if key not in lake.__dict__:
         w = H.Warehouse(lake.spark, scratch(lake, "warehouse"))
-        snapshot_job(w, market_payloads(lake), book_payloads(lake), SEEN)
+        snapshot_job(w, market_payloads(lake), book_payloads(lake), F.lit(SEEN))
         lake.__dict__[key] = w
     return lake.__dict__[key]
 
@@ -208,14 +208,14 @@ def s11(lake):
     from marketlab.plans.ingest import resolution_job
 
     w = H.Warehouse(lake.spark, scratch(lake, "resolutions"))
-    resolution_job(w, market_payloads(lake), SEEN)
+    resolution_job(w, market_payloads(lake), F.lit(SEEN))
     return w.read("resolutions").select("market_id", "winner_token_id", "winner_outcome_index", "winner_label")
 
 
 @query("s14_resolved_backfill", "SELECT m.market_id::VARCHAR AS market_id, m.event_id, m.category, r.winner_token_id::VARCHAR AS winner_token_id, m.close_ts, TIMESTAMP '2024-02-01' AS last_backfill_ts FROM mkt m LEFT JOIN res r ON r.market_id = m.market_id", "mkt res")
 def s14(lake):
     p = market_payloads(lake)
-    return L.resolved_markets(L.markets(p, SEEN), L.inferred_resolutions(p)[0], SEEN).select("market_id", "event_id", "category", "winner_token_id", "close_ts", "last_backfill_ts")
+    return L.resolved_markets(L.markets(p, F.lit(SEEN)), L.inferred_resolutions(p)[0], F.lit(SEEN)).select("market_id", "event_id", "category", "winner_token_id", "close_ts", "last_backfill_ts")
 
 
 @query("f9_timestamp_parsing", "SELECT event_id, date_trunc('second', ts) AS from_seconds, date_trunc('millisecond', ts) AS from_millis, ts AS from_nanos, date_trunc('second', ts) AS from_iso FROM events", "")

@@ -173,7 +173,7 @@ def time_slices(long: DataFrame, wanted: int = 8) -> DataFrame:
     """Mean per (time slice, candidate); the slices are near-equal runs of timestamps."""
     d = dense_returns(long)
     k = F.greatest(F.lit(4), F.least(F.lit(wanted), F.least(F.lit(12), F.floor(F.col("n") / 3)))).cast("long")
-    size, more = F.floor(F.col("n") / k), F.col("n") % k
+    size, more = F.greatest(F.floor(F.col("n") / k), F.lit(1)), F.col("n") % k
     edge = more * (size + 1)
     part = F.when(F.col("id") < edge, F.floor(F.col("id") / (size + 1))).otherwise(more + F.floor((F.col("id") - edge) / size))
     return d.withColumns({"slice": part.cast("long"), "k": k}).groupBy("slice", "k", "n", "candidate").agg(F.avg("ret").alias("perf"))
