@@ -229,7 +229,7 @@ def a13p(lake):
     return R.sensitivity(R.trade_summary(t, paired=True), "execution_regime").select("analysis_type", "execution_regime", "cost_headroom_bps", *_A13.split())
 
 
-@query("a14_pair_fill_calibration", "SELECT bin::DOUBLE AS fill_bin, count(*)::DOUBLE AS n, avg(expected_pair_fill) AS avg_expected_fill_pct, avg(realized_pair_fill_pct) AS avg_actual_fill_proxy, avg(expected_pair_fill - realized_pair_fill_pct) AS fill_gap FROM (SELECT *, greatest(0, CAST(ceil((rn_ - 1) * 10 / greatest(n_ - 1, 1)::DOUBLE) AS BIGINT) - 1) AS bin FROM (SELECT *, row_number() OVER (ORDER BY round(expected_pair_fill, 9), ts, market_id) AS rn_, count(*) OVER () AS n_ FROM ptr WHERE threshold = 0.01 AND holding_period = 3)) GROUP BY 1", "ptr", "fill_bin n avg_expected_fill_pct avg_actual_fill_proxy fill_gap")
+@query("a14_pair_fill_calibration", "SELECT bin::DOUBLE AS fill_bin, count(*)::DOUBLE AS n, avg(expected_pair_fill) AS avg_expected_fill_pct, avg(realized_pair_fill_pct) AS avg_actual_fill_proxy, avg(expected_pair_fill - realized_pair_fill_pct) AS fill_gap FROM (SELECT *, greatest(0, CAST(ceil((rn_ - 1) * q_ / greatest(n_ - 1, 1)::DOUBLE) AS BIGINT) - 1) AS bin FROM (SELECT *, row_number() OVER (ORDER BY round(expected_pair_fill, 9), ts, market_id) AS rn_, count(*) OVER () AS n_, (SELECT least(10, count(DISTINCT round(expected_pair_fill, 9))) FROM ptr WHERE threshold = 0.01 AND holding_period = 3) AS q_ FROM ptr WHERE threshold = 0.01 AND holding_period = 3)) GROUP BY 1", "ptr", "fill_bin n avg_expected_fill_pct avg_actual_fill_proxy fill_gap")
 def a14p(lake):
     t = pair_trades_of(lake).where("threshold = 0.01 AND holding_period = 3")
     return R.fill_calibration(t, "expected_pair_fill", "realized_pair_fill_pct", tie=("ts", "market_id"))

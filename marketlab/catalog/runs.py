@@ -45,12 +45,17 @@ def c2(lake):
 def m7(lake):
     frame = V.time_split(signal_of(lake), 0.7)
     out = ST.apply_models(frame, momentum("ensemble").config, ["velocity_1", "prob_vol_6", "liquidity_log", "spread_bps"], trees=5)
-    return out["frame"].select("ts", "token_id", "split", "signal", "confidence", "model_proba", "model_target_type", "model_pred_future_mid")
+    f = out["frame"]
+    # a guard may have kept the heuristic signal
+    for c, t in (("model_proba", "double"), ("model_target_type", "string"), ("model_pred_future_mid", "double")):
+        if c not in f.columns:
+            f = f.withColumn(c, F.lit(None).cast(t))
+    return f.select("ts", "token_id", "split", "signal", "confidence", "model_proba", "model_target_type", "model_pred_future_mid")
 
 
 @query("c3_pair_strategy_run")
 def c3(lake):
-    s = replace(ST.strategy_by_name("consistency_arb"), config=replace(PCFG, thresholds=(0.004, 0.01), holding_periods=(1, 3), min_train_trades=5))
+    s = replace(ST.strategy_by_name("consistency_arb"), config=replace(PCFG, thresholds=(0.004, 0.01), holding_periods=(1, 3), min_train_trades=5, min_history_rows=1))
     from marketlab.operators.pairs import pair_signals
 
     s = replace(s, build=lambda x: pair_signals(x["pair_books"], s.config))

@@ -278,7 +278,7 @@ def a46(lake):
     return B.dense_returns(B.candidate_returns(trades_of(lake))).select("ts", "candidate", "ret")
 
 
-@query("a46_candidate_matrix", "SELECT ts, " + ", ".join(f"max(ret) FILTER (WHERE candidate = 'thr={t:.4f}|hp={h}') AS \"thr={t:.4f}|hp={h}\"" for t in THRESHOLDS for h in CFG.holding_periods) + " FROM cden GROUP BY 1", "cden", " ".join(f'"thr={t:.4f}|hp={h}"' for t in THRESHOLDS for h in CFG.holding_periods))
+@query("a46_candidate_matrix", "SELECT ts, " + ", ".join(f"coalesce(max(ret) FILTER (WHERE candidate = 'thr={t:.4f}|hp={h}'), 0) AS \"thr={t:.4f}|hp={h}\"" for t in THRESHOLDS for h in CFG.holding_periods) + " FROM cden GROUP BY 1", "cden", " ".join(f'"thr={t:.4f}|hp={h}"' for t in THRESHOLDS for h in CFG.holding_periods))
 def a46b(lake):
     return B.candidate_matrix(trades_of(lake), [f"thr={t:.4f}|hp={h}" for t in THRESHOLDS for h in CFG.holding_periods])
 
