@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marketlab.functions.columns import clip, correlation, flag, hours_between, lit, number, ratio
 from marketlab.operators.ranking import average_rank, quantile_row, rank_rows
 from marketlab.operators.series import series_window, split_series, whole_series
+from marketlab.session import materialise
 
 # fixed limits of the order-book sanity rule
 EXTREME_MID = 0.99
@@ -271,14 +272,14 @@ def build_panel(
     p = book_sanity(base).where(F.col("book_tradable") > 0)
     p = p.join(winner_map(outcomes, resolutions), ["market_id", "token_id"], "left")
     p = p.withColumn("resolution_known", F.coalesce("resolution_known", lit(0)))
-    codes = category_codes(p.select("category", "token_id", "ts"))
     # all token windows run side by side on one sort, then halo rows go
     p = split_series(p, "token_id", "ts", HISTORY + 4, max(horizons))
     p = forward_targets(momentum_decay(dynamic_features(p)), horizons)
     p = p.withColumn("ret_1", F.coalesce(percent_change("mid", 1, by_token(p)), lit(0)))
     p = clock_features(whole_series(p))
-    p = join_trade_flow(p, trade_flow(trades, unit), unit)
-    p = log_transforms(encode_category(p, codes, dummies))
+    # written once: ranks, quantiles and group means below all read it
+    p = materialise(log_transforms(join_trade_flow(p, trade_flow(trades, unit), unit)))
+    p = encode_category(p, category_codes(p), dummies)
     return cross_market_context(resolution_clock(regime_flags(p)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,12 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if shared:
-        current = sc.getCheckpointDir()
-        if current is None or not current.startswith(shared.rstrip("/")):
+        if current is None or urlparse(shared).path.rstrip("/") not in current:
             sc.setCheckpointDir(shared)
         return
-    if sc.getCheckpointDir() is None:
+    if current is None:
         local = sc.master.startswith("local")
         if not local:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
