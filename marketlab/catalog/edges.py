@@ -244,6 +244,30 @@ def a38(lake):
 
 
 CTES["liqb"] = _LB
+CTES["prea"] = "SELECT p.*, a.ambiguity_score FROM pre p JOIN amb a ON a.market_id = p.market_id"
+
+
+def amb_of(lake):
+    def build():
+        t = lake.texts.select("market_id", "question", "description")
+        return E.ambiguity_frame(pre_of(lake).join(t, "market_id"))
+
+    return memo(lake, "ambiguity", build)
+
+
+@query("a38_ambiguity_buckets", "SELECT len(list_filter(e[2:len(e) - 1], lambda c: c < round(ambiguity_score, 12)))::BIGINT AS ambiguity_bucket, avg(abs_error) AS mean_abs_error, median(abs_error) AS median_abs_error, count(*) AS n FROM prea, (SELECT list_sort(list_distinct(list_transform(quantile_cont(ambiguity_score, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda q: round(q, 12)))) AS e FROM prea) GROUP BY 1", "prea", "mean_abs_error median_abs_error")
+def a38b(lake):
+    return E.ambiguity_buckets(amb_of(lake))
+
+
+@query("a39_rule_spearman", "SELECT n, rho AS spearman, rho * sqrt((n - 2) / (1 - rho * rho)) AS t_stat FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM (SELECT round(ambiguity_score, 9) AS a, round(abs_error, 9) AS b FROM prea)))", "prea", "spearman t_stat")
+def a39b(lake):
+    return E.rule_summary(amb_of(lake))
+
+
+@query("a36_momentum_summary", "SELECT w.*, CASE WHEN w.slope > 0 THEN 'momentum' ELSE 'mean_reversion' END AS dominant_style, coalesce((SELECT avg(((b.s > 0) = (w.slope > 0))::INT) FROM (SELECT regr_slope(ret_fw, ret_lb) AS s FROM mom GROUP BY CASE WHEN hours_to_close <= 24 THEN 1 WHEN hours_to_close <= 72 THEN 2 ELSE 3 END HAVING count(*) >= 30) b), 0.5) AS agreement FROM (SELECT " + _RSQL + " FROM mom) w", "mom", _REG + " agreement")
+def a36c(lake):
+    return E.momentum_summary(E.momentum_frame(lake.snapshots, lake.markets))
 
 
 @query(

@@ -78,16 +78,16 @@ _PQ = {
 }
 CTES["pq"] = "SELECT *, (token_id_yes IS NOT NULL AND token_id_no IS NOT NULL)::INT AS b, (best_bid_yes IS NOT NULL AND best_ask_yes IS NOT NULL AND best_bid_no IS NOT NULL AND best_ask_no IS NOT NULL)::INT AS t FROM pairo WHERE ts >= (SELECT max(snapshot_ts) - INTERVAL 72 HOUR FROM snap)"
 _agg = " UNION ALL ".join(
-    f"SELECT 'aggregate' AS level, '{k}' AS metric, NULL::BIGINT AS market_id, coalesce({e}, 0) AS value, {'0.8::DOUBLE' if k == 'both_legs_coverage' else 'NULL::DOUBLE'} AS required_min, NULL::BIGINT AS n_snapshot_pairs, NULL::DOUBLE AS both_legs_two_sided_rate, NULL::DOUBLE AS spread_yes_median, NULL::DOUBLE AS spread_no_median, NULL::DOUBLE AS min_pair_depth_median FROM pq"
+    f"SELECT 'aggregate' AS level, '{k}' AS metric, NULL::BIGINT AS market_id, coalesce({e}, 0) AS value, {'0.8::DOUBLE' if k == 'both_legs_coverage' else 'NULL::DOUBLE'} AS required_min, NULL::BIGINT AS n_snapshot_pairs, NULL::DOUBLE AS both_legs_coverage, NULL::DOUBLE AS both_legs_two_sided_rate, NULL::DOUBLE AS yes_missing_bid_rate, NULL::DOUBLE AS yes_missing_ask_rate, NULL::DOUBLE AS no_missing_bid_rate, NULL::DOUBLE AS no_missing_ask_rate, NULL::DOUBLE AS spread_yes_median, NULL::DOUBLE AS spread_no_median, NULL::DOUBLE AS min_pair_depth_median FROM pq"
     for k, e in _PQ.items()
 )
 
 
 @query(
     "a5_pair_quality",
-    f"SELECT *, CASE WHEN required_min IS NOT NULL AND value < required_min THEN 0 ELSE 1 END::BIGINT AS passed, CASE WHEN required_min IS NULL OR value >= required_min THEN '' WHEN level = 'market' THEN 'low_both_legs_coverage' ELSE 'both_legs_coverage_below_threshold' END AS reason FROM ({_agg} UNION ALL SELECT 'market', 'per_market', market_id, avg(b), 0.8, count(*), avg(t), median(spread_yes), median(spread_no), median(least(depth_yes, depth_no)) FROM pq GROUP BY market_id)",
+    f"SELECT *, CASE WHEN required_min IS NOT NULL AND value < required_min THEN 0 ELSE 1 END::BIGINT AS passed, CASE WHEN required_min IS NULL OR value >= required_min THEN '' WHEN level = 'market' THEN 'low_both_legs_coverage' ELSE 'both_legs_coverage_below_threshold' END AS reason FROM ({_agg} UNION ALL SELECT 'market', 'per_market', market_id, avg(b), 0.8, count(*), avg(b), avg(t), avg((best_bid_yes IS NULL)::INT), avg((best_ask_yes IS NULL)::INT), avg((best_bid_no IS NULL)::INT), avg((best_ask_no IS NULL)::INT), median(spread_yes), median(spread_no), median(least(depth_yes, depth_no)) FROM pq GROUP BY market_id)",
     "pq",
-    "value required_min both_legs_two_sided_rate spread_yes_median spread_no_median min_pair_depth_median",
+    "value required_min both_legs_coverage both_legs_two_sided_rate yes_missing_bid_rate yes_missing_ask_rate no_missing_bid_rate no_missing_ask_rate spread_yes_median spread_no_median min_pair_depth_median",
 )
 def a5(lake):
     return Q.pair_quality(X.pair_presence(X.side_by_side(X.outcome_books(lake.snapshots, lake.outcomes, 72))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlab.catalog.edges import book_pairs, pre_of, quotes_of, yes_hist
+from marketlab.catalog.edges import amb_of, book_pairs, pre_of, quotes_of, yes_hist
 from marketlab.catalog.pairing import pair_trades_of
 from marketlab.catalog.registry import CTES, memo, query
 from marketlab.catalog.trading import CFG, chosen_of, modelled, signal_of, trades_of
@@ -203,12 +203,11 @@ def study_rows(lake):
     cross = E.unit_root_stat(book_pairs(lake), yes_hist(lake)).join(E.pair_spreads(book_pairs(lake), yes_hist(lake)), ["market_a", "market_b"])
     cross = cross.withColumn("stationary_p", two_sided(F.col("unit_root_t"), F.col("n").cast("double") - 2))
     pre = pre_of(lake)
-    rules = E.regression(pre.withColumn("lx", F.log1p("liquidity_score")), "lx", "abs_error")
-    rules = rules.select(F.col("r").alias("spearman"), two_sided(F.col("t_stat"), F.col("n").cast("double") - 2).alias("p_value"))
+    rules = E.rule_summary(amb_of(lake)).withColumn("p_value", two_sided(F.col("t_stat"), F.col("n").cast("double") - 2))
     liq = E.regression(pre.withColumn("x", -F.log1p("liquidity_score")), "x", "abs_error")
     liq = liq.withColumn("p_value", two_sided(F.col("t_stat"), F.col("n").cast("double") - 2))
-    mom = E.regression(E.momentum_frame(lake.snapshots, lake.markets), "ret_lb", "ret_fw")
-    mom = mom.withColumns({"p_value": two_sided(F.col("t_stat"), F.col("n").cast("double") - 2), "agreement": lit(0.5)})
+    mom = E.momentum_summary(E.momentum_frame(lake.snapshots, lake.markets))
+    mom = mom.withColumn("p_value", two_sided(F.col("t_stat"), F.col("n").cast("double") - 2))
     wh = E.welch(E.whale_flags(E.resolved_trades(lake.trades, lake.markets, lake.resolutions), E.wallet_stats(lake.trades)).where("is_early"), "alpha_per_share", "is_whale", True, False)
     wh = wh.withColumn("p_value", two_sided(F.col("t_stat"), F.col("dof")))
     return RP.edge_roll_up(cross, rules, liq, mom, wh)

@@ -122,6 +122,18 @@ def c4(lake):
     return V.walk_forward(signal_of(lake), trades_of(lake), WCFG)["folds"]
 
 
+CTES["flm"] = "SELECT fold, ts, token_id, winner, round(future_mid_1 - mid, 12) AS move FROM fmem WHERE role = 'train'"
+CTES["flr"] = "SELECT *, row_number() OVER (PARTITION BY fold ORDER BY move, ts, token_id) AS rn, count(*) OVER (PARTITION BY fold) AS n FROM flm WHERE move IS NOT NULL"
+CTES["flc"] = " UNION ALL ".join([f"SELECT fold, {i} AS no, avg((move > q)::INT) AS rate FROM (SELECT *, round(quantile_cont(move, {q}) OVER (PARTITION BY fold), 12) AS q FROM flr) GROUP BY 1" for i, q in enumerate((0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0, 0.65))] + ["SELECT fold, 8, avg((round(rn / n::DOUBLE, 12) >= 0.65)::INT) FROM flr GROUP BY 1"])
+CTES["flb"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN rate BETWEEN 0.1 AND 0.9 THEN 0 ELSE 1 END, round(abs(rate - 0.35), 12), CASE WHEN rate > 0 AND rate < 1 THEN 0 ELSE 1 END, no) AS k FROM flc) WHERE k = 1"
+
+
+@query("a51_fold_labels", "SELECT m.fold, CASE WHEN u >= 2 AND c >= 30 THEN 'resolved_outcome' ELSE 'future_price_move' END AS label_mode_train, CASE WHEN u >= 2 AND c >= 30 THEN r ELSE b.rate END AS label_pos_rate_train, CASE WHEN u >= 2 AND c >= 30 THEN u ELSE CASE WHEN b.rate > 0 AND b.rate < 1 THEN 2 ELSE 1 END END::DOUBLE AS label_y_unique_train FROM (SELECT fold, count(winner) AS c, count(DISTINCT winner) AS u, avg(winner) AS r FROM flm GROUP BY 1) m JOIN flb b ON b.fold = m.fold", "flm flb", "label_pos_rate_train label_y_unique_train")
+def a51c(lake):
+    s = signal_of(lake)
+    return V.fold_labels(V.fold_rows(s, V.fold_plan(s, WCFG)).where("role = 'train'"), ["fold"], 1, QS, min_samples=30)
+
+
 _A18 = "folds valid_folds mean_expectancy std_expectancy mean_sharpe mean_drawdown mean_trade_count mean_trades_test invalid_folds embargo_periods"
 
 

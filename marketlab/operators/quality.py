@@ -162,7 +162,9 @@ def pair_quality(pair: DataFrame, min_coverage: float = 0.80) -> DataFrame:
         F.when(below, 0).otherwise(1).alias("passed"),
         F.when(below & is_market, "low_both_legs_coverage").when(below, "both_legs_coverage_below_threshold").otherwise("").alias("reason"),
         only("n").alias("n_snapshot_pairs"),
+        only("cov").alias("both_legs_coverage"),
         only("two").alias("both_legs_two_sided_rate"),
+        *[only(f"{s}_missing_{q}_rate").alias(f"{s}_missing_{q}_rate") for s in ("yes", "no") for q in ("bid", "ask")],
         *[only(f"{c}_median").alias(f"{c}_median") for c in ("spread_yes", "spread_no", "min_pair_depth")],
     )
 

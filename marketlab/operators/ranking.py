@@ -141,3 +141,16 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Colum
     for k in keys:
         cond = cond & local[k].eqNullSafe(per[f"_k_{k}"])
     return local.join(per, cond).select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def value_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
+    """Bins cut at value quantiles, right-closed, with equal edges merged.
+
+    Unlike :func:`bin_rows` equal values always share a bin.
+    """
+    probs = [i / bins for i in range(bins + 1)]
+    cuts = quantile_row(df.select(value), {f"q{i}": (value, p) for i, p in enumerate(probs)})
+    edges = cuts.select(F.array_sort(F.array_distinct(F.array(*[F.round(f"q{i}", 12) for i in range(bins + 1)]))).alias("v")).scalar()
+    x = df.withColumn("_edges", edges)
+    inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
+    return x.withColumn(out, F.size(F.filter(inner, lambda e: e < F.round(F.col(value), 12))).cast("long")).drop("_edges")

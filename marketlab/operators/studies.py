@@ -181,6 +181,41 @@ def bucket_errors(frame: DataFrame, value: str, bins: int, tie: tuple[str, ...],
     return g.join(med, out)
 
 
+def ambiguity_frame(pre: DataFrame) -> DataFrame:
+    """Pre-resolution rows with the ambiguity of their market text."""
+    from marketlab.functions.text import ambiguity_score
+
+    text = F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+    return pre.withColumn("ambiguity_score", ambiguity_score(text)).where(F.col("abs_error").isNotNull())
+
+
+def ambiguity_buckets(frame: DataFrame, bins: int = 5) -> DataFrame:
+    """Error statistics per value bin of the ambiguity score."""
+    from marketlab.operators.ranking import quantile_groups, value_bins
+
+    b = value_bins(frame, "ambiguity_score", bins, "ambiguity_bucket")
+    med = quantile_groups(b.select("ambiguity_bucket", "abs_error"), ["ambiguity_bucket"], {"median_abs_error": ("abs_error", 0.5)})
+    return b.groupBy("ambiguity_bucket").agg(F.avg("abs_error").alias("mean_abs_error"), F.count("market_id").alias("n")).join(med, "ambiguity_bucket")
+
+
+def rule_summary(frame: DataFrame) -> DataFrame:
+    """Rank correlation of ambiguity and error with its t statistic."""
+    from marketlab.operators.diagnostics import spearman
+
+    r = spearman(frame.select(F.round("ambiguity_score", 9).alias("a"), F.round("abs_error", 9).alias("b")), "a", "b")
+    dof = F.col("n") - 2
+    return r.withColumn("t_stat", F.when((dof > 0) & (F.abs("spearman") < 1), F.col("spearman") * F.sqrt(dof / (1.0 - F.col("spearman") * F.col("spearman")))))
+
+
+def momentum_summary(frame: DataFrame, at_least: int = 30) -> DataFrame:
+    """Slope of future on past returns and the share of time buckets that agree in sign."""
+    whole = regression(frame, "ret_lb", "ret_fw")
+    up = whole.select((F.col("slope") > 0).alias("u")).scalar()
+    b = regression(frame.withColumn("bucket", hours_bucket(F.col("hours_to_close"))), "ret_lb", "ret_fw", ("bucket",)).where(F.col("n") >= at_least)
+    share = b.withColumn("_u", up).agg(F.avg(flag((F.col("slope") > 0) == F.col("_u")))).scalar()
+    return whole.withColumns({"agreement": F.coalesce(share, lit(0.5)), "dominant_style": F.when(F.col("slope") > 0, "momentum").otherwise("mean_reversion")})
+
+
 def momentum_frame(snapshots: DataFrame, markets: DataFrame, back: int = 3, ahead: int = 3, max_hours: float = 24 * 365) -> DataFrame:
     """Past and future returns per token before the close."""
     m = markets.select("market_id", F.coalesce("close_ts", "end_ts").alias("close_ts"), "category")

@@ -106,6 +106,38 @@ def move_sizes(train: DataFrame, frame: DataFrame, target: str) -> DataFrame:
     return frame.join(per, "category", "left").withColumn("expected_move_size", clip(F.coalesce("_m", overall), 1e-4, 0.40)).drop("_m")
 
 
+def fold_labels(train: DataFrame, keys: Sequence[str], horizon: int, quantile_list: Sequence[float], target: float = 0.35, low: float = 0.10, high: float = 0.90, min_samples: int = 200, tie: Sequence[str] = ("ts", "token_id")) -> DataFrame:
+    """Label mode, positive rate and number of classes per key, in one pass.
+
+    Resolved outcomes count when there are enough of both classes, else the
+    best move cut of each key is judged as in :func:`move_labels`.
+    """
+    from marketlab.operators.ranking import quantile_groups
+
+    tgt = min(max(target, 0.01), 0.99)
+    qs = [min(max(q, 0.0), 1.0) for q in quantile_list] + [1.0 - tgt]
+    d = train.withColumn("move", F.round(F.col(f"future_mid_{horizon}") - F.col("mid"), 12)).where(F.col("move").isNotNull()).select(*keys, *tie, "move")
+    ranked = rank_rows(d, [F.col("move").asc(), *[F.col(c).asc() for c in tie]], keys, "_rn", "_n")
+    cuts = quantile_groups(d.select(*keys, "move"), keys, {f"q{i}": ("move", q) for i, q in enumerate(qs)})
+    by_rank = F.round(F.col("_rn") / F.col("_n"), 12) >= round(1.0 - tgt, 12)
+    r = ranked.join(cuts, list(keys)).groupBy(*keys).agg(*[F.avg(flag(F.col("move") > F.round(f"q{i}", 12))).alias(f"p{i}") for i in range(len(qs))], F.avg(flag(by_rank)).alias(f"p{len(qs)}"))
+
+    def candidate(i: int) -> Column:
+        p = F.col(f"p{i}")
+        return F.struct(F.when((p >= low) & (p <= high), 0).otherwise(1).alias("out"), F.round(F.abs(p - tgt), 12).alias("gap"), F.when((p > 0) & (p < 1), -2).otherwise(-1).alias("neg"), F.lit(i).alias("no"), p.alias("rate"))
+
+    moves = r.select(*keys, F.array_min(F.array(*[candidate(i) for i in range(len(qs) + 1)])).alias("b"))
+    won = number("winner") if "winner" in train.columns else F.lit(None).cast("double")
+    res = train.groupBy(*keys).agg(F.count(won).alias("_n"), F.countDistinct(won).alias("_u"), F.avg(won).alias("_r"))
+    known = (F.col("_u") >= 2) & (F.col("_n") >= min_samples)
+    return res.join(moves, list(keys), "left").select(
+        *keys,
+        F.when(known, "resolved_outcome").otherwise("future_price_move").alias("label_mode_train"),
+        F.when(known, F.col("_r")).otherwise(F.coalesce("b.rate", lit(0))).alias("label_pos_rate_train"),
+        F.when(known, F.col("_u").cast("double")).otherwise(F.coalesce(-F.col("b.neg").cast("double"), lit(0))).alias("label_y_unique_train"),
+    )
+
+
 # ------------------------------------------------------------- walk forward
 
 
@@ -152,19 +184,22 @@ def fold_summaries(trades: DataFrame) -> DataFrame:
     return base.join(equity_metrics(trades, k), k)
 
 
-def walk_forward(signals: DataFrame, trades: DataFrame, cfg: WalkConfig) -> dict[str, DataFrame]:
+def walk_forward(signals: DataFrame, trades: DataFrame, cfg: WalkConfig, label_horizon: int | None = None, tie: Sequence[str] = ("ts", "token_id")) -> dict[str, DataFrame]:
     """All folds in one pass over the grid trades.
 
     Models are not refitted: each fold only chooses threshold and holding
     period on its train window and is judged on its test window.
     """
     plan = materialise(fold_plan(signals, cfg))
-    rows = fold_rows(signals.select("ts"), plan).groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
+    members = fold_rows(signals, plan)
+    rows = members.select("fold", "role").groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
     t = materialise(fold_rows(trades, plan))
     s = materialise(fold_summaries(t))
     train = s.where(F.col("role") == "train").drop("role")
     best = best_row(train.where(F.col("trade_count") > 0), cfg.min_train_trades, keys=["fold"]).select("fold", "threshold", "holding_period", F.col("trade_count").alias("n_trades_train"))
     test = s.where(F.col("role") == "test").drop("role")
+    if label_horizon is not None and f"future_mid_{label_horizon}" in signals.columns:
+        rows = rows.join(fold_labels(members.where(F.col("role") == "train"), ["fold"], label_horizon, (0.60, 0.50, 0.40, 0.30, 0.20, 0.10, 0.0), tie=tie), "fold", "left")
     f = plan.join(rows, "fold", "left").join(best, "fold", "left").join(test, list(_CELL), "left")
     few_rows = F.coalesce("n_train", F.lit(0)) < cfg.min_train_samples
     none = F.coalesce("n_train", F.lit(0)) == 0
@@ -178,7 +213,7 @@ def walk_forward(signals: DataFrame, trades: DataFrame, cfg: WalkConfig) -> dict
     n_train = F.when(judged, F.coalesce("n_trades_train", lit(0))).when(F.col("status") == "insufficient_train_samples", F.col("n_train").cast("double")).otherwise(lit(0))
     n_test = F.when(judged, count).when(F.col("status") == "insufficient_train_samples", F.col("n_test").cast("double")).otherwise(lit(0))
     folds = materialise(
-        f.select("fold", "train_start", "train_end", "test_start", "test_end", zero("threshold"), F.when(judged, F.col("holding_period")).otherwise(F.lit(0)).cast("long").alias("holding_period"), n_train.alias("n_trades_train"), n_test.alias("n_trades_test"), zero("trade_count"), zero("expectancy"), zero("sharpe"), zero("max_drawdown"), zero("total_pnl"), "status", "valid_fold", "invalid_reason", "embargo_periods")
+        f.select("fold", "train_start", "train_end", "test_start", "test_end", zero("threshold"), F.when(judged, F.col("holding_period")).otherwise(F.lit(0)).cast("long").alias("holding_period"), n_train.alias("n_trades_train"), n_test.alias("n_trades_test"), zero("trade_count"), zero("expectancy"), zero("sharpe"), zero("max_drawdown"), zero("total_pnl"), "status", "valid_fold", "invalid_reason", "embargo_periods", *[c for c in ("label_mode_train", "label_pos_rate_train", "label_y_unique_train") if c in f.columns])
     )
     ok = folds.where("valid_fold").select("fold", "threshold", "holding_period")
     kept = t.where(F.col("role") == "test").join(ok, list(_CELL), "left_semi")

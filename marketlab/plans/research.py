@@ -52,8 +52,14 @@ def first_run(t: Tables) -> dict[str, DataFrame]:
     mom = materialise(E.momentum_frame(t.snapshots, t.markets))
     dof = F.col("n").cast("double") - 2
     liq = E.regression(pre.withColumn("x", -F.log1p("liquidity_score")), "x", "abs_error").withColumn("p_value", two_sided(F.col("t_stat"), dof))
-    rules = E.regression(pre.withColumn("x", F.log1p("liquidity_score")), "x", "abs_error").select(F.col("r").alias("spearman"), two_sided(F.col("t_stat"), dof).alias("p_value"))
-    trend = materialise(E.regression(mom, "ret_lb", "ret_fw").withColumns({"p_value": two_sided(F.col("t_stat"), dof), "agreement": lit(0.5)}))
+    trend = materialise(E.momentum_summary(mom).withColumn("p_value", two_sided(F.col("t_stat"), dof)))
+    if "question" in pre.columns:
+        amb = materialise(E.ambiguity_frame(pre))
+        rules = E.rule_summary(amb).withColumn("p_value", two_sided(F.col("t_stat"), dof))
+        frames["ambiguity_buckets"] = E.ambiguity_buckets(amb)
+        frames["resolution_candidates"] = E.unresolved_candidates(t.markets, t.snapshots, t.outcomes, t.resolutions)
+    else:
+        rules = pre.sparkSession.createDataFrame([], "spearman double, p_value double")
     wallets = E.whale_flags(E.resolved_trades(t.trades, t.markets, t.resolutions), E.wallet_stats(t.trades))
     whales = E.welch(wallets.where("is_early"), "alpha_per_share", "is_whale", True, False).withColumn("p_value", two_sided(F.col("t_stat"), F.col("dof")))
     from marketlab.operators.similarity import cosine_pairs, tfidf_vectors

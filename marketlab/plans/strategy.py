@@ -194,7 +194,7 @@ def evaluate(s: Strategy, signals: DataFrame, train: DataFrame, test: DataFrame,
     out["ev_diagnostics"] = materialise(out["ev_diagnostics"])
     out["advanced_validation"] = materialise(V.advanced_row(te, thr, hp, reps, perms))
     both = materialise(train.unionByName(test, allowMissingColumns=True))
-    wf = V.walk_forward(both, tr.unionByName(te, allowMissingColumns=True), walk)
+    wf = V.walk_forward(both, tr.unionByName(te, allowMissingColumns=True), walk, None if paired else cfg.model_horizon, s.tie)
     out["walkforward_folds"], out["walkforward_summary"] = wf["folds"], materialise(wf["aggregate"])
     out["stability_time"], out["stability_category"] = wf["stability_time"], wf["stability_category"]
     out["parameter_sensitivity"] = V.heatmap(wf["parameter_sensitivity"], cfg.holding_periods)
