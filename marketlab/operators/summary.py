@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marketlab.functions.columns import clip, flag, has, lit, number, sharpe
 from marketlab.operators.costing import forward_proxy
-from marketlab.operators.ranking import bin_rows, equal_count_bin, quantile_groups, quantiles, rank_rows
+from marketlab.operators.ranking import quantile_groups, quantiles, rank_rows
+from marketlab.session import materialise
 
 CAPITAL = 100_000.0
 CELL = ("threshold", "holding_period", "execution_regime", "impact_coeff_input")
@@ -22,16 +23,18 @@ def equity_curve(pnl: DataFrame, value: str = "net_pnl", keys: Sequence[str] = (
     never lands in one task.
     """
     ts = pnl.groupBy(*keys, "ts").agg(F.sum(value).alias("pnl")).withColumn("_day", F.date_trunc("day", "ts"))
-    inside = W.partitionBy(*keys, "_day").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_day").orderBy("ts")
+    ts = ts.withColumns({"_in": F.sum("pnl").over(inside.rowsBetween(W.unboundedPreceding, 0)), "_nth": F.row_number().over(inside)})
+    # one row per day: what came before it and the peak reached before it
     earlier = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = ts.groupBy(*keys, "_day").agg(F.sum("pnl").alias("_dp"))
-    days = days.select(*keys, "_day", F.coalesce(F.sum("_dp").over(earlier), lit(0)).alias("_before"))
-    join = [*keys, "_day"]
-    cum = ts.join(days, join).withColumn("cum_pnl", F.col("_before") + F.sum("pnl").over(inside)).withColumn("equity", F.col("cum_pnl") + start)
-    tops = cum.groupBy(*keys, "_day").agg(F.max("equity").alias("_top")).select(*keys, "_day", F.max("_top").over(earlier).alias("_peak0"))
-    out = cum.join(tops, join).withColumn("peak", F.greatest(F.max("equity").over(inside), F.coalesce("_peak0", F.max("equity").over(inside))))
-    out = out.withColumns({"drawdown": F.col("equity") / F.col("peak") - 1, "below": F.col("equity") < F.col("peak")})
-    return out.drop("_before", "_peak0")
+    days = ts.groupBy(*keys, "_day").agg(F.sum("pnl").alias("_dp"), F.max("_in").alias("_top"))
+    days = days.withColumns({"_before": F.coalesce(F.sum("_dp").over(earlier), lit(0)), "_nday": F.row_number().over(W.partitionBy(*keys).orderBy("_day"))})
+    days = days.select(*keys, "_day", "_before", "_nday", F.max(F.col("_before") + F.col("_top")).over(earlier).alias("_peak0"))
+    cum = ts.join(days, [*keys, "_day"]).withColumn("cum_pnl", F.col("_before") + F.col("_in")).withColumn("equity", F.col("cum_pnl") + start)
+    top = F.max("equity").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    out = cum.withColumn("peak", F.greatest(top, F.coalesce(F.col("_peak0") + start, top)))
+    out = out.withColumns({"drawdown": F.col("equity") / F.col("peak") - 1, "below": F.col("equity") < F.col("peak"), "first": (F.col("_nth") == 1) & (F.col("_nday") == 1)})
+    return out.drop("_before", "_peak0", "_in", "_nth", "_nday")
 
 
 def below_peak_runs(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -47,14 +50,9 @@ def below_peak_runs(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def equity_metrics(pnl: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sharpe of the step returns, worst drawdown and its longest run."""
-    curve = equity_curve(pnl, keys=keys)
-    first = curve.groupBy(*keys).agg(F.min("ts").alias("_t0"))
-    if keys:
-        steps = curve.join(first, list(keys))
-    else:
-        steps = curve.withColumn("_t0", curve.agg(F.min("ts")).scalar())
-    step = F.when(F.col("ts") == F.col("_t0"), lit(0)).otherwise(F.col("pnl") / CAPITAL)
-    m = steps.groupBy(*keys).agg(sharpe(step).alias("sharpe"), F.min("drawdown").alias("max_drawdown"))
+    curve = materialise(equity_curve(pnl, keys=keys))
+    step = F.when(F.col("first"), lit(0)).otherwise(F.col("pnl") / CAPITAL)
+    m = curve.groupBy(*keys).agg(sharpe(step).alias("sharpe"), F.min("drawdown").alias("max_drawdown"))
     runs = below_peak_runs(curve, keys)
     if keys:
         return m.join(runs, list(keys))
@@ -100,13 +98,14 @@ def trade_summary(trades: DataFrame, keys: Sequence[str] = CELL, paired: bool =
             "avg_expected_pair_fill": avg("expected_pair_fill"),
         }
     base = trades.groupBy(*keys).agg(*[v.alias(k) for k, v in metrics.items()]).withColumn("expectancy_per_trade", F.col("expectancy"))
-    day = trades.groupBy(*keys, F.date_trunc("day", "ts").alias("_d")).agg((F.sum("net_pnl") / CAPITAL).alias("r"))
-    day = day.groupBy(*keys).agg(F.avg("r").alias("return_per_day"), F.count(F.lit(1)).cast("double").alias("n_days"))
-    ev = trades.groupBy(*keys, "market_id").agg((F.sum("net_pnl") / CAPITAL).alias("r"))
-    ev = ev.groupBy(*keys).agg(F.avg("r").alias("return_per_event"), F.count(F.lit(1)).cast("double").alias("n_events"))
+    # days and markets of a cell side by side in one aggregate
+    kinds = F.explode(F.array(F.struct(F.lit("d").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("id")), F.struct(F.lit("m").alias("kind"), F.col("market_id").cast("string").alias("id")))).alias("_g")
+    per = trades.select(*keys, "net_pnl", kinds).groupBy(*keys, "_g.kind", "_g.id").agg((F.sum("net_pnl") / CAPITAL).alias("r"))
+    only = lambda k, fn: fn(F.when(F.col("kind") == k, F.col("r")))
+    day = per.groupBy(*keys).agg(only("d", F.avg).alias("return_per_day"), only("d", F.count).cast("double").alias("n_days"), only("m", F.avg).alias("return_per_event"), only("m", F.count).cast("double").alias("n_events"))
     q = quantile_groups(trades.select(*keys, "trade_return"), keys, {"ret_p10": ("trade_return", 0.1), "ret_p50": ("trade_return", 0.5), "ret_p90": ("trade_return", 0.9)})
     out = base
-    for part in (day, ev, q, equity_metrics(trades, keys)):
+    for part in (day, q, equity_metrics(trades, keys)):
         out = out.join(part, list(keys))
     return out
 
