@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from marketlab.functions.columns import clip, lit
 from marketlab.functions.text import DATE_HINT, normal_text, question_stem, words
 from marketlab.operators.similarity import fold_sets, jaccard_join
+from marketlab.session import materialise
 
 
 @F.pandas_udf(DoubleType())
@@ -55,7 +56,7 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
     has_event = F.coalesce((F.col("event_id") != "") & (F.lower("event_id") != "none"), F.lit(False))
     m = m.withColumns({"block": F.when(has_event, F.concat(F.lit("e:"), F.col("event_id"))).otherwise(F.concat(F.lit("c:"), F.coalesce("category", F.lit("unknown")))), "toks": words("title")})
     # the title of the smallest member stands for the folded set
-    sets = fold_sets(m, "block", "toks", "market_id", {"title": F.min_by("title", "market_id"), "event_id": F.min_by("event_id", "market_id")})
+    sets = materialise(fold_sets(m, "block", "toks", "market_id", {"title": F.min_by("title", "market_id"), "event_id": F.min_by("event_id", "market_id")}))
     p = jaccard_join(sets, sets, "block", candidate_jaccard, ordered_pairs=True)
     side = lambda s, n: sets.select(F.col("set_id").alias(s), F.col("title").alias(f"title_{n}"), F.col("event_id").alias(f"event_{n}"), F.col("first_member").alias(f"market_{n}"))
     p = p.join(side("l", "a"), "l").join(side("r", "b"), "r").withColumn("sim", sequence_ratio("title_a", "title_b"))

@@ -232,7 +232,7 @@ def shuffle_null(df: DataFrame, tie: Sequence[str], reps: int = 500, group: str
     """
     from marketlab.operators.ranking import average_rank
 
-    base = df.select(*tie, group, F.round(number(x, 0.0), 9).alias("_x"), F.round(number(y, 0.0), 9).alias("_y"))
+    base = df.select(*dict.fromkeys([*tie, group]), F.round(number(x, 0.0), 9).alias("_x"), F.round(number(y, 0.0), 9).alias("_y"))
     ranked = average_rank(average_rank(base, "_x", "rx"), "_y", "ry")
     pos = numbered(ranked, [group, *[t for t in tie if t != group]])
     reps_ = replicate(pos.select("id", group, "rx", "ry"), reps).withColumn("h", draw(F.col("id"), F.col("rep")))

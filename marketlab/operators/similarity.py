@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlab.functions.columns import lit
+from marketlab.session import materialise
 
 SALT_SIZE = 2000  # index rows of one word per task slice
 
@@ -47,7 +48,8 @@ def jaccard_join(left: DataFrame, right: DataFrame, block: str, threshold: float
     ranked = _ordered(everything, block)
     size = F.size("ranked")
     prefix = size - F.ceil(F.round(size * threshold, 9)).cast("int") + 1
-    index = ranked.select("set_id", block, F.explode(F.slice("ranked", F.lit(1), prefix)).alias("e")).select("set_id", block, "e.token")
+    # read by both sides and by the word counts
+    index = materialise(ranked.select("set_id", block, F.explode(F.slice("ranked", F.lit(1), prefix)).alias("e")).select("set_id", block, "e.token"))
     side = lambda df, name: index.join(df.select("set_id"), "set_id", "left_semi").select(F.col("set_id").alias(name), block, "token")
     pairs = _meet(side(left, "l"), side(right, "r"), block)
     if ordered_pairs:
@@ -80,7 +82,7 @@ def cosine_pairs(vectors: DataFrame, block: str, threshold: float) -> DataFrame:
     # suffix length before each entry, from the end of the rarest-first order
     start = F.struct(lit(0).alias("sq"), F.array().cast("array<double>").alias("tail"))
     tails = F.aggregate(F.reverse("e"), start, lambda a, x: F.struct((a["sq"] + x["w"] * x["w"]).alias("sq"), F.array_append(a["tail"], a["sq"] + x["w"] * x["w"]).alias("tail")), lambda a: F.reverse(a["tail"]))
-    v = v.withColumn("e", F.zip_with("e", tails, lambda x, s: F.struct(x["token"].alias("token"), x["w"].alias("w"), s.alias("rest"))))
+    v = materialise(v).withColumn("e", F.zip_with("e", tails, lambda x, s: F.struct(x["token"].alias("token"), x["w"].alias("w"), s.alias("rest"))))
     index = v.select("doc", block, F.explode(F.filter("e", lambda x: x["rest"] >= threshold * threshold - 1e-9)).alias("x")).select("doc", block, "x.token")
     pairs = _meet(index.withColumnRenamed("doc", "l"), index.withColumnRenamed("doc", "r"), block).where(F.col("l") < F.col("r"))
     as_map = v.select("doc", F.map_from_entries(F.transform("e", lambda x: F.struct(x["token"], x["w"]))).alias("m"), F.transform("e", lambda x: F.struct(x["token"].alias("token"), x["w"].alias("w"))).alias("e"))

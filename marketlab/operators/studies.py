@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marketlab.functions.columns import correlation, flag, lit
 from marketlab.operators.ranking import quantile_row
 from marketlab.operators.series import series_window, split_series, whole_series
+from marketlab.session import materialise
 
 
 def trade_alpha(side: str = "side", price: str = "price") -> Column:
@@ -306,8 +307,8 @@ def precedent_counts(active: DataFrame, resolved: DataFrame, threshold: float =
     risk = rule_scores("question", "description")["rule_risk_score"]
     a = active.select("market_id", cat.alias("category"), toks.alias("toks"))
     r = resolved.where(F.col("question").isNotNull()).select("market_id", cat.alias("category"), toks.alias("toks"), risk.alias("risk"))
-    fa = fold_sets(a, "category", "toks", "market_id")
-    fr = fold_sets(r, "category", "toks", "market_id", {"risk_sum": F.sum("risk")})
+    fa = materialise(fold_sets(a, "category", "toks", "market_id"))
+    fr = materialise(fold_sets(r, "category", "toks", "market_id", {"risk_sum": F.sum("risk")}))
     pairs = jaccard_join(fa, fr, "category", threshold).join(fr.select(F.col("set_id").alias("r"), "members", "risk_sum"), "r")
     per = pairs.groupBy("l").agg(F.sum("members").alias("n"), F.sum("risk_sum").alias("s"))
     key = F.md5(F.concat_ws("\x1f", F.col("category").cast("string"), F.array_join(F.array_sort(F.array_distinct("toks")), "\x1e")))

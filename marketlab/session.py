@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 
 def build_session(app_name: str = "marketlab", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,6 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and continue from the copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and continue from the copy.
+
+    Parquet keeps later passes narrow: they read only their columns. Frames
+    with untyped null columns cannot be Parquet and use a reliable checkpoint.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):
+        return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
