@@ -154,3 +154,23 @@ def value_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFr
     x = df.withColumn("_edges", edges)
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     return x.withColumn(out, F.size(F.filter(inner, lambda e: e < F.round(F.col(value), 12))).cast("long")).drop("_edges")
+
+
+def carry_forward(df: DataFrame, order: Sequence[Column], value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Latest non-null value at or before each row, for groups of any size.
+
+    Values are carried inside range slices; the last value of earlier slices
+    of the same group fills the gap at the start of a slice.
+    """
+    sort = [F.col(k).asc() for k in keys] + list(order)
+    slots = materialise(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_slot", F.monotonically_increasing_id()))
+    slots = slots.withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
+    inside = W.partitionBy(*keys, "_part").orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
+    local = slots.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
+    per = slots.groupBy(*keys, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_slot"))).alias("_last"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_rpart"), F.last("_last", ignorenulls=True).over(earlier).alias("_far"))
+    cond = local["_part"] == per["_rpart"]
+    for k in keys:
+        cond = cond & local[k].eqNullSafe(per[f"_k_{k}"])
+    return local.join(per, cond).select(*df.columns, F.coalesce("_near", "_far").alias(out))

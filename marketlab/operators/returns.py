@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marketlab.operators.series import series_window, split_series, whole_series
+from marketlab.operators.ranking import carry_forward
+from marketlab.operators.series import SERIES_LIMIT, series_window, split_series, whole_series
 
 
 def lagged_returns(snapshots: DataFrame, lags: Sequence[int] = (1, 6, 24)) -> DataFrame:
@@ -19,19 +20,26 @@ def lagged_returns(snapshots: DataFrame, lags: Sequence[int] = (1, 6, 24)) -> Da
     return whole_series(s).select("token_id", "ts", *[f"ret_{k}h" for k in lags])
 
 
-def timed_returns(snapshots: DataFrame, hours: Sequence[int] = (1, 6, 24)) -> DataFrame:
+def timed_returns(snapshots: DataFrame, hours: Sequence[int] = (1, 6, 24), limit: int = SERIES_LIMIT) -> DataFrame:
     """Clock form: return against the latest quote at least h hours old.
 
-    A range frame ending h hours back keeps the lookup inside the token's
-    own sorted window, with no self join.
+    A range frame ending h hours back keeps the lookup inside the token's own
+    sorted window. If a token is too long for one task, quotes and shifted
+    probes are merged and the last quote is carried across range slices.
     """
     s = snapshots.where(F.col("mid").isNotNull()).select("token_id", F.col("snapshot_ts").alias("ts"), "mid").withColumn("_at", F.unix_micros("ts"))
-    cols = []
-    for h in hours:
-        w = W.partitionBy("token_id").orderBy("_at").rangeBetween(W.unboundedPreceding, -h * 3_600_000_000)
-        past = F.last("mid", ignorenulls=True).over(w)
-        cols.append(F.when(past > 0, F.col("mid") / past - 1).alias(f"ret_{h}h"))
-    return s.select("token_id", "ts", *cols)
+    longest = s.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= limit:
+        w = lambda h: W.partitionBy("token_id").orderBy("_at").rangeBetween(W.unboundedPreceding, -h * 3_600_000_000)
+        s = s.withColumns({f"_p{h}": F.last("mid", ignorenulls=True).over(w(h)) for h in hours})
+    else:
+        for h in hours:
+            quote = s.select("token_id", F.col("_at").alias("_t"), F.lit(0).alias("_kind"), F.col("mid").alias("_q"), F.lit(None).cast("long").alias("_at"))
+            probe = s.select("token_id", (F.col("_at") - h * 3_600_000_000).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_q"), "_at")
+            # a quote at exactly the probed instant counts
+            seen = carry_forward(quote.unionByName(probe), [F.col("_t").asc(), F.col("_kind").asc(), F.col("_at").asc_nulls_first()], "_q", f"_p{h}", ["token_id"])
+            s = s.join(seen.where(F.col("_kind") == 1).select("token_id", "_at", f"_p{h}"), ["token_id", "_at"], "left")
+    return s.select("token_id", "ts", *[F.when(F.col(f"_p{h}") > 0, F.col("mid") / F.col(f"_p{h}") - 1).alias(f"ret_{h}h") for h in hours])
 
 
 def period_returns(curve: DataFrame, keys: Sequence[str], capital: float = 100_000.0) -> DataFrame:

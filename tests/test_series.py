@@ -46,3 +46,15 @@ def test_exponential_mean_matches_pandas(spark):
     fast = grp.transform(lambda s: s.ewm(span=3, min_periods=2).mean())
     slow = grp.transform(lambda s: s.ewm(span=12, min_periods=4).mean())
     assert np.allclose(got["momentum_decay"], (fast - slow).fillna(0.0), atol=1e-9)
+
+
+def test_clock_returns_do_not_depend_on_the_split(spark):
+    from marketlab.operators.returns import timed_returns
+
+    df = _frame(spark).withColumnRenamed("ts", "snapshot_ts")
+    key = lambda d: d.toPandas().sort_values(["token_id", "ts"]).reset_index(drop=True)
+    a, b = key(timed_returns(df, (1, 3))), key(timed_returns(df, (1, 3), limit=5))
+    assert len(a) == len(b) == 431
+    for c in ("ret_1h", "ret_3h"):
+        assert np.allclose(a[c], b[c], equal_nan=True, atol=1e-12)
+    assert a["ret_3h"].notna().sum() > 300
