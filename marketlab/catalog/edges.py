@@ -478,16 +478,14 @@ def related_of(lake):
 
 
 def related(lake):
-    """Similar questions of an event; equal questions stand for one another."""
-    t = lake.texts
-    reps = t.groupBy("event_id", "question").agg(F.min("market_id").alias("market_id"))
-    # document frequencies count every market, so vectors are built before folding
-    v = M.tfidf_vectors(t, "event_id", "market_id", F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]{2,}"), F.lit(0)))
-    v = v.join(reps.select(F.col("market_id").alias("doc")), "doc", "left_semi")
-    return M.cosine_pairs(v, "event_id", 0.72).select(F.col("l").alias("market_a"), F.col("r").alias("market_b"), "similarity")
+    return L.related_questions(lake.texts)
+
+
+CTES["qrep"] = "SELECT *, min(market_id) OVER (PARTITION BY event_id, question) AS rep FROM txt"
+CTES["relp"] = "SELECT c.market_a, c.market_b, c.similarity FROM cosp c JOIN qrep x ON x.market_id = c.market_a AND x.rep = c.market_a JOIN qrep y ON y.market_id = c.market_b AND y.rep = c.market_b UNION ALL SELECT rep, market_id, 1.0 FROM qrep WHERE rep <> market_id AND regexp_matches(lower(question), '[a-z0-9]{2,}')"
 
 
-@query("j17_related_questions", "SELECT c.market_a, c.market_b, c.similarity FROM cosp c JOIN (SELECT min(market_id) AS m FROM txt GROUP BY event_id, question) x ON x.m = c.market_a JOIN (SELECT min(market_id) AS m FROM txt GROUP BY event_id, question) y ON y.m = c.market_b", "cosp txt", "similarity")
+@query("j17_related_questions", "SELECT * FROM relp", "relp", "similarity")
 def j17(lake):
     return related(lake)
 
@@ -528,7 +526,7 @@ def f3(lake):
     return j.select("market_a", "market_b", L.sequence_ratio("qa", "qb").alias("ratio"), L.edit_ratio(F.col("qa"), F.col("qb")).alias("edit_ratio"))
 
 
-@query("f6_relation_type", "SELECT market_a, market_b, CASE WHEN NOT dated THEN CASE WHEN similarity >= 0.8 THEN 'fuzzy_related' ELSE 'weak_related' END ELSE 'time_window_consistency_candidate' END AS relation_type FROM (SELECT c.*, regexp_matches(trim(regexp_replace(lower(a.question), '\\s+', ' ', 'g')), '" + T.DATE_HINT + "') AND regexp_matches(trim(regexp_replace(lower(b.question), '\\s+', ' ', 'g')), '" + T.DATE_HINT + "') AS dated FROM cosp c JOIN txt a ON a.market_id = c.market_a JOIN txt b ON b.market_id = c.market_b JOIN (SELECT min(market_id) AS m FROM txt GROUP BY event_id, question) x ON x.m = c.market_a JOIN (SELECT min(market_id) AS m FROM txt GROUP BY event_id, question) y ON y.m = c.market_b)", "cosp txt")
+@query("f6_relation_type", "SELECT market_a, market_b, CASE WHEN NOT dated THEN CASE WHEN similarity >= 0.8 THEN 'fuzzy_related' ELSE 'weak_related' END ELSE 'time_window_consistency_candidate' END AS relation_type FROM (SELECT c.*, regexp_matches(trim(regexp_replace(lower(a.question), '\\s+', ' ', 'g')), '" + T.DATE_HINT + "') AND regexp_matches(trim(regexp_replace(lower(b.question), '\\s+', ' ', 'g')), '" + T.DATE_HINT + "') AS dated FROM relp c JOIN txt a ON a.market_id = c.market_a JOIN txt b ON b.market_id = c.market_b)", "relp txt")
 def f6(lake):
     p = related_of(lake)
     q = lake.texts.select("market_id", "question")

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from marketlab.functions.columns import clip, lit
 from marketlab.functions.text import DATE_HINT, normal_text, question_stem, words
-from marketlab.operators.similarity import fold_sets, jaccard_join
+from marketlab.operators.similarity import cosine_pairs, fold_sets, jaccard_join, set_key, tfidf_vectors
 from marketlab.session import materialise
 
 
@@ -47,7 +47,8 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
 
     Titles are compared once per distinct word set: candidates come from an
     exact Jaccard join, the character ratio is computed for candidates only,
-    and each title keeps its best partners. Titles sharing fewer than
+    and each title keeps its best partners. Markets with the same words are
+    linked to their representative. Titles sharing fewer than
     ``candidate_jaccard`` of their words are not compared by characters.
     """
     m = markets.where(F.col("question").isNotNull()).select(
@@ -59,7 +60,11 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
     sets = materialise(fold_sets(m, "block", "toks", "market_id", {"title": F.min_by("title", "market_id"), "event_id": F.min_by("event_id", "market_id")}))
     p = jaccard_join(sets, sets, "block", candidate_jaccard, ordered_pairs=True)
     side = lambda s, n: sets.select(F.col("set_id").alias(s), F.col("title").alias(f"title_{n}"), F.col("event_id").alias(f"event_{n}"), F.col("first_member").alias(f"market_{n}"))
-    p = p.join(side("l", "a"), "l").join(side("r", "b"), "r").withColumn("sim", sequence_ratio("title_a", "title_b"))
+    p = p.join(side("l", "a"), "l").join(side("r", "b"), "r").select("market_a", "market_b", "title_a", "title_b", "event_a", "event_b", "jaccard")
+    # markets with the same words hang on their representative: n - 1 links, not n squared
+    star = m.where(F.size("toks") > 0).withColumn("l", set_key("block", "toks")).join(side("l", "a"), "l").where(F.col("market_id") != F.col("market_a"))
+    p = p.unionByName(star.select("market_a", F.col("market_id").alias("market_b"), "title_a", F.col("title").alias("title_b"), "event_a", F.col("event_id").alias("event_b"), lit(1).alias("jaccard")))
+    p = p.withColumn("sim", sequence_ratio("title_a", "title_b"))
     p = p.where(F.greatest("sim", "jaccard") >= min_similarity).withColumn("score", 0.6 * F.col("sim") + 0.4 * F.col("jaccard"))
     p = p.withColumn("relation_type", relation_type(F.col("event_a"), F.col("event_b"), F.col("title_a"), F.col("title_b"), F.col("sim"), F.col("jaccard")))
     kept = best_partners(p, per_market)
@@ -74,6 +79,22 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
     ).dropDuplicates(["link_id"])
 
 
+def related_questions(df: DataFrame, threshold: float = 0.72, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of one event whose questions have a tf-idf cosine at the threshold.
+
+    Equal questions are compared once: pairs run between representatives (the
+    smallest market id), and every other copy is paired with its own
+    representative at similarity one. Document frequencies count all markets.
+    """
+    d = df.where(F.col("event_id").isNotNull() & F.col("question").isNotNull()).select("event_id", "market_id", "question")
+    words_of = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    reps = materialise(d.groupBy("event_id", "question").agg(F.min("market_id").alias("rep")))
+    v = tfidf_vectors(d, "event_id", "market_id", words_of, stop_words).join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    pairs = cosine_pairs(v, "event_id", threshold).select(F.col("l").alias("market_a"), F.col("r").alias("market_b"), "similarity")
+    copies = d.where(F.size(words_of) > 0).join(reps, ["event_id", "question"]).where(F.col("market_id") != F.col("rep"))
+    return pairs.unionByName(copies.select(F.col("rep").alias("market_a"), F.col("market_id").alias("market_b"), lit(1).alias("similarity")))
+
+
 def best_partners(pairs: DataFrame, k: int, score: str = "score", left: str = "market_a", right: str = "market_b") -> DataFrame:
     """Pairs that are among the k best of either end.
 

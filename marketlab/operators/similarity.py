@@ -16,10 +16,16 @@ from marketlab.session import materialise
 SALT_SIZE = 2000  # index rows of one word per task slice
 
 
+def set_key(block: str | Column, tokens: str | Column) -> Column:
+    """Id of a token set inside a block."""
+    b = F.col(block) if isinstance(block, str) else block
+    return F.md5(F.concat_ws("\x1f", b.cast("string"), F.array_join(F.array_sort(F.array_distinct(tokens)), "\x1e")))
+
+
 def fold_sets(df: DataFrame, block: str, tokens: str, member: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per (block, token set): id, tokens, smallest member, member count."""
     t = df.where(F.size(tokens) > 0).withColumn("_toks", F.array_sort(F.array_distinct(tokens)))
-    t = t.withColumn("set_id", F.md5(F.concat_ws("\x1f", F.col(block).cast("string"), F.array_join("_toks", "\x1e"))))
+    t = t.withColumn("set_id", set_key(block, "_toks"))
     aggs = [F.first(block).alias(block), F.first("_toks").alias("tokens"), F.min(member).alias("first_member"), F.count(F.lit(1)).alias("members")]
     return t.groupBy("set_id").agg(*aggs, *[c.alias(n) for n, c in (extra or {}).items()])
 

@@ -300,7 +300,7 @@ def precedent_counts(active: DataFrame, resolved: DataFrame, threshold: float =
     and the member counts and risk sums are added up per active set.
     """
     from marketlab.functions.text import normal_text, rule_scores
-    from marketlab.operators.similarity import fold_sets, jaccard_join
+    from marketlab.operators.similarity import fold_sets, jaccard_join, set_key
 
     toks = F.filter(F.split(normal_text("question"), " "), lambda x: x != "")
     cat = F.coalesce("category", F.lit("unknown"))
@@ -311,8 +311,7 @@ def precedent_counts(active: DataFrame, resolved: DataFrame, threshold: float =
     fr = materialise(fold_sets(r, "category", "toks", "market_id", {"risk_sum": F.sum("risk")}))
     pairs = jaccard_join(fa, fr, "category", threshold).join(fr.select(F.col("set_id").alias("r"), "members", "risk_sum"), "r")
     per = pairs.groupBy("l").agg(F.sum("members").alias("n"), F.sum("risk_sum").alias("s"))
-    key = F.md5(F.concat_ws("\x1f", F.col("category").cast("string"), F.array_join(F.array_sort(F.array_distinct("toks")), "\x1e")))
-    out = a.withColumn("l", key).join(per, "l", "left")
+    out = a.withColumn("l", set_key("category", "toks")).join(per, "l", "left")
     return out.select("market_id", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("precedent_count"), F.coalesce(F.col("s") / F.col("n"), lit(0)).alias("precedent_rule_risk_mean"))
 
 

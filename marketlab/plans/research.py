@@ -62,13 +62,9 @@ def first_run(t: Tables) -> dict[str, DataFrame]:
         rules = pre.sparkSession.createDataFrame([], "spearman double, p_value double")
     wallets = E.whale_flags(E.resolved_trades(t.trades, t.markets, t.resolutions), E.wallet_stats(t.trades))
     whales = E.welch(wallets.where("is_early"), "alpha_per_share", "is_whale", True, False).withColumn("p_value", two_sided(F.col("t_stat"), F.col("dof")))
-    from marketlab.operators.similarity import cosine_pairs, tfidf_vectors
-
     cross = t.snapshots.sparkSession.createDataFrame([], "market_a long, market_b long, spread_zscore double, stationary_p double")
     if "question" in latest.columns:
-        named = latest.where(F.col("question").isNotNull())
-        v = tfidf_vectors(named, "event_id", "market_id", F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]{2,}"), F.lit(0)))
-        pairs = materialise(cosine_pairs(v, "event_id", 0.72).select(F.col("l").alias("market_a"), F.col("r").alias("market_b"), "similarity"))
+        pairs = materialise(L.related_questions(latest))
         ids = pairs.select(F.explode(F.array("market_a", "market_b")).alias("market_id")).distinct()
         hist = E.yes_probability_panel(t.snapshots, t.outcomes, ids)
         root = E.unit_root_stat(pairs, hist).withColumn("stationary_p", two_sided(F.col("unit_root_t"), F.col("n").cast("double") - 2)).select("market_a", "market_b", "unit_root_t", "stationary_p")

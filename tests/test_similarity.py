@@ -85,7 +85,7 @@ def test_similar_titles_against_brute_force(spark):
     got = {(r["market_id_a"], r["market_id_b"]): r["link_confidence"] for r in L.similar_titles(df).collect()}
     norm = [" ".join(t.lower().split()) for t in titles]
     want = {}
-    for a, b in itertools.combinations(range(5), 2):  # the sixth folds into the first
+    for a, b in [*itertools.combinations(range(5), 2), (0, 5)]:  # the sixth hangs on the first
         x, y = set(norm[a].split()), set(norm[b].split())
         jac = len(x & y) / len(x | y)
         # sides are ordered by set id, as in the operator
