@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlab.llm import decontaminate, mixing, sharding
+from marketlab.llm import decontaminate, mixing, rules, secrets, sharding
 from marketlab.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix_documents(read_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "finish")
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy")
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule", "n_lines", "n_marks")
