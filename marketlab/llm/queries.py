@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlab.llm import decontaminate, mixing, rules, secrets, sharding
+from marketlab.llm import decontaminate, mixing, quality, rules, secrets, sharding, toxicity
 from marketlab.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule", "n_lines", "n_marks")
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted")
