@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlab.llm import decontaminate, mixing, quality, rules, secrets, sharding, toxicity
+from marketlab.llm import decontaminate, mixing, neardup, quality, rules, secrets, sharding, substrings, toxicity
 from marketlab.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return d.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
