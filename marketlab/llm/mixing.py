@@ -54,18 +54,40 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return out.select("source", "source_size", "weight", F.least(F.col("_cap"), F.col("weight") * F.col("_cut")).alias("target"))
 
 
+def _order(seed: int) -> Column:
+    """Place of a document in its source's shuffled queue."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, finish, copies, taken.
+    """One row per document: doc_id, source, _order, size, source_size, target, finish, copies, taken.
 
     A copy is served whole when the middle of its service lies before the end
     of its source's target, so a source misses its target by half a document
     at most; later epochs repeat the same order.
     """
-    d = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_order")))
+    d = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("_order")))
     targets = materialise(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs))
     queue = prefix_sums(d, [F.col("_order").asc(), F.col("doc_id").asc(), F.col("size").asc()], {"_upto": F.col("size")}, ["source"])
     t = targets.select(F.col("source").alias("_s"), "source_size", "weight", "target")
     q = queue.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     middle = F.col("_upto") - F.col("size") / F.lit(2.0)
     copies = sum((F.when((F.col("size") > 0) & (middle + F.lit(float(e)) * F.col("source_size") <= F.col("target")), 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return q.select("doc_id", "source", "size", "source_size", "target", (F.col("_upto") / F.col("weight")).alias("finish"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return q.select("doc_id", "source", "_order", "size", "source_size", "target", (F.col("_upto") / F.col("weight")).alias("finish"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` in the mix, repeated as often as they are taken.
+
+    A queue is served in order, so what is taken in an epoch ends at one place
+    per source; rows are compared with that place and no text is shuffled.
+    Rows equal in id and text share their place.
+    """
+    m = mix_documents(docs, weights, share, epochs, seed)
+    place = lambda: F.struct(F.col("_order").alias("o"), F.col("doc_id").alias("d"))
+    ends = materialise(m.groupBy("source").agg(*[F.max(F.when(F.col("copies") > e, place())).alias(f"_e{e}") for e in range(epochs)]))
+    ends = ends.withColumnRenamed("source", "_s")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.struct(_order(seed).alias("o"), F.col("doc_id").alias("d")).alias("_place"))
+    j = rows.join(ends, F.col("_source").eqNullSafe(F.col("_s")))
+    copies = sum((F.when((F.col("_size") > 0) & (F.col("_place") <= F.col(f"_e{e}")), 1).otherwise(0) for e in range(epochs)), F.lit(0))
+    return j.withColumn("_copies", copies).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

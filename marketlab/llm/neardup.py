@@ -163,7 +163,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, deviat
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, _t (text key), n_shingles, component_id, kept."""
+    """One row per document: doc_id, _t (text key), n_shingles, root (names the group, null for empty sets), component_id, kept."""
     sk = materialise(sketch_rows(docs))
     full = sk.where("n > 0")
     cells = full.select("rid", F.explode("bands").alias("key"))
@@ -193,7 +193,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = full.groupBy("rid").agg(F.min("doc_id").alias("low")).join(roots, F.col("rid") == F.col("node"), "left").select("rid", "low", F.coalesce("root", "rid").alias("root"))
     named = materialise(named)
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.join(low, "root").select(F.col("rid").alias("_r"), "component_id")
+    label = named.join(low, "root").select(F.col("rid").alias("_r"), "root", "component_id")
     out = sk.join(label, (F.col("rid") == F.col("_r")) & (F.col("n") > 0), "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), "root", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row of smallest id, empty texts all.
+
+    Among repeated rows of that id one stays.
+    """
+    found = near_duplicates(docs, percent)
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    best = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_t")).alias("k")).select("k.*")
+    best = best.select(name(F.col("doc_id")).alias("_a"), F.col("z").alias("_z"), "_t")
+    rows = docs.select(F.struct("*").alias("_row"), name(F.col("doc_id")).alias("_a"), F.col("doc_id").isNull().alias("_z"), text_key(F.col("text")).alias("_t"), (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) > 0).alias("_full"))
+    stay = rows.where("_full").join(best, ["_a", "_z", "_t"]).dropDuplicates(["_a", "_z", "_t"]).select("_row.*")
+    return stay.unionByName(rows.where("not _full").select("_row.*"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlab.llm import decontaminate, mixing, neardup, quality, rules, secrets, sharding, substrings, toxicity
+from marketlab.llm import decontaminate, html_text, mixing, neardup, quality, rules, secrets, sharding, substrings, toxicity
 from marketlab.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

@@ -16,15 +16,12 @@ a group; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from marketlab.llm.mixing import word_count
 from marketlab.operators.ranking import rank_rows
 from marketlab.session import materialise
 
-PLAN = T.StructType([T.StructField("_big", T.LongType()), T.StructField("_piece", T.IntegerType()), T.StructField("_bundle", T.IntegerType()), T.StructField("shard", T.IntegerType())])
-
-
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each size vector, largest first, by dot product with the residual capacity."""
     total = np.maximum(vectors.sum(0), 1.0)
@@ -38,48 +35,69 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def measured(docs: DataFrame, bundles: int) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), word_count(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), _group(text).alias("group"))
+    return d.withColumn("_bundle", F.pmod("group", F.lit(bundles)).cast("int"))
+
+
+def _group(text: Column) -> Column:
+    return F.xxhash64(text, F.lit(3))
+
+
+class Plan:
+    """Shards of large groups (by piece) and of hash bundles; of bounded size."""
+
+    def __init__(self, d: DataFrame, shards: int, grain: int, bundles: int) -> None:
+        self.spark, self.bundles = d.sparkSession, bundles
+        self.large: dict[int, list[int]] = {}
+        self.small = [0] * bundles
+        groups = d.groupBy("group", "_bundle").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        whole = groups.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+        if not whole["n"]:
+            return
+        total = np.array([whole["b"], max(whole["t"], 1), whole["n"]], float)
+        limit = float(shards * grain)
+        big = (F.col("b") * limit > total[0]) | (F.col("t") * limit > total[1]) | (F.col("n") * limit > total[2])
+        groups = materialise(groups.withColumn("_big", big))
+        # both lists are bounded by construction: 3 * shards * grain groups, `bundles` bundles
+        large = groups.where("_big").select("group", "b", "t", "n").orderBy("group").collect()
+        small = groups.where("not _big").groupBy("_bundle").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).orderBy("_bundle").collect()
+        slots, vectors = [], []
+        for g in large:
+            v = np.array([g["b"], g["t"], g["n"]], float)
+            most = float((v / total).max()) * shards
+            pieces = 1 if most <= 0.5 else int(np.ceil(most * 8))
+            self.large[g["group"]] = [0] * pieces
+            slots += [(self.large[g["group"]], p) for p in range(pieces)]
+            vectors += [v / pieces] * pieces
+        for s in small:
+            slots.append((self.small, s["_bundle"]))
+            vectors.append(np.array([s["b"], s["t"], s["n"]], float))
+        for (where, i), s in zip(slots, place(np.array(vectors), shards).tolist()):
+            where[i] = s
+
+    def attach(self, d: DataFrame, row: Column, out: str) -> DataFrame:
+        """Add the shard of each row of ``d(group, _bundle, ...)``; ``row`` deals out the pieces of a large group."""
+        rows = self.spark.createDataFrame(list(self.large.items()), T.StructType([T.StructField("_g", T.LongType()), T.StructField("_at", T.ArrayType(T.IntegerType()))]))
+        bundle = F.from_json(F.lit("[" + ",".join(map(str, self.small)) + "]"), T.ArrayType(T.IntegerType()))
+        # at most 3 * shards * grain rows
+        j = d.join(F.broadcast(rows), F.col("group") == F.col("_g"), "left")
+        piece = F.get("_at", F.pmod(F.xxhash64(row, F.lit(11)), F.size("_at")).cast("int"))
+        return j.withColumn(out, F.when(F.col("_g").isNotNull(), piece).otherwise(F.get(bundle, F.col("_bundle")))).drop("_g", "_at")
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, grain: int = 32, bundles: int = 8192) -> DataFrame:
     """One row per document: doc_id, size, tokens, text_crc32, group, shard, slot."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), word_count(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(3)).alias("group"))
-    d = materialise(d.withColumn("_bundle", F.pmod("group", F.lit(bundles)).cast("int")))
-    groups = d.groupBy("group", "_bundle").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    all_ = groups.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
-    if not all_["n"]:
-        return d.select("doc_id", "size", "tokens", "text_crc32", "group", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
-    limit = float(shards * grain)
-    big = (F.col("b") * limit > float(all_["b"])) | (F.col("t") * limit > float(max(all_["t"], 1))) | (F.col("n") * limit > float(all_["n"]))
-    groups = materialise(groups.withColumn("_isbig", big))
-    # both lists are bounded by construction: 3 * shards * grain groups, `bundles` bundles
-    large = groups.where("_isbig").select("group", "b", "t", "n").orderBy("group").collect()
-    small = groups.where("not _isbig").groupBy("_bundle").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).orderBy("_bundle").collect()
-    items: list[tuple] = []
-    vectors: list[tuple[float, float, float]] = []
-    for g in large:
-        most = max(g["b"] / all_["b"], g["t"] / max(all_["t"], 1), g["n"] / all_["n"]) * shards
-        pieces = 1 if most <= 0.5 else int(np.ceil(most * 8))
-        for p in range(pieces):
-            items.append((g["group"], p if pieces > 1 else None, pieces))
-            vectors.append((g["b"] / pieces, g["t"] / pieces, g["n"] / pieces))
-    for s in small:
-        items.append((None, s["_bundle"], 0))
-        vectors.append((float(s["b"]), float(s["t"]), float(s["n"])))
-    at = place(np.array(vectors), shards)
-    spark = docs.sparkSession
-    wide = {}
-    for (g, p, n), s in zip(items, at.tolist()):
-        if g is not None:
-            wide.setdefault(g, [None] * n)[p or 0] = s
-    big_rows = spark.createDataFrame([(g, v) for g, v in wide.items()], T.StructType([T.StructField("_g", T.LongType()), T.StructField("_at", T.ArrayType(T.IntegerType()))]))
-    small_at = [0] * bundles
-    for (g, p, _), s in zip(items, at.tolist()):
-        if g is None:
-            small_at[p] = s
-    table = F.from_json(F.lit("[" + ",".join(map(str, small_at)) + "]"), T.ArrayType(T.IntegerType()))
-    # the plan of large groups has at most 3 * shards * grain rows
-    j = d.join(F.broadcast(big_rows), F.col("group") == F.col("_g"), "left")
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.size("_at"))
-    j = j.withColumn("shard", F.when(F.col("_g").isNotNull(), F.get("_at", piece.cast("int"))).otherwise(F.get(table, F.col("_bundle"))))
-    j = materialise(j.select("doc_id", "size", "tokens", "text_crc32", "group", "shard"))
+    d = materialise(measured(docs, bundles))
+    j = materialise(Plan(d, shards, grain, bundles).attach(d, F.col("doc_id"), "shard").drop("_bundle"))
     ranked = rank_rows(j, [F.xxhash64("doc_id").asc(), F.col("doc_id").asc(), F.col("group").asc()], ["shard"], "_rn", "_n")
     return ranked.select("doc_id", "size", "tokens", "text_crc32", "group", "shard", (F.col("_rn") - 1).cast("long").alias("slot"))
+
+
+def with_shards(docs: DataFrame, shards: int = 16, grain: int = 32, bundles: int = 8192) -> DataFrame:
+    """The rows of ``docs`` and their shard; texts stay where they are."""
+    plan = Plan(materialise(measured(docs, bundles)), shards, grain, bundles)
+    group = _group(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), group.alias("group")).withColumn("_bundle", F.pmod("group", F.lit(bundles)).cast("int"))
+    return plan.attach(rows, F.col("_d"), "_shard").select("_row.*", F.col("_shard").alias("shard"))
