@@ -30,7 +30,7 @@ from marketlab.llm.labelled import training_rows
 BITS = 16
 PER_CLASS = 1000
 DIM = 16
-EPOCHS = 4
+STEPS, BATCH = 800, 8  # gradient steps of as many rows, half of either label
 RATE = 2.0
 CASED = classes(SPACES, fold=False)
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -90,38 +90,34 @@ def count_features(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.select("text", "_y").mapInArrow(run, "_y int, idx array<int>, n array<int>")
 
 
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
+def train(samples: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
     """(weight per feature, bias) of the log odds of label 1, folded from vectors and softmax layer."""
     rng = np.random.default_rng(seed)
     vec = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << bits, dim)).astype(np.float32)
     out = np.zeros((dim, 2), np.float32)
     bias = np.zeros(2, np.float32)
     y = np.array([s[0] for s in samples])
-    size = 8
-    steps = epochs * -(-len(samples) // size)
-    done = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(samples))
-        for a in range(0, order.size, size):
-            lr = rate * (1 - done / steps)
-            done += 1
-            pick = [k for k in order[a : a + size] if samples[k][1].size]
-            if not pick:
-                continue
-            idx = np.concatenate([samples[k][1] for k in pick])
-            share = np.concatenate([samples[k][2] / samples[k][2].sum() for k in pick]).astype(np.float32)
-            cuts = np.cumsum([0] + [samples[k][1].size for k in pick])[:-1]
-            mean = np.add.reduceat(vec[idx] * share[:, None], cuts, axis=0)
-            z = mean @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), y[pick]] -= 1.0
-            p /= len(pick)
-            back = p @ out.T
-            out -= lr * (mean.T @ p)
-            bias -= 0.1 * lr * p.sum(0)
-            lens = np.diff(np.concatenate([cuts, [idx.size]]))
-            np.add.at(vec, idx, -lr * len(pick) * share[:, None] * np.repeat(back, lens, axis=0))
+    of = [np.flatnonzero((y == v) & np.array([s[1].size > 0 for s in samples])) for v in (0, 1)]
+    queues = [np.concatenate([rng.permutation(x) for _ in range(-(-steps * BATCH // 2 // max(x.size, 1)))] or [x]) if x.size else x for x in of]
+    for step in range(steps):
+        lr = rate * (1 - step / steps)
+        pick = np.concatenate([q[step * BATCH // 2 : (step + 1) * BATCH // 2] for q in queues])
+        if not pick.size:
+            break
+        idx = np.concatenate([samples[k][1] for k in pick])
+        share = np.concatenate([samples[k][2] / samples[k][2].sum() for k in pick]).astype(np.float32)
+        cuts = np.cumsum([0] + [samples[k][1].size for k in pick])[:-1]
+        mean = np.add.reduceat(vec[idx] * share[:, None], cuts, axis=0)
+        z = mean @ out + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(pick.size), y[pick]] -= 1.0
+        p /= pick.size
+        back = p @ out.T
+        out -= lr * (mean.T @ p)
+        bias -= 0.1 * lr * p.sum(0)
+        lens = np.diff(np.concatenate([cuts, [idx.size]]))
+        np.add.at(vec, idx, -lr * pick.size * share[:, None] * np.repeat(back, lens, axis=0))
     w = vec @ (out[:, 1] - out[:, 0])
     return w.astype(np.float64), float(bias[1] - bias[0])
 
