@@ -160,6 +160,28 @@ def row_blocks(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder; its shuffle files go when it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialise(df)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored frame that no later step reads."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, root)``, root the smallest node.
 
@@ -167,7 +189,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round is a shuffle by node and is written to reliable storage. Hot nodes
     keep their neighbours as rows, never as one list.
     """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -176,7 +198,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = materialise(small.where("a <> b").distinct())
+        last, e = e, stored(small.where("a <> b").distinct())
+        forget(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
         if (now["n"], now["s"]) == mark:
             break

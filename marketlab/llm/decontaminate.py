@@ -272,10 +272,10 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator
         yield [(r["item"], r["text"]) for r in rows]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: the kept columns, text, n_words, spans (a, b in words), items, n_hit."""
     d = docs.select(*keep, F.col("text").alias("_text"))
-    for block in benchmark_blocks(benchmark):
+    for block in benchmark_blocks(benchmark, block_bytes):
         d = find_passages(d, block, window)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     return d.select(*keep, F.col("_text").alias("text"), F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.array_sort(F.array_distinct("_items")).alias("items"), hit.alias("n_hit"))
