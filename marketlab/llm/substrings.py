@@ -5,20 +5,25 @@ Every string of ``SPAN`` bytes names one of its positions, the one whose next
 synchronising set; about one position in 65 is named). Doubling then runs on
 (position, rank) pairs, a rank being the 64-bit name of a prefix:
 
-1. rank of the first ``K`` bytes of the named positions: Spark groups the
-   pairs; a rank that occurs once is unique, and with it every string that
-   names this position. Only the rest goes on.
-2. rank at ``SPAN`` bytes of the remaining positions: what is repeated is past
-   the threshold and covers ``SPAN`` bytes.
-3. Strings at the borders of covered regions start before a named position.
-   Their start offsets (at most 128 per position) are gathered per rank as bit
-   sets, every position of that rank answers for those offsets, and the start
-   positions get a pair of ranks, each naming ``SPAN`` bytes in a different base
-   (128 bits in all). Repeated pairs are past the threshold.
-
-A removed byte is in one of the repeated strings; overlapping ones merge.
-Working on byte-level pairs from the start would sort every byte of the input
-several times; the synchronising set keeps the result and sorts a few hundredths.
+1. Spark sorts the named positions by the rank of their first ``K`` bytes and,
+   beyond it, by the rank of the whole range of strings that name them. A rank
+   of ``K`` bytes that occurs once is unique, and with it every string that
+   holds this position; only the rest goes on. A rank of the range that occurs
+   again is past the threshold: the range is covered.
+2. What is left are positions whose range also holds text found once: borders
+   of repeated text. Positions of one rank, one for each different range, meet
+   with the bytes around them (at most ``SPAN + 127``), and the common string
+   around the position decides: from ``SPAN`` bytes on it is repeated. Ranks with
+   more than ``GROUP`` such ranges, which must not meet in one task, are doubled
+   on: every start that one of them asks for gets a pair of ranks that name its
+   ``SPAN`` bytes in two bases (128 bits), and pairs that occur again are past the
+   threshold.
+
+A removed byte is in a covered range or a repeated string; overlapping ones
+merge. Pairs at every byte from the start would sort the input several times
+over; the synchronising set keeps the result and sorts a few hundredths. Equal
+ranks cut by a border of the sorted slices are taken as "may occur again" in
+step 1 and settled in step 2, so nothing depends on where slices end.
 
 Defined results: a null text is empty; texts below ``SPAN`` bytes lose nothing;
 strings never cross rows; a repeated row counts as a second place, and equal
@@ -32,12 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlab.llm.common import CHUNK, mix, row_blocks, text_key, utf8
-from marketlab.session import materialise
+from marketlab.llm.common import CHUNK, forget, mix, row_blocks, stored, text_key, utf8
 
 SPAN, OFFSETS = 200, 128
+GROUP = 64  # ranges of one rank that are compared with one another directly
 K = SPAN - OFFSETS + 1
 _BITS = np.uint64(22)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -84,7 +89,11 @@ def pieces(offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def named_positions(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, position in the row, least and largest offset to a start, rank at K, rank at SPAN or none)."""
+    """(row, position in the row, packed offsets, rank at K, rank of the range) of named positions.
+
+    ``near`` and ``far`` are the least and largest offset back to a start that
+    names the position.
+    """
     for a, b, lo, hi in pieces(offs):
         m = hi - lo
         if m < SPAN:
@@ -112,27 +121,135 @@ def named_positions(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.nda
         tail = np.concatenate([head[1:], [starts.size]]) - 1
         p = at[head]
         row = np.searchsorted(offs, lo + starts[head], "right") - 1
-        whole = lo + p + SPAN <= np.minimum(offs[row + 1], hi)
-        rank = np.zeros(p.size, np.int64)
-        rank[whole] = names.at(p[whole], SPAN).view(np.int64)
-        yield row, lo + p - offs[row], p - starts[tail], p - starts[head], h[p].view(np.int64), rank, whole
+        near, far = p - starts[tail], p - starts[head]
+        pack = near | (far << 7)
+        # the range p - far .. p - near + SPAN; its name also tells where it starts
+        first, size = starts[head], starts[tail] - starts[head] + SPAN
+        whole = mix((names.sums[first + size] - names.sums[first]) * names.down[first] + pack.astype(np.uint64))
+        yield row, lo + p - offs[row], pack, h[p].view(np.int64), whole.view(np.int64)
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, _t, p, near, far, rank, whole) of all named positions."""
+    """Rows (doc_id, _t, p, pack, rank, whole) of all named positions."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            for row, p, near, far, rank, whole, has in named_positions(data, offs):
+            for row, p, pack, rank, whole in named_positions(data, offs):
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("_t").take(take), pa.array(p, pa.int32()), pa.array(near, pa.int16()), pa.array(far, pa.int16()), pa.array(rank), pa.array(whole, pa.int64(), mask=~has)],
-                    names=["doc_id", "_t", "p", "near", "far", "rank", "whole"],
+                    [batch.column("doc_id").take(take), batch.column("_t").take(take), pa.array(p, pa.int32()), pa.array(pack, pa.int32()), pa.array(rank), pa.array(whole)],
+                    names=["doc_id", "_t", "p", "pack", "rank", "whole"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, _t long, p int, near short, far short, rank long, whole long")
+    return docs.mapInArrow(run, f"doc_id {kind}, _t long, p int, pack int, rank long, whole long")
+
+
+def ranked_again(everything: DataFrame) -> DataFrame:
+    """Positions whose rank may occur again, from one global sort: adds ``cover`` and ``first`` (of its range)."""
+    order = ["rank", "whole", "_t", "p"]
+    slices = everything.repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = everything.schema["doc_id"].dataType.simpleString()
+
+    def flags(t: pa.Table, open_start: bool, open_end: bool, skip: int, hold: int) -> pa.RecordBatch:
+        rank, whole = t.column("rank").to_numpy(), t.column("whole").to_numpy()
+        r, w = rank[1:] == rank[:-1], (rank[1:] == rank[:-1]) & (whole[1:] == whole[:-1])
+        again = np.concatenate([[open_start], r]) | np.concatenate([r, [open_end]])
+        cover = np.concatenate([[False], w]) | np.concatenate([w, [False]])
+        first = ~np.concatenate([[False], w])
+        keep = again.copy()
+        keep[:skip] = False
+        if hold:
+            keep[-hold:] = False
+        out = t.append_column("cover", pa.array(cover)).append_column("first", pa.array(first)).drop_columns(["whole"])
+        return out.filter(pa.array(keep)).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the two last rows of a batch are seen again with the next one: the first only as a neighbour
+        rest, start = None, True
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if rest is not None:
+                t = pa.concat_tables([rest, t])
+            if t.num_rows < 3:
+                rest = t
+                continue
+            yield from flags(t, start, False, 0 if start else 1, 1).to_batches()
+            rest, start = t.slice(t.num_rows - 2), False
+        if rest is not None and rest.num_rows:
+            yield from flags(rest, start, True, 0 if start else 1, 0).to_batches()
+
+    return slices.mapInArrow(run, f"doc_id {kind}, _t long, p int, pack int, rank long, cover boolean, first boolean")
+
+
+def borders(again: DataFrame) -> DataFrame:
+    """Per row of documents: covered runs (rank null, from lo to hi) and positions left to compare.
+
+    The latter carry the offsets lo..hi of strings that hold no unique position;
+    ``asks`` marks those not covered.
+    """
+    order = ["doc_id", "_t", "p", "pack"]
+    d = again.repartition("doc_id", "_t").sortWithinPartitions(*order)
+    kind = again.schema["doc_id"].dataType.simpleString()
+    far_off = np.int64(1) << np.int64(40)
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        ids, keys = t.column("doc_id"), t.column("_t").to_numpy()
+        code = ids.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(False)
+        p, pack = t.column("p").to_numpy().astype(np.int64), t.column("pack").to_numpy().astype(np.int64)
+        near, far = pack & 127, pack >> 7
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (code[1:] != code[:-1])])
+        doc = np.cumsum(new) - 1
+        cover, first = t.column("cover").to_numpy(), t.column("first").to_numpy()
+        # covered runs
+        c = np.flatnonzero(cover)
+        a, b, cd = p[c] - far[c], p[c] - near[c] + SPAN, doc[c]
+        reach = np.maximum.accumulate(cd * far_off + b) if c.size else b
+        head = np.flatnonzero(np.concatenate([[True], (cd * far_off + a)[1:] > reach[:-1]])) if c.size else c
+        tail = np.concatenate([head[1:], [c.size]])[: head.size] - 1
+        ra, rb, rd = a[head], reach[tail] - cd[tail] * far_off, cd[head]
+        # strings left to compare
+        lo, hi = near, far
+        left = first | ~cover
+        asks = ~cover
+        if head.size:  # strings inside a covered run answer and need not ask
+            run = np.searchsorted(rd * far_off + ra, doc * far_off + p - hi, "right") - 1
+            safe = np.maximum(run, 0)
+            inside = (run >= 0) & (rd[safe] == doc) & (p - lo + SPAN <= rb[safe])
+            asks &= ~inside
+        left = np.flatnonzero(left)
+        rows = np.concatenate([c[head], left])
+        none = np.zeros(head.size, bool)
+        return pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(rows)).combine_chunks(),
+                pa.array(keys[rows]),
+                pa.array(np.concatenate([ra, p[left]]), pa.int32()),
+                pa.array(np.concatenate([ra, lo[left]]), pa.int32()),
+                pa.array(np.concatenate([rb, hi[left]]), pa.int32()),
+                pa.array(t.column("rank").to_numpy()[rows], pa.int64(), mask=np.concatenate([~none, np.zeros(left.size, bool)])),
+                pa.array(np.concatenate([none, asks[left]])),
+            ],
+            names=["doc_id", "_t", "p", "lo", "hi", "rank", "asks"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # rows of the document that may go on in the next batch
+        for batch in batches:
+            t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            keys = t.column("_t").to_numpy()
+            cut = np.flatnonzero(keys[1:] != keys[:-1])
+            if not cut.size:
+                held = [t]
+                continue
+            at = int(cut[-1]) + 1
+            yield work(t.slice(0, at))
+            held = [t.slice(at)]
+        if held and held[0].num_rows:
+            yield work(held[0])
+
+    return d.mapInArrow(run, f"doc_id {kind}, _t long, p int, lo int, hi int, rank long, asks boolean")
 
 
 def _bits(lo: Column, hi: Column, word: int) -> Column:
@@ -142,103 +259,172 @@ def _bits(lo: Column, hi: Column, word: int) -> Column:
     return F.when(a <= b, d).otherwise(F.lit(0).cast("long"))
 
 
-def border_offsets(kept: DataFrame) -> DataFrame:
-    """Positions with the offsets whose strings no covered region contains, as two words m0, m1.
-
-    ``cover`` marks positions whose next SPAN bytes are repeated. Positions of
-    one row are few (a named position per 65 bytes), so they fit one window.
-    """
-    w = W.partitionBy("doc_id", "_t").orderBy("p")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    c = F.when(F.col("cover"), F.col("p"))
-    d = kept.withColumns({"_last": F.last(c, True).over(back), "_next": F.first(c, True).over(ahead), "_prev": F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, -1))})
-    opens = F.when(F.col("cover") & (F.col("_prev").isNull() | (F.col("p") > F.col("_prev") + SPAN)), F.col("p"))
-    d = d.withColumn("_from", F.last(opens, True).over(back))
-    joined = F.col("_next") <= F.col("_last") + SPAN
-    d = d.withColumn("_to", F.when(joined, F.col("_next")).otherwise(F.col("_last")))  # start of the last covered string of the region
-    none = F.col("_from").isNull()
-    words = []
-    for i in (0, 1):
-        before = _bits(F.greatest(F.col("near"), F.col("p") - F.col("_from") + 1), F.col("far"), i)
-        behind = _bits(F.col("near"), F.least(F.col("far"), F.col("p") - F.col("_to") - 1), i)
-        words.append(F.when(none, _bits(F.col("near"), F.col("far"), i)).otherwise(before.bitwiseOR(behind)).alias(f"m{i}"))
-    return d.select("rank", *words).where("m0 <> 0 or m1 <> 0")
-
-
-def border_ranks(rows: DataFrame) -> DataFrame:
-    """(doc_id, _t, a, w1, w2): pairs of ranks of the strings that start at p minus each asked offset."""
+def surroundings(rows: DataFrame) -> DataFrame:
+    """One row per asked position with the bytes around it: left reversed, right from the position on."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column("text"))
+            raw = memoryview(np.ascontiguousarray(data))
             asked = batch.column("asked")
             first = np.asarray(asked.offsets).astype(np.int64)
-            at = asked.values.field("p").to_numpy(False).astype(np.int64)[first[0] :]
-            m = [asked.values.field(f"m{i}").to_numpy(False)[first[0] :].view(np.uint64) for i in (0, 1)]
+            part = asked.values.slice(first[0], first[-1] - first[0])
             owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            start, row = [], []
-            for o in range(OFFSETS):
-                hit = np.flatnonzero((m[o >> 6] >> np.uint64(o & 63)) & np.uint64(1))
-                start.append(at[hit] - o + offs[owner[hit]])
-                row.append(owner[hit])
-            start, row = np.concatenate(start), np.concatenate(row)
-            order = np.argsort(start, kind="stable")
-            start, row = start[order], row[order]
-            for a, b, lo, hi in pieces(offs):
-                i, j = np.searchsorted(start, [lo, max(hi - SPAN + 1, lo)])
-                if i == j:
+            at = part.field("p").to_numpy(False).astype(np.int64) + offs[owner]
+            lo, hi = np.maximum(at - OFFSETS + 1, offs[owner]), np.minimum(at + SPAN, offs[owner + 1])
+            left = [bytes(raw[x:y])[::-1] for x, y in zip(lo.tolist(), at.tolist())]
+            right = [bytes(raw[x:y]) for x, y in zip(at.tolist(), hi.tolist())]
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("_t").take(take), *(part.field(c) for c in ("p", "lo", "hi", "rank", "a0", "a1", "c")), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=["doc_id", "_t", "p", "lo", "hi", "rank", "a0", "a1", "c", "left", "right"],
+            )
+
+    return rows.select("doc_id", "_t", "text", "asked").mapInArrow(run, f"doc_id {kind}, _t long, p int, lo int, hi int, rank long, a0 long, a1 long, c long, left binary, right binary")
+
+
+def padded(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of bytes as a matrix; what a row lacks is filled with numbers no other row has."""
+    data, offs = utf8(column)
+    n = len(offs) - 1
+    out = np.repeat(256 + np.arange(n, dtype=np.int32), width).reshape(n, width)
+    size = np.diff(offs)
+    inside = np.arange(int(size.sum())) - np.repeat(offs[:-1] - offs[0], size)
+    out[np.repeat(np.arange(n), size), inside] = data[offs[0] : offs[-1]]
+    return out
+
+
+def common_strings(rows: DataFrame) -> DataFrame:
+    """(doc_id, _t, a, b): strings of SPAN bytes and more shared by positions of one rank."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    d = rows.repartition("rank").sortWithinPartitions("rank")
+
+    def equal(x: np.ndarray) -> np.ndarray:
+        other = x[:, :, None, :] != x[:, None, :, :]
+        return np.where(other.any(-1), other.argmax(-1), x.shape[-1])
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        rank = t.column("rank").to_numpy()
+        left, right = padded(t.column("left").combine_chunks(), OFFSETS - 1), padded(t.column("right").combine_chunks(), SPAN)
+        head = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+        size = np.diff(np.concatenate([head, [rank.size]]))
+        at, l_, r_ = [], [], []
+        for c in np.unique(size[size > 1]).tolist():
+            groups = head[size == c]
+            step = max(1, (1 << 24) // (c * c * SPAN))
+            for i in range(0, groups.size, step):
+                rows_ = groups[i : i + step, None] + np.arange(c)
+                lc, rc = equal(left[rows_]), equal(right[rows_])
+                lc[:, np.arange(c), np.arange(c)] = -SPAN  # a place is not its own other place
+                g, x, y = np.nonzero(lc + rc >= SPAN)
+                at.append(rows_[g, x])
+                l_.append(lc[g, x, y])
+                r_.append(rc[g, x, y])
+        at, l_, r_ = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, l_, r_))
+        p = t.column("p").to_numpy().astype(np.int64)[at]
+        pairs = np.unique(np.stack([at, p - l_, p + r_], 1), axis=0) if at.size else np.zeros((0, 3), np.int64)
+        take = pa.array(pairs[:, 0])
+        return pa.RecordBatch.from_arrays([t.column("doc_id").take(take).combine_chunks(), t.column("_t").take(take).combine_chunks(), pa.array(pairs[:, 1], pa.int32()), pa.array(pairs[:, 2], pa.int32())], names=["doc_id", "_t", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the rank that may go on, GROUP at most
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            rank = t.column("rank").to_numpy()
+            cut = np.flatnonzero(rank[1:] != rank[:-1])
+            at = int(cut[-1]) + 1 if cut.size else 0
+            if at:
+                yield work(t.slice(0, at))
+            rest = t.slice(at)
+        if rest is not None and rest.num_rows:
+            yield work(rest)
+
+    return d.mapInArrow(run, f"doc_id {kind}, _t long, a int, b int")
+
+
+def border_ranks(rows: DataFrame) -> DataFrame:
+    """(doc_id, _t, a, w1, w2): pairs of ranks of the asked strings that start before a position."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                t = batch.slice(i, 2048)
+                p, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("p", "lo", "hi"))
+                m = [t.column(f"a{k}").to_numpy().view(np.uint64) for k in (0, 1)]
+                texts = [x.as_py()[::-1] + y.as_py() for x, y in zip(t.column("left"), t.column("right"))]
+                piece = np.frombuffer(b"".join(texts), np.uint8)
+                size = np.array([len(x) for x in texts])
+                zero = np.cumsum(size) - size + np.array([len(x.as_py()) for x in t.column("left")])
+                row, start = [], []
+                for o in range(OFFSETS):
+                    hit = np.flatnonzero(((m[o >> 6] >> np.uint64(o & 63)) & np.uint64(1)).astype(bool) & (lo <= o) & (o <= hi))
+                    row.append(hit)
+                    start.append(zero[hit] - o)
+                row, start = np.concatenate(row), np.concatenate(start)
+                if not row.size:
                     continue
-                s = start[i:j] - lo
-                w1, w2 = (Names(data[lo:hi], k).at(s, SPAN).view(np.int64) for k in (0, 1))
-                take = pa.array(row[i:j])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("_t").take(take), pa.array(start[i:j] - offs[row[i:j]], pa.int32()), pa.array(w1), pa.array(w2)],
-                    names=["doc_id", "_t", "a", "w1", "w2"],
-                )
+                w1, w2 = (Names(piece, k).at(start, SPAN).view(np.int64) for k in (0, 1))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([t.column("doc_id").take(take), t.column("_t").take(take), pa.array(p[row] + start - zero[row], pa.int32()), pa.array(w1), pa.array(w2)], names=["doc_id", "_t", "a", "w1", "w2"])
 
-    return rows.select("doc_id", "_t", "text", "asked").mapInArrow(run, f"doc_id {kind}, _t long, a int, w1 long, w2 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, _t long, a int, w1 long, w2 long")
 
 
-def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs covered by strings of SPAN bytes at the given starts."""
-    s = np.unique(starts)
-    if not s.size:
+def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Union of the intervals [a, b) as sorted runs."""
+    if not a.size:
         return []
-    cut = np.flatnonzero(s[1:] > s[:-1] + SPAN)
-    return list(zip(s[np.concatenate([[0], cut + 1])].tolist(), (s[np.concatenate([cut, [s.size - 1]])] + SPAN).tolist()))
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    head = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    tail = np.concatenate([head[1:], [a.size]]) - 1
+    return list(zip(a[head].tolist(), reach[tail].tolist()))
+
+
+def repeated_spans(d: DataFrame) -> DataFrame:
+    """(_d, _k, spans): intervals of repeated bytes of each row of ``d(doc_id, _t, text)`` that has any."""
+    everything = stored(positions(d))
+    again = stored(ranked_again(everything))
+    forget(everything)
+    left = stored(borders(again))
+    forget(again)
+    open_ = left.where(F.col("rank").isNotNull())
+    own = [_bits(F.col("lo"), F.col("hi"), i) for i in (0, 1)]
+    asked = open_.groupBy("rank").agg(*[F.bit_or(F.when(F.col("asks"), m).otherwise(F.lit(0).cast("long"))).alias(f"a{i}") for i, m in enumerate(own)], F.count(F.lit(1)).alias("c")).where("c > 1 and (a0 <> 0 or a1 <> 0)")
+    members = open_.join(asked, "rank").select("doc_id", "_t", F.struct("p", "lo", "hi", "rank", "a0", "a1", "c").alias("x"))
+    # at most one entry per named position of the row
+    lists = members.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_list("x").alias("asked"))
+    around = stored(surroundings(d.join(lists, d["doc_id"].eqNullSafe(lists["_d"]) & (d["_t"] == lists["_k"]))))
+    few = common_strings(around.where(F.col("c") <= GROUP).drop("a0", "a1", "c", "lo", "hi"))
+    pairs = stored(border_ranks(around.where(F.col("c") > GROUP)))
+    twice = pairs.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("w1", "w2")
+    many = pairs.join(twice, ["w1", "w2"]).select("doc_id", "_t", "a", (F.col("a") + SPAN).alias("b"))
+    found = few.unionByName(many).select("doc_id", "_t", F.struct("a", "b").alias("x"))
+    covered = left.where(F.col("rank").isNull()).select("doc_id", "_t", F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")).alias("x"))
+    spans = stored(found.unionByName(covered).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_set("x").alias("spans")))
+    forget(pairs)
+    forget(around)
+    forget(left)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (bytes)."""
     d = docs.select("doc_id", text_key(F.col("text")).alias("_t"), "text")
     kind = d.schema["doc_id"].dataType.simpleString()
-    everything = materialise(positions(d))
-    often = everything.groupBy("rank").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("rank")
-    again = materialise(everything.join(often, "rank"))
-    past = again.where(F.col("whole").isNotNull()).groupBy("whole").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("whole").alias("_w"))
-    again = materialise(again.join(past, F.col("whole") == F.col("_w"), "left").withColumn("cover", F.col("_w").isNotNull()).drop("_w", "whole"))
-    asks = border_offsets(again).groupBy("rank").agg(F.bit_or("m0").alias("a0"), F.bit_or("m1").alias("a1"))
-    own = [_bits(F.col("near"), F.col("far"), i).bitwiseAND(F.col(f"a{i}")) for i in (0, 1)]
-    answers = again.join(asks, "rank").select("doc_id", "_t", F.struct("p", own[0].alias("m0"), own[1].alias("m1")).alias("x")).where("x.m0 <> 0 or x.m1 <> 0")
-    # at most one entry per named position of the row
-    asked = answers.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_set("x").alias("asked"))
-    same = lambda r: d["doc_id"].eqNullSafe(r["_d"]) & (d["_t"] == r["_k"])
-    borders = materialise(border_ranks(d.join(asked, same(asked))))
-    twice = borders.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("w1", "w2")
-    found = borders.join(twice, ["w1", "w2"]).select("doc_id", "_t", "a")
-    covered = again.where("cover").select("doc_id", "_t", F.col("p").alias("a"))
-    starts = found.unionByName(covered).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_set("a").alias("starts"))
-    full = d.join(starts, same(starts), "left").select("doc_id", "text", "starts")
+    s = repeated_spans(d)
+    full = d.join(s, d["doc_id"].eqNullSafe(s["_d"]) & (d["_t"] == s["_k"]), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            raw = data.tobytes() if data.size < (1 << 20) else memoryview(data)
+            raw = memoryview(np.ascontiguousarray(data))
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
-            for i, s in enumerate(batch.column("starts")):
+            for i, s in enumerate(batch.column("spans")):
                 lo, hi = int(offs[i]), int(offs[i + 1])
-                spans = spans_of(s.values.to_numpy(False)) if s.is_valid else []
+                spans = merged(*(s.values.field(c).to_numpy(False).astype(np.int64) for c in "ab")) if s.is_valid else []
                 at, parts = lo, []
                 for x, y in spans:
                     parts.append(raw[at : lo + x])
