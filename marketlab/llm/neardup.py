@@ -10,8 +10,11 @@ minima. Rounds stop when a row's bins are full, after a few for usual texts.
 Candidates share a band of ``ROWS`` coordinates. Equal sets are folded first.
 In each bucket, sets are tested against the bucket's smallest set, best hub
 first; buckets whose sets are one component then need no further test. In the
-others every pair across components is tested unless the sketches, six
-deviations off, rule it out. All tests compare the full shingle sets, so a link
+others every pair across components is tested unless it is ruled out: shared
+shingles occur in two of the remaining sets at least, so the number of such
+shingles of either set bounds the intersection (this leaves few pairs of a
+group of variants, whose own changes occur once); or the sketches differ by
+six deviations. All tests compare the full shingle sets, so a link
 is never false; a pair at the threshold is missed with probability
 ``(1 - 0.75^ROWS)^BANDS`` (3e-7).
 
@@ -29,8 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketlab.llm.common import BLANK_WORDS, components, mix, row_blocks, text_key, utf8, word_spans
-from marketlab.session import materialise
+from marketlab.llm.common import BLANK_WORDS, components, forget, mix, row_blocks, stored, text_key, utf8, word_spans
 
 SHINGLE = 5
 PERCENT = 75
@@ -162,36 +164,61 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, deviat
     return wide.select("a", "b", "_ka", "_kb").mapInArrow(run, "a long, b long")
 
 
+def across(m: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of sets in one bucket and different components that may meet the threshold.
+
+    ``m(key, rid, root, main)``: members of mixed buckets; one side of a pair is
+    outside the bucket's largest component. A pair needs
+    ``(100 + percent) * shared >= percent * (n_a + n_b)``, and ``shared`` is at most the
+    number of shingles of a set that other sets here hold as well. Sets are
+    joined by size class, so sizes out of reach never meet.
+    """
+    here = m.select("rid").distinct().join(sets.dropDuplicates(["rid"]), "rid")
+    each = here.select("rid", F.explode("s").alias("g"))
+    twice = each.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("g")
+    known = each.join(twice, "g").groupBy("rid").agg(F.count(F.lit(1)).alias("k"))
+    size = stored(here.select("rid", F.size("s").alias("n")).join(known, "rid").where(100 * F.col("k") >= percent * F.col("n")))
+    top = lambda n, k: ((100 + percent) * F.col(k) - percent * F.col(n)) / percent  # largest partner
+    cls = lambda v: F.floor(F.log(F.greatest(v.cast("double"), F.lit(1.0))) / F.lit(0.05)).cast("int")
+    w = m.join(size, "rid")
+    x = w.where("root <> main").select("key", F.col("rid").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("k").alias("xk"))
+    x = x.withColumn("cls", F.explode(F.sequence(cls(F.col("xn") * percent / 100.0), cls(F.least(F.col("xn") * 100.0 / percent, top("xn", "xk"))))))
+    y = w.select("key", F.col("rid").alias("y"), F.col("root").alias("yr"), "main", F.col("n").alias("yn"), F.col("k").alias("yk"), cls(F.col("n")).alias("cls"))
+    reach = (100 + percent) * F.least("xk", "yk") >= percent * (F.col("xn") + F.col("yn"))
+    met = x.join(y, ["key", "cls"]).where((F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))) & reach)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, _t (text key), n_shingles, root (names the group, null for empty sets), component_id, kept."""
-    sk = materialise(sketch_rows(docs))
+    sk = stored(sketch_rows(docs))
     full = sk.where("n > 0")
     cells = full.select("rid", F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("_far")).where("hub <> _far").select("key", "hub")
-    members = materialise(cells.join(shared, "key").distinct())  # (key, rid, hub) of buckets with more than one set
+    members = stored(cells.join(shared, "key").distinct())  # (key, rid, hub) of buckets with more than one set
     # texts of all sets that need a test, one document per set
     wanted = members.select("rid").distinct()
     keys = full.join(wanted, "rid").groupBy("rid").agg(F.min(F.struct("doc_id", "_t")).alias("k")).select("rid", F.col("k.doc_id").alias("_d"), F.col("k._t").alias("_k"))
     own = docs.select("doc_id", "text").withColumn("_t", text_key(F.col("text")))
-    sets = materialise(full_sets(own.join(keys, own["doc_id"].eqNullSafe(keys["_d"]) & (own["_t"] == keys["_k"])).select("rid", "text")))
+    sets = stored(full_sets(own.join(keys, own["doc_id"].eqNullSafe(keys["_d"]) & (own["_t"] == keys["_k"])).select("rid", "text")))
     sketches = full.join(wanted, "rid").groupBy("rid").agg(F.first("sketch").alias("sketch"))
     # first the most promising hub of each set
     tried = members.where("rid <> hub").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("c"))
-    tried = materialise(tried.groupBy(F.col("rid").alias("a")).agg(F.max_by("hub", F.struct(F.col("c"), F.col("hub"))).alias("b")))
-    edges = materialise(verify(tried, sets, percent))
+    tried = stored(tried.groupBy(F.col("rid").alias("a")).agg(F.max_by("hub", F.struct(F.col("c"), F.col("hub"))).alias("b")))
+    edges = stored(verify(tried, sets, percent))
     roots = components(edges)
     # then all pairs across components of buckets that still hold more than one
     m = members.join(roots, members["rid"] == roots["node"], "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
     per = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    m = materialise(m.join(per.select("key", "main"), "key"))
-    x = m.where("root <> main").select("key", F.col("rid").alias("x"), F.col("root").alias("xr"))
-    y = m.select("key", F.col("rid").alias("y"), F.col("root").alias("yr"), "main")
-    cross = x.join(y, "key").where("xr <> yr and (yr = main or x < y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    m = stored(m.join(per.select("key", "main"), "key"))
+    cross = across(m, sets, percent)
     cross = cross.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(verify(likely(cross, sketches, percent), sets, percent))
+    more = stored(verify(likely(cross, sketches, percent), sets, percent))
     roots = components(edges.unionByName(more))
     named = full.groupBy("rid").agg(F.min("doc_id").alias("low")).join(roots, F.col("rid") == F.col("node"), "left").select("rid", "low", F.coalesce("root", "rid").alias("root"))
-    named = materialise(named)
+    named = stored(named)
+    for frame in (members, sets, tried, edges, m, more):
+        forget(frame)
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     label = named.join(low, "root").select(F.col("rid").alias("_r"), "root", "component_id")
     out = sk.join(label, (F.col("rid") == F.col("_r")) & (F.col("n") > 0), "left")
