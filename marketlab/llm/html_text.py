@@ -32,6 +32,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketlab.llm.common import stored
+
 SUPPORT = 0.5  # share of the host's pages a valid class is on
 TEXT_SUPPORT, TEXT_PAGES = 0.9, 4  # for text blocks outside articles
 MOST = 0.6  # share of the text the article's element holds
@@ -197,7 +199,8 @@ def templates(tokens: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, host, main (role of the article's element), text, n_chars."""
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = templates(page_tokens(p.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")))
+    # one row per host, written so that its size is known when the join is planned: pages of a hot host stay spread
+    found = stored(templates(page_tokens(p.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html"))))
     q = p.join(found.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "host", "html", "main", "fixed")
     schema = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, host string, main string, fixed array<long>, blocks array<struct<token:string,text:string>>"
 
