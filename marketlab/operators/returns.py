@@ -4,48 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from marketlab.operators.ranking import carry_forward
-from marketlab.operators.series import SERIES_LIMIT, series_window, split_series, whole_series
+from marketlab.operators.series import CHUNK_ROWS, series_window, split_series, whole_series
+from marketlab.session import materialise
 
 
-def lagged_returns(snapshots: DataFrame, lags: Sequence[int] = (1, 6, 24)) -> DataFrame:
+def lagged_returns(snapshots: DataFrame, lags: Sequence[int] = (1, 6, 24), size: int = CHUNK_ROWS) -> DataFrame:
     """Row form: return against the quote k rows earlier, only if it was positive."""
     s = snapshots.where(F.col("mid").isNotNull()).select("token_id", F.col("snapshot_ts").alias("ts"), "mid")
-    s = split_series(s, "token_id", "ts", max(lags))
+    s = split_series(s, "token_id", "ts", max(lags), size=size)
     w = series_window(s, "token_id", "ts")
     past = lambda k: F.lag("mid", k).over(w)
     s = s.withColumns({f"ret_{k}h": F.when(past(k) > 0, F.col("mid") / past(k) - 1) for k in lags})
     return whole_series(s).select("token_id", "ts", *[f"ret_{k}h" for k in lags])
 
 
-def timed_returns(snapshots: DataFrame, hours: Sequence[int] = (1, 6, 24), limit: int = SERIES_LIMIT) -> DataFrame:
-    """Clock form: return against the latest quote at least h hours old.
+def timed_returns(snapshots: DataFrame, hours: Sequence[int] = (1, 6, 24)) -> DataFrame:
+    """Clock form: return against the latest quote at least h hours old, one row per quote.
 
-    A range frame ending h hours back keeps the lookup inside the token's own
-    sorted window. If a token is too long for one task, quotes and shifted
-    probes are merged and the last quote is carried across range slices.
+    Quotes and probes (each quote shifted by h) are sorted together, quotes of
+    an instant before its probes, and the last quote is carried across range
+    slices: no series is sorted in one task. Of quotes of one instant the
+    highest is the latest.
     """
-    s = snapshots.where(F.col("mid").isNotNull()).select("token_id", F.col("snapshot_ts").alias("ts"), "mid").withColumn("_at", F.unix_micros("ts"))
-    longest = s.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= limit:
-        w = lambda h: W.partitionBy("token_id").orderBy("_at").rangeBetween(W.unboundedPreceding, -h * 3_600_000_000)
-        s = s.withColumns({f"_p{h}": F.last("mid", ignorenulls=True).over(w(h)) for h in hours})
-    else:
-        for h in hours:
-            quote = s.select("token_id", F.col("_at").alias("_t"), F.lit(0).alias("_kind"), F.col("mid").alias("_q"), F.lit(None).cast("long").alias("_at"))
-            probe = s.select("token_id", (F.col("_at") - h * 3_600_000_000).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_q"), "_at")
-            # a quote at exactly the probed instant counts
-            seen = carry_forward(quote.unionByName(probe), [F.col("_t").asc(), F.col("_kind").asc(), F.col("_at").asc_nulls_first()], "_q", f"_p{h}", ["token_id"])
-            s = s.join(seen.where(F.col("_kind") == 1).select("token_id", "_at", f"_p{h}"), ["token_id", "_at"], "left")
-    return s.select("token_id", "ts", *[F.when(F.col(f"_p{h}") > 0, F.col("mid") / F.col(f"_p{h}") - 1).alias(f"ret_{h}h") for h in hours])
+    s = snapshots.where(F.col("mid").isNotNull()).select("token_id", F.col("snapshot_ts").alias("ts"), "mid", F.unix_micros("snapshot_ts").alias("_at"))
+    s = materialise(s.withColumn("_row", F.monotonically_increasing_id()))
+    kinds = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("k")), *[F.struct(F.lit(h).cast("long").alias("h"), F.lit(1).alias("k")) for h in hours])
+    both = s.withColumn("_x", F.explode(kinds)).select("token_id", "ts", "mid", "_row", F.col("_x.h").alias("_h"), F.col("_x.k").alias("_kind"), (F.col("_at") - F.col("_x.h") * 3_600_000_000).alias("_t"))
+    both = both.withColumn("_q", F.when(F.col("_kind") == 0, F.col("mid")))
+    seen = carry_forward(both, [F.col("_t").asc(), F.col("_kind").asc(), F.col("_q").asc_nulls_first(), F.col("_row").asc()], "_q", "_p", ["token_id"])
+    past = {h: F.max(F.when(F.col("_h") == h, F.col("_p"))) for h in hours}
+    rows = seen.where(F.col("_kind") == 1).groupBy("_row", "token_id", "ts", "mid").agg(*[past[h].alias(f"_p{h}") for h in hours])
+    return rows.select("token_id", "ts", *[F.when(F.col(f"_p{h}") > 0, F.col("mid") / F.col(f"_p{h}") - 1).alias(f"ret_{h}h") for h in hours])
 
 
 def period_returns(curve: DataFrame, keys: Sequence[str], capital: float = 100_000.0) -> DataFrame:
     """Step return on the starting capital and percent change of equity."""
-    w = W.partitionBy(*keys).orderBy("ts")
-    last = F.lag("equity").over(w)
-    return curve.select("ts", *keys, F.coalesce(F.when(last.isNotNull(), F.col("pnl")), F.lit(0.0)).alias("_p"), (F.col("equity") / last - 1).alias("pct_return")).select(
-        "ts", *keys, (F.col("_p") / capital).alias("step_return"), "pct_return"
-    )
+    c = split_series(curve.select("ts", *keys, "pnl", "equity"), keys, "ts", 1)
+    last = F.lag("equity").over(series_window(c, keys, "ts"))
+    c = c.withColumns({"_p": F.coalesce(F.when(last.isNotNull(), F.col("pnl")), F.lit(0.0)), "pct_return": F.col("equity") / last - 1})
+    return whole_series(c).select("ts", *keys, (F.col("_p") / capital).alias("step_return"), "pct_return")

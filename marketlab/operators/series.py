@@ -1,43 +1,50 @@
 """Row windows over series of any length.
 
-A key normally fits one window task. When one key (a hot token) exceeds the
-limit, its series is cut into chunks that carry a halo of neighbouring rows,
-so lags, rolling frames and leads inside a chunk see exactly what they need.
+Every series is cut into chunks of equal length along one total order (time,
+then a hash of the row, so that quotes of one instant keep their places). A
+chunk carries the neighbouring rows its windows reach, so lags, rolling frames
+and leads see what they would see in the whole series, whatever the length of
+a chunk; a series shorter than a chunk is one chunk without neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from marketlab.operators.ranking import rank_rows
 
-SERIES_LIMIT = 2_000_000  # rows of one key that a window task may sort
+CHUNK_ROWS = 100_000  # rows of one key that a window task sorts at once
+
+
+def _names(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def split_series(df: DataFrame, key: str, order: str, before: int, after: int = 0, limit: int = SERIES_LIMIT) -> DataFrame:
-    """The frame as it is, or cut into chunks with halo rows when a key is too long.
+def split_series(df: DataFrame, key: str | Sequence[str], order: str, before: int, after: int = 0, size: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with their place ``_rn``, chunk ``_chunk`` and ``_halo`` (true for neighbours of a chunk).
 
-    One aggregate with map-side combine finds the longest key. Chunks are as
-    long as the limit, so one neighbour supplies the whole halo.
+    Chunks are at least as long as the reach, so one neighbour supplies it.
     """
-    longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= limit:
-        return df
-    size = max(limit, before, after, 1)
+    size = max(size, before, after, 1)
     pos = F.col("_rn") - 1
     chunk, off = F.floor(pos / size), pos % size
     copy = lambda c, halo: F.struct(c.cast("long").alias("c"), F.lit(halo).alias("h"))
-    copies = F.array_compact(F.array(copy(chunk, False), F.when(off >= size - before, copy(chunk + 1, True)), F.when((off < after) & (chunk > 0), copy(chunk - 1, True))))
-    cut = rank_rows(df, [F.col(order).asc()], [key], "_rn", "_n").withColumn("_s", F.explode(copies))
-    return cut.withColumns({"_chunk": F.col("_s.c"), "_halo": F.col("_s.h")}).drop("_s", "_rn", "_n")
+    later = F.when((off >= size - before) & (pos + (size - off) < F.col("_n")), copy(chunk + 1, True))
+    copies = F.array_compact(F.array(copy(chunk, False), later, F.when((off < after) & (chunk > 0), copy(chunk - 1, True))))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    cut = rank_rows(df, [F.col(order).asc(), tie.asc()], _names(key), "_rn", "_n").withColumn("_s", F.explode(copies))
+    return cut.withColumns({"_chunk": F.col("_s.c"), "_halo": F.col("_s.h")}).drop("_s", "_n")
 
 
-def series_window(df: DataFrame, key: str, order: str) -> W:
-    """Window inside a key, or inside a chunk of it."""
-    keys = [key, "_chunk"] if "_chunk" in df.columns else [key]
-    return W.partitionBy(*keys).orderBy(order)
+def series_window(df: DataFrame, key: str | Sequence[str], order: str) -> W:
+    """Window inside a chunk along its places, or inside a key of a frame that was not split."""
+    if "_chunk" in df.columns:
+        return W.partitionBy(*_names(key), "_chunk").orderBy("_rn")
+    return W.partitionBy(*_names(key)).orderBy(order)
 
 
 def whole_series(df: DataFrame) -> DataFrame:
-    """Drop halo rows and the chunk marks."""
-    return df.where(~F.col("_halo")).drop("_chunk", "_halo") if "_halo" in df.columns else df
+    """Drop neighbour rows and the marks of chunks."""
+    return df.where(~F.col("_halo")).drop("_chunk", "_halo", "_rn") if "_halo" in df.columns else df
