@@ -7,16 +7,18 @@ is filled at the latest then, and the share of equal coordinates of two
 sketches concentrates around the Jaccard similarity as for independent
 minima. Rounds stop when a row's bins are full, after a few for usual texts.
 
-Candidates share a band of ``ROWS`` coordinates. Equal sets are folded first.
-In each bucket, sets are tested against the bucket's smallest set, best hub
-first; buckets whose sets are one component then need no further test. In the
-others every pair across components is tested unless it is ruled out: shared
-shingles occur in two of the remaining sets at least, so the number of such
-shingles of either set bounds the intersection (this leaves few pairs of a
-group of variants, whose own changes occur once); or the sketches differ by
-six deviations. All tests compare the full shingle sets, so a link
-is never false; a pair at the threshold is missed with probability
-``(1 - 0.75^ROWS)^BANDS`` (3e-7).
+Candidates share a band of ``ROWS`` coordinates. Equal sets are folded first. In
+each bucket, every set is tested against a hub: the set that shares buckets with
+the most others (of a text and its variants that is the text). Two sets u, v of
+a bucket are tested against each other only if they share a change to its hub h:
+with neither an addition nor an omission in common, J(u, v) <= J(v, h), so a
+link of u and v where v does not link to h needs one. If it is an omission alone,
+the smaller overlap with the hub bounds their intersection, which rules out all
+partners that are not notably smaller than the hub. Pairs of a large group of
+variants therefore never meet unless they changed alike, and no link is lost.
+Sketches that differ by six deviations rule out a pair first. All tests compare
+the full shingle sets, so a link is never false; a pair at the threshold is
+missed with probability ``(1 - 0.75^ROWS)^BANDS`` (3e-7).
 
 Defined results: null, empty and blank texts have the empty set and link to
 nothing; texts below five words are one shingle; equal texts link; null ids
@@ -164,29 +166,33 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, deviat
     return wide.select("a", "b", "_ka", "_kb").mapInArrow(run, "a long, b long")
 
 
-def across(m: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of sets in one bucket and different components that may meet the threshold.
-
-    ``m(key, rid, root, main)``: members of mixed buckets; one side of a pair is
-    outside the bucket's largest component. A pair needs
-    ``(100 + percent) * shared >= percent * (n_a + n_b)``, and ``shared`` is at most the
-    number of shingles of a set that other sets here hold as well. Sets are
-    joined by size class, so sizes out of reach never meet.
-    """
-    here = m.select("rid").distinct().join(sets.dropDuplicates(["rid"]), "rid")
-    each = here.select("rid", F.explode("s").alias("g"))
-    twice = each.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("g")
-    known = each.join(twice, "g").groupBy("rid").agg(F.count(F.lit(1)).alias("k"))
-    size = stored(here.select("rid", F.size("s").alias("n")).join(known, "rid").where(100 * F.col("k") >= percent * F.col("n")))
-    top = lambda n, k: ((100 + percent) * F.col(k) - percent * F.col(n)) / percent  # largest partner
-    cls = lambda v: F.floor(F.log(F.greatest(v.cast("double"), F.lit(1.0))) / F.lit(0.05)).cast("int")
-    w = m.join(size, "rid")
-    x = w.where("root <> main").select("key", F.col("rid").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("k").alias("xk"))
-    x = x.withColumn("cls", F.explode(F.sequence(cls(F.col("xn") * percent / 100.0), cls(F.least(F.col("xn") * 100.0 / percent, top("xn", "xk"))))))
-    y = w.select("key", F.col("rid").alias("y"), F.col("root").alias("yr"), "main", F.col("n").alias("yn"), F.col("k").alias("yk"), cls(F.col("n")).alias("cls"))
-    reach = (100 + percent) * F.least("xk", "yk") >= percent * (F.col("xn") + F.col("yn"))
-    met = x.join(y, ["key", "cls"]).where((F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))) & reach)
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n, i, link, added, omitted): sets a of n shingles, i of them in hub b, and their changes to it."""
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("_sb")), "b")
+    both = both.withColumns({"n": F.size("_sa"), "i": F.size(F.array_intersect("_sa", "_sb"))})
+    link = 100 * F.col("i") >= percent * (F.col("n") + F.size("_sb") - F.col("i"))
+    omitted = F.when(100 * F.col("i") >= percent * F.col("n"), F.array_except("_sb", "_sa")).otherwise(F.array().cast("array<long>"))
+    return both.select("a", "b", "n", "i", link.alias("link"), F.array_except("_sa", "_sb").alias("added"), omitted.alias("omitted"))
+
+
+def alike(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) that share a change to one hub, one of them not linked to it."""
+    met = lambda x, y, more: x.join(y, ["b", "g"]).where("(link or x < y) and x <> y").where(more).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    busy = seen.groupBy("b").agg(F.count(F.lit(1)).alias("_n"), F.min("link").alias("_all")).where("_n > 1 and not _all").select("b")
+    t = seen.join(busy, "b").select("b", "a", "link", F.explode("added").alias("g"))
+    common = t.groupBy("b", "g").agg(F.count(F.lit(1)).alias("_n"), F.min("link").alias("_all")).where("_n > 1 and not _all").select("b", "g")
+    t = stored(t.join(common, ["b", "g"]))
+    added = met(t.where("not link").select("b", "g", F.col("a").alias("x")), t.select("b", "g", F.col("a").alias("y"), "link"), F.lit(True))
+    # omissions alone: (100 + percent) * min(i) >= percent * (n_x + n_y); first by the smallest size and the widest reach of the hub
+    up, per = 100 + percent, percent
+    reach = seen.groupBy("b").agg(F.min("n").alias("_least"), F.max(F.when(~F.col("link"), up * F.col("i") - per * F.col("n"))).alias("_reach"))
+    s = seen.join(reach, "b")
+    x = s.where(~F.col("link") & (up * F.col("i") >= per * (F.col("n") + F.col("_least")))).select("b", F.explode("omitted").alias("g"), F.col("a").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"))
+    y = s.where(per * F.col("n") <= F.col("_reach")).select("b", F.explode("omitted").alias("g"), F.col("a").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), "link")
+    omitted = met(x, y, up * F.least("xi", "yi") >= per * (F.col("xn") + F.col("yn")))
+    pairs = stored(added.unionByName(omitted).distinct())
+    forget(t)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -194,30 +200,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sk = stored(sketch_rows(docs))
     full = sk.where("n > 0")
     cells = full.select("rid", F.explode("bands").alias("key"))
-    shared = cells.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("_far")).where("hub <> _far").select("key", "hub")
-    members = stored(cells.join(shared, "key").distinct())  # (key, rid, hub) of buckets with more than one set
+    shared = cells.groupBy("key").agg(F.min("rid").alias("_near"), F.max("rid").alias("_far"), F.count(F.lit(1)).alias("size")).where("_near <> _far").select("key", "size")
+    members = stored(cells.join(shared, "key").distinct())  # (key, rid, size) of buckets with more than one set
+    central = members.groupBy("rid").agg(F.sum("size").alias("w"))
+    members = stored(members.join(central, "rid").select("key", "rid", "w"))
     # texts of all sets that need a test, one document per set
     wanted = members.select("rid").distinct()
     keys = full.join(wanted, "rid").groupBy("rid").agg(F.min(F.struct("doc_id", "_t")).alias("k")).select("rid", F.col("k.doc_id").alias("_d"), F.col("k._t").alias("_k"))
     own = docs.select("doc_id", "text").withColumn("_t", text_key(F.col("text")))
     sets = stored(full_sets(own.join(keys, own["doc_id"].eqNullSafe(keys["_d"]) & (own["_t"] == keys["_k"])).select("rid", "text")))
     sketches = full.join(wanted, "rid").groupBy("rid").agg(F.first("sketch").alias("sketch"))
-    # first the most promising hub of each set
-    tried = members.where("rid <> hub").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("c"))
-    tried = stored(tried.groupBy(F.col("rid").alias("a")).agg(F.max_by("hub", F.struct(F.col("c"), F.col("hub"))).alias("b")))
-    edges = stored(verify(tried, sets, percent))
-    roots = components(edges)
-    # then all pairs across components of buckets that still hold more than one
-    m = members.join(roots, members["rid"] == roots["node"], "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
-    per = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    m = stored(m.join(per.select("key", "main"), "key"))
-    cross = across(m, sets, percent)
-    cross = cross.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    hubs = members.groupBy("key").agg(F.max_by("rid", F.struct("w", "rid")).alias("b"))
+    seen = stored(compare(members.join(hubs, "key").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), sets, percent))
+    edges = seen.where("link").select("a", "b")
+    cross = alike(seen, percent)
     more = stored(verify(likely(cross, sketches, percent), sets, percent))
     roots = components(edges.unionByName(more))
     named = full.groupBy("rid").agg(F.min("doc_id").alias("low")).join(roots, F.col("rid") == F.col("node"), "left").select("rid", "low", F.coalesce("root", "rid").alias("root"))
     named = stored(named)
-    for frame in (members, sets, tried, edges, m, more):
+    for frame in (members, sets, seen, cross, more):
         forget(frame)
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     label = named.join(low, "root").select(F.col("rid").alias("_r"), "root", "component_id")

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marketlab.llm.common import CHUNK, forget, mix, row_blocks, stored, text_key, utf8
 
@@ -383,6 +383,19 @@ def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[head].tolist(), reach[tail].tolist()))
 
 
+def repeated_pairs(pairs: DataFrame, slices: int = 64) -> DataFrame:
+    """Rows of ``pairs`` whose (w1, w2) occurs again.
+
+    A pair is counted in slices first, so that a hot one is spread; rows alone
+    in their slice then meet one row of every other slice.
+    """
+    own = W.partitionBy("w1", "w2", "_s")
+    p = pairs.withColumn("_s", F.pmod(F.xxhash64("_t", "a"), F.lit(slices)))
+    p = stored(p.withColumns({"_c": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("_t", "a"))}))
+    ones = p.where("_r = 1").withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("w1", "w2")))
+    return p.where("_c > 1").select(*pairs.columns).unionByName(ones.where("_c = 1 and _m > 1").select(*pairs.columns))
+
+
 def repeated_spans(d: DataFrame) -> DataFrame:
     """(_d, _k, spans): intervals of repeated bytes of each row of ``d(doc_id, _t, text)`` that has any."""
     everything = stored(positions(d))
@@ -399,8 +412,7 @@ def repeated_spans(d: DataFrame) -> DataFrame:
     around = stored(surroundings(d.join(lists, d["doc_id"].eqNullSafe(lists["_d"]) & (d["_t"] == lists["_k"]))))
     few = common_strings(around.where(F.col("c") <= GROUP).drop("a0", "a1", "c", "lo", "hi"))
     pairs = stored(border_ranks(around.where(F.col("c") > GROUP)))
-    twice = pairs.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("w1", "w2")
-    many = pairs.join(twice, ["w1", "w2"]).select("doc_id", "_t", "a", (F.col("a") + SPAN).alias("b"))
+    many = repeated_pairs(pairs).select("doc_id", "_t", "a", (F.col("a") + SPAN).alias("b"))
     found = few.unionByName(many).select("doc_id", "_t", F.struct("a", "b").alias("x"))
     covered = left.where(F.col("rank").isNull()).select("doc_id", "_t", F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")).alias("x"))
     spans = stored(found.unionByName(covered).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_set("x").alias("spans")))
