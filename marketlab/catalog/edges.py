@@ -391,7 +391,7 @@ def f2(lake):
 # the split is on non-word characters of any script, as the word boundary of the Spark side
 _STOPS = ", ".join(f"'{w}'" for w in T.STEM_WORDS)
 CTES["stem"] = f"""
-SELECT *, CASE WHEN len(k) > 0 THEN array_to_string(k[1:8], ' ') ELSE trim(regexp_replace(regexp_replace(norm, '\\b(?:{'|'.join(T.STEM_WORDS)})\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS question_stem FROM (
+SELECT *, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE trim(regexp_replace(regexp_replace(norm, '\\b(?:{'|'.join(T.STEM_WORDS)})\\b', ' ', 'g'), '\\s+', ' ', 'g')) END AS question_stem FROM (
 SELECT *, list_sort(list_distinct(regexp_extract_all(array_to_string(list_filter(regexp_split_to_array(norm, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_STOPS})), ' '), '[a-z0-9]+'))) AS k FROM (
 SELECT *, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS norm FROM txt))"""
 
@@ -503,27 +503,43 @@ def j18(lake):
     return E.precedent_counts(t.where("active"), t.where("NOT active"))
 
 
-@query("j16_similar_titles")
-def j16(lake):
-    return L.similar_titles(lake.texts)
+def _ratio_sql(a: str, b: str) -> str:
+    x, y = (f"regexp_replace({c}, '[^\\x00-\\x7F]', '?', 'g')" for c in (a, b))
+    return f"CASE WHEN length({a}) > 0 AND length({b}) > 0 THEN 1.0 - levenshtein({x}, {y}) / greatest(length({x}), length({y}))::DOUBLE ELSE 0 END"
+
+
+CTES["ttit"] = "SELECT market_id::VARCHAR AS m, event_id, category, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS title, list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) AS toks, CASE WHEN coalesce(event_id, '') <> '' AND lower(event_id) <> 'none' THEN 'e:' || event_id ELSE 'c:' || coalesce(category, 'unknown') END AS block FROM txt WHERE question IS NOT NULL"
+CTES["trep"] = "SELECT block, toks, min(m) AS m, arg_min(title, m) AS title, arg_min(event_id, m) AS ev FROM ttit WHERE len(toks) > 0 GROUP BY block, toks"
+CTES["tpair"] = """SELECT a.m AS ma, b.m AS mb, a.title AS ta, b.title AS tb, a.ev AS ea, b.ev AS eb, len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))::DOUBLE AS jac FROM trep a JOIN trep b ON a.block = b.block AND a.m < b.m
+UNION ALL SELECT r.m, t.m, r.title, t.title, r.ev, t.event_id, 1.0 FROM ttit t JOIN trep r ON r.block = t.block AND r.toks = t.toks WHERE r.m <> t.m"""
+CTES["tscore"] = f"SELECT *, 0.6::DOUBLE * sim + 0.4::DOUBLE * jac AS score FROM (SELECT *, {_ratio_sql('ta', 'tb')} AS sim FROM tpair WHERE jac >= 0.55::DOUBLE - 1e-12)"
+CTES["tlink"] = f"""SELECT *, CASE WHEN ea <> '' AND ea = eb THEN 'same_event' WHEN regexp_matches(ta, '{T.DATE_HINT}') AND regexp_matches(tb, '{T.DATE_HINT}') AND (sim >= 0.7 OR jac >= 0.5) THEN 'time_window_consistency_candidate' WHEN sim >= 0.8 OR jac >= 0.65 THEN 'fuzzy_related' ELSE 'weak_related' END AS relation_type FROM tscore"""
+CTES["tbest"] = "SELECT least(me, you) AS lo, greatest(me, you) AS hi, min(rk) AS rk FROM (SELECT me, you, row_number() OVER (PARTITION BY me ORDER BY score DESC, you DESC) AS rk FROM (SELECT ma AS me, mb AS you, score FROM tlink UNION ALL SELECT mb, ma, score FROM tlink)) GROUP BY 1, 2"
+_LINKS = "SELECT md5(least(ma, mb) || '|' || greatest(ma, mb) || '|' || relation_type) AS link_id, least(ma, mb) AS market_id_a, greatest(ma, mb) AS market_id_b, relation_type, least(greatest(score, 0), 1) AS link_confidence FROM tlink JOIN tbest ON lo = least(ma, mb) AND hi = greatest(ma, mb) AND rk <= {k}"
+CTES["links12"] = _LINKS.format(k=12)
+LINK = ("link_id", "market_id_a", "market_id_b", "relation_type", "link_confidence")
 
 
 def links_of(lake):
     return memo(lake, "links", lambda: L.similar_titles(lake.texts))
 
 
-@query("t3_best_partners")
+@query("j16_similar_titles", "SELECT * FROM links12", "links12", "link_confidence")
+def j16(lake):
+    return links_of(lake).select(*LINK)
+
+
+@query("t3_best_partners", _LINKS.format(k=3), "tlink tbest", "link_confidence")
 def t3(lake):
-    m = L.similar_titles(lake.texts, per_market=3)
-    return m.select("link_id", "market_id_a", "market_id_b", "link_confidence")
+    return L.similar_titles(lake.texts, per_market=3).select(*LINK)
 
 
-@query("f3_sequence_ratio")
+@query("f3_sequence_ratio", f"SELECT market_a, market_b, {_ratio_sql('a.title', 'b.title')} AS ratio FROM relp JOIN ttit a ON a.m = market_a::VARCHAR JOIN ttit b ON b.m = market_b::VARCHAR", "relp ttit", "ratio")
 def f3(lake):
     p = related_of(lake)
     q = lake.texts.select("market_id", T.normal_text("question").alias("q"))
     j = p.join(q.select(F.col("market_id").alias("market_a"), F.col("q").alias("qa")), "market_a").join(q.select(F.col("market_id").alias("market_b"), F.col("q").alias("qb")), "market_b")
-    return j.select("market_a", "market_b", L.sequence_ratio("qa", "qb").alias("ratio"), L.edit_ratio(F.col("qa"), F.col("qb")).alias("edit_ratio"))
+    return j.select("market_a", "market_b", L.edit_ratio(F.col("qa"), F.col("qb")).alias("ratio"))
 
 
 @query("f6_relation_type", "SELECT market_a, market_b, CASE WHEN NOT dated THEN CASE WHEN similarity >= 0.8 THEN 'fuzzy_related' ELSE 'weak_related' END ELSE 'time_window_consistency_candidate' END AS relation_type FROM (SELECT c.*, regexp_matches(trim(regexp_replace(lower(a.question), '\\s+', ' ', 'g')), '" + T.DATE_HINT + "') AND regexp_matches(trim(regexp_replace(lower(b.question), '\\s+', ' ', 'g')), '" + T.DATE_HINT + "') AS dated FROM relp c JOIN txt a ON a.market_id = c.market_a JOIN txt b ON b.market_id = c.market_b)", "relp txt")
@@ -534,7 +550,14 @@ def f6(lake):
     return j.select("market_a", "market_b", L.relation_type(F.lit(""), F.lit(""), F.col("qa"), F.col("qb"), F.col("similarity"), lit(0)).alias("relation_type"))
 
 
-@query("a33_links_summary")
+@query(
+    "a33_links_summary",
+    """SELECT 'outcome_links' AS metric, count(*)::DOUBLE AS value, 'markets=' || count(DISTINCT y.market_id) AS detail FROM outc y JOIN outc n ON n.market_id = y.market_id WHERE y.outcome_label = 'Yes' AND n.outcome_label = 'No'
+UNION ALL SELECT 'market_sets', count(DISTINCT set_id)::DOUBLE, 'members=' || count(*) || ' avg_conf=' || printf('%.3f', coalesce(avg(link_confidence), 0)) FROM mset
+UNION ALL SELECT 'market_links:' || relation_type, count(*)::DOUBLE, '' FROM links12 GROUP BY relation_type""",
+    "outc mset links12",
+    "value",
+)
 def a33(lake):
     return L.links_summary(L.outcome_links(lake.outcomes), L.market_sets(lake.texts.select("market_id", "event_id", "category", "question", "active")), links_of(lake))
 

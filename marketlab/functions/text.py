@@ -79,11 +79,11 @@ def rule_scores(question: Column | str, description: Column | str, whole_words:
 
 
 def question_stem(question: Column | str) -> Column:
-    """First eight sorted words without stop words; the bare text if there are none."""
+    """All sorted words without stop words; the bare text if there are none."""
     bare = F.regexp_replace(normal_text(question), r"\b(?:" + "|".join(STEM_WORDS) + r")\b", " ")
     bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
     toks = F.array_sort(words(bare))
-    return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, 8), " ")).otherwise(bare)
+    return F.when(F.size(toks) > 0, F.array_join(toks, " ")).otherwise(bare)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType
 
 from marketlab.functions.columns import clip, lit
 from marketlab.functions.text import DATE_HINT, normal_text, question_stem, words
@@ -14,16 +10,11 @@ from marketlab.operators.similarity import cosine_pairs, fold_sets, jaccard_join
 from marketlab.session import materialise
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two texts, for candidate pairs only."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
-    """JVM-side stand-in for the sequence ratio from the edit distance."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), 1.0 - F.levenshtein(a, b) / longest).otherwise(lit(0))
+    """One minus the edit distance over the longer length; letters beyond ASCII count as one sign."""
+    x, y = (F.regexp_replace(c, r"[^\x00-\x7F]", "?") for c in (a, b))
+    longest = F.greatest(F.length(x), F.length(y))
+    return F.when((F.length(x) > 0) & (F.length(y) > 0), 1.0 - F.levenshtein(x, y) / longest).otherwise(lit(0))
 
 
 def relation_type(event_a: Column, event_b: Column, question_a: Column, question_b: Column, sim: Column, jac: Column) -> Column:
@@ -42,14 +33,13 @@ def link_id(a: Column, b: Column, relation: Column) -> Column:
     return F.md5(F.concat_ws("|", F.least(a, b), F.greatest(a, b), relation))
 
 
-def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_similarity: float = 0.55, per_market: int = 12) -> DataFrame:
+def similar_titles(markets: DataFrame, min_jaccard: float = 0.55, per_market: int = 12) -> DataFrame:
     """Links between markets of one event (else one category) with similar titles.
 
-    Titles are compared once per distinct word set: candidates come from an
-    exact Jaccard join, the character ratio is computed for candidates only,
-    and each title keeps its best partners. Markets with the same words are
-    linked to their representative. Titles sharing fewer than
-    ``candidate_jaccard`` of their words are not compared by characters.
+    A pair qualifies by the Jaccard similarity of its word sets, found by an
+    exact join; the edit ratio of the titles only ranks the pairs, and each
+    title keeps its best partners. Titles with equal words meet other titles
+    through their smallest market and are linked to it each with its own title.
     """
     m = markets.where(F.col("question").isNotNull()).select(
         F.col("market_id").cast("string").alias("market_id"), F.col("event_id").cast("string").alias("event_id"), "category", normal_text("question").alias("title")
@@ -57,15 +47,14 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
     has_event = F.coalesce((F.col("event_id") != "") & (F.lower("event_id") != "none"), F.lit(False))
     m = m.withColumns({"block": F.when(has_event, F.concat(F.lit("e:"), F.col("event_id"))).otherwise(F.concat(F.lit("c:"), F.coalesce("category", F.lit("unknown")))), "toks": words("title")})
     # the title of the smallest member stands for the folded set
-    sets = materialise(fold_sets(m, "block", "toks", "market_id", {"title": F.min_by("title", "market_id"), "event_id": F.min_by("event_id", "market_id")}))
-    p = jaccard_join(sets, sets, "block", candidate_jaccard, ordered_pairs=True)
-    side = lambda s, n: sets.select(F.col("set_id").alias(s), F.col("title").alias(f"title_{n}"), F.col("event_id").alias(f"event_{n}"), F.col("first_member").alias(f"market_{n}"))
-    p = p.join(side("l", "a"), "l").join(side("r", "b"), "r").select("market_a", "market_b", "title_a", "title_b", "event_a", "event_b", "jaccard")
+    sets = materialise(fold_sets(m, "block", "toks", "market_id", {"title": F.min_by("title", "market_id"), "event_id": F.min_by("event_id", "market_id"), "category": F.min_by("category", "market_id")}))
+    p = jaccard_join(sets, sets, "block", min_jaccard, ordered_pairs=True)
+    side = lambda s, n: sets.select(F.col("set_id").alias(s), F.col("title").alias(f"title_{n}"), F.col("event_id").alias(f"event_{n}"), F.col("category").alias(f"category_{n}"), F.col("first_member").alias(f"market_{n}"))
+    p = p.join(side("l", "a"), "l").join(side("r", "b"), "r").select("market_a", "market_b", "title_a", "title_b", "event_a", "event_b", "category_a", "category_b", "jaccard")
     # markets with the same words hang on their representative: n - 1 links, not n squared
     star = m.where(F.size("toks") > 0).withColumn("l", set_key("block", "toks")).join(side("l", "a"), "l").where(F.col("market_id") != F.col("market_a"))
-    p = p.unionByName(star.select("market_a", F.col("market_id").alias("market_b"), "title_a", F.col("title").alias("title_b"), "event_a", F.col("event_id").alias("event_b"), lit(1).alias("jaccard")))
-    p = p.withColumn("sim", sequence_ratio("title_a", "title_b"))
-    p = p.where(F.greatest("sim", "jaccard") >= min_similarity).withColumn("score", 0.6 * F.col("sim") + 0.4 * F.col("jaccard"))
+    p = p.unionByName(star.select("market_a", F.col("market_id").alias("market_b"), "title_a", F.col("title").alias("title_b"), "event_a", F.col("event_id").alias("event_b"), "category_a", F.col("category").alias("category_b"), lit(1).alias("jaccard")))
+    p = p.withColumn("sim", edit_ratio(F.col("title_a"), F.col("title_b"))).withColumn("score", 0.6 * F.col("sim") + 0.4 * F.col("jaccard"))
     p = p.withColumn("relation_type", relation_type(F.col("event_a"), F.col("event_b"), F.col("title_a"), F.col("title_b"), F.col("sim"), F.col("jaccard")))
     kept = best_partners(p, per_market)
     return kept.select(
@@ -75,7 +64,7 @@ def similar_titles(markets: DataFrame, candidate_jaccard: float = 0.25, min_simi
         "relation_type",
         clip("score", 0.0, 1.0).alias("link_confidence"),
         F.lit("event_id+fuzzy_title").alias("heuristic_source"),
-        F.to_json(F.struct(F.round("sim", 6).alias("title_similarity"), F.round("jaccard", 6).alias("token_jaccard"), F.coalesce("event_a", F.lit("")).alias("event_id_a"), F.coalesce("event_b", F.lit("")).alias("event_id_b"))).alias("metadata_json"),
+        F.to_json(F.struct(F.round("sim", 6).alias("title_similarity"), F.round("jaccard", 6).alias("token_jaccard"), F.coalesce("event_a", F.lit("")).alias("event_id_a"), F.coalesce("event_b", F.lit("")).alias("event_id_b"), F.coalesce("category_a", F.lit("")).alias("category_a"), F.coalesce("category_b", F.lit("")).alias("category_b"))).alias("metadata_json"),
     ).dropDuplicates(["link_id"])
 
 
