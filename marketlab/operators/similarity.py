@@ -37,12 +37,16 @@ def _ordered(sets: DataFrame, block: str) -> DataFrame:
     return rows.join(freq, [block, "token"]).groupBy("set_id", block).agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ranked"))
 
 
-def _meet(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
-    """Distinct (l, r) ids that share an index word, hot words salted."""
+def _meet(left: DataFrame, right: DataFrame, block: str, reachable: Column) -> DataFrame:
+    """Distinct (l, r) ids that share an index word from which the threshold is reachable, hot words salted.
+
+    ``reachable`` bounds a pair by what is left of both sides from the shared
+    word on. It holds at the first shared word of every qualifying pair.
+    """
     hot = right.groupBy(block, "token").agg(F.ceil(F.count(F.lit(1)) / SALT_SIZE).cast("int").alias("slices"))
     probe = left.join(hot, [block, "token"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     index = right.join(hot, [block, "token"]).withColumn("salt", F.pmod(F.xxhash64("r"), F.col("slices")).cast("int"))
-    return probe.join(index.drop("slices"), [block, "token", "salt"]).select("l", "r").distinct()
+    return probe.join(index.drop("slices"), [block, "token", "salt"]).where(reachable).select("l", "r").distinct()
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, block: str, threshold: float, ordered_pairs: bool = False) -> DataFrame:
@@ -55,11 +59,14 @@ def jaccard_join(left: DataFrame, right: DataFrame, block: str, threshold: float
     size = F.size("ranked")
     prefix = size - F.ceil(F.round(size * threshold, 9)).cast("int") + 1
     # read by both sides and by the word counts
-    index = materialise(ranked.select("set_id", block, F.explode(F.slice("ranked", F.lit(1), prefix)).alias("e")).select("set_id", block, "e.token"))
-    side = lambda df, name: index.join(df.select("set_id"), "set_id", "left_semi").select(F.col("set_id").alias(name), block, "token")
-    pairs = _meet(side(left, "l"), side(right, "r"), block)
+    index = materialise(ranked.select("set_id", block, size.alias("n"), F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("pos", "e")).select("set_id", block, "n", "pos", "e.token"))
+    side = lambda df, name: index.join(df.select("set_id"), "set_id", "left_semi").select(F.col("set_id").alias(name), block, "token", F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"p_{name}"))
+    # from the first shared word on, the shorter rest bounds the intersection; J >= t needs t / (1 + t) of both sizes
+    rest = F.least(F.col("n_l") - F.col("p_l"), F.col("n_r") - F.col("p_r"))
+    reachable = rest >= threshold / (1.0 + threshold) * (F.col("n_l") + F.col("n_r")) - 1e-9
     if ordered_pairs:
-        pairs = pairs.where(F.col("l") < F.col("r"))
+        reachable = reachable & (F.col("l") < F.col("r"))
+    pairs = _meet(side(left, "l"), side(right, "r"), block, reachable)
     out = pairs.join(left.select(F.col("set_id").alias("l"), F.col("tokens").alias("_lt")), "l").join(right.select(F.col("set_id").alias("r"), F.col("tokens").alias("_rt")), "r")
     both = F.size(F.array_intersect("_lt", "_rt"))
     out = out.withColumn("jaccard", both / (F.size("_lt") + F.size("_rt") - both).cast("double"))
@@ -89,8 +96,10 @@ def cosine_pairs(vectors: DataFrame, block: str, threshold: float) -> DataFrame:
     start = F.struct(lit(0).alias("sq"), F.array().cast("array<double>").alias("tail"))
     tails = F.aggregate(F.reverse("e"), start, lambda a, x: F.struct((a["sq"] + x["w"] * x["w"]).alias("sq"), F.array_append(a["tail"], a["sq"] + x["w"] * x["w"]).alias("tail")), lambda a: F.reverse(a["tail"]))
     v = materialise(v).withColumn("e", F.zip_with("e", tails, lambda x, s: F.struct(x["token"].alias("token"), x["w"].alias("w"), s.alias("rest"))))
-    index = v.select("doc", block, F.explode(F.filter("e", lambda x: x["rest"] >= threshold * threshold - 1e-9)).alias("x")).select("doc", block, "x.token")
-    pairs = _meet(index.withColumnRenamed("doc", "l"), index.withColumnRenamed("doc", "r"), block).where(F.col("l") < F.col("r"))
+    index = v.select("doc", block, F.explode(F.filter("e", lambda x: x["rest"] >= threshold * threshold - 1e-9)).alias("x")).select("doc", block, "x.token", "x.rest")
+    side = lambda n: index.select(F.col("doc").alias(n), block, "token", F.col("rest").alias(f"rest_{n}"))
+    # from the first shared token on, the lengths of both rests bound the product
+    pairs = _meet(side("l"), side("r"), block, (F.col("l") < F.col("r")) & (F.col("rest_l") * F.col("rest_r") >= threshold * threshold - 1e-9))
     as_map = v.select("doc", F.map_from_entries(F.transform("e", lambda x: F.struct(x["token"], x["w"]))).alias("m"), F.transform("e", lambda x: F.struct(x["token"].alias("token"), x["w"].alias("w"))).alias("e"))
     j = pairs.join(as_map.select(F.col("doc").alias("l"), F.col("e").alias("_le")), "l").join(as_map.select(F.col("doc").alias("r"), F.col("m").alias("_rm")), "r")
     dot = F.aggregate("_le", lit(0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(F.col("_rm"), x["token"]), lit(0)))
