@@ -45,6 +45,10 @@ def _group(text: Column) -> Column:
     return F.xxhash64(text, F.lit(3))
 
 
+def _piece(row: Column, pieces: Column) -> Column:
+    return F.pmod(F.xxhash64(row, F.lit(11)), pieces).cast("int")
+
+
 class Plan:
     """Shards of large groups (by piece) and of hash bundles; of bounded size."""
 
@@ -69,8 +73,17 @@ class Plan:
             most = float((v / total).max()) * shards
             pieces = 1 if most <= 0.5 else int(np.ceil(most * 8))
             self.large[g["group"]] = [0] * pieces
-            slots += [(self.large[g["group"]], p) for p in range(pieces)]
-            vectors += [v / pieces] * pieces
+            if pieces == 1:
+                slots.append((self.large[g["group"]], 0))
+                vectors.append(v)
+        # groups over half a shard (fewer than 6 * shards) weigh what their pieces hold
+        dealt = {g: len(p) for g, p in self.large.items() if len(p) > 1}
+        if dealt:
+            n = self.spark.createDataFrame(list(dealt.items()), "_g long, _n int")
+            parts = d.join(F.broadcast(n), F.col("group") == F.col("_g")).withColumn("_p", _piece(F.col("doc_id"), F.col("_n")))
+            for r in parts.groupBy("group", "_p").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("group", "_p").collect():
+                slots.append((self.large[r["group"]], r["_p"]))
+                vectors.append(np.array([r["b"], r["t"], r["n"]], float))
         for s in small:
             slots.append((self.small, s["_bundle"]))
             vectors.append(np.array([s["b"], s["t"], s["n"]], float))
@@ -83,7 +96,7 @@ class Plan:
         bundle = F.from_json(F.lit("[" + ",".join(map(str, self.small)) + "]"), T.ArrayType(T.IntegerType()))
         # at most 3 * shards * grain rows
         j = d.join(F.broadcast(rows), F.col("group") == F.col("_g"), "left")
-        piece = F.get("_at", F.pmod(F.xxhash64(row, F.lit(11)), F.size("_at")).cast("int"))
+        piece = F.get("_at", _piece(row, F.size("_at")))
         return j.withColumn(out, F.when(F.col("_g").isNotNull(), piece).otherwise(F.get(bundle, F.col("_bundle")))).drop("_g", "_at")
 
 

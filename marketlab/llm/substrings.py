@@ -305,7 +305,7 @@ def common_strings(rows: DataFrame) -> DataFrame:
         return np.where(other.any(-1), other.argmax(-1), x.shape[-1])
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        rank = t.column("rank").to_numpy()
+        rank, keys, p = t.column("rank").to_numpy(), t.column("_t").to_numpy(), t.column("p").to_numpy().astype(np.int64)
         left, right = padded(t.column("left").combine_chunks(), OFFSETS - 1), padded(t.column("right").combine_chunks(), SPAN)
         head = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
         size = np.diff(np.concatenate([head, [rank.size]]))
@@ -316,14 +316,15 @@ def common_strings(rows: DataFrame) -> DataFrame:
             for i in range(0, groups.size, step):
                 rows_ = groups[i : i + step, None] + np.arange(c)
                 lc, rc = equal(left[rows_]), equal(right[rows_])
-                lc[:, np.arange(c), np.arange(c)] = -SPAN  # a place is not its own other place
+                # a place is not its own other place, nor is its entry from the next piece of a long row
+                own = (keys[rows_][:, :, None] == keys[rows_][:, None, :]) & (p[rows_][:, :, None] == p[rows_][:, None, :])
+                lc[own] = -SPAN
                 g, x, y = np.nonzero(lc + rc >= SPAN)
                 at.append(rows_[g, x])
                 l_.append(lc[g, x, y])
                 r_.append(rc[g, x, y])
         at, l_, r_ = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, l_, r_))
-        p = t.column("p").to_numpy().astype(np.int64)[at]
-        pairs = np.unique(np.stack([at, p - l_, p + r_], 1), axis=0) if at.size else np.zeros((0, 3), np.int64)
+        pairs = np.unique(np.stack([at, p[at] - l_, p[at] + r_], 1), axis=0) if at.size else np.zeros((0, 3), np.int64)
         take = pa.array(pairs[:, 0])
         return pa.RecordBatch.from_arrays([t.column("doc_id").take(take).combine_chunks(), t.column("_t").take(take).combine_chunks(), pa.array(pairs[:, 1], pa.int32()), pa.array(pairs[:, 2], pa.int32())], names=["doc_id", "_t", "a", "b"])
 

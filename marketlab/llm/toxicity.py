@@ -114,10 +114,14 @@ def fit_sparse(texts: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray
         return r[s >= 0], s[s >= 0]
 
     rows, cols = sparse([i for _, i in texts])
-    prow, pcol = sparse([x for x, _ in pairs])
-    qrow, qcol = sparse([x for _, x in pairs])
+    # what a text and its swapped copy share cancels
+    prow, pcol = sparse([np.setdiff1d(x, z) for x, z in pairs])
+    qrow, qcol = sparse([np.setdiff1d(z, x) for x, z in pairs])
     w, bias, v, vb = np.zeros(kept.size), 0.0, np.zeros(kept.size), 0.0
     n, m = len(y), max(len(pairs), 1)
+    # steps below the bound of the curvature (by traces), at which momentum is stable
+    curve = 0.25 * (cols.size / n + 1) + ridge / n + 2 * lam * (pcol.size + qcol.size) / m
+    rate = min(0.5, 1.9 / curve)
     for _ in range(rounds):
         z = np.bincount(rows, w[cols], n) + bias
         g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
@@ -126,7 +130,7 @@ def fit_sparse(texts: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray
             # change of the log odds under a swap, squared
             change = np.bincount(prow, w[pcol], len(pairs)) - np.bincount(qrow, w[qcol], len(pairs))
             grad += 2 * lam / m * (np.bincount(pcol, change[prow], kept.size) - np.bincount(qcol, change[qrow], kept.size))
-        v, vb = 0.9 * v - 0.5 * grad, 0.9 * vb - 0.5 * g.mean()
+        v, vb = 0.9 * v - rate * grad, 0.9 * vb - rate * g.mean()
         w, bias = w + v, bias + vb
     full = np.zeros(1 << bits)
     full[kept] = w
