@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marketlab.operators.returns import lagged_returns
 from marketlab.session import materialise
@@ -16,12 +16,22 @@ def snapshot_job(w: Warehouse, market_raw: DataFrame, book_raw: DataFrame, seen:
     outcomes = w.upsert("market_outcomes", L.outcomes(market_raw))
     fresh = materialise(L.books(book_raw, outcomes.select("token_id", "market_id")))
     snaps = w.upsert("orderbook_snapshots", fresh)
-    refresh_returns(w, snaps, fresh.select("token_id").distinct())
-
-
-def refresh_returns(w: Warehouse, snapshots: DataFrame, tokens: DataFrame) -> None:
-    """Recompute returns only for the given tokens."""
-    w.upsert("returns", lagged_returns(snapshots.join(tokens, "token_id", "left_semi")))
+    refresh_returns(w, snaps, fresh)
+
+
+def refresh_returns(w: Warehouse, snapshots: DataFrame, fresh: DataFrame, lags: tuple[int, ...] = (1, 6, 24)) -> None:
+    """Returns of the tokens in ``fresh`` from their first new quote on.
+
+    Earlier returns do not change; of the history only the quotes the longest
+    lag reaches back to are kept, cut per token inside each map task.
+    """
+    since = fresh.where(F.col("mid").isNotNull()).groupBy("token_id").agg(F.min("snapshot_ts").alias("_since"))
+    s = snapshots.where(F.col("mid").isNotNull()).select("token_id", "snapshot_ts", "mid").join(since, "token_id")
+    back = F.row_number().over(W.partitionBy("token_id").orderBy(F.col("snapshot_ts").desc()))
+    past = s.where(F.col("snapshot_ts") < F.col("_since")).withColumn("_back", back).where(F.col("_back") <= max(lags)).drop("_back")
+    s = materialise(past.unionByName(s.where(F.col("snapshot_ts") >= F.col("_since"))))
+    new = lagged_returns(s, lags).join(since, "token_id").where(F.col("ts") >= F.col("_since")).drop("_since")
+    w.upsert("returns", new)
 
 
 def resolution_job(w: Warehouse, market_raw: DataFrame, seen: Column) -> None:

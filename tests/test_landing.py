@@ -83,3 +83,40 @@ def test_upsert_last_wins(spark):
 
 def test_missing_csv_is_empty(spark, tmp_path):
     assert read_csv(spark, str(tmp_path / "none"), "a int").count() == 0
+
+
+def test_upsert_touches_only_its_days(spark, tmp_path):
+    from marketlab.sources.warehouse import Warehouse
+
+    t = lambda d, h: dt.datetime(2024, 3, d, h)
+    cols = "token_id string, ts timestamp, ret_1h double"
+    w = Warehouse(spark, str(tmp_path))
+    w.upsert("returns", spark.createDataFrame([("a", t(1, 1), 0.1), ("a", t(2, 1), 0.2), ("a", t(2, 1), 0.3)], cols))
+    before = w._live("returns")
+    got = w.upsert("returns", spark.createDataFrame([("a", t(2, 1), 0.9), ("b", t(2, 5), 0.4)], cols))
+    assert w._live("returns") == [("2024-03-01", 1), ("2024-03-02", 2)] != before
+    assert sorted((r["token_id"], r["ret_1h"]) for r in got.collect()) == [("a", 0.1), ("a", 0.9), ("b", 0.4)]
+    assert w.retire("returns") == 1 and w.retire("returns") >= 0
+    assert w.read("returns").count() == 3
+    assert w.read("trades").count() == 0
+
+
+def test_repeated_key_is_settled_the_same_way(spark):
+    from marketlab.sources.warehouse import upsert
+
+    old = spark.createDataFrame([], "k long, v double")
+    rows = [(1, 0.5), (1, 0.7), (1, 0.6), (2, 0.1)]
+    got = [sorted(map(tuple, upsert(old, spark.createDataFrame(r, "k long, v double"), ["k"]).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_broken_table_is_an_error(spark, tmp_path):
+    import pytest
+
+    from marketlab.sources.warehouse import Warehouse
+
+    (tmp_path / "_log").mkdir()
+    (tmp_path / "_log" / "returns").mkdir()
+    (tmp_path / "_log" / "returns" / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        Warehouse(spark, str(tmp_path)).read("returns")
