@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from marketlab.llm.common import BLANK_WORDS, components, forget, mix, row_blocks, stored, text_key, utf8, word_spans
 
@@ -177,14 +177,17 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 def alike(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) that share a change to one hub, one of them not linked to it."""
+    up, per = 100 + percent, percent
     met = lambda x, y, more: x.join(y, ["b", "g"]).where("(link or x < y) and x <> y").where(more).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     busy = seen.groupBy("b").agg(F.count(F.lit(1)).alias("_n"), F.min("link").alias("_all")).where("_n > 1 and not _all").select("b")
-    t = seen.join(busy, "b").select("b", "a", "link", F.explode("added").alias("g"))
+    t = seen.join(busy, "b").select("b", "a", "n", "i", "link", F.explode("added").alias("g"))
     common = t.groupBy("b", "g").agg(F.count(F.lit(1)).alias("_n"), F.min("link").alias("_all")).where("_n > 1 and not _all").select("b", "g")
-    t = stored(t.join(common, ["b", "g"]))
-    added = met(t.where("not link").select("b", "g", F.col("a").alias("x")), t.select("b", "g", F.col("a").alias("y"), "link"), F.lit(True))
+    # an intersection is at most what both have in the hub and, of additions, what others here added too
+    t = t.join(common, ["b", "g"]).withColumn("k", F.count(F.lit(1)).over(W.partitionBy("b", "a")))
+    t = stored(t.where(up * (F.col("i") + F.col("k")) >= per * (F.col("n") + F.col("n") * percent / 100)))
+    side = lambda d, v: d.select("b", "g", F.col("a").alias(v), *[F.col(c).alias(f"{v}{c}") for c in ("n", "i", "k")], *(["link"] if v == "y" else []))
+    added = met(side(t.where("not link"), "x"), side(t, "y"), up * (F.least("xi", "yi") + F.least("xk", "yk")) >= per * (F.col("xn") + F.col("yn")))
     # omissions alone: (100 + percent) * min(i) >= percent * (n_x + n_y); first by the smallest size and the widest reach of the hub
-    up, per = 100 + percent, percent
     reach = seen.groupBy("b").agg(F.min("n").alias("_least"), F.max(F.when(~F.col("link"), up * F.col("i") - per * F.col("n"))).alias("_reach"))
     s = seen.join(reach, "b")
     x = s.where(~F.col("link") & (up * F.col("i") >= per * (F.col("n") + F.col("_least")))).select("b", F.explode("omitted").alias("g"), F.col("a").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"))
