@@ -22,15 +22,6 @@ def momentum(model: str = "heuristic") -> ST.Strategy:
     return ST.Strategy("momentum", lambda x: x["signal"], StrategyConfig(thresholds=(0.1, 0.2), holding_periods=(1, 3), model_type=model, model_candidates=("logistic", "bayesian"), cv_splits=2, label_mode="future_price_move"), ["velocity_1", "prob_vol_6", "liquidity_log", "spread_bps"])
 
 
-def counts(bundle):
-    """Row counts of every frame of a run."""
-    out = None
-    for n, df in sorted(bundle.items()):
-        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("report"), "n_rows")
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 def tables_of(lake) -> Tables:
     t = lake.texts.select("market_id", "question", "description")
     return Tables(lake.snapshots, lake.markets.join(t, "market_id", "left"), lake.outcomes, lake.resolutions, lake.trades)

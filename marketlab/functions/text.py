@@ -27,6 +27,7 @@ SOURCES = ("ap", "reuters", "associated press", "official website", "sec", "fede
 LOOSE_DATE = r"\b\d{4}\b|\bjan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec\b"
 WORD_DATE = r"\b(?:\d{4}|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\b"
 DATE_HINT = r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:,\s*\d{4})?\b|\b\d{4}-\d{2}-\d{2}\b"
+# fixed values: words a question stem leaves out
 STEM_WORDS = ("will", "who", "which", "the", "a", "an", "be", "is", "to", "win", "wins")
 
 

@@ -1,4 +1,4 @@
-"""Settings of the research operators; defaults are the published ones."""
+"""Settings of the research operators; the default numbers are fixed, published values."""
 
 from __future__ import annotations
 

@@ -34,6 +34,7 @@ class MinData:
     min_test_trades: int = 300
     min_fold_trades: int = 50
     enforce: bool = True
+    live_rows: int = 200  # quotes in the live report
 
 
 def inputs_of(t: Tables, unit: str = "hour") -> dict[str, DataFrame]:
@@ -109,7 +110,7 @@ def full_run(t: Tables, unit: str = "hour", strategies: list[str] | None = None,
     books = X.latest_books(t.snapshots, t.outcomes)
     parity, sums = X.complement_parity(books), X.outcome_sums(books)
     out["complement_parity"], out["outcome_sums"], out["parity_summary"] = parity, sums, X.parity_summary(parity, sums)
-    quotes = SG.quote_scores(panel).orderBy(F.col("expected_net_return").desc(), "ts", "token_id").limit(200)
+    quotes = SG.quote_scores(panel).orderBy(F.col("expected_net_return").desc(), "ts", "token_id").limit(limits.live_rows)
     out["live_quotes"] = quotes
     pre = materialise(Q.integrity(panel, limits.min_ts, limits.min_markets, limits.min_snapshots))
     out["integrity_pre"] = pre

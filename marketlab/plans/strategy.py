@@ -16,6 +16,7 @@ from marketlab.operators import costing as C, diagnostics as G, models as M, pai
 from marketlab.operators.config import PairStrategyConfig, StrategyConfig
 from marketlab.session import materialise
 
+# fixed values: model inputs, column names of the feature panel
 FEATURES = [
     "time_to_resolution_h", "prob_vol_6", "prob_vol_24", "depth_total", "spread_bps", "book_imbalance", "category_code", "market_age_h", "velocity_1", "velocity_3", "acceleration", "liquidity_log",
     "order_flow_imbalance_h", "trade_frequency_h", "vol_regime", "ttr_log", "ttr_sq", "near_resolution_24h", "near_resolution_72h", "momentum_decay", "related_prob_spread", "event_prob_dispersion", "category_prob_spread", "corr_cluster", "token_corr_category",
