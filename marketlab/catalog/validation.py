@@ -307,7 +307,7 @@ def a44(lake):
 
 
 CTES["csl"] = "SELECT slice, candidate, avg(ret) AS perf FROM (SELECT *, CASE WHEN id < (n % 8) * (n // 8 + 1) THEN id // (n // 8 + 1) ELSE n % 8 + (id - (n % 8) * (n // 8 + 1)) // (n // 8) END AS slice FROM cden) GROUP BY 1, 2"
-CTES["cmb"] = f"SELECT combo FROM (SELECT unnest(range(256))::BIGINT AS combo) WHERE bit_count(combo) = 4 ORDER BY {draw_sql('combo', '23')}, combo LIMIT 200"
+CTES["cmb"] = "SELECT combo FROM (SELECT unnest(range(256))::BIGINT AS combo) WHERE bit_count(combo) = 4"
 CTES["cpf"] = "SELECT c.combo, s.candidate, round(avg(perf) FILTER (WHERE (c.combo >> s.slice) % 2 = 1), 12) AS ip, round(avg(perf) FILTER (WHERE (c.combo >> s.slice) % 2 = 0), 12) AS op FROM cmb c CROSS JOIN csl s GROUP BY 1, 2"
 CTES["pbo"] = "SELECT combo, m::DOUBLE AS n_configs, candidate AS chosen_config, ir::DOUBLE AS chosen_is_rank, orank::DOUBLE AS chosen_oos_rank, ln(greatest(1e-4, least(1 - 1e-4, orank / (m + 1.0::DOUBLE))) / greatest(1e-4, 1 - greatest(1e-4, least(1 - 1e-4, orank / (m + 1.0::DOUBLE))))) AS \"lambda\" FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY ip DESC, candidate) AS ir, row_number() OVER (PARTITION BY combo ORDER BY op DESC, candidate) AS orank, count(*) OVER (PARTITION BY combo) AS m FROM cpf) WHERE ir = 1"
 _PBO = "n_configs chosen_is_rank chosen_oos_rank \"lambda\""

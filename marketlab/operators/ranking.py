@@ -61,7 +61,8 @@ def bin_rows(df: DataFrame, value: str | Column, bins: int, tie: Sequence[str],
 def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], keys: Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated quantiles: rows (keys, field, q, value).
 
-    All wanted columns share one range shuffle; missing values are ignored.
+    All wanted columns share one range shuffle of distinct values and their
+    counts; missing values are ignored.
     """
     cols = list(wanted)
     long = (
@@ -70,22 +71,24 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], keys: Sequen
         .where(F.col("value").isNotNull())
     )
     grp = [*keys, "field"]
-    ranked = rank_rows(long, [F.col("value").asc()], grp, "_rn", "_n")
+    # one row per value, so a value that fills a third of the table is one row of its slice
+    counts = long.groupBy(*grp, "value").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sums(counts, [F.col("value").asc()], {"_upto": F.col("_c")}, grp, {"_upto": "_n"})
     probs = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*[F.lit(float(q)) for q in wanted[c]]))])
     pos = (F.col("_n") - 1) * F.col("q")
     low = F.floor(pos + F.lit(1e-12)) + 1
-    # keep only the one or two rows around each target position
+    holds = lambda place: (F.col("_upto") - F.col("_c") < place) & (place <= F.col("_upto"))
+    # keep only the one or two values around each target position
     return (
         ranked.withColumn("q", F.explode(probs[F.col("field")]))
-        .where((F.col("_rn") == low) | (F.col("_rn") == low + 1))
-        .withColumn("_w", pos - (low - 1))
+        .where(holds(low) | holds(low + 1))
         .groupBy(*grp, "q")
         .agg(
-            F.min_by("value", "_rn").alias("_lo"),
-            F.max_by("value", "_rn").alias("_hi"),
-            F.first("_w").alias("_w"),
+            F.max(F.when(holds(low), F.col("value"))).alias("_lo"),
+            F.max(F.when(holds(low + 1), F.col("value"))).alias("_hi"),
+            F.first(pos - (low - 1)).alias("_w"),
         )
-        .select(*grp, "q", (F.col("_lo") + F.greatest(F.col("_w"), F.lit(0.0)) * (F.col("_hi") - F.col("_lo"))).alias("value"))
+        .select(*grp, "q", (F.col("_lo") + F.greatest(F.col("_w"), F.lit(0.0)) * (F.coalesce("_hi", "_lo") - F.col("_lo"))).alias("value"))
     )
 
 
@@ -123,8 +126,12 @@ def average_rank(df: DataFrame, value: str, out: str = "avg_rank", keys: Sequenc
     return df.join(ranks, cond).select(*df.columns, out)
 
 
-def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running sums along ``order`` without a single-task window."""
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column], keys: Sequence[str] = (), totals: Mapping[str, str] | None = None) -> DataFrame:
+    """Inclusive running sums along ``order`` without a single-task window.
+
+    ``totals`` names columns for group totals, by the sum they belong to.
+    """
+    totals = totals or {}
     sort = [F.col(k).asc() for k in keys] + list(order)
     slots = materialise(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_slot", F.monotonically_increasing_id()))
     slots = slots.withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
@@ -136,11 +143,12 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Colum
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_part").alias("_rpart"),
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(W.partitionBy(*keys)).alias(name) for n, name in totals.items()],
     )
     cond = local["_part"] == per["_rpart"]
     for k in keys:
         cond = cond & local[k].eqNullSafe(per[f"_k_{k}"])
-    return local.join(per, cond).select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+    return local.join(per, cond).select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *totals.values())
 
 
 def value_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:

@@ -179,22 +179,20 @@ def time_slices(long: DataFrame, wanted: int = 8) -> DataFrame:
     return d.withColumns({"slice": part.cast("long"), "k": k}).groupBy("slice", "k", "n", "candidate").agg(F.avg("ret").alias("perf"))
 
 
-def half_splits(slices: DataFrame, max_trials: int = 200) -> DataFrame:
+def half_splits(slices: DataFrame) -> DataFrame:
     """All ways to choose half of the slices, as bit masks.
 
-    The number of slices is at most twelve, so there are at most 4096 masks;
-    beyond ``max_trials`` the masks with the smallest hashed draw are kept.
+    The number of slices is at most twelve, so there are at most 924.
     """
     k = slices.agg(F.max("k")).scalar()
-    masks = slices.sparkSession.range(4096).withColumn("k", k).where(F.expr("id < shiftleft(1, cast(k as int)) AND bit_count(id) = floor(k / 2)"))
-    return masks.orderBy(draw(F.col("id"), F.lit(23)), "id").limit(max_trials).select(F.col("id").alias("combo"))
+    return slices.sparkSession.range(4096).withColumn("k", k).where(F.expr("id < shiftleft(1, cast(k as int)) AND bit_count(id) = floor(k / 2)")).select(F.col("id").alias("combo"))
 
 
-def overfit_trials(long: DataFrame, wanted: int = 8, max_trials: int = 200) -> DataFrame:
+def overfit_trials(long: DataFrame, wanted: int = 8) -> DataFrame:
     """Per split: in-sample winner, its out-of-sample rank and the logit."""
     sl = time_slices(long, wanted)
-    combos = half_splits(sl, max_trials)
-    # every split sees every slice: attach the (at most 200) splits as an array scalar
+    combos = half_splits(sl)
+    # every split sees every slice: attach the (at most 924) splits as an array scalar
     all_ = combos.agg(F.array_sort(F.collect_list("combo")).alias("v")).scalar()
     x = sl.withColumn("combo", F.explode(all_))
     inside = F.expr("shiftright(combo, cast(slice as int)) % 2") == 1
@@ -207,10 +205,10 @@ def overfit_trials(long: DataFrame, wanted: int = 8, max_trials: int = 200) -> D
     return win.select("combo", F.col("m").cast("double").alias("n_configs"), F.col("candidate").alias("chosen_config"), F.col("is_rank").cast("double").alias("chosen_is_rank"), F.col("oos_rank").cast("double").alias("chosen_oos_rank"), F.log(share / F.greatest(1.0 - share, lit(1e-4))).alias("lambda"))
 
 
-def overfit_probability(long: DataFrame, wanted: int = 8, max_trials: int = 200) -> DataFrame:
+def overfit_probability(long: DataFrame, wanted: int = 8) -> DataFrame:
     """Share of splits whose in-sample winner lands in the worse half; missing when the data is too small."""
     size = long.agg(F.struct(F.countDistinct("ts").alias("n"), F.countDistinct("candidate").alias("c")).alias("v")).scalar()
-    t = overfit_trials(long, wanted, max_trials)
+    t = overfit_trials(long, wanted)
     row = t.agg(F.avg(F.when(F.col("lambda") > 0, lit(1)).otherwise(lit(0))).alias("p"), F.count(F.lit(1)).cast("double").alias("k"), F.percentile("lambda", 0.5).alias("med"))
     ok = (size["n"] >= 24) & (size["c"] >= 2)
     return row.select(
