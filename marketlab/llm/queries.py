@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage and their SQL oracles."""
+"""Registered queries of this subpackage; ``ORACLES`` holds the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlab.llm import decontaminate, html_text, mixing, neardup, quality, rules, secrets, sharding, substrings, toxicity
 from marketlab.llm.common import read_table
+from marketlab.llm.oracle_sql import ORACLES
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Run) -> Run:
