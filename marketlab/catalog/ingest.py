@@ -87,7 +87,11 @@ def s3(lake):
     return L.books(book_payloads(lake), lake.outcomes).select("snapshot_ts", "token_id", "market_id", "best_bid", "best_ask", "mid", "spread")
 
 
-@query("s3_book_depth")
+CTES["bkd"] = "SELECT d, user_id, max(p) FILTER (WHERE side = 'b') AS bb, min(p) FILTER (WHERE side = 'a') AS ba, coalesce(sum(s) FILTER (WHERE side = 'b' AND rn <= 5), 0) AS bd, coalesce(sum(s) FILTER (WHERE side = 'a' AND rn <= 5), 0) AS ad FROM levr GROUP BY 1, 2"
+CTES["bkm"] = "SELECT *, CASE WHEN bb IS NOT NULL AND ba IS NOT NULL THEN (bb + ba) / 2 ELSE coalesce(bb, ba) END AS m, CASE WHEN bb IS NOT NULL AND ba IS NOT NULL THEN ba - bb ELSE 0 END AS sp FROM bkd"
+
+
+@query("s3_book_depth", "SELECT d AS snapshot_ts, user_id::VARCHAR AS token_id, bd AS bid_depth, ad AS ask_depth, CASE WHEN m <> 0 THEN sp / m * 10000 END AS spread_bps, least(coalesce(nullif(bb, 0), m) * bd, coalesce(nullif(ba, 0), m) * ad) AS liquidity_score FROM bkm", "bkm", "bid_depth ask_depth spread_bps liquidity_score")
 def s3b(lake):
     return L.books(book_payloads(lake), lake.outcomes).select("snapshot_ts", "token_id", "bid_depth", "ask_depth", "spread_bps", "liquidity_score")
 

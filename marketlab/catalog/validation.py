@@ -374,7 +374,7 @@ def a48(lake):
 
 @query("a47_shuffle_null")
 def a47(lake):
-    return B.shuffle_null(pair_trades_of(lake).where("threshold = 0.004 AND holding_period = 1"), ("ts", "market_id"), 100)
+    return B.shuffle_null(pair_trades_of(lake).where("threshold = 0.004 AND holding_period = 1"), ("ts", "market_id"))
 
 
 # ------------------------------------------------------------------ labels

@@ -85,11 +85,11 @@ def outcomes(raw: DataFrame) -> DataFrame:
 
 
 def _side(levels: str, best_first: str) -> tuple[Column, Column]:
-    """Best price and top-five depth of one book side; unreadable levels are dropped."""
+    """Best price and top-five depth of one book side, small levels first at one price; unreadable levels are dropped."""
     ls = F.transform(F.coalesce(levels, F.array().cast("array<struct<price:string,size:string>>")), lambda x: F.struct(x["price"].try_cast("double").alias("p"), x["size"].try_cast("double").alias("s")))
     ok = F.filter(ls, lambda x: x["p"].isNotNull() & x["s"].isNotNull())
     sign = -1.0 if best_first == "high" else 1.0
-    ordered = F.array_sort(ok, lambda a, b: F.when(a["p"] * sign < b["p"] * sign, -1).when(a["p"] * sign > b["p"] * sign, 1).otherwise(0))
+    ordered = F.array_sort(ok, lambda a, b: F.when(a["p"] * sign < b["p"] * sign, -1).when(a["p"] * sign > b["p"] * sign, 1).when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0))
     depth = F.aggregate(F.slice(ordered, 1, 5), lit(0), lambda acc, x: acc + x["s"])
     return F.get(ordered, 0)["p"], depth
 
