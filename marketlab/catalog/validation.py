@@ -372,7 +372,14 @@ def a48(lake):
     return V.hedged_columns(t.withColumn("fully_hedged", flag(F.col("realized_pair_fill_pct") >= 0.3)), reps=REPS)
 
 
-@query("a47_shuffle_null")
+CTES["nz"] = "SELECT ts, market_id, round(coalesce(edge_raw, 0), 9) AS x, round(coalesce(trade_return, 0), 9) AS y FROM ptr WHERE threshold = 0.004 AND holding_period = 1"
+CTES["nr"] = "SELECT market_id, row_number() OVER (ORDER BY market_id, ts) - 1 AS id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM nz"
+CTES["nd"] = f"SELECT rep, market_id, id, rx, ry, row_number() OVER (PARTITION BY rep, market_id ORDER BY id) AS k, row_number() OVER (PARTITION BY rep, market_id ORDER BY {draw_sql('id', 'rep')}, id) AS kh FROM nr CROSS JOIN (SELECT unnest(range(500)) AS rep)"
+CTES["nc"] = "SELECT a.rep, corr(b.rx, a.ry) AS c FROM nd a JOIN nd b ON a.rep = b.rep AND a.market_id = b.market_id AND a.k = b.kh GROUP BY 1"
+CTES["nobs"] = "SELECT corr(rx, ry) AS c, count(*) AS n FROM nr"
+
+
+@query("a47_shuffle_null", "SELECT CASE WHEN n < 20 OR c IS NULL THEN 1.0::DOUBLE ELSE (SELECT avg((round(abs(nc.c), 12) >= round(abs(nobs.c), 12))::INT) FROM nc WHERE nc.c IS NOT NULL) END AS null_shuffle_pvalue, c AS observed FROM nobs", "nc nobs", "null_shuffle_pvalue observed")
 def a47(lake):
     return B.shuffle_null(pair_trades_of(lake).where("threshold = 0.004 AND holding_period = 1"), ("ts", "market_id"))
 

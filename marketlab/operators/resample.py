@@ -233,9 +233,10 @@ def shuffle_null(df: DataFrame, tie: Sequence[str], reps: int = 500, group: str
     base = df.select(*dict.fromkeys([*tie, group]), F.round(number(x, 0.0), 9).alias("_x"), F.round(number(y, 0.0), 9).alias("_y"))
     ranked = average_rank(average_rank(base, "_x", "rx"), "_y", "ry")
     pos = numbered(ranked, [group, *[t for t in tie if t != group]])
-    reps_ = replicate(pos.select("id", group, "rx", "ry"), reps).withColumn("h", draw(F.col("id"), F.col("rep")))
-    by_row = reps_.withColumn("k", F.row_number().over(W.partitionBy("rep", group).orderBy("id"))).select("rep", group, "k", "ry")
-    by_hash = reps_.withColumn("k", F.row_number().over(W.partitionBy("rep", group).orderBy("h", "id"))).select("rep", group, "k", "rx")
+    # places by row are the same in every replicate
+    by_row = replicate(pos.select("id", group, "ry").withColumn("k", F.row_number().over(W.partitionBy(group).orderBy("id"))), reps).select("rep", group, "k", "ry")
+    drawn = replicate(pos.select("id", group, "rx"), reps).withColumn("h", draw(F.col("id"), F.col("rep")))
+    by_hash = drawn.withColumn("k", F.row_number().over(W.partitionBy("rep", group).orderBy("h", "id"))).select("rep", group, "k", "rx")
     corr = by_row.join(by_hash, ["rep", group, "k"]).groupBy("rep").agg(correlation("rx", "ry").alias("c"))
     seen = ranked.agg(F.struct(correlation("rx", "ry").alias("c"), F.count(F.lit(1)).alias("n")).alias("v")).scalar()
     p = corr.where(F.col("c").isNotNull()).agg(F.avg(F.when(F.round(F.abs("c"), 12) >= F.round(F.abs(seen["c"]), 12), lit(1)).otherwise(lit(0))).alias("p"))
