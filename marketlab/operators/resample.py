@@ -1,8 +1,10 @@
 """Resampling with portable hashed draws: bootstrap, sign flips, reality check.
 
 Draws come from integer arithmetic on (row id, replicate), so any engine gets
-the same ones and a lost task repeats them. Replicates live inside map tasks;
-only per-replicate sums are shuffled.
+the same ones and a lost task repeats them. Sign
+flips and the reality check shuffle only per-replicate sums; the row bootstrap
+and the shuffle null look rows up by drawn position, which shuffles rows times
+replicates.
 """
 
 from __future__ import annotations
