@@ -4,12 +4,16 @@ Tokens of a page are its structural elements and text blocks, each with its
 role (the path of block elements above it). Per host, a token's occurrence
 vector holds its count on every page; the vector is carried as a sum of hashes
 of (page, count), so it is aggregated with map-side combine and no page list is
-built. Tokens with one vector form an equivalence class. A class is valid if it
-is on enough of the host's pages; valid classes nest by their roles into the
-host's template. The template names the element that holds the article: one
-that occurs once per page, an ``article`` or ``main`` element if there is one,
-else the deepest that still holds most of the text. What is left in the slots
-of that element is extracted.
+built. Elements and texts with one vector form an equivalence class. A class of
+more than one token, on ``TEXT_PAGES`` pages at least, with an element around
+its other tokens is a layout: its texts nested in that element are template
+text, and its ``article`` and ``main`` elements hold the article of its pages.
+A host may have any number of layouts. A class whose texts are more than what
+is left in the slots of its element is an article shown on several pages, no
+layout. Text on nearly all pages of the host belongs to the host's own layout
+also if its vector differs on a few pages. Without ``article`` and ``main`` the
+article is in the deepest element once per page that still holds most of the
+text. What is left in the slots of these elements is extracted.
 
 Containers of menus, forms, notices and the like are recognised by element and
 by class, id or role words. Template text (the same block in the same role on
@@ -23,6 +27,7 @@ read as far as it goes; repeated rows get equal results.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -34,8 +39,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlab.llm.common import stored
 
-SUPPORT = 0.5  # share of the host's pages a valid class is on
-TEXT_SUPPORT, TEXT_PAGES = 0.9, 4  # for text blocks outside articles
+SUPPORT = 0.5  # share of the host's pages from which an element needs no layout
+TEXT_SUPPORT, TEXT_PAGES = 0.9, 4  # share of the host's pages for text of its own layout; least pages of any layout
 MOST = 0.6  # share of the text the article's element holds
 #: Element names by use.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -77,7 +82,7 @@ def _marks(attrs: str) -> tuple[frozenset[str], str, str]:
         else:
             words.update(_WORD.findall(value))
             if m[1].lower() == "class":
-                name = ".".join(value.split())
+                name = ".".join(value.split()).replace("/", ":")  # roles are cut at slashes
     return frozenset(words), role, name
 
 
@@ -152,48 +157,67 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def key_of(role: str, text: str) -> int:
+    """64-bit name of a text block in its role."""
+    return int.from_bytes(hashlib.blake2b(f"{role}#{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, kind, n, chars): elements (kind 0) and text blocks outside articles (kind 1)."""
+    """(host, page, role, text, kind, n, chars): elements (kind 0, text 0) and text blocks outside articles (kind 1, text by name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, keys, texts = (batch.column(c).to_pylist() for c in ("host", "page", "html"))
-            cols: dict[str, list] = {k: [] for k in ("host", "page", "token", "kind", "n", "chars")}
+            cols: dict[str, list] = {k: [] for k in ("host", "page", "role", "text", "kind", "n", "chars")}
             for h, k, t in zip(hosts, keys, texts):
                 p = parse(t or "")
                 chars: dict[str, int] = {}
-                same: dict[str, int] = {}
+                same: dict[tuple[str, str], int] = {}
                 for b in p.blocks:
                     if not b.chrome:
                         for role in set(b.above):
                             chars[role] = chars.get(role, 0) + len(b.text)
                         if not b.inner:
-                            same[f"{b.role}#{b.text}"] = same.get(f"{b.role}#{b.text}", 0) + 1
-                rows = [(r, 0, n, chars.get(r, 0)) for r, n in p.elements.items()] + [(r, 1, n, 0) for r, n in same.items()] + [("", 2, 1, sum(len(b.text) for b in p.blocks if not b.chrome))]
-                for r, kind, n, c in rows:
-                    for name, v in zip(cols, (h, k, r, kind, n, c)):
+                            same[b.role, b.text] = same.get((b.role, b.text), 0) + 1
+                rows = [(r, 0, 0, n, chars.get(r, 0)) for r, n in p.elements.items()] + [(r, key_of(r, x), 1, n, n * len(x)) for (r, x), n in same.items()] + [("", 0, 2, 1, sum(len(b.text) for b in p.blocks if not b.chrome))]
+                for r, x, kind, n, c in rows:
+                    for name, v in zip(cols, (h, k, r, x, kind, n, c)):
                         cols[name].append(v)
-            yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.string()), ("kind", pa.int32()), ("n", pa.int32()), ("chars", pa.int64())]))
+            yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("host", pa.string()), ("page", pa.int64()), ("role", pa.string()), ("text", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("chars", pa.int64())]))
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, token string, kind int, n int, chars long")
+    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, role string, text long, kind int, n int, chars long")
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """Per host: main (role of the article's element, or null) and fixed (hashes of template text)."""
+    """Per host: mains (roles of its layouts' article elements), deep (role of the deepest element with most of the text, or null) and fixed (names of template text)."""
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
-    t = tokens.withColumn("token", F.when(F.col("kind") == 1, F.xxhash64("token").cast("string")).otherwise(F.col("token")))
-    per = t.groupBy("host", "kind", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
+    per = tokens.groupBy("host", "kind", "role", "text").agg(vector, F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
     whole = per.where("kind = 2").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
-    per = per.where("kind < 2").join(whole, "host")
-    valid = per.where(F.when(F.col("kind") == 0, F.col("pages") >= SUPPORT * F.col("all_pages")).otherwise((F.col("pages") >= TEXT_SUPPORT * F.col("all_pages")) & (F.col("all_pages") >= TEXT_PAGES)))
-    # one class per occurrence vector; a page has few tokens, so a valid class is no longer than a page
-    cls = valid.groupBy("host", "kind", "vector").agg(F.collect_list(F.struct("token", "most", "chars", "all_chars")).alias("tokens"))
-    nested = cls.withColumn("t", F.explode("tokens")).select("host", "kind", "t.*")
-    last = F.element_at(F.split("token", "/"), -1)
-    semantic = last.rlike("^(article|main)(\\.|$)") & (F.col("chars") > 0)
-    rank = F.when(F.col("most") > 1, F.lit(None)).when(semantic, F.struct(F.lit(2).alias("s"), F.col("chars").alias("c"), F.size(F.split("token", "/")).alias("d"), F.col("token").alias("r")))
-    rank = F.coalesce(rank, F.when((F.col("most") == 1) & (F.col("chars") > 0) & (F.col("chars") >= MOST * F.col("all_chars")), F.struct(F.lit(1).alias("s"), F.lit(0).cast("long").alias("c"), F.size(F.split("token", "/")).alias("d"), F.col("token").alias("r"))))
-    return nested.groupBy("host").agg(F.max(F.when(F.col("kind") == 0, rank)).alias("m"), F.collect_list(F.when(F.col("kind") == 1, F.col("token").try_cast("long"))).alias("fixed")).select("host", F.col("m.r").alias("main"), "fixed")
+    per = per.where("kind < 2").join(whole, "host").withColumn("d", F.size(F.split("role", "/")))
+    able = per.where((F.col("pages") >= TEXT_PAGES) | ((F.col("kind") == 0) & (F.col("pages") >= SUPPORT * F.col("all_pages"))))
+    # one class per occurrence vector; its tokens are on the same pages, so a class is no longer than a page
+    around = F.min(F.when(F.col("kind") == 0, F.struct("d", (-F.col("chars")).alias("c"), "role"))).alias("around")
+    cls = able.groupBy("host", "vector").agg(F.collect_list(F.struct("kind", "role", "text", "most", "chars", "pages", "d", "all_pages", "all_chars")).alias("tokens"), around)
+    nests = lambda t: (t["kind"] == 1) & F.coalesce((t["role"] == F.col("around.role")) | t["role"].startswith(F.concat("around.role", F.lit("/"))), F.lit(False))
+    own = F.aggregate(F.filter("tokens", nests), F.lit(0).cast("long"), lambda s, t: s + t["chars"])
+    layout = (F.size("tokens") > 1) & F.col("around").isNotNull() & (F.get("tokens", F.lit(0))["pages"] >= TEXT_PAGES)
+    cls = cls.withColumn("layout", layout).withColumn("slots", layout & (2 * own <= -F.col("around.c")))
+    t = cls.withColumn("t", F.explode(F.transform("tokens", lambda t: t.withField("nests", nests(t))))).select("host", "layout", "slots", "t.*")
+    here = F.col("pages") >= SUPPORT * F.col("all_pages")
+    once = (F.col("kind") == 0) & (F.col("most") == 1) & (F.col("chars") > 0)
+    semantic = once & F.element_at(F.split("role", "/"), -1).rlike("^(article|main)(\\.|$)") & (here | F.col("layout"))
+    deep = F.when(once & here & (F.col("chars") >= MOST * F.col("all_chars")), F.struct("d", F.col("role").alias("r")))
+    everywhere = (F.col("pages") >= TEXT_SUPPORT * F.col("all_pages")) & (F.col("all_pages") >= TEXT_PAGES)
+    fixed = F.when((F.col("kind") == 1) & (everywhere | (F.col("slots") & F.col("nests"))), F.col("text"))
+    return t.groupBy("host").agg(F.collect_list(F.when(semantic, F.col("role"))).alias("mains"), F.max(deep)["r"].alias("deep"), F.collect_list(fixed).alias("fixed"))
+
+
+def shared(blocks: list[Block]) -> str | None:
+    """Role of the smallest element around all blocks."""
+    roles = None
+    for b in blocks:
+        roles = list(b.above) if roles is None else [x for x in roles if x in b.above]
+    return roles[-1] if roles else None
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -201,22 +225,24 @@ def extract(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     # one row per host, written so that its size is known when the join is planned: pages of a hot host stay spread
     found = stored(templates(page_tokens(p.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html"))))
-    q = p.join(found.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "host", "html", "main", "fixed")
-    schema = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, host string, main string, fixed array<long>, blocks array<struct<token:string,text:string>>"
+    q = p.join(found.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "host", "html", "mains", "deep", "fixed")
+    schema = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, host string, main string, text string"
 
-    def slots(html_text: str, main: str | None) -> list[dict]:
+    def slots(html_text: str, mains: list[str], deep: str | None, fixed: list[int]) -> list[Block]:
         own = [b for b in parse(html_text).blocks if not b.chrome]
         articles = [b for b in own if b.inner]  # a page may mark its articles itself
-        inside = [b for b in (articles or own) if main in b.above] if main else []
-        return [{"token": None if b.inner else f"{b.role}#{b.text}", "text": b.text} for b in inside or articles or own]
+        if articles:
+            roles = set(mains)
+            return [b for b in articles if not roles.isdisjoint(b.above)] or articles
+        names = set(fixed)
+        return [b for b in [b for b in own if deep in b.above] or own if key_of(b.role, b.text) not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("token", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            got = [slots(t or "", main) for t, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "main", "fixed")), pa.array(got, kind)], names=["page_id", "url", "host", "main", "fixed", "blocks"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "mains", "deep", "fixed")))
+            got = [slots(t or "", mains or [], deep, fixed or []) for t, mains, deep, fixed in rows]
+            found = pa.array([shared(x) for x in got], pa.string()), pa.array(["\n".join(b.text for b in x) for x in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *found], names=["page_id", "url", "host", "main", "text"])
 
-    out = q.select("page_id", "url", "host", "main", "fixed", "html").mapInArrow(run, schema)
-    kept = F.filter("blocks", lambda b: b["token"].isNull() | ~F.coalesce(F.array_contains("fixed", F.xxhash64(b["token"])), F.lit(False)))
-    out = out.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n"))
+    out = q.select("page_id", "url", "host", "mains", "deep", "fixed", "html").mapInArrow(run, schema)
     return out.select("page_id", "url", "host", "main", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -312,6 +312,28 @@ def test_html_text(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
+def html_texts(spark, r):
+    return {x["page_id"]: x for x in html_text.extract(spark.createDataFrame(r, "page_id long, url string, html string")).collect()}
+
+
+def test_html_layouts_of_a_host(spark):
+    """Two layouts, each on half of the host's pages, with template text of their own; an article shown on several pages is no template."""
+    page = "<html><body class='{0}'><div class='text'><p>Own words of page {1}, long enough to outweigh what every page of the layout repeats around them</p></div><div class='foot'><p>Terms of {0}</p></div></body></html>"
+    r = [(i, "http://two.example/x", page.format("ab"[i % 2], i)) for i in range(12)]
+    again = "<html><body><div class='text'><p>Page {0}</p><table class='t'><tr><td>Same report, first row</td></tr><tr><td>Same report, second row</td></tr></table></div></body></html>"
+    other = "<html><body><div class='text'><p>Page {0} speaks of something else</p></div></body></html>"
+    r += [(100 + i, "http://again.example/x", (again if i < 5 else other).format(i)) for i in range(12)]
+    part = "<html><body class='{0}'><article class='{0}'><p>Article {1}</p></article><section class='more'><article><p>Teaser one</p></article><article><p>Teaser two</p></article></section></body></html>"
+    r += [(200 + i, "http://parts.example/x", part.format("abc"[i % 3], i)) for i in range(15)]
+    by = html_texts(spark, r)
+    for i in range(12):
+        assert by[i]["text"] == f"Own words of page {i}, long enough to outweigh what every page of the layout repeats around them"
+    for i in range(5):
+        assert by[100 + i]["text"] == f"Page {i}\nSame report, first row\nSame report, second row"
+    for i in range(15):  # every layout names its own article element
+        assert by[200 + i]["text"] == f"Article {i}" and by[200 + i]["main"].endswith("article." + "abc"[i % 3])
+
+
 def test_quality(spark, docs, none, rows):
     whole, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     weight, bias = quality.fit(whole, labels)
