@@ -11,12 +11,13 @@ text, and its ``article`` and ``main`` elements hold the article of its pages.
 A host may have any number of layouts. A class whose texts are more than what
 is left in the slots of its element is an article shown on several pages, no
 layout. Text on nearly all pages of the host belongs to the host's own layout
-also if its vector differs on a few pages. Without ``article`` and ``main`` the
-article is in the deepest element once per page that still holds most of the
-text. What is left in the slots of these elements is extracted.
+also if its vector differs on a few pages. What is left in the slots is extracted:
+of a page with ``article`` or ``main`` elements the text inside them, of any
+other page all text, in the smallest element that holds it.
 
 Containers of menus, forms, notices and the like are recognised by element and
-by class, id or role words. Template text (the same block in the same role on
+by class, id or role words; inside articles by whole class names and ids only.
+Ids of headings, sections and paragraphs are anchors and say nothing. Template text (the same block in the same role on
 nearly all pages) is dropped outside ``article`` and ``main`` elements only, so
 articles that quote each other keep their passages.
 
@@ -41,7 +42,6 @@ from marketlab.llm.common import stored
 
 SUPPORT = 0.5  # share of the host's pages from which an element needs no layout
 TEXT_SUPPORT, TEXT_PAGES = 0.9, 4  # share of the host's pages for text of its own layout; least pages of any layout
-MOST = 0.6  # share of the text the article's element holds
 #: Element names by use.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +49,9 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 CHROME = frozenset("head nav footer aside form button select option dialog menu svg canvas object audio video map label fieldset".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that may stand beside chrome words in a name inside an article ("share-buttons").
+PLAIN_WORDS = frozenset("area bar block box button buttons container group icon icons inner item items link links list post posts section widgets wrap wrapper".split())
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 hgroup section p".split())  # their ids are link targets
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -72,18 +75,28 @@ class Page:
 
 
 @lru_cache(maxsize=4096)
-def _marks(attrs: str) -> tuple[frozenset[str], str, str]:
-    """Words of class and id, role, and a short name of the element's class."""
-    words, role, name = set(), "", ""
+def _marks(attrs: str) -> tuple[tuple[str, ...], tuple[str, ...], str, str]:
+    """Class names, ids, role, and a short name of the element's class."""
+    classes, ids, role, name = [], [], "", ""
     for m in _MARKS.finditer(attrs):
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             role = value.strip()
         else:
-            words.update(_WORD.findall(value))
+            (classes if m[1].lower() == "class" else ids).extend(value.split())
             if m[1].lower() == "class":
                 name = ".".join(value.split()).replace("/", ":")  # roles are cut at slashes
-    return frozenset(words), role, name
+    return tuple(classes), tuple(ids), role, name
+
+
+@lru_cache(maxsize=4096)
+def _chrome(names: tuple[str, ...], inner: bool) -> bool:
+    """Whether class names or ids speak of chrome: by any word, inside an article by all words of a name."""
+    found = [frozenset(_WORD.findall(x)) for x in names]
+    if inner:
+        return any(x & CHROME_WORDS and x <= CHROME_WORDS | PLAIN_WORDS for x in found)
+    words = frozenset().union(*found)
+    return bool(words & CHROME_WORDS) or "header" in words
 
 
 def parse(page: str) -> Page:
@@ -138,12 +151,12 @@ def parse(page: str) -> Page:
                 close(CLOSES[tag], frozenset({"ul", "ol", "dl", "table"}))
         if tag in VOID:
             continue
-        words, role, name = _marks(attrs)
+        classes, ids, role, name = _marks(attrs)
         above = stack[-1] if stack else ("", "", False, False)
         inner = above[3] or tag in ("article", "main") or role == "main"
         chrome = above[2] or tag in CHROME or role in CHROME_ROLES or (tag == "header" and not above[3])
         if tag not in ("html", "body", "main") and not chrome:
-            chrome = bool(words & CHROME_WORDS) or ("header" in words and not above[3])
+            chrome = _chrome(classes if tag in ANCHORS else classes + ids, above[3])
         path = above[1]
         if tag in BLOCKS and tag not in ("p", "hr"):
             path = f"{above[1]}/{tag}" + (f".{name}" if name else "")
@@ -179,7 +192,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                             chars[role] = chars.get(role, 0) + len(b.text)
                         if not b.inner:
                             same[b.role, b.text] = same.get((b.role, b.text), 0) + 1
-                rows = [(r, 0, 0, n, chars.get(r, 0)) for r, n in p.elements.items()] + [(r, key_of(r, x), 1, n, n * len(x)) for (r, x), n in same.items()] + [("", 0, 2, 1, sum(len(b.text) for b in p.blocks if not b.chrome))]
+                rows = [(r, 0, 0, n, chars.get(r, 0)) for r, n in p.elements.items()] + [(r, key_of(r, x), 1, n, n * len(x)) for (r, x), n in same.items()] + [("", 0, 2, 1, 0)]
                 for r, x, kind, n, c in rows:
                     for name, v in zip(cols, (h, k, r, x, kind, n, c)):
                         cols[name].append(v)
@@ -189,15 +202,15 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """Per host: mains (roles of its layouts' article elements), deep (role of the deepest element with most of the text, or null) and fixed (names of template text)."""
+    """Per host: mains (roles of its layouts' article elements) and fixed (names of template text)."""
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
     per = tokens.groupBy("host", "kind", "role", "text").agg(vector, F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
-    whole = per.where("kind = 2").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    whole = per.where("kind = 2").select("host", F.col("pages").alias("all_pages"))
     per = per.where("kind < 2").join(whole, "host").withColumn("d", F.size(F.split("role", "/")))
     able = per.where((F.col("pages") >= TEXT_PAGES) | ((F.col("kind") == 0) & (F.col("pages") >= SUPPORT * F.col("all_pages"))))
     # one class per occurrence vector; its tokens are on the same pages, so a class is no longer than a page
     around = F.min(F.when(F.col("kind") == 0, F.struct("d", (-F.col("chars")).alias("c"), "role"))).alias("around")
-    cls = able.groupBy("host", "vector").agg(F.collect_list(F.struct("kind", "role", "text", "most", "chars", "pages", "d", "all_pages", "all_chars")).alias("tokens"), around)
+    cls = able.groupBy("host", "vector").agg(F.collect_list(F.struct("kind", "role", "text", "most", "chars", "pages", "all_pages")).alias("tokens"), around)
     nests = lambda t: (t["kind"] == 1) & F.coalesce((t["role"] == F.col("around.role")) | t["role"].startswith(F.concat("around.role", F.lit("/"))), F.lit(False))
     own = F.aggregate(F.filter("tokens", nests), F.lit(0).cast("long"), lambda s, t: s + t["chars"])
     layout = (F.size("tokens") > 1) & F.col("around").isNotNull() & (F.get("tokens", F.lit(0))["pages"] >= TEXT_PAGES)
@@ -206,10 +219,9 @@ def templates(tokens: DataFrame) -> DataFrame:
     here = F.col("pages") >= SUPPORT * F.col("all_pages")
     once = (F.col("kind") == 0) & (F.col("most") == 1) & (F.col("chars") > 0)
     semantic = once & F.element_at(F.split("role", "/"), -1).rlike("^(article|main)(\\.|$)") & (here | F.col("layout"))
-    deep = F.when(once & here & (F.col("chars") >= MOST * F.col("all_chars")), F.struct("d", F.col("role").alias("r")))
     everywhere = (F.col("pages") >= TEXT_SUPPORT * F.col("all_pages")) & (F.col("all_pages") >= TEXT_PAGES)
     fixed = F.when((F.col("kind") == 1) & (everywhere | (F.col("slots") & F.col("nests"))), F.col("text"))
-    return t.groupBy("host").agg(F.collect_list(F.when(semantic, F.col("role"))).alias("mains"), F.max(deep)["r"].alias("deep"), F.collect_list(fixed).alias("fixed"))
+    return t.groupBy("host").agg(F.collect_list(F.when(semantic, F.col("role"))).alias("mains"), F.collect_list(fixed).alias("fixed"))
 
 
 def shared(blocks: list[Block]) -> str | None:
@@ -225,24 +237,24 @@ def extract(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     # one row per host, written so that its size is known when the join is planned: pages of a hot host stay spread
     found = stored(templates(page_tokens(p.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html"))))
-    q = p.join(found.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "host", "html", "mains", "deep", "fixed")
+    q = p.join(found.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "host", "html", "mains", "fixed")
     schema = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, host string, main string, text string"
 
-    def slots(html_text: str, mains: list[str], deep: str | None, fixed: list[int]) -> list[Block]:
+    def slots(html_text: str, mains: list[str], fixed: list[int]) -> list[Block]:
         own = [b for b in parse(html_text).blocks if not b.chrome]
         articles = [b for b in own if b.inner]  # a page may mark its articles itself
         if articles:
             roles = set(mains)
             return [b for b in articles if not roles.isdisjoint(b.above)] or articles
         names = set(fixed)
-        return [b for b in [b for b in own if deep in b.above] or own if key_of(b.role, b.text) not in names]
+        return [b for b in own if key_of(b.role, b.text) not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "mains", "deep", "fixed")))
-            got = [slots(t or "", mains or [], deep, fixed or []) for t, mains, deep, fixed in rows]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "mains", "fixed")))
+            got = [slots(t or "", mains or [], fixed or []) for t, mains, fixed in rows]
             found = pa.array([shared(x) for x in got], pa.string()), pa.array(["\n".join(b.text for b in x) for x in got], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *found], names=["page_id", "url", "host", "main", "text"])
 
-    out = q.select("page_id", "url", "host", "mains", "deep", "fixed", "html").mapInArrow(run, schema)
+    out = q.select("page_id", "url", "host", "mains", "fixed", "html").mapInArrow(run, schema)
     return out.select("page_id", "url", "host", "main", "text", F.char_length("text").cast("long").alias("n_chars"))

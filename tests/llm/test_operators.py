@@ -334,6 +334,22 @@ def test_html_layouts_of_a_host(spark):
         assert by[200 + i]["text"] == f"Article {i}" and by[200 + i]["main"].endswith("article." + "abc"[i % 3])
 
 
+def test_html_keeps_all_article_text(spark):
+    """Headline and lead beside the body, sibling halves, a few long pages, and anchors named like chrome."""
+    beside = "<html><body><div class='top'><h1>Head {0}</h1><p>Lead {0}</p></div><div class='body'><p>" + "Body {0} text. " * 20 + "</p></div></body></html>"
+    r = [(i, "http://beside.example/x", beside.format(i)) for i in range(8)]
+    halves = "<html><body><div class='one'><p>{0} {1}</p></div><div class='two'><p>{0} {2}</p></div></body></html>"
+    r += [(20 + i, "http://halves.example/x", halves.format(i, "one " * (900 if i == 0 else 3), "two " * 9)) for i in range(8)]
+    anchors = "<article><h2 id='social-reform'>Social reform</h2><section id='related-work' class='related-work'><p>Related work</p></section><p id='notice'>Noted</p><div class='form-of-state'>State</div><div class='share-buttons'>Tweet</div><div id='comments'>First!</div><div class='box related'>More</div></article>"
+    r += [(40, "http://anchors.example/x", anchors), (41, "http://plain.example/x", "<div><h2 id='search'>Search</h2><p>for meaning</p></div><div id='search'>Find</div>")]
+    by = html_texts(spark, r)
+    for i in range(8):
+        assert by[i]["text"] == f"Head {i}\nLead {i}\n" + " ".join([f"Body {i} text."] * 20) and by[i]["main"] == "/html/body"
+        assert by[20 + i]["text"] == f"{i} " + " ".join(["one"] * (900 if i == 0 else 3)) + f"\n{i} " + " ".join(["two"] * 9)
+    assert by[40]["text"] == "Social reform\nRelated work\nNoted\nState"
+    assert by[41]["text"] == "Search\nfor meaning"
+
+
 def test_quality(spark, docs, none, rows):
     whole, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     weight, bias = quality.fit(whole, labels)
