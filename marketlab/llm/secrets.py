@@ -6,8 +6,11 @@ give code-point positions. Long candidate strings are then scanned with a
 window of ``WINDOW`` characters whose Shannon entropy is kept by incremental
 counts: a step adds the terms of the entering and the leaving character only,
 and a prefix sum of these steps is the running entropy. Windows above the
-threshold of the candidate's character class merge into spans, unless the
-candidate is on the allow list.
+threshold of their own character class, or of that of a whole hex or base64
+candidate, merge into spans. Left out on purpose: windows that overlap a part
+the allow list names, candidates it names as a whole (UUIDs, paths of short
+names), and windows of letters without ``MIXED`` case, which entropy does not
+tell from long words.
 
 Defined results: null and empty texts have no spans; positions are code points;
 repeated rows get equal results; text length is not bounded (arrays are cut in
@@ -27,21 +30,20 @@ PATTERNS: tuple[tuple[str, str, int, int], ...] = (
 )
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Classes tried in order: (name, whole candidate matches, least bits in a window).
-CLASSES: tuple[tuple[str, str, float], ...] = (
-    ("digits", "^[0-9_=-]+$", 9.0),  # numbers are not secrets: more bits than a window can hold
-    ("letters", "^[A-Za-z_=-]+$", 9.0),  # nor are long words
-    ("hex", "^[0-9a-fA-F]+$", 3.2),
-    ("base64", "", 3.7),
+MIXED = "^(?=(?:[^a-z]*[a-z]){3})(?=(?:[^A-Z]*[A-Z]){3})"
+#: Classes tried in order: (name, characters match, least bits in a window, window also matches).
+CLASSES: tuple[tuple[str, str, float, str], ...] = (
+    ("digits", "^[0-9_=-]+$", 3.0, "[0-9]"),  # ten digits alone hold at most 3.32
+    ("letters", "^[A-Za-z_=-]+$", 3.9, MIXED),  # 20 characters hold at most 4.32
+    ("hex", "^[0-9a-fA-F]+$", 3.2, ""),
+    ("base64", "", 3.7, ""),
 )
-#: Allow list: candidates that look random and are not secret.
+#: Allow list: candidates that look random and are not secret, and parts of candidates.
 ALLOWED: tuple[str, ...] = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "(?i)example|sample|placeholder|changeme|dummy",
-    "(?i)0123456789|abcdefghij",
     "^(?:/[A-Za-z0-9_-]{1,16}){2,}/?$",
-    "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
 )
+ALLOWED_PARTS = "(?i)example|sample|placeholder|changeme|dummy|0123456789|abcdefghij|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 BLOCK = 256
 
 
@@ -93,8 +95,8 @@ def _plog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def dense_windows(chars: Column, bits: Column) -> Column:
-    """Spans (from, to) of one candidate whose windows hold at least ``bits`` of entropy.
+def dense_windows(chars: Column, bits: Column, passes=None) -> Column:
+    """Spans (from, to) of one candidate whose windows hold at least ``bits`` of entropy and pass (end, entropy).
 
     The entropy of a window is log2(w) - sum(c log2 c) / w over its character
     counts c; a step changes the counts of two characters.
@@ -109,7 +111,10 @@ def dense_windows(chars: Column, bits: Column) -> Column:
 
     def spans(cs: Column) -> Column:
         run = before_sums(F.concat(F.transform(cs, lambda x, i: step(cs, x, i)), F.array(F.lit(0.0))), F.lit(0.0))  # run[i + 1]: after character i
-        return let(run, lambda r: let(F.filter(F.sequence(F.lit(w), F.size(cs)), lambda e: F.lit(_log2(w)) - F.get(r, e) / w >= bits), merged))
+        return let(run, lambda r: let(F.filter(F.sequence(F.lit(w), F.size(cs)), lambda e: dense(F.lit(_log2(w)) - F.get(r, e) / w, e)), merged))
+
+    def dense(h: Column, e: Column) -> Column:
+        return h >= bits if passes is None else (h >= bits) & passes(e, h)
 
     def merged(es: Column) -> Column:
         heads = F.filter(es, lambda e, k: (k == 0) | F.coalesce(e - F.get(es, k - 1) > w, F.lit(False)))
@@ -127,11 +132,22 @@ def _log2(x: float) -> float:
 
 def _entropy(d: DataFrame) -> DataFrame:
     d = d.withColumn("_p", F.when(F.col("_t").rlike(CANDIDATE), _parts(F.col("_t"), CANDIDATE)))
-    bits = lambda m: F.coalesce(*[F.when(m.rlike(rx) if rx else F.lit(True), F.lit(least)) for _, rx, least in CLASSES])
-    allowed = lambda m: F.exists(F.array(*[m.rlike(rx) for rx in ALLOWED]), lambda x: x)
-    suspects = F.filter(_odd(F.col("_p")), lambda x: (bits(x["m"]) <= _log2(WINDOW)) & ~allowed(x["m"]))
-    d = d.withColumn("_c", F.coalesce(F.when(F.col("_p").isNotNull(), suspects), F.array().cast("array<struct<m:string,a:int,odd:boolean>>"))).drop("_p")
-    spans = F.flatten(F.transform("_c", lambda x: F.transform(dense_windows(F.filter(F.split(x["m"], ""), lambda y: y != ""), bits(x["m"])), lambda s: _shape(len(PATTERNS), x["a"] + s["f"], x["a"] + s["to"]))))
+    least = min(bits for _, _, bits, _ in CLASSES)
+    bits = lambda m, whole: F.coalesce(*[F.when(m.rlike(rx) if rx else F.lit(True), F.lit(9.0) if whole and also else F.when(m.rlike(also), F.lit(bits)).otherwise(F.lit(9.0)) if also else F.lit(bits)) for _, rx, bits, also in CLASSES])
+    suspects = F.filter(_odd(F.col("_p")), lambda x: (bits(x["m"], False) <= _log2(WINDOW)) & ~F.exists(F.array(*[x["m"].rlike(rx) for rx in ALLOWED]), lambda y: y))
+    none = F.array().cast("array<struct<m:string,a:int,odd:boolean>>")
+    d = d.withColumn("_c", F.coalesce(F.when(F.col("_p").isNotNull(), suspects), none)).drop("_p")
+
+    def dense(m: Column) -> Column:
+        def within(whole: Column, parts: Column) -> Column:
+            free = lambda e: ~F.exists(parts, lambda p: (p["a"] < e) & (p["a"] + F.char_length(p["m"]) > e - WINDOW))
+            passes = lambda e, h: ((h >= whole) | (h >= bits(F.substring(m, e - WINDOW + 1, F.lit(WINDOW)), False))) & free(e)
+            return dense_windows(F.filter(F.split(m, ""), lambda y: y != ""), F.lit(least), passes)
+
+        parts = F.coalesce(F.when(m.rlike(ALLOWED_PARTS), _odd(_parts(m, ALLOWED_PARTS))), none)
+        return let(bits(m, True), lambda whole: let(parts, lambda p: within(whole, p)))
+
+    spans = F.flatten(F.transform("_c", lambda x: F.transform(dense(x["m"]), lambda s: _shape(len(PATTERNS), x["a"] + s["f"], x["a"] + s["to"]))))
     return d.withColumn("_entropy", F.when(F.size("_c") > 0, spans).otherwise(F.array().cast(SPANS))).drop("_c")
 
 

@@ -168,6 +168,22 @@ def test_secrets(spark, docs, none, rows):
     assert secrets.scan(none).count() == 0
 
 
+def test_entropy_by_class_of_the_window(spark):
+    letters, key, number = "qWzRtYpLsKdJfHgMxNcBvVaQeUoI", "wJalrXUtnFEMIK7MDENGbPxRfiCYzzKQ9vT2", "8305719264817350926418"
+    r = [
+        (1, letters), (2, f"id {number} end"), (3, f"/sample/{key}"), (4, f"see=example_{letters}"), (5, f"{key}--dummy--{letters}"), (6, f"2024-01-02-{key}"),
+        (7, "AbstractSingletonProxyFactoryBean"), (8, "internationalisation_of_the_organisation"), (9, "-" * 60 + "=" * 60), (10, "01234567890123456789012345"), (11, "/usr/share/lib_a/python3-9/site-x86/Zq9"), (12, f"report_of_the_year_{'3f9a0c7be15d8246' * 2}"),
+    ]
+    out = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    parts = {i: [t[slice(*map(int, s.split(":")[1:]))] for s in out[i]["spans"].split(",") if s.startswith("entropy")] for i, t in r}
+    assert parts[1] == [letters] and parts[2] == [number] and parts[3] == [f"/{key}"]
+    assert letters in parts[4][0] and "example" not in parts[4][0]
+    assert len(parts[5]) == 2 and key in parts[5][0] and letters in parts[5][1]
+    assert len(parts[6]) == 1 and key in parts[6][0]
+    assert "3f9a0c7be15d8246" * 2 in parts[12][0]
+    assert [i for i in range(7, 12) if parts[i]] == []
+
+
 def test_rolling_entropy(spark):
     import math
     from collections import Counter
