@@ -424,7 +424,7 @@ def m6(lake):
 
 @query("m8_return_importance")
 def m8(lake):
-    return M.return_importance(chosen_of(lake), COLS, trees=20)
+    return M.return_importance(chosen_of(lake), COLS)
 
 
 @query("m9_wallet_clusters")

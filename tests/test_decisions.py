@@ -135,3 +135,23 @@ def test_fold_plan_has_embargo(spark):
     assert len(plan) == 3
     for p in plan:
         assert (p["test_start"] - p["train_end"]).total_seconds() == 3 * 3600
+
+
+def test_return_importance_grows_the_default_forest(monkeypatch):
+    """The registered query gives no count of trees of its own."""
+    import inspect
+
+    from marketlab.catalog import scoring
+    from marketlab.operators import models as M
+
+    sig, seen = inspect.signature(M.return_importance), {}
+
+    def record(*args, **kw):
+        bound = sig.bind(*args, **kw)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+
+    monkeypatch.setattr(scoring, "chosen_of", lambda lake: None)
+    monkeypatch.setattr(scoring.M, "return_importance", record)
+    scoring.m8(None)
+    assert seen["trees"] == sig.parameters["trees"].default
