@@ -9,7 +9,7 @@ def _words(text: str, word: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{word}')"
 
 
-_BLANK, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BLANK, _ALNUM, _LETTER = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Every 200-byte string is named by a 128-bit hash; bytes are handled as hex digits.
 SUBSTRINGS = """
@@ -48,4 +48,21 @@ m AS (SELECT r, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
 """
 
-ORACLES = {"op2_substring_dedup": SUBSTRINGS, "op3_near_dedup": NEAR_DUPLICATES, "op5_decontamination": DECONTAMINATION}
+#: All sources of a language against all its kept terms; arithmetic in 128-bit whole numbers.
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_words("text", _LETTER)} AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(c)::HUGEINT AS lc FROM t GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT lang, source, term, sum(c)::HUGEINT AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(lc)::HUGEINT AS ln FROM k GROUP BY ALL),
+n AS (SELECT g.lang, g.source, v.v, v.ln, coalesce(sum(c.c), 0)::HUGEINT AS n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (n.n + n.v) AS p, 1 + 1000000000::HUGEINT * (k.lc + 1) // (n.ln + n.v) AS q
+      FROM n JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op2_substring_dedup": SUBSTRINGS, "op3_near_dedup": NEAR_DUPLICATES, "op5_decontamination": DECONTAMINATION, "op12_source_divergence": DIVERGENCE}

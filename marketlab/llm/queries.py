@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketlab.llm import decontaminate, html_text, mixing, neardup, quality, rules, secrets, sharding, substrings, toxicity
+from marketlab.llm import covering, decontaminate, divergence, html_text, mixing, neardup, quality, rules, secrets, sharding, substrings, toxicity, whitening
 from marketlab.llm.common import read_table
 from marketlab.llm.oracle_sql import ORACLES
 
@@ -81,3 +81,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return d.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "eigenvalue")
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = covering.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", covering.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -127,3 +129,60 @@ def rules(docs):
 
 def crc(x):
     return zlib.crc32(x.encode())
+
+
+def simhash(t, k=3):
+    w = lower(t).encode().split()
+    s = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def lowest_linked(ids, linked):
+    """Smallest id (not null) reachable from each position; ``linked(i, j)`` for i < j."""
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i + 1, len(ids)):
+            if linked(i, j):
+                parent[root(i)] = root(j)
+    low = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            low[root(i)] = min(low.get(root(i), d), d)
+    return [low.get(root(i)) for i in range(len(ids))]
+
+
+LETTER = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(docs, least=3, top=200):
+    """op12 rows; docs is a list of (text, lang, source)."""
+    docs = [(LETTER.findall(lower(t)), la or "", s or "") for t, la, s in docs]
+    out = []
+    for lang in {d[1] for d in docs}:
+        own = [d for d in docs if d[1] == lang]
+        df = Counter(w for words, _, _ in own for w in set(words))
+        kept = sorted(w for w, n in df.items() if n >= least)
+        v = len(kept)
+
+        def profile(words):
+            c = Counter(w for w in words if df[w] >= least)
+            n = sum(c.values())
+            return c, {w: 1 + 10**9 * (c[w] + 1) // (n + v) for w in kept}
+
+        whole = profile([w for words, _, _ in own for w in words])[1]
+        sources = {s: profile([w for words, _, x in own for w in words if x == s]) for s in {d[2] for d in own}}
+        f = lambda p, q: (p - q) * (p - q) // q
+        for s, (c, p) in sources.items():
+            pair = [(o, sum(f(p[w], q[w]) for w in kept)) for o, (_, q) in sources.items() if o != s]
+            term = [(w, f(p[w], whole[w])) for w in kept if c[w] and p[w] > whole[w]]
+            for part, items in (("pair", pair), ("term", term)):
+                items = sorted(items, key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, i, x, k + 1) for k, (i, x) in enumerate(items) if part == "pair" or k < top]
+    return out
