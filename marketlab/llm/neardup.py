@@ -9,16 +9,17 @@ minima. Rounds stop when a row's bins are full, after a few for usual texts.
 
 Candidates share a band of ``ROWS`` coordinates. Equal sets are folded first. In
 each bucket, every set is tested against a hub: the set that shares buckets with
-the most others (of a text and its variants that is the text). Two sets u, v of
-a bucket are tested against each other only if they share a change to its hub h:
-with neither an addition nor an omission in common, J(u, v) <= J(v, h), so a
-link of u and v where v does not link to h needs one. If it is an omission alone,
-the smaller overlap with the hub bounds their intersection, which rules out all
-partners that are not notably smaller than the hub. Pairs of a large group of
-variants therefore never meet unless they changed alike, and no link is lost.
-Sketches that differ by six deviations rule out a pair first. All tests compare
-the full shingle sets, so a link is never false; a pair at the threshold is
-missed with probability ``(1 - 0.75^ROWS)^BANDS`` (3e-7).
+the most others (of a text and its variants that is the text). Only connected
+groups are asked for, so sets that both link to the hub are done. Two sets where
+one does not link to its hub can link only if they share a change to it (an
+addition or an omission): with none in common, J(u, v) <= J(u, hub). In further
+rounds the sets that share a change are therefore tested against one of
+themselves, and go on together only with those that share a further change
+(``linked`` has the argument). The rarest changes decide who meets, and a group is
+dropped once its sets are known to be connected. A round emits one pair per set
+and group, never the pairs of a group, and no link is lost. All tests compare the
+full shingle sets, so a link is never false; a pair at the threshold is missed
+with probability ``(1 - 0.75^ROWS)^BANDS`` (3e-7).
 
 Defined results: null, empty and blank texts have the empty set and link to
 nothing; texts below five words are one shingle; equal texts link; null ids
@@ -94,9 +95,9 @@ def sketch(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, _t, n, rid, s2, sketch, bands) of every document; rid names its shingle set."""
+    """(doc_id, _t, n, rid, bands) of every document; rid names its shingle set."""
     d = docs.select("doc_id", text_key(F.col("text")).alias("_t"), "text")
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _t long, n long, rid long, s2 long, sketch binary, bands array<long>"
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, _t long, n long, rid long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,24 +106,21 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
                 values, vo = shingle_sets(data, offs[a : b + 1])
                 sk = sketch(values, vo)
                 size = np.diff(vo)
-                total = lambda salt: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(salt)))])[vo]).astype(np.uint64)
-                s1, s2 = mix(total(1) + size.astype(np.uint64)), total(2)
+                total = np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(1)))])[vo]).astype(np.uint64)
+                name = mix(total + size.astype(np.uint64))
                 cells = sk.reshape(b - a, BANDS, ROWS)
                 band = np.zeros((b - a, BANDS), np.uint64)
                 for j in range(ROWS):
                     band = mix(band + cells[:, :, j] * _STEP[j] + np.arange(BANDS, dtype=np.uint64))
-                short = (mix(sk) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         batch.column("_t").slice(a, b - a),
                         pa.array(size, pa.int64()),
-                        pa.array(s1.view(np.int64), pa.int64()),
-                        pa.array(s2.view(np.int64), pa.int64()),
-                        pa.array([x.tobytes() for x in short], pa.binary()),
+                        pa.array(name.view(np.int64), pa.int64()),
                         pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "_t", "n", "rid", "s2", "sketch", "bands"],
+                    names=["doc_id", "_t", "n", "rid", "bands"],
                 )
 
     return d.mapInArrow(run, schema)
@@ -142,60 +140,100 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(run, "rid long, s array<long>")
 
 
+def changes(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n, d, link, diff): set a of n shingles, the d shingles in which it differs from hub b, and whether they link."""
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("_sb")), "b")
+    both = both.withColumns({"n": F.size("_sa"), "diff": F.concat(F.array_except("_sa", "_sb"), F.array_except("_sb", "_sa"))})
+    common = (F.col("n") + F.size("_sb") - F.size("diff")) / 2
+    return both.select("a", "b", "n", F.size("diff").alias("d"), (100 * common >= percent * (common + F.size("diff"))).alias("link"), "diff")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full sets meet the threshold."""
-    left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("_sa")), "a")
-    both = left.join(sets.select(F.col("rid").alias("b"), F.col("s").alias("_sb")), "b")
-    small, large = F.least(F.size("_sa"), F.size("_sb")), F.greatest(F.size("_sa"), F.size("_sb"))
-    both = both.where(100 * small >= percent * large).withColumn("_i", F.size(F.array_intersect("_sa", "_sb")))
-    return both.where(100 * F.col("_i") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_i"))).select("a", "b")
+    """(a, b, link) from the full sets."""
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("_sb")), "b")
+    both = both.withColumn("_i", F.size(F.array_intersect("_sa", "_sb")))
+    return both.select("a", "b", (100 * F.col("_i") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_i"))).alias("link"))
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, deviations: float = 6.0) -> DataFrame:
-    """Drop pairs whose sketches agree in fewer coordinates than the threshold allows by ``deviations``."""
-    p = percent / 100.0
-    least = int(COORDS * p - deviations * (COORDS * p * (1 - p)) ** 0.5)
-    wide = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("sketch").alias("_ka")), "a").join(sketches.select(F.col("rid").alias("b"), F.col("sketch").alias("_kb")), "b")
+def regroup(paths: DataFrame, seen: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Next paths (path, b, y, a): sets that share a change to b which not all of their path share, with their tester y.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, COORDS) for c in ("_ka", "_kb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+    ``paths`` holds (path, b, a, link, top, c): sets a with component c as known,
+    and whether they link to the tester of the path; ``top`` is that tester.
+    ``seen`` holds the changes of a to b. With z = d - (100 - percent) n /
+    (100 + percent), a link of u and v needs (z_u + z_v) / 2 changes in common,
+    so they meet in one of the rarest changes of both (prefix filter).
+    """
+    up, down = 100 + percent, 100 - percent
+    rows = paths.join(seen.select("a", "b", "n", "d", "diff"), ["a", "b"]).withColumn("z", up * F.col("d") - down * F.col("n"))
+    mine = lambda c: F.when(~F.col("top"), F.col(c))
+    doubt = [F.min(mine("link")).alias("_all"), F.min(mine("c")).alias("_c1"), F.max(mine("c")).alias("_c2")]
+    # without a tester in ``seen`` it is b itself, which has no change to b
+    whole = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has"), F.min(mine("z")).alias("_z"), *doubt).where("not _all and _c1 <> _c2")
+    t = stored(rows.join(whole.select("path", "_size", "_has", "_z"), "path").select("path", "b", "a", "link", "top", "c", "z", "_size", "_has", "_z", F.explode("diff").alias("g")))
+    per = t.groupBy("path", "g", "_size", "_has").agg(F.count(F.lit(1)).alias("_m"), *doubt).withColumn("_core", F.col("_has") & (F.col("_m") == F.col("_size")))
+    core = per.where("_core").groupBy("path").agg(F.count(F.lit(1)).alias("_k0"))
+    able = per.where("not _core and not _all and _c1 <> _c2").select("path", "g", "_m")
+    own = W.partitionBy("path", "a")
+    met = t.where("not top").join(able, ["path", "g"]).withColumns({"_k": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("_m", "g"))})
+    met = met.join(core, "path", "left")
+    need = F.greatest(F.lit(1), F.ceil((F.col("z") + F.col("_z")) / F.lit(2 * up)) - F.coalesce("_k0", F.lit(0)))
+    cells = stored(met.where(F.col("_r") <= F.col("_k") - need + 1).select("path", "g", "b", "a", "link", "top", "c", "z"))
+    groups = cells.groupBy("path", "g", "b").agg(F.count(F.lit(1)).alias("_m"), F.min_by("a", F.struct("z", "a")).alias("y"), F.bit_xor(F.xxhash64("a")).alias("_who"), *doubt)
+    # the shingles around one changed word have the same sets: one of them is enough
+    once = groups.where("not _all and _c1 <> _c2").groupBy("b", "y", "_m", "_who").agg(F.min(F.struct("path", "g")).alias("_k")).select("y", "_k.*")
+    out = stored(cells.join(once, ["path", "g"]).select(F.xxhash64("path", "g").alias("path"), "b", "y", "a", "c"))
+    forget(t)
+    forget(cells)
+    return out
 
-    return wide.select("a", "b", "_ka", "_kb").mapInArrow(run, "a long, b long")
 
+def linked(members: DataFrame, sets: DataFrame, percent: int = PERCENT, max_rounds: int = 1000) -> tuple[DataFrame, list[int]]:
+    """Component (node, root) of every set of the buckets ``members(key, rid, w)``, and the pairs tested per round.
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, n, i, link, added, omitted): sets a of n shingles, i of them in hub b, and their changes to it."""
-    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("_sb")), "b")
-    both = both.withColumns({"n": F.size("_sa"), "i": F.size(F.array_intersect("_sa", "_sb"))})
-    link = 100 * F.col("i") >= percent * (F.col("n") + F.size("_sb") - F.col("i"))
-    omitted = F.when(100 * F.col("i") >= percent * F.col("n"), F.array_except("_sb", "_sa")).otherwise(F.array().cast("array<long>"))
-    return both.select("a", "b", "n", "i", link.alias("link"), F.array_except("_sa", "_sb").alias("added"), omitted.alias("omitted"))
-
-
-def alike(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) that share a change to one hub, one of them not linked to it."""
-    up, per = 100 + percent, percent
-    met = lambda x, y, more: x.join(y, ["b", "g"]).where("(link or x < y) and x <> y").where(more).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    busy = seen.groupBy("b").agg(F.count(F.lit(1)).alias("_n"), F.min("link").alias("_all")).where("_n > 1 and not _all").select("b")
-    t = seen.join(busy, "b").select("b", "a", "n", "i", "link", F.explode("added").alias("g"))
-    common = t.groupBy("b", "g").agg(F.count(F.lit(1)).alias("_n"), F.min("link").alias("_all")).where("_n > 1 and not _all").select("b", "g")
-    # an intersection is at most what both have in the hub and, of additions, what others here added too
-    t = t.join(common, ["b", "g"]).withColumn("k", F.count(F.lit(1)).over(W.partitionBy("b", "a")))
-    t = stored(t.where(up * (F.col("i") + F.col("k")) >= per * (F.col("n") + F.col("n") * percent / 100)))
-    side = lambda d, v: d.select("b", "g", F.col("a").alias(v), *[F.col(c).alias(f"{v}{c}") for c in ("n", "i", "k")], *(["link"] if v == "y" else []))
-    added = met(side(t.where("not link"), "x"), side(t, "y"), up * (F.least("xi", "yi") + F.least("xk", "yk")) >= per * (F.col("xn") + F.col("yn")))
-    # omissions alone: (100 + percent) * min(i) >= percent * (n_x + n_y); first by the smallest size and the widest reach of the hub
-    reach = seen.groupBy("b").agg(F.min("n").alias("_least"), F.max(F.when(~F.col("link"), up * F.col("i") - per * F.col("n"))).alias("_reach"))
-    s = seen.join(reach, "b")
-    x = s.where(~F.col("link") & (up * F.col("i") >= per * (F.col("n") + F.col("_least")))).select("b", F.explode("omitted").alias("g"), F.col("a").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"))
-    y = s.where(per * F.col("n") <= F.col("_reach")).select("b", F.explode("omitted").alias("g"), F.col("a").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), "link")
-    omitted = met(x, y, up * F.least("xi", "yi") >= per * (F.col("xn") + F.col("yn")))
-    pairs = stored(added.unionByName(omitted).distinct())
-    forget(t)
-    return pairs
+    Round 0 tests each set against the hubs of its buckets. Later rounds test
+    the sets of a path against one of them, y, whose changes to the hub are
+    fewest (least z). If u and v link and share no change to the hub but those
+    that all of their path share, u and v differ by z_u + z_v at most, and as
+    z_y is no larger both link to y. So two sets can only have a link not known
+    yet if they share a further change; the sets of a path that share one form
+    a path of the next round. It is smaller by y and by all without that change,
+    so a round emits at most one pair per set and path, and rounds end.
+    """
+    hubs = members.groupBy("key").agg(F.max_by("rid", F.struct("w", "rid")).alias("b"))
+    seen = stored(changes(members.join(hubs, "key").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), sets, percent))
+    counts = [seen.count()]
+    roots = stored(components(seen.where("link").select("a", "b")))
+    known = lambda d: d.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_c")), "a", "left").withColumn("c", F.coalesce("_c", "a")).drop("_c")
+    paths, used, edges = known(seen.select(F.col("b").alias("path"), "b", "a", "link", F.lit(False).alias("top"))), [seen], None
+    for _ in range(max_rounds):
+        groups = regroup(paths, seen, percent)
+        used.append(groups)
+        tests = groups.where("a <> y").select("a", F.col("y").alias("b")).distinct()
+        told = stored(verify(tests, sets, percent))
+        used.append(told)
+        counts.append(told.count())
+        if not counts[-1]:
+            break
+        more = told.where("link").select("a", "b")
+        edges = more if edges is None else edges.unionByName(more)
+        result = told.select("a", F.col("b").alias("y"), "link")
+        paths = groups.join(result, ["a", "y"], "left").select("path", "b", "a", F.coalesce("link", F.lit(True)).alias("link"), (F.col("a") == F.col("y")).alias("top"), "c")
+    else:
+        raise RuntimeError("groups did not settle")
+    named = known(members.select(F.col("rid").alias("a")).distinct())
+    if edges is not None:
+        # later links join components of round 0
+        of = lambda v: known(edges.select(F.col(v).alias("a"), "_i")).select("_i", F.col("c").alias(v))
+        edges = stored(edges.withColumn("_i", F.xxhash64("a", "b")).distinct())
+        used.append(edges)
+        later = components(of("a").join(of("b"), "_i").select("a", "b"))
+        named = named.join(later, F.col("c") == F.col("node"), "left").select("a", F.coalesce("root", "c").alias("c"))
+    named = stored(named.select(F.col("a").alias("node"), F.col("c").alias("root")))
+    forget(roots)
+    for frame in used:
+        forget(frame)
+    return named, counts
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,16 +250,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = full.join(wanted, "rid").groupBy("rid").agg(F.min(F.struct("doc_id", "_t")).alias("k")).select("rid", F.col("k.doc_id").alias("_d"), F.col("k._t").alias("_k"))
     own = docs.select("doc_id", "text").withColumn("_t", text_key(F.col("text")))
     sets = stored(full_sets(own.join(keys, own["doc_id"].eqNullSafe(keys["_d"]) & (own["_t"] == keys["_k"])).select("rid", "text")))
-    sketches = full.join(wanted, "rid").groupBy("rid").agg(F.first("sketch").alias("sketch"))
-    hubs = members.groupBy("key").agg(F.max_by("rid", F.struct("w", "rid")).alias("b"))
-    seen = stored(compare(members.join(hubs, "key").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), sets, percent))
-    edges = seen.where("link").select("a", "b")
-    cross = alike(seen, percent)
-    more = stored(verify(likely(cross, sketches, percent), sets, percent))
-    roots = components(edges.unionByName(more))
+    roots, _ = linked(members, sets, percent)
     named = full.groupBy("rid").agg(F.min("doc_id").alias("low")).join(roots, F.col("rid") == F.col("node"), "left").select("rid", "low", F.coalesce("root", "rid").alias("root"))
     named = stored(named)
-    for frame in (members, sets, seen, cross, more):
+    for frame in (members, sets):
         forget(frame)
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     label = named.join(low, "root").select(F.col("rid").alias("_r"), "root", "component_id")

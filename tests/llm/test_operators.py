@@ -99,6 +99,34 @@ def test_near_group_of_variants(spark):
     same(neardup.near_duplicates(d), ["doc_id", "n_shingles", "component_id", "kept"], brute.near(r))
 
 
+def variants(n, length=40):
+    """Copies of one text with 1 to 6 changes drawn from 20 words."""
+    rng = np.random.default_rng(7)
+    r = []
+    for i in range(n):
+        w = [f"b{k}" for k in range(length)]
+        for k in rng.choice(length, rng.integers(1, 7), replace=False):
+            w[k] = f"v{rng.integers(0, 20)}"
+        r.append((i, " ".join(w)))
+    return r
+
+
+def test_near_pairs_grow_with_the_sets(spark, monkeypatch):
+    """Variants that share changes: tested pairs per set stay bounded, far from all pairs, and no link is lost."""
+    linked, per_set = neardup.linked, []
+
+    def count(*a):
+        named, counts = linked(*a)
+        per_set.append(sum(counts) / n)
+        return named, counts
+
+    monkeypatch.setattr(neardup, "linked", count)
+    for n in (300, 600, 1200):
+        r = variants(n)
+        same(neardup.near_duplicates(spark.createDataFrame(r, "doc_id long, text string")), ["doc_id", "n_shingles", "component_id", "kept"], brute.near(r))
+    assert per_set[2] < 1.35 * per_set[1] < 1.35**2 * per_set[0] and per_set[2] < 20
+
+
 def test_keep_one(docs, rows):
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
