@@ -1,12 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document is a packet of its source's queue. Its virtual finish time is
-the number of source tokens up to and including it, divided by the source's
-weight; the mix is the globally sorted finish times cut at the total budget.
-A source may be repeated ``epochs`` times, then its queue is empty and the
-others share what is left, so the cut time follows from one prefix sum over
-the sources. Cumulative sums use range slices with offsets: no source, however
-large, is ordered in one task.
+Every document is a packet of its source's queue, in shuffled order; a source may
+be repeated ``epochs`` times, each epoch the same order again. A packet's virtual
+time is the number of source tokens served when half of it is through, divided by
+the source's weight (half, so that a source misses its share by half a document
+at most, not by a whole one). Packets of all sources are sorted by that time over
+range slices, their sizes are summed along this order and the mix is cut where
+the sum reaches the total budget. A source whose queue is empty has no later
+packets, so the others share what it leaves. Cumulative sums use range slices
+with offsets: no source, however large, is ordered in one task.
+
+Targets are reported for each source: they follow from one prefix sum over the
+sources and are what the queues converge to; they take no part in the cut.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; equal rows are separate packets; an empty
@@ -32,7 +37,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2) -> DataFrame:
-    """Rows (source, source_size, weight, target) from per-source sizes.
+    """Rows (source, source_size, weight, target, place) from per-source sizes.
 
     The queue of a source is served until time ``epochs * size / weight``.
     Sources sorted by that time form prefixes of emptied queues; the cut time
@@ -51,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     at = (left - (F.col("_used") - F.col("_cap"))) / (F.col("_w") - F.col("_gone") + F.col("weight"))
     cut = t.agg(F.min(F.when(served >= left, F.struct(F.col("_dry").alias("d"), F.col("_rn").alias("r"), at.alias("at"))))["at"].alias("_cut"), F.max("_dry").alias("_last"))
     out = ranked.crossJoin(F.broadcast(cut.select(F.coalesce("_cut", "_last").alias("_cut"))))
-    return out.select("source", "source_size", "weight", F.least(F.col("_cap"), F.col("weight") * F.col("_cut")).alias("target"))
+    return out.select("source", "source_size", "weight", F.least(F.col("_cap"), F.col("weight") * F.col("_cut")).alias("target"), F.col("_rn").alias("place"))
 
 
 def _order(seed: int) -> Column:
@@ -62,17 +67,21 @@ def _order(seed: int) -> Column:
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, _order, size, source_size, target, finish, copies, taken.
 
-    A copy is served whole when the middle of its service lies before the end
-    of its source's target, so a source misses its target by half a document
-    at most; later epochs repeat the same order.
+    ``finish`` is the virtual time at which the document's first copy is served whole.
     """
     d = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("_order")))
     targets = materialise(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs))
     queue = prefix_sums(d, [F.col("_order").asc(), F.col("doc_id").asc(), F.col("size").asc()], {"_upto": F.col("size")}, ["source"])
-    t = targets.select(F.col("source").alias("_s"), "source_size", "weight", "target")
-    q = queue.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    middle = F.col("_upto") - F.col("size") / F.lit(2.0)
-    copies = sum((F.when((F.col("size") > 0) & (middle + F.lit(float(e)) * F.col("source_size") <= F.col("target")), 1).otherwise(0) for e in range(epochs)), F.lit(0))
+    t = targets.select(F.col("source").alias("_s"), "source_size", "weight", "target", "place")
+    q = materialise(queue.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    time = lambda e: (F.col("_upto") - F.col("size") / F.lit(2.0) + F.lit(float(e)) * F.col("source_size")) / F.col("weight")
+    packet = lambda e: F.struct(time(e).alias("t"), "place", "_upto", "_order", "doc_id", F.lit(e).alias("e"))
+    budget = F.lit(float(share)) * d.agg(F.sum("size").alias("n")).select("n").scalar()
+    packets = q.where("size > 0").select("size", F.explode(F.array(*[packet(e) for e in range(epochs)])).alias("p"))
+    sorted_ = prefix_sums(packets, [F.col("p").asc()], {"_run": F.col("size")})
+    last = sorted_.where(F.col("_run") - F.col("size") / F.lit(2.0) <= budget).agg(F.max("p").alias("_last"))
+    q = q.crossJoin(F.broadcast(last))  # one row
+    copies = sum((F.when((F.col("size") > 0) & (packet(e) <= F.col("_last")), 1).otherwise(0) for e in range(epochs)), F.lit(0))
     return q.select("doc_id", "source", "_order", "size", "source_size", "target", (F.col("_upto") / F.col("weight")).alias("finish"), copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
