@@ -39,7 +39,7 @@ UNIT = 1_000_000_000
 TOP = 200
 FIRST_LEVEL = 2
 FILTER_BITS = 1 << 23
-BLOCK_CELLS = 100_000
+BLOCK_CELLS = 32_000
 TILE = 512
 _TEXTS = 4 << 20
 _HELD = 1 << 20
@@ -209,16 +209,19 @@ def chance(count, total, kinds):
 
 
 def pair_values(counts: DataFrame, sources: DataFrame) -> DataFrame:
-    """(lang, a, b, value) for sources numbered ``idx`` in each language: sums over all kept terms, a against b."""
-    cells = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("cells"))
-    size = sources.groupBy("lang").agg(F.max("idx").alias("top")).join(cells, "lang").select("lang", (F.expr(f"cells div {BLOCK_CELLS}") + 1).alias("blocks"), F.expr(f"top div {TILE}").alias("tiles"))
+    """(lang, a, b, value) for sources numbered ``idx`` in each language: sums over all kept terms, a against b.
+
+    ``sources`` holds lang, source, idx, n (counted terms), v (kept terms), blocks and tiles of its language.
+    """
     tile = F.expr(f"idx div {TILE}")
     placed = lambda d: d.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles")))).withColumns({"ta": F.least(tile, "_o"), "tb": F.greatest(tile, "_o")})
     key = F.xxhash64("term")
-    kinds = counts.where("first").join(size, "lang").groupBy("lang", F.pmod(key, "blocks").alias("block")).agg(F.count(F.lit(1)).alias("kinds"))
-    have = counts.join(sources.select("lang", "source", "idx", "n", "v"), ["lang", "source"]).join(size, "lang")
-    have = placed(have.select("lang", "idx", "blocks", "tiles", key.alias("t"), F.pmod(key, "blocks").alias("block"), chance("count", "n", "v").alias("p"), F.lit(0).cast("long").alias("kinds")))
-    none = sources.join(size, "lang").select("lang", "idx", "blocks", "tiles", F.lit(None).cast("long").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), chance(F.lit(0), "n", "v").alias("p"))
+    # joined by (lang, source) with a table of one row per source; no row moves by language alone
+    have = counts.join(sources.select("lang", "source", "idx", "n", "v", "blocks", "tiles"), ["lang", "source"])
+    have = have.select("lang", "idx", "tiles", "first", key.alias("t"), F.pmod(key, "blocks").alias("block"), chance("count", "n", "v").alias("p"))
+    kinds = have.where("first").groupBy("lang", "block").agg(F.count(F.lit(1)).alias("kinds"))
+    have = placed(have.withColumn("kinds", F.lit(0).cast("long")))
+    none = sources.where("v > 0").select("lang", "idx", "tiles", F.lit(None).cast("long").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), chance(F.lit(0), "n", "v").alias("p"))
     none = none.join(kinds, ["lang", "block"], "left").na.fill(0, ["kinds"])
     cols = ["lang", "block", "ta", "tb", "idx", "t", "p", "kinds"]
     rows = have.select(cols).unionByName(placed(none).select(cols))
@@ -261,9 +264,9 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     d = docs.select(text("text"), text("lang"), text("source"))
     counts = kept_counts(d.withColumn("_l", F.xxhash64("lang")), least)
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    langs = counts.groupBy("lang").agg(F.sum("count").alias("lang_n"), F.sum(F.col("first").cast("long")).alias("v"))
+    langs = counts.groupBy("lang").agg(F.sum("count").alias("lang_n"), F.sum(F.col("first").cast("long")).alias("v"), (F.expr(f"count(1) div {BLOCK_CELLS}") + 1).alias("blocks"))
     sources = d.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    sources = sources.na.fill(0, ["n", "lang_n", "v"]).withColumn("idx", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1)
+    sources = sources.na.fill(0, ["n", "lang_n", "v", "blocks"]).withColumn("tiles", F.expr(f"(count(1) over (partition by lang) - 1) div {TILE}")).withColumn("idx", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1)
     sources = stored(sources)
     f = F.expr("((p - q) * (p - q)) div q")
     t = counts.join(sources.select("lang", "source", "n", "lang_n", "v"), ["lang", "source"])
