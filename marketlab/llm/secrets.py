@@ -13,8 +13,9 @@ names), and windows of letters without ``MIXED`` case, which entropy does not
 tell from long words.
 
 Defined results: null and empty texts have no spans; positions are code points;
-repeated rows get equal results; text length is not bounded (arrays are cut in
-blocks for prefix sums, so many matches in one text stay near linear).
+repeated rows get equal results; text length is not bounded: prefix sums go by
+blocks of blocks, and the class of a window comes from running counts of its
+kinds of characters, so time is near linear in the text and in a candidate.
 """
 
 from __future__ import annotations
@@ -30,21 +31,23 @@ PATTERNS: tuple[tuple[str, str, int, int], ...] = (
 )
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-MIXED = "^(?=(?:[^a-z]*[a-z]){3})(?=(?:[^A-Z]*[A-Z]){3})"
-#: Classes tried in order: (name, characters match, least bits in a window, window also matches).
-CLASSES: tuple[tuple[str, str, float, str], ...] = (
-    ("digits", "^[0-9_=-]+$", 3.0, "[0-9]"),  # ten digits alone hold at most 3.32
-    ("letters", "^[A-Za-z_=-]+$", 3.9, MIXED),  # 20 characters hold at most 4.32
-    ("hex", "^[0-9a-fA-F]+$", 3.2, ""),
-    ("base64", "", 3.7, ""),
+#: Classes of candidates, tried in order: (name, characters match, least bits in a window). A window of
+#: digits needs a digit, one of letters ``MIXED`` lower and ``MIXED`` upper ones.
+CLASSES: tuple[tuple[str, str, float], ...] = (
+    ("digits", "^[0-9_=-]+$", 3.0),  # ten digits alone hold at most 3.32
+    ("letters", "^[A-Za-z_=-]+$", 3.9),  # 20 characters hold at most 4.32
+    ("hex", "^[0-9a-fA-F]+$", 3.2),
+    ("base64", "", 3.7),
 )
+MIXED = 3
+NEVER = 9.0  # bits that no window holds
 #: Allow list: candidates that look random and are not secret, and parts of candidates.
 ALLOWED: tuple[str, ...] = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "^(?:/[A-Za-z0-9_-]{1,16}){2,}/?$",
+    "^(?:/[A-Za-z0-9_-]{1,16}+){2,}+/?$",  # possessive: matched in a loop, however long
 )
 ALLOWED_PARTS = "(?i)example|sample|placeholder|changeme|dummy|0123456789|abcdefghij|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-BLOCK = 256
+BLOCK = 64
 
 
 def let(value: Column, body) -> Column:
@@ -52,15 +55,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def before_sums(xs: Column, zero: Column) -> Column:
-    """Exclusive prefix sums of an array, blockwise: cost n * BLOCK + (n / BLOCK)^2."""
+def before_sums(xs: Column, zero: Column, levels: int = 2) -> Column:
+    """Exclusive prefix sums of an array: blocks of ``BLOCK``, their sums by the same rule ``levels`` deep, so near linear."""
     add = lambda part: F.aggregate(part, zero, lambda s, x: s + x)
     block = lambda v, b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+    inside = lambda own, base: F.transform(own, lambda _, j: base + add(F.slice(own, F.lit(1), j)))
+    if levels == 0:
+        return let(xs, lambda v: inside(v, zero))
 
     def of(v: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / BLOCK).cast("int"))
-        inside = lambda own, base: F.transform(own, lambda _, j: base + add(F.slice(own, F.lit(1), j)))
-        return let(F.transform(blocks, lambda b: add(block(v, b))), lambda sums: F.flatten(F.transform(blocks, lambda b: let(block(v, b), lambda own: let(add(F.slice(sums, F.lit(1), b)), lambda base: inside(own, base))))))
+        bases = before_sums(F.transform(blocks, lambda b: add(block(v, b))), zero, levels - 1)
+        parts = F.arrays_zip(bases.alias("base"), F.transform(blocks, lambda b: block(v, b)).alias("own"))
+        return F.flatten(F.transform(parts, lambda p: inside(p["own"], p["base"])))
 
     return let(xs, of)
 
@@ -130,22 +137,59 @@ def _log2(x: float) -> float:
     return math.log2(x)
 
 
+#: What a window's packed counts hold, five bits each.
+FIELDS = ("digit", "lower", "upper", "hex", "sign", "allowed")
+
+
+def packed(chars: Column, allowed: Column) -> Column:
+    """Per character one number with a one in the field of each class it belongs to; sums over a window keep fields apart."""
+    bit = {f: 1 << (5 * k) for k, f in enumerate(FIELDS)}
+    within = lambda x, a, b: (x >= a) & (x <= b)
+    letter = lambda x, low, a, f, z: F.when(within(x, a, f), F.lit(bit[low] + bit["hex"])).when(within(x, a, z), F.lit(bit[low]))
+    kind = lambda x: F.coalesce(F.when(within(x, "0", "9"), F.lit(bit["digit"])), letter(x, "lower", "a", "f", "z"), letter(x, "upper", "A", "F", "Z"), F.when(x.isin("+", "/"), F.lit(bit["sign"])), F.lit(0))
+    return F.transform(chars, lambda x, i: (kind(x) + F.coalesce(F.get(allowed, i), F.lit(0)) * bit["allowed"]).cast("long"))
+
+
+def window_bits(counts: Column) -> Column:
+    """Least entropy of a window by its own class, from its packed counts; ``NEVER`` where it overlaps an allowed part."""
+    of = {f: F.shiftright(counts, 5 * k).bitwiseAND(F.lit(31)) for k, f in enumerate(FIELDS)}
+    digits, letters, hexes, other = (F.lit(bits) for _, _, bits in CLASSES)
+    case = (
+        F.when(of["allowed"] > 0, F.lit(NEVER))
+        .when(of["lower"] + of["upper"] + of["sign"] == 0, F.when(of["digit"] > 0, digits).otherwise(F.lit(NEVER)))
+        .when(of["digit"] + of["sign"] == 0, F.when((of["lower"] >= MIXED) & (of["upper"] >= MIXED), letters).otherwise(F.lit(NEVER)))
+        .when(of["digit"] + of["hex"] == WINDOW, hexes)
+    )
+    return F.coalesce(case, other)
+
+
 def _entropy(d: DataFrame) -> DataFrame:
     d = d.withColumn("_p", F.when(F.col("_t").rlike(CANDIDATE), _parts(F.col("_t"), CANDIDATE)))
-    least = min(bits for _, _, bits, _ in CLASSES)
-    bits = lambda m, whole: F.coalesce(*[F.when(m.rlike(rx) if rx else F.lit(True), F.lit(9.0) if whole and also else F.when(m.rlike(also), F.lit(bits)).otherwise(F.lit(9.0)) if also else F.lit(bits)) for _, rx, bits, also in CLASSES])
-    suspects = F.filter(_odd(F.col("_p")), lambda x: (bits(x["m"], False) <= _log2(WINDOW)) & ~F.exists(F.array(*[x["m"].rlike(rx) for rx in ALLOWED]), lambda y: y))
+    least = min(bits for _, _, bits in CLASSES)
+    first = lambda m, says: F.coalesce(*[F.when(m.rlike(rx) if rx else F.lit(True), says(name, bits)) for name, rx, bits in CLASSES])
+    some = lambda m, rx: m.rlike(f"^(?:[^{rx}]*+[{rx}]){{{MIXED}}}")
+    able = lambda m: first(m, lambda name, _: {"digits": m.rlike("[0-9]"), "letters": some(m, "a-z") & some(m, "A-Z")}.get(name, F.lit(True)))
+    # a whole hex or base64 candidate keeps its threshold in all windows
+    whole = lambda m: first(m, lambda name, bits: F.lit(NEVER if name in ("digits", "letters") else bits))
+    suspects = F.filter(_odd(F.col("_p")), lambda x: able(x["m"]) & ~F.exists(F.array(*[x["m"].rlike(rx) for rx in ALLOWED]), lambda y: y))
     none = F.array().cast("array<struct<m:string,a:int,odd:boolean>>")
     d = d.withColumn("_c", F.coalesce(F.when(F.col("_p").isNotNull(), suspects), none)).drop("_p")
 
     def dense(m: Column) -> Column:
-        def within(whole: Column, parts: Column) -> Column:
-            free = lambda e: ~F.exists(parts, lambda p: (p["a"] < e) & (p["a"] + F.char_length(p["m"]) > e - WINDOW))
-            passes = lambda e, h: ((h >= whole) | (h >= bits(F.substring(m, e - WINDOW + 1, F.lit(WINDOW)), False))) & free(e)
-            return dense_windows(F.filter(F.split(m, ""), lambda y: y != ""), F.lit(least), passes)
+        named = F.when(m.rlike(ALLOWED_PARTS), F.flatten(F.transform(_parts(m, ALLOWED_PARTS), lambda p, i: F.array_repeat(i % 2, F.char_length(p)))))
+        chars = F.filter(F.split(m, ""), lambda y: y != "")
+
+        def within(cs: Column, keep: Column, sums: Column) -> Column:
+            def passes(e: Column, h: Column) -> Column:
+                own = lambda n: (h >= window_bits(n)) | ((h >= keep) & (F.shiftright(n, 5 * FIELDS.index("allowed")) == 0))
+                return let(F.get(sums, e) - F.get(sums, e - WINDOW), own)
+
+            return dense_windows(cs, F.lit(least), passes)
 
-        parts = F.coalesce(F.when(m.rlike(ALLOWED_PARTS), _odd(_parts(m, ALLOWED_PARTS))), none)
-        return let(bits(m, True), lambda whole: let(parts, lambda p: within(whole, p)))
+        zero = F.lit(0).cast("long")
+        own = F.struct(chars.alias("cs"), F.coalesce(named, F.array().cast("array<int>")).alias("al"))
+        sums = lambda y: before_sums(F.concat(packed(y["cs"], y["al"]), F.array(zero)), zero)
+        return let(own, lambda y: let(F.struct(whole(m).alias("keep"), sums(y).alias("sums")), lambda x: within(y["cs"], x["keep"], x["sums"])))
 
     spans = F.flatten(F.transform("_c", lambda x: F.transform(dense(x["m"]), lambda s: _shape(len(PATTERNS), x["a"] + s["f"], x["a"] + s["to"]))))
     return d.withColumn("_entropy", F.when(F.size("_c") > 0, spans).otherwise(F.array().cast(SPANS))).drop("_c")
