@@ -41,6 +41,7 @@ SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 4, 40
 COORDS = ROWS * BANDS
+SMALL = 8  # sets of a group that are tested with each other at once, at most 3.5 pairs per set
 BLOCK = 2 << 20
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SEED = mix(np.arange(2 * COORDS, dtype=np.uint64) + np.uint64(0xABCDEF))
@@ -155,37 +156,55 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return both.select("a", "b", (100 * F.col("_i") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_i"))).alias("link"))
 
 
-def regroup(paths: DataFrame, seen: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Next paths (path, b, y, a): sets that share a change to b which not all of their path share, with their tester y.
+def regroup(paths: DataFrame, seen: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Next paths (path, b, y, a): sets that share a change to b which not all of their path share, with their tester y;
+    and the pairs (a, y) of groups of at most ``SMALL`` sets, which are tested at once.
 
     ``paths`` holds (path, b, a, link, top, c): sets a with component c as known,
     and whether they link to the tester of the path; ``top`` is that tester.
-    ``seen`` holds the changes of a to b. With z = d - (100 - percent) n /
-    (100 + percent), a link of u and v needs (z_u + z_v) / 2 changes in common,
-    so they meet in one of the rarest changes of both (prefix filter).
+    ``seen`` holds the changes of a to b. Two sets u, v that link differ by at most
+    r (n_u + n_v) shingles, r = (100 - percent) / (100 + percent). So d_u - r n_u <=
+    d_v + r n_v, and they have (z_u + z_v) / 2 changes in common, z = d - r n, and
+    d_u - r (n_u + n_v): they meet in one of the rarest changes of both (prefix
+    filter). Two sets that are not linked to the tester (kind U) need more in
+    common than one with a linked set (kind L). z and hi are in units of
+    1 / (100 + percent).
     """
     up, down = 100 + percent, 100 - percent
-    rows = paths.join(seen.select("a", "b", "n", "d", "diff"), ["a", "b"]).withColumn("z", up * F.col("d") - down * F.col("n"))
+    rows = paths.join(seen.select("a", "b", "n", "d", "diff"), ["a", "b"]).withColumns({"z": up * F.col("d") - down * F.col("n"), "hi": up * F.col("d") + down * F.col("n")})
     mine = lambda c: F.when(~F.col("top"), F.col(c))
-    doubt = [F.min(mine("link")).alias("_all"), F.min(mine("c")).alias("_c1"), F.max(mine("c")).alias("_c2")]
+    held, free = ~F.col("top") & F.col("link"), ~F.col("top") & ~F.col("link")
+    doubt = [F.count_if(free).alias("_nu"), F.count_if(held).alias("_nl"), F.min(mine("c")).alias("_c1"), F.max(mine("c")).alias("_c2")]
+    reach = [F.min(F.when(free, F.col("z"))).alias("_zu"), F.min(F.when(held, F.col("z"))).alias("_zl"), F.max(F.when(held, F.col("hi"))).alias("_hl"), F.max(mine("n")).alias("_nm")]
     # without a tester in ``seen`` it is b itself, which has no change to b
-    whole = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has"), F.min(mine("z")).alias("_z"), *doubt).where("not _all and _c1 <> _c2")
-    t = stored(rows.join(whole.select("path", "_size", "_has", "_z"), "path").select("path", "b", "a", "link", "top", "c", "z", "_size", "_has", "_z", F.explode("diff").alias("g")))
-    per = t.groupBy("path", "g", "_size", "_has").agg(F.count(F.lit(1)).alias("_m"), *doubt).withColumn("_core", F.col("_has") & (F.col("_m") == F.col("_size")))
+    whole = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has"), *reach, *doubt).where("_nu > 0 and _c1 <> _c2").drop("_c1", "_c2", "_nl")
+    able = F.col("top") | (F.col("link") & (F.col("hi") >= F.col("_zu"))) | (~F.col("link") & ((F.col("_nu") > 1) | (F.col("z") <= F.col("_hl"))))
+    rows = stored(rows.join(whole.drop("_size", "_has"), "path").where(able).drop("_nu", "hi"))
+    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has"))
+    spread = lambda: rows.select("path", "b", "a", "link", "top", "c", "n", "d", "z", "_zu", "_zl", "_nm", F.explode("diff").alias("g"))
+    per = spread().groupBy("path", "g").agg(F.count(F.lit(1)).alias("_m"), *doubt).where("_m > 1").join(size, "path").withColumn("_core", F.col("_has") & (F.col("_m") == F.col("_size")))
+    per = stored(per.where("_core or (_nu > 0 and _c1 <> _c2)"))
     core = per.where("_core").groupBy("path").agg(F.count(F.lit(1)).alias("_k0"))
-    able = per.where("not _core and not _all and _c1 <> _c2").select("path", "g", "_m")
-    own = W.partitionBy("path", "a")
-    met = t.where("not top").join(able, ["path", "g"]).withColumns({"_k": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("_m", "g"))})
-    met = met.join(core, "path", "left")
-    need = F.greatest(F.lit(1), F.ceil((F.col("z") + F.col("_z")) / F.lit(2 * up)) - F.coalesce("_k0", F.lit(0)))
-    cells = stored(met.where(F.col("_r") <= F.col("_k") - need + 1).select("path", "g", "b", "a", "link", "top", "c", "z"))
-    groups = cells.groupBy("path", "g", "b").agg(F.count(F.lit(1)).alias("_m"), F.min_by("a", F.struct("z", "a")).alias("y"), F.bit_xor(F.xxhash64("a")).alias("_who"), *doubt)
+    kinds = F.filter(F.array(F.when(F.col("_nu") > 1, F.lit("U")), F.when(F.col("_nl") > 0, F.lit("L"))), lambda k: k.isNotNull())
+    met = spread().where("not top").join(per.where("not _core").select("path", "g", "_m", F.explode(kinds).alias("kind")), ["path", "g"]).where("kind = 'L' or not link")
+    own = W.partitionBy("path", "kind", "a")
+    met = met.withColumns({"_k": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("_m", "g"))}).join(core, "path", "left")
+    least = F.when((F.col("kind") == "U") | F.col("link"), F.col("_zu")).otherwise(F.col("_zl"))
+    other = F.least(F.col("_nm"), F.floor(100 * F.col("n") / F.lit(percent)))
+    need = F.greatest(F.ceil((F.col("z") + least) / F.lit(2 * up)), F.ceil((up * F.col("d") - down * (F.col("n") + other)) / F.lit(up))) - F.coalesce("_k0", F.lit(0))
+    cells = stored(met.where(F.col("_r") <= F.col("_k") - F.greatest(F.lit(1), need) + 1).select("path", "kind", "g", "b", "a", "link", "top", "c", "z"))
+    key = ["path", "kind", "g"]
+    groups = cells.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("_m"), F.min_by("a", F.struct("z", "a")).alias("y"), F.bit_xor(F.xxhash64("a")).alias("_who"), *doubt)
     # the shingles around one changed word have the same sets: one of them is enough
-    once = groups.where("not _all and _c1 <> _c2").groupBy("b", "y", "_m", "_who").agg(F.min(F.struct("path", "g")).alias("_k")).select("y", "_k.*")
-    out = stored(cells.join(once, ["path", "g"]).select(F.xxhash64("path", "g").alias("path"), "b", "y", "a", "c"))
-    forget(t)
-    forget(cells)
-    return out
+    once = groups.where("_nu > 0 and _c1 <> _c2").groupBy("b", "y", "_m", "_who").agg(F.min(F.struct(*key)).alias("_k")).select("y", "_m", "_k.*")
+    once = stored(once)
+    out = stored(cells.join(once.where(F.col("_m") > SMALL), key).select(F.xxhash64(*key).alias("path"), "b", "y", "a", "c"))
+    few = cells.join(once.where(F.col("_m") <= SMALL).select(*key), key)
+    pair = few.alias("l").join(few.alias("r"), key).where("l.a > r.a and l.c <> r.c and not (l.link and r.link)")
+    direct = stored(pair.select(F.col("l.a").alias("a"), F.col("r.a").alias("y")).distinct())
+    for frame in (rows, per, cells, once):
+        forget(frame)
+    return out, direct
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int = PERCENT, max_rounds: int = 1000) -> tuple[DataFrame, list[int]]:
@@ -205,30 +224,31 @@ def linked(members: DataFrame, sets: DataFrame, percent: int = PERCENT, max_roun
     counts = [seen.count()]
     roots = stored(components(seen.where("link").select("a", "b")))
     known = lambda d: d.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_c")), "a", "left").withColumn("c", F.coalesce("_c", "a")).drop("_c")
-    paths, used, edges = known(seen.select(F.col("b").alias("path"), "b", "a", "link", F.lit(False).alias("top"))), [seen], None
+    paths, used, done = known(seen.select(F.col("b").alias("path"), "b", "a", "link", F.lit(False).alias("top"))), [seen], None
     for _ in range(max_rounds):
-        groups = regroup(paths, seen, percent)
-        used.append(groups)
-        tests = groups.where("a <> y").select("a", F.col("y").alias("b")).distinct()
+        groups, direct = regroup(paths, seen, percent)
+        used += [groups, direct]
+        low, high = F.least("a", "y"), F.greatest("a", "y")
+        tests = groups.where("a <> y").select("a", "y").unionByName(direct).select(high.alias("a"), low.alias("b")).distinct()
+        tests = tests if done is None else tests.join(done.select("a", "b"), ["a", "b"], "left_anti")
         told = stored(verify(tests, sets, percent))
         used.append(told)
         counts.append(told.count())
-        if not counts[-1]:
+        done = told if done is None else done.unionByName(told)
+        if groups.isEmpty():
             break
-        more = told.where("link").select("a", "b")
-        edges = more if edges is None else edges.unionByName(more)
-        result = told.select("a", F.col("b").alias("y"), "link")
-        paths = groups.join(result, ["a", "y"], "left").select("path", "b", "a", F.coalesce("link", F.lit(True)).alias("link"), (F.col("a") == F.col("y")).alias("top"), "c")
+        result = groups.select("path", "b", "y", "a", "c", high.alias("_u"), low.alias("_v")).join(done.select(F.col("a").alias("_u"), F.col("b").alias("_v"), "link"), ["_u", "_v"], "left")
+        paths = result.select("path", "b", "a", F.coalesce("link", F.lit(True)).alias("link"), (F.col("a") == F.col("y")).alias("top"), "c")
     else:
         raise RuntimeError("groups did not settle")
+    edges = done.where("link").select("a", "b")
     named = known(members.select(F.col("rid").alias("a")).distinct())
-    if edges is not None:
-        # later links join components of round 0
-        of = lambda v: known(edges.select(F.col(v).alias("a"), "_i")).select("_i", F.col("c").alias(v))
-        edges = stored(edges.withColumn("_i", F.xxhash64("a", "b")).distinct())
-        used.append(edges)
-        later = components(of("a").join(of("b"), "_i").select("a", "b"))
-        named = named.join(later, F.col("c") == F.col("node"), "left").select("a", F.coalesce("root", "c").alias("c"))
+    # later links join components of round 0
+    of = lambda v: known(edges.select(F.col(v).alias("a"), "_i")).select("_i", F.col("c").alias(v))
+    edges = stored(edges.withColumn("_i", F.xxhash64("a", "b")).distinct())
+    used.append(edges)
+    later = components(of("a").join(of("b"), "_i").select("a", "b"))
+    named = named.join(later, F.col("c") == F.col("node"), "left").select("a", F.coalesce("root", "c").alias("c"))
     named = stored(named.select(F.col("a").alias("node"), F.col("c").alias("root")))
     forget(roots)
     for frame in used:
