@@ -563,15 +563,17 @@ def a33(lake):
 
 
 def book_pairs(lake):
-    """Neighbouring markets of an event as related pairs."""
-    from pyspark.sql import Window as W
+    """Related questions as pairs of markets with books.
 
-    m = lake.markets.where(F.col("event_id").isNotNull())
-    w = W.partitionBy("event_id").orderBy("market_id")
-    return m.select("event_id", F.col("market_id").alias("market_a"), F.lead("market_id").over(w).alias("market_b")).where(F.col("market_b").isNotNull())
+    As trades do in their view, a text belongs to the book whose id is its own
+    id modulo the number of books.
+    """
+    k = lake.markets.agg(F.max("market_id") + 1).scalar()
+    p = related_of(lake).select((F.col("market_a") % k).alias("x"), (F.col("market_b") % k).alias("y")).where("x <> y")
+    return p.select(F.least("x", "y").alias("market_a"), F.greatest("x", "y").alias("market_b")).distinct()
 
 
-CTES["bpair"] = "SELECT * FROM (SELECT event_id, market_id AS market_a, lead(market_id) OVER (PARTITION BY event_id ORDER BY market_id) AS market_b FROM mkt WHERE event_id IS NOT NULL) WHERE market_b IS NOT NULL"
+CTES["bpair"] = "SELECT DISTINCT least(x, y) AS market_a, greatest(x, y) AS market_b FROM (SELECT market_a % k AS x, market_b % k AS y FROM relp, (SELECT max(market_id) + 1 AS k FROM mkt)) WHERE x <> y"
 CTES["bgap"] = "SELECT p.*, a.snapshot_ts, a.mid - b.mid AS gap FROM bpair p JOIN snap a ON a.market_id = p.market_a AND a.outcome_label = 'Yes' JOIN snap b ON b.market_id = p.market_b AND b.outcome_label = 'Yes' AND b.snapshot_ts = a.snapshot_ts"
 
 

@@ -175,13 +175,67 @@ def s8(lake):
     return H.upsert(old, new, ["trade_id"], ["trade_ts", "token_id", "price", "size"]).drop("trade_ts")
 
 
-@query("s9_warehouse_schema", "SELECT 'orderbook_snapshots' AS name, count(*) AS n_rows, 2::BIGINT AS n_keys, 11::BIGINT AS n_columns FROM snap UNION ALL SELECT 'markets', count(*), 1, 19 FROM mkt UNION ALL SELECT 'market_outcomes', count(*), 2, 5 FROM outc", "snap mkt outc")
+def table_frames(lake):
+    """A frame for each table of the warehouse, made from the driver tables by the library's own operators."""
+    from marketlab.catalog.edges import links_of
+    from marketlab.operators import linking
+    from marketlab.operators.returns import lagged_returns
+
+    snaps, payloads = lake.snapshots, market_payloads(lake)
+    trades = trades_of(lake).where("threshold = 0.15 AND holding_period = 3")
+    run = F.lit("run1").alias("run_id")
+    curve = R.equity_curve(trades)
+    return {
+        "markets": lake.markets,
+        "market_outcomes": lake.outcomes,
+        "orderbook_snapshots": snaps,
+        "price_history": snaps.where("mid IS NOT NULL").select("token_id", F.col("snapshot_ts").alias("ts"), "market_id", F.col("mid").alias("price")),
+        "trades": lake.trades,
+        "holders": L.holders(holder_payloads(lake), lake.outcomes),
+        "resolutions": lake.resolutions,
+        "resolved_markets": L.resolved_markets(L.markets(payloads, F.lit(SEEN)), L.inferred_resolutions(payloads)[0], F.lit(SEEN)),
+        "market_links": links_of(lake),
+        "outcome_links": linking.outcome_links(lake.outcomes),
+        "market_sets": linking.market_sets(lake.texts.select("market_id", "event_id", "category", "question", "active")),
+        "returns": lagged_returns(snaps),
+        "edge_results": metrics_long(lake),
+        "backtest_runs": curve.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("equity").alias("total_pnl")).select(run, "start_ts", "end_ts", "total_pnl"),
+        "backtest_timeseries": curve.select(run, "ts", "equity"),
+        "backtest_trades": trades.select(run, "ts", "token_id", "market_id"),
+    }
+
+
+_CELL = "FROM {} WHERE threshold = 0.15 AND holding_period = 3"
+_ROWS = {
+    "markets": "FROM mkt",
+    "market_outcomes": "FROM outc",
+    "orderbook_snapshots": "FROM snap",
+    "price_history": "FROM snap WHERE mid IS NOT NULL",
+    "trades": "FROM trd",
+    "holders": f"FROM ({_HOLD})",
+    "resolutions": "FROM res",
+    "resolved_markets": "FROM mkt",
+    "market_links": "FROM links12",
+    "outcome_links": "FROM outc y JOIN outc n ON n.market_id = y.market_id WHERE y.outcome_label = 'Yes' AND n.outcome_label = 'No'",
+    "market_sets": "FROM mset",
+    "returns": "FROM snap WHERE mid IS NOT NULL",
+    "edge_results": "FROM melong",
+    "backtest_runs": "FROM (SELECT 1)",
+    "backtest_timeseries": _CELL.format("tr_eq"),
+    "backtest_trades": _CELL.format("tr"),
+}
+_S9 = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n_rows, {len(KEYS[name])}::BIGINT AS n_keys, {len(spec.fields)}::BIGINT AS n_columns {_ROWS[name]}" for name, spec in TABLES.items())
+
+
+@query("s9_warehouse_schema", _S9, "mkt outc snap trd res links12 mset melong tr_eq tr")
 def s9(lake):
-    rows = None
-    for name, df in (("orderbook_snapshots", lake.snapshots), ("markets", lake.markets), ("market_outcomes", lake.outcomes)):
-        spec = TABLES[name]
+    rows, frames = None, table_frames(lake)
+    for name, spec in TABLES.items():
+        df = frames[name]
         typed = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in spec.fields])
-        r = typed.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(KEYS[name])).alias("n_keys"), F.lit(len(spec.fields)).alias("n_columns"))
+        # the cast rows count, so that a value its column cannot hold fails the query
+        full = F.count(F.struct(*[F.col(f.name) for f in spec.fields]))
+        r = typed.agg(full.alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(KEYS[name])).alias("n_keys"), F.lit(len(spec.fields)).alias("n_columns"))
         rows = r if rows is None else rows.unionByName(r)
     return rows
 

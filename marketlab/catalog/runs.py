@@ -29,7 +29,7 @@ def tables_of(lake) -> Tables:
 
 @query("c2_strategy_run")
 def c2(lake):
-    return ST.run_strategy(momentum(), {"signal": signal_of(lake)}, WALK, 100, 100)["deployment_readiness"]
+    return ST.run_strategy(momentum(), {"signal": signal_of(lake)}, WALK)["deployment_readiness"]
 
 
 @query("m7_model_run")
@@ -50,12 +50,12 @@ def c3(lake):
     from marketlab.operators.pairs import pair_signals
 
     s = replace(s, build=lambda x: pair_signals(x["pair_books"], s.config))
-    return ST.run_pair_strategy(s, {"pair_books": books(lake)}, WALK, 100, 100, 20)["deployment_readiness"]
+    return ST.run_pair_strategy(s, {"pair_books": books(lake)}, WALK)["deployment_readiness"]
 
 
 @query("c8_single_strategy")
 def c8(lake):
-    b = ST.run_strategy(momentum(), {"signal": signal_of(lake)}, WALK, 50, 50)
+    b = ST.run_strategy(momentum(), {"signal": signal_of(lake)}, WALK)
     return ST.report_row("momentum", b)
 
 

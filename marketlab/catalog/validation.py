@@ -244,11 +244,20 @@ def c5(lake):
 
 # -------------------------------------------------------------- resampling
 
-REPS, PERMS = 200, 400  # the oracle expands rows x replicates; the operators' defaults are 1000 and 2000
-CTES["bst"] = f"SELECT d.rep, d.id, v.x FROM (SELECT t.id, r.rep, {pick_sql('t.id', 'r.rep', 't.n')} AS src FROM ten t, (SELECT unnest(range({REPS}))::BIGINT AS rep) r) d JOIN ten v ON v.id = d.src"
-CTES["bsr"] = """
-SELECT s.rep, s.mean, s.sharpe, d.drawdown FROM (SELECT rep, avg(x) AS mean, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) * sqrt(8760) ELSE 0 END AS sharpe FROM bst GROUP BY 1) s
-JOIN (SELECT rep, min(CASE WHEN pk > 0 THEN eq / pk - 1 ELSE -1 END) AS drawdown FROM (SELECT rep, eq, max(eq) OVER (PARTITION BY rep ORDER BY id) AS pk FROM (SELECT rep, id, product(greatest(1 + x, 0)) OVER (PARTITION BY rep ORDER BY id) AS eq FROM bst)) GROUP BY 1) d ON d.rep = s.rep"""
+REPS, PERMS = 1000, 2000
+CUTS_SQL = lambda d: "(" + " + ".join(f"({d} >= {c})::INT" for c in B.POISSON_CUTS) + ")"
+SIGN_SQL = f"CASE WHEN (({draw_sql('t.id', f'(r.rep // {B.BITS})')}) >> (r.rep % {B.BITS})::INT) % 2 = 1 THEN 1 ELSE -1 END"
+
+
+def boot_sql(src: str, cols: str) -> str:
+    """Rows of ``src`` with their weight w in every replicate."""
+    return f"SELECT rep, {cols}, {CUTS_SQL('d')} AS w FROM (SELECT t.*, r.rep, {draw_sql('t.id', 'r.rep')} AS d FROM {src} t, (SELECT unnest(range({REPS}))::BIGINT AS rep) r)"
+
+
+CTES["bst"] = f"SELECT * FROM ({boot_sql('ten', 'id, x')}) WHERE w > 0"
+CTES["bsr"] = f"""
+SELECT s.rep, s.mean, s.sharpe, d.drawdown FROM (SELECT rep, s / c AS mean, CASE WHEN c >= 3 AND q / c - (s / c) * (s / c) > 1e-18 THEN (s / c) / sqrt(q / c - (s / c) * (s / c)) * sqrt(8760) ELSE 0 END AS sharpe FROM (SELECT rep, sum(w) AS c, sum(w * x) AS s, sum(w * x * x) AS q FROM bst GROUP BY 1)) s
+JOIN (SELECT rep, min(CASE WHEN pk > 0 THEN eq / pk - 1 ELSE -1 END) AS drawdown FROM (SELECT rep, eq, max(eq) OVER (PARTITION BY rep ORDER BY h, id) AS pk FROM (SELECT rep, t.id, h, product(pow(greatest(1 + x, 0), w)) OVER (PARTITION BY rep ORDER BY h, t.id) AS eq FROM bst t JOIN (SELECT id, {draw_sql('id', str(B.ORDER_DRAW))} AS h FROM ten) o ON o.id = t.id)) GROUP BY 1) d ON d.rep = s.rep"""
 
 
 def ci_sql(src: str, names: dict[str, str]) -> str:
@@ -273,7 +282,7 @@ def a42b(lake):
     return B.block_bootstrap(test_of(lake), REPS)
 
 
-CTES["flip"] = f"SELECT (SELECT avg(x) FROM ten) AS perm_stat, avg((round(abs(m), 12) >= (SELECT round(abs(avg(x)), 12) FROM ten))::INT) AS perm_pvalue FROM (SELECT r.rep, avg(t.x * CASE WHEN {draw_sql('t.id', 'r.rep')} % 2 = 1 THEN 1 ELSE -1 END) AS m FROM ten t, (SELECT unnest(range({PERMS}))::BIGINT AS rep) r GROUP BY 1)"
+CTES["flip"] = f"SELECT (SELECT avg(x) FROM ten) AS perm_stat, avg((round(abs(m), 12) >= (SELECT round(abs(avg(x)), 12) FROM ten))::INT) AS perm_pvalue FROM (SELECT r.rep, avg(t.x * {SIGN_SQL}) AS m FROM ten t, (SELECT unnest(range({PERMS}))::BIGINT AS rep) r GROUP BY 1)"
 
 
 @query("a43_sign_flip", "SELECT * FROM flip", "flip ten", "perm_stat perm_pvalue")
@@ -298,7 +307,7 @@ def a46b(lake):
 CTES["wrc"] = f"""
 SELECT (SELECT max(mu) FROM (SELECT avg(ret) AS mu FROM cden GROUP BY candidate)) AS white_stat, avg((round(m, 12) >= (SELECT round(max(mu), 12) FROM (SELECT avg(ret) AS mu FROM cden GROUP BY candidate)))::INT) AS white_pvalue,
  (SELECT count(DISTINCT candidate)::DOUBLE FROM cden) AS n_candidates, (SELECT count(DISTINCT ts)::DOUBLE FROM cden) AS white_n_obs FROM (
-SELECT rep, max(m) AS m FROM (SELECT d.rep, c.candidate, avg(c.ret - c.mu) AS m FROM (SELECT r.rep, {pick_sql('t.id', 'r.rep', 't.n')} AS src FROM (SELECT DISTINCT id, n FROM cden) t, (SELECT unnest(range({REPS}))::BIGINT AS rep) r) d JOIN (SELECT *, avg(ret) OVER (PARTITION BY candidate) AS mu FROM cden) c ON c.id = d.src GROUP BY 1, 2) GROUP BY 1)"""
+SELECT rep, max(m) AS m FROM (SELECT d.rep, c.candidate, sum(d.w * (c.ret - c.mu)) / sum(d.w) AS m FROM ({boot_sql('(SELECT DISTINCT id FROM cden)', 'id')}) d JOIN (SELECT *, avg(ret) OVER (PARTITION BY candidate) AS mu FROM cden) c ON c.id = d.id WHERE d.w > 0 GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query("a44_reality_check", "SELECT * FROM wrc", "wrc cden", "white_stat white_pvalue n_candidates white_n_obs")
@@ -334,7 +343,7 @@ def a45(lake):
     return B.overfit_probability(B.candidate_returns(trades_of(lake)))
 
 
-@query("a50_advanced_validation", f"SELECT w.*, p.*, 'thr=0.1500|hp=3' AS chosen_candidate, (SELECT avg(ret) FROM cden WHERE candidate = 'thr=0.1500|hp=3') AS perm_stat, (SELECT avg((round(abs(m), 12) >= (SELECT round(abs(avg(ret)), 12) FROM cden WHERE candidate = 'thr=0.1500|hp=3'))::INT) FROM (SELECT r.rep, avg(t.ret * CASE WHEN {draw_sql('t.id', 'r.rep')} % 2 = 1 THEN 1 ELSE -1 END) AS m FROM (SELECT * FROM cden WHERE candidate = 'thr=0.1500|hp=3') t, (SELECT unnest(range({PERMS}))::BIGINT AS rep) r GROUP BY 1)) AS perm_pvalue FROM wrc w, pbr p", "wrc pbr cden", "white_stat white_pvalue n_candidates white_n_obs perm_stat perm_pvalue " + _PBR)
+@query("a50_advanced_validation", f"SELECT w.*, p.*, 'thr=0.1500|hp=3' AS chosen_candidate, (SELECT avg(ret) FROM cden WHERE candidate = 'thr=0.1500|hp=3') AS perm_stat, (SELECT avg((round(abs(m), 12) >= (SELECT round(abs(avg(ret)), 12) FROM cden WHERE candidate = 'thr=0.1500|hp=3'))::INT) FROM (SELECT r.rep, avg(t.ret * {SIGN_SQL}) AS m FROM (SELECT * FROM cden WHERE candidate = 'thr=0.1500|hp=3') t, (SELECT unnest(range({PERMS}))::BIGINT AS rep) r GROUP BY 1)) AS perm_pvalue FROM wrc w, pbr p", "wrc pbr cden", "white_stat white_pvalue n_candidates white_n_obs perm_stat perm_pvalue " + _PBR)
 def a50(lake):
     return V.advanced_row(trades_of(lake), 0.15, 3, REPS, PERMS)
 
@@ -365,7 +374,7 @@ def a49(lake):
 CTES["hgt"] = "SELECT trade_return AS x, row_number() OVER (ORDER BY ts, market_id) - 1 AS id, count(*) OVER () AS n FROM ptr WHERE threshold = 0.004 AND holding_period = 1 AND realized_pair_fill_pct >= 0.3"
 
 
-@query("a48_hedged_subset", f"SELECT (SELECT avg(x) FROM hgt) AS hedged_mean_return, quantile_cont(m, 0.025) AS hedged_mean_return_ci_low, quantile_cont(m, 0.975) AS hedged_mean_return_ci_high, (SELECT count(*)::DOUBLE FROM hgt) AS hedged_n FROM (SELECT d.rep, avg(v.x) AS m FROM (SELECT r.rep, {pick_sql('t.id', 'r.rep', 't.n')} AS src FROM hgt t, (SELECT unnest(range({REPS}))::BIGINT AS rep) r) d JOIN hgt v ON v.id = d.src GROUP BY 1)", "hgt", "hedged_mean_return hedged_mean_return_ci_low hedged_mean_return_ci_high hedged_n")
+@query("a48_hedged_subset", f"SELECT (SELECT avg(x) FROM hgt) AS hedged_mean_return, quantile_cont(m, 0.025) AS hedged_mean_return_ci_low, quantile_cont(m, 0.975) AS hedged_mean_return_ci_high, (SELECT count(*)::DOUBLE FROM hgt) AS hedged_n FROM (SELECT rep, sum(w * x) / sum(w) AS m FROM ({boot_sql('hgt', 'x')}) GROUP BY 1 HAVING sum(w) > 0)", "hgt", "hedged_mean_return hedged_mean_return_ci_low hedged_mean_return_ci_high hedged_n")
 def a48(lake):
     t = pair_trades_of(lake).where("threshold = 0.004 AND holding_period = 1")
     # the driver books are thin: a looser mark than the 95 % of the trade rows

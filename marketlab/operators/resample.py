@@ -1,23 +1,34 @@
 """Resampling with portable hashed draws: bootstrap, sign flips, reality check.
 
 Draws come from integer arithmetic on (row id, replicate), so any engine gets
-the same ones and a lost task repeats them. Sign
-flips and the reality check shuffle only per-replicate sums; the row bootstrap
-and the shuffle null look rows up by drawn position, which shuffles rows times
-replicates.
+the same ones and a lost task repeats them. Rows never meet replicates in a
+shuffle: a task turns its rows into one state per replicate (weighted sums, sign
+sums, or the ordered growth, peak and fall of a path) and only these states are
+merged. Bootstrap weights are Poisson(1) numbers per (row, replicate), which
+need no look-up of drawn rows. The shuffle null alone looks rows up by drawn
+position, which shuffles rows times replicates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from marketlab.functions.columns import correlation, lit, number, sharpe
+from marketlab.functions.columns import correlation, lit, number
 from marketlab.operators.ranking import rank_rows
 
 PRIME = 2147483647
-CHUNK = 1024  # draws per fold step of a replicate's path
+SLICE, SLICES = 1024, 4096  # rows of a path slice at least, slices at most
+ORDER_DRAW = 1_000_003  # number of the draw that orders paths
+BITS = 30  # sign bits taken from one draw
+BLOCK = 256  # rows times replicates held at once
+#: A draw is worth as many rows as it passes cuts: the Poisson(1) distribution in units of 1 / PRIME.
+POISSON_CUTS = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10))
 
 
 def draw(row: Column, rep: Column) -> Column:
@@ -33,8 +44,27 @@ def pick(row: Column, rep: Column, n: Column) -> Column:
     return F.floor(draw(row, rep).cast("double") * n / PRIME).cast("long")
 
 
-def coin(row: Column, rep: Column) -> Column:
-    return F.when(draw(row, rep) % 2 == 1, lit(1)).otherwise(lit(-1))
+def hashed(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """:func:`draw` of all ids (rows) and replicates (columns)."""
+    i, r = ids.astype(np.int64)[:, None], reps.astype(np.int64)[None, :]
+    x0 = (48271 * (i + 1) + 69621 * 1009 * (r + 1)) % PRIME
+    x1 = (x0 * x0 + i + 1) % PRIME
+    return (x1 * x1 + r + 1) % PRIME
+
+
+def weights(ids: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) weight of each id in each replicate."""
+    return np.searchsorted(POISSON_CUTS, hashed(ids, np.arange(reps)), side="right")
+
+
+def signs(ids: np.ndarray, reps: int) -> np.ndarray:
+    """+1 or -1 of each id in each replicate; a draw serves ``BITS`` replicates."""
+    words = hashed(ids, np.arange(-(-reps // BITS)))
+    return (((words[:, :, None] >> np.arange(BITS)) & 1) * 2 - 1).reshape(len(ids), -1)[:, :reps]
+
+
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(a, a + BLOCK) for a in range(0, n, BLOCK))
 
 
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -47,44 +77,72 @@ def replicate(df: DataFrame, reps: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
 
 
+def path_states(ids: np.ndarray, x: np.ndarray, reps: int) -> dict[str, np.ndarray]:
+    """State of every replicate after rows in path order.
+
+    c, s, q: weight, weighted sum and sum of squares. prod, top, low, floor:
+    growth, its highest and lowest value at drawn rows, and the worst fall below
+    the running peak; a row drawn k times moves the path once, by its k-th power.
+    """
+    c, s, q = np.zeros((3, reps))
+    prod, top, low, floor = np.ones(reps), np.zeros(reps), np.zeros(reps), np.full(reps, 1e300)
+    gain = np.maximum(x + 1.0, 0.0)
+    for b in blocks(len(x)):
+        w = weights(ids[b], reps)
+        c += w.sum(0)
+        s += x[b] @ w
+        q += (x[b] * x[b]) @ w
+        path = prod * np.cumprod(gain[b][:, None] ** w, axis=0)
+        drawn = w > 0
+        peak = np.maximum(np.maximum.accumulate(np.where(drawn, path, 0.0), axis=0), top)
+        fall = np.where(peak > 0, path / np.where(peak > 0, peak, 1.0) - 1.0, -1.0)
+        low = np.minimum(low, np.where(drawn, fall, 0.0).min(0))
+        floor = np.minimum(floor, np.where(drawn, path, 1e300).min(0))
+        prod, top = path[-1], peak[-1]
+    return {"c": c, "s": s, "q": q, "prod": prod, "top": top, "low": low, "floor": floor}
+
+
 def bootstrap(returns: DataFrame, order: Sequence[str], reps: int = 1000, value: str = "trade_return") -> DataFrame:
     """Mean, Sharpe and drawdown of resampled returns: centre and 95 % interval.
 
-    The drawdown of a replicate is folded over chunks of its draws and the
-    chunks are combined, so no task holds a whole path. A loss above 100 %
+    Rows lie on the path in hashed order, as independent draws would. A slice of
+    that order is one group of rows and gives one state per replicate; states
+    are joined in order, ``SLICES`` per replicate at most. A loss above 100 %
     counts as a total loss.
     """
     base = numbered(returns.where(F.col(value).isNotNull()).select(*order, number(value).alias("x")), order).select("id", "n", "x")
-    draws = replicate(base.select("id", "n"), reps).withColumn("src", pick(F.col("id"), F.col("rep"), F.col("n")))
-    got = draws.join(base.select(F.col("id").alias("src"), "x"), "src")
-    stats = got.groupBy("rep").agg(F.avg("x").alias("mean"), sharpe(F.col("x")).alias("sharpe"))
-    dd = path_drawdown(got, "rep", "id", "x")
-    return interval(stats.join(dd, "rep"), {"mean": "mean_return", "sharpe": "sharpe", "drawdown": "max_drawdown"})
+    h = draw(F.col("id"), F.lit(ORDER_DRAW))
+    count = F.least(F.lit(SLICES), F.ceil(F.col("n") / SLICE))
+    sliced = base.select("id", "x", h.alias("h"), F.floor(h.cast("double") * count / PRIME).cast("long").alias("slice"))
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["h", "id"])
+        state = path_states(p["id"].to_numpy(), p["x"].to_numpy(np.float64), reps)
+        return pd.DataFrame({"slice": key[0], "rep": np.arange(reps), **state})
 
-def path_drawdown(draws: DataFrame, rep: str, pos: str, x: str) -> DataFrame:
-    """Worst fall below the running peak of the compounded draws, per replicate."""
-    part = draws.withColumn("_c", F.floor(F.col(pos) / CHUNK))
-    path = F.transform(F.array_sort(F.collect_list(F.struct(pos, x))), lambda e: F.greatest(e[x] + 1.0, lit(0)))
-    zero = F.struct(lit(1).alias("prod"), lit(0).alias("top"), lit(0).alias("low"))
+    states = sliced.groupBy("slice").applyInPandas(run, "slice long, rep long, c double, s double, q double, prod double, top double, low double, floor double")
+    stats = states.groupBy("rep").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"), path_fall().alias("drawdown")).where("c > 0")
+    mean, sh = moments()
+    return interval(stats.select(mean.alias("mean"), sh.alias("sharpe"), "drawdown"), {"mean": "mean_return", "sharpe": "sharpe", "drawdown": "max_drawdown"})
 
-    def step(a: Column, g: Column) -> Column:
-        prod = a["prod"] * g
-        top = F.greatest(a["top"], prod)
-        fall = F.when(top > 0, prod / top - 1.0).otherwise(lit(-1))
-        return F.struct(prod.alias("prod"), top.alias("top"), F.least(a["low"], fall).alias("low"))
 
-    folded = part.groupBy(rep, "_c").agg(F.aggregate(path, zero, step).alias("f"), F.aggregate(path, F.struct(lit(1).alias("prod"), lit(1e300).alias("min")), lambda a, g: F.struct((a["prod"] * g).alias("prod"), F.least(a["min"], a["prod"] * g).alias("min"))).alias("m"))
-    # combine chunks in order: a later chunk starts at the product so far
-    seq = folded.groupBy(rep).agg(F.array_sort(F.collect_list(F.struct("_c", "f", "m"))).alias("s"))
+def moments() -> tuple[Column, Column]:
+    """Mean and yearly Sharpe ratio from count c, sum s and sum of squares q."""
+    mean = F.col("s") / F.col("c")
+    var = F.col("q") / F.col("c") - mean * mean
+    return mean, F.when((F.col("c") >= 3) & (var > 1e-18), mean / F.sqrt(F.greatest(var, lit(1e-18))) * lit(8760.0**0.5)).otherwise(lit(0))
+
+
+def path_fall() -> Column:
+    """Worst fall of a replicate's path from the states of its slices: a later slice starts at the growth so far."""
+    zero = F.struct(lit(1).alias("prod"), lit(0).alias("top"), lit(0).alias("low"))
 
     def join(a: Column, e: Column) -> Column:
         base = a["prod"]
-        top = F.greatest(a["top"], base * e["f"]["top"])
-        across = F.when(a["top"] > 0, base * e["m"]["min"] / a["top"] - 1.0).otherwise(lit(0))
-        return F.struct((base * e["f"]["prod"]).alias("prod"), top.alias("top"), F.least(a["low"], e["f"]["low"], across).alias("low"))
+        across = F.when(a["top"] > 0, base * e["floor"] / a["top"] - 1.0).otherwise(lit(0))
+        return F.struct((base * e["prod"]).alias("prod"), F.greatest(a["top"], base * e["top"]).alias("top"), F.least(a["low"], e["low"], across).alias("low"))
 
-    return seq.select(rep, F.aggregate("s", zero, join, lambda a: a["low"]).alias("drawdown"))
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("slice", "prod", "top", "low", "floor"))), zero, join, lambda a: a["low"])
 
 
 def block_bootstrap(returns: DataFrame, reps: int = 1000, value: str = "trade_return") -> DataFrame:
@@ -98,9 +156,7 @@ def block_bootstrap(returns: DataFrame, reps: int = 1000, value: str = "trade_re
     base = numbered(d, ["day"])
     draws = replicate(base.select("id", "n"), reps).withColumn("src", pick(F.col("id"), F.col("rep"), F.col("n")))
     got = draws.join(base.select(F.col("id").alias("src"), "c", "s", "q"), "src").groupBy("rep").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.col("c")
-    var = F.col("q") / F.col("c") - mean * mean
-    sh = F.when((F.col("c") >= 3) & (var > 1e-18), mean / F.sqrt(F.greatest(var, lit(1e-18))) * lit(8760.0**0.5)).otherwise(lit(0))
+    mean, sh = moments()
     return interval(got.select("rep", mean.alias("mean"), sh.alias("sharpe")), {"mean": "mean_return_block", "sharpe": "sharpe_block"})
 
 
@@ -119,7 +175,17 @@ def interval(stats: DataFrame, names: dict[str, str]) -> DataFrame:
 def sign_flip(returns: DataFrame, order: Sequence[str], reps: int = 2000, value: str = "trade_return") -> DataFrame:
     """Share of random sign patterns with at least the observed absolute mean."""
     base = numbered(returns.where(F.col(value).isNotNull()).select(*order, number(value).alias("x")), order).select("id", "n", "x")
-    per = replicate(base, reps).groupBy("rep").agg(F.avg(F.col("x") * coin(F.col("id"), F.col("rep"))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, n = np.zeros(reps), 0
+        for batch in batches:
+            ids, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "x"))
+            n += len(ids)
+            for b in blocks(len(ids)):
+                s += x[b] @ signs(ids[b], reps)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array(s), pa.array(np.full(reps, n))], names=["rep", "s", "n"])
+
+    per = base.select("id", "x").mapInArrow(run, "rep long, s double, n long").groupBy("rep").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     seen = base.agg(F.struct(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).alias("v")).scalar()
     out = per.agg(F.avg(F.when(F.round(F.abs("m"), 12) >= F.round(F.abs(seen["m"]), 12), lit(1)).otherwise(lit(0))).alias("p"))
     few = seen["n"] < 5
@@ -144,29 +210,47 @@ def candidate_matrix(trades: DataFrame, candidates: Sequence[str]) -> DataFrame:
     return candidate_returns(trades).groupBy("ts").pivot("candidate", list(candidates)).agg(F.first("ret")).na.fill(0.0)
 
 
-def dense_returns(long: DataFrame) -> DataFrame:
-    """Every (ts, candidate) with zero where nothing traded, ts numbered.
+def return_rows(long: DataFrame) -> DataFrame:
+    """One row per timestamp: ts, id, n and v, the returns of all candidates in name order, zero where nothing traded.
 
-    The candidate list is an array scalar (one entry per grid cell); each
-    timestamp row expands over it, so nothing is joined to everything.
+    The candidate list is an array scalar (one entry per grid cell).
     """
     names = long.agg(F.array_sort(F.collect_set("candidate")).alias("v")).scalar()
     per = long.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "ret"))).alias("m"))
-    ts = numbered(per, ["ts"]).withColumn("candidate", F.explode(names))
-    return ts.select("ts", "id", "n", "candidate", F.coalesce(F.try_element_at("m", F.col("candidate")), lit(0)).alias("ret"))
+    ts = numbered(per, ["ts"]).withColumn("names", names)
+    return ts.select("ts", "id", "n", "names", F.transform("names", lambda c: F.coalesce(F.try_element_at("m", c), lit(0))).alias("v"))
+
+
+def dense_returns(long: DataFrame) -> DataFrame:
+    """Every (ts, candidate) with zero where nothing traded, ts numbered."""
+    wide = return_rows(long).withColumn("e", F.explode(F.arrays_zip(F.col("names").alias("candidate"), F.col("v").alias("ret"))))
+    return wide.select("ts", "id", "n", "e.candidate", "e.ret")
 
 
 def reality_check(long: DataFrame, reps: int = 1000) -> DataFrame:
     """Best candidate mean against the best centred bootstrap mean."""
-    d = dense_returns(long)
-    mean = d.groupBy("candidate").agg(F.avg("ret").alias("mu"))
-    centred = d.join(mean, "candidate").select("id", "candidate", (F.col("ret") - F.col("mu")).alias("c"))
-    slots = d.select("id", "n").distinct()
-    weight = replicate(slots, reps).groupBy("rep", pick(F.col("id"), F.col("rep"), F.col("n")).alias("id"), "n").agg(F.count(F.lit(1)).alias("w"))
-    boot = weight.join(centred, "id").groupBy("rep", "candidate").agg((F.sum(F.col("w") * F.col("c")) / F.first("n")).alias("m"))
+    wide = return_rows(long)
+    mean = wide.select(F.posexplode("v").alias("c", "ret")).groupBy("c").agg(F.avg("ret").alias("mu"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = None
+        for batch in batches:
+            v = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            rows = np.concatenate([np.ones((len(v), 1)), v], axis=1)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for b in blocks(len(ids)):
+                part = weights(ids[b], reps).T @ rows[b]
+                got = part if got is None else got + part
+        if got is not None:
+            each = got.shape[1] - 1
+            cols = [np.repeat(np.arange(reps), each), np.tile(np.arange(each), reps), got[:, 1:].ravel(), np.repeat(got[:, 0], each)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "c", "s", "w"])
+
+    sums = wide.select("id", "v").mapInArrow(run, "rep long, c long, s double, w double").groupBy("rep", "c").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    boot = sums.where("w > 0").join(mean, "c").select("rep", (F.col("s") / F.col("w") - F.col("mu")).alias("m"))
     best = boot.groupBy("rep").agg(F.max("m").alias("m"))
     seen = mean.agg(F.struct(F.max("mu").alias("s"), F.count(F.lit(1)).alias("k")).alias("v")).scalar()
-    n = slots.agg(F.count(F.lit(1))).scalar()
+    n = wide.agg(F.count(F.lit(1))).scalar()
     p = best.agg(F.avg(F.when(F.round("m", 12) >= F.round(seen["s"], 12), lit(1)).otherwise(lit(0))).alias("p"))
     return p.select(seen["s"].alias("white_stat"), F.when(n < 8, lit(1)).otherwise(F.col("p")).alias("white_pvalue"), seen["k"].cast("double").alias("n_candidates"), n.cast("double").alias("white_n_obs"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marketlab.functions.columns import correlation, flag, lit
 from marketlab.operators.ranking import quantile_row
-from marketlab.operators.series import series_window, split_series, whole_series
+from marketlab.operators.series import CHUNK_ROWS, series_window, split_series, whole_series
 from marketlab.session import materialise
 
 
@@ -352,16 +352,18 @@ def inequality_violation(qa: Column, qb: Column, pa: Column, pb: Column) -> Colu
     return F.when(F.contains(b, a) & (pb > pa), pb - pa).when(F.contains(a, b) & (pa > pb), pa - pb).otherwise(lit(0))
 
 
-def unit_root_stat(pairs: DataFrame, panel: DataFrame, at_least: int = 8) -> DataFrame:
+def unit_root_stat(pairs: DataFrame, panel: DataFrame, at_least: int = 8, size: int = CHUNK_ROWS) -> DataFrame:
     """t statistic of regressing the change of a gap on its lag, one lag, no p-value.
 
-    The window runs inside one pair's history, bounded by the snapshot grid.
+    Histories are cut into chunks that carry one row of the chunk before, so no
+    task sorts the whole history of a pair.
     """
     p = panel.groupBy("market_id", "snapshot_ts").agg(F.avg("prob").alias("prob"))
     side = lambda s: p.select(F.col("market_id").alias(f"market_{s}"), "snapshot_ts", F.col("prob").alias(f"p_{s}"))
     j = pairs.select("market_a", "market_b").join(side("a"), "market_a").join(side("b"), ["market_b", "snapshot_ts"]).withColumn("gap", F.col("p_a") - F.col("p_b"))
-    lagged = F.lag("gap").over(W.partitionBy("market_a", "market_b").orderBy("snapshot_ts"))
-    d = j.withColumn("x", lagged).where(F.col("x").isNotNull()).withColumn("dy", F.col("gap") - F.col("x"))
+    key = ["market_a", "market_b"]
+    j = split_series(j.select(*key, "snapshot_ts", "gap"), key, "snapshot_ts", 1, size=size)
+    d = whole_series(j.withColumn("x", F.lag("gap").over(series_window(j, key, "snapshot_ts")))).where(F.col("x").isNotNull()).withColumn("dy", F.col("gap") - F.col("x"))
     g = d.groupBy("market_a", "market_b").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("dy", "x").alias("slope"), F.regr_sxx("dy", "x").alias("sxx"), F.regr_syy("dy", "x").alias("syy"))
     g = g.where((F.col("n") >= at_least) & (F.col("sxx") > 1e-12))
     s2 = (F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")) / (F.col("n") - 2)

@@ -166,7 +166,7 @@ def gate_row(name: str, bundle: dict[str, DataFrame], test: DataFrame) -> DataFr
     )
 
 
-def evaluate(s: Strategy, signals: DataFrame, train: DataFrame, test: DataFrame, run_grid, cells, sens_regimes, sens_impacts, walk: V.WalkConfig, reps: int, perms: int, paired: bool) -> dict[str, DataFrame]:
+def evaluate(s: Strategy, signals: DataFrame, train: DataFrame, test: DataFrame, run_grid, cells, sens_regimes, sens_impacts, walk: V.WalkConfig, reps: int, perms: int, paired: bool, forest: int) -> dict[str, DataFrame]:
     """Grid on train, choice, grid on test, and every report of the chosen cell."""
     cfg = s.config
     tr = materialise(run_grid(train))
@@ -184,7 +184,7 @@ def evaluate(s: Strategy, signals: DataFrame, train: DataFrame, test: DataFrame,
     out: dict[str, DataFrame] = {"train_summary": train_summary.where(F.col("threshold") == lit(thr)), "test_summary": test_summary, "train_trades": tr.where(F.col("threshold") == lit(thr)), "test_trades": te}
     out["validation"] = materialise(V.with_p_values(V.validation_row(ev_train, ev_test, s.tie, reps, perms)))
     feats = [f for f in s.features if has(ev_test, f)]
-    out["feature_importance"] = M.return_importance(ev_test, feats, trees=20) if ev_test.take(1) else ev_test.sparkSession.createDataFrame([], "feature string, importance double")
+    out["feature_importance"] = M.return_importance(ev_test, feats, trees=forest) if ev_test.take(1) else ev_test.sparkSession.createDataFrame([], "feature string, importance double")
     top = [r["feature"] for r in out["feature_importance"].limit(3).collect()]
     if top:
         cond = G.condition_tables(ev_test, top)
@@ -212,8 +212,8 @@ def evaluate(s: Strategy, signals: DataFrame, train: DataFrame, test: DataFrame,
     return out
 
 
-def run_strategy(s: Strategy, inputs: dict[str, DataFrame], walk: V.WalkConfig | None = None, reps: int = 1000, perms: int = 2000, trees: int = 250) -> dict[str, DataFrame]:
-    """Full run of a single-leg strategy."""
+def run_strategy(s: Strategy, inputs: dict[str, DataFrame], walk: V.WalkConfig | None = None, reps: int = 1000, perms: int = 2000, trees: int = 250, forest: int = 200) -> dict[str, DataFrame]:
+    """Full run of a single-leg strategy; ``trees`` of the models, ``forest`` trees of the feature importance."""
     cfg = s.config
     walk = walk or V.WalkConfig(cfg.walk_folds, cfg.walk_min_train_periods, cfg.walk_min_train_samples, cfg.walk_test_periods, cfg.walk_min_test_trades, cfg.walk_embargo, cfg.min_train_trades)
     signals = materialise(s.build(inputs))
@@ -237,14 +237,14 @@ def run_strategy(s: Strategy, inputs: dict[str, DataFrame], walk: V.WalkConfig |
         C.grid_of(costs, cfg.thresholds),
         lambda f, thr, hp: C.run_grid(f, one(thr, hp), (thr,), ("optimistic", "base", "pessimistic")),
         lambda f, thr, hp: C.run_grid(f, one(thr, hp), (thr,), ("base",), (0.03, 0.05, 0.08, 0.10, 0.15, 0.20)),
-        walk, reps, perms, False,
+        walk, reps, perms, False, forest,
     )
     out.update({k: v for k, v in modelled.items() if k != "frame"})
     out.update({"signals": frame, "filter_impact": rep_a.unionByName(rep_b), "ev_threshold_grid": grid})
     return out
 
 
-def run_pair_strategy(s: Strategy, inputs: dict[str, DataFrame], walk: V.WalkConfig | None = None, reps: int = 1000, perms: int = 2000, shuffles: int = 500) -> dict[str, DataFrame]:
+def run_pair_strategy(s: Strategy, inputs: dict[str, DataFrame], walk: V.WalkConfig | None = None, reps: int = 1000, perms: int = 2000, shuffles: int = 500, forest: int = 200) -> dict[str, DataFrame]:
     """Full run of the two-leg parity strategy, gated on its hedged subset."""
     cfg: PairStrategyConfig = s.config
     walk = walk or V.WalkConfig(cfg.walk_folds, cfg.walk_min_train_periods, cfg.walk_min_train_samples, cfg.walk_test_periods, cfg.walk_min_test_trades, cfg.walk_embargo, cfg.min_train_trades)
@@ -266,7 +266,7 @@ def run_pair_strategy(s: Strategy, inputs: dict[str, DataFrame], walk: V.WalkCon
         X.pair_grid(costs, cfg.thresholds),
         lambda f, thr, hp: X.run_pair_grid(f, replace(costs, holding_periods=(hp,)), (thr,), ("optimistic", "base", "pessimistic")),
         lambda f, thr, hp: X.run_pair_grid(f, replace(costs, holding_periods=(hp,)), (thr,), ("base",), (0.03, 0.05, 0.08, 0.10, 0.15, 0.20)),
-        walk, reps, perms, True,
+        walk, reps, perms, True, forest,
     )
     t = out["tuned_params"].first()
     ev = out["test_trades"].where((F.col("threshold") == lit(t["threshold"])) & (F.col("holding_period") == t["holding_period"]))

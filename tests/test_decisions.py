@@ -101,19 +101,46 @@ def test_tails():
 def test_draws_are_even(spark):
     n = 400
     df = spark.range(n).select(F.col("id"))
-    per = B.replicate(df, 300).groupBy("rep").agg(F.avg(B.coin(F.col("id"), F.col("rep"))).alias("m"), F.avg(B.pick(F.col("id"), F.col("rep"), F.lit(n))).alias("p")).toPandas()
-    assert abs(per["m"].mean()) < 0.02 and per["m"].std() == pytest.approx(1 / math.sqrt(n), rel=0.2)
+    per = B.replicate(df, 300).groupBy("rep").agg(F.avg(B.pick(F.col("id"), F.col("rep"), F.lit(n))).alias("p")).toPandas()
+    m = B.signs(np.arange(n), 300).mean(0)
+    assert abs(m.mean()) < 0.02 and m.std() == pytest.approx(1 / math.sqrt(n), rel=0.2)
     assert per["p"].mean() == pytest.approx((n - 1) / 2, rel=0.02) and per["p"].std() == pytest.approx(n / math.sqrt(12 * n), rel=0.2)
 
 
-def test_path_drawdown_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(B, "CHUNK", 4)
+def test_weights_are_poisson():
+    w = B.weights(np.arange(500), 400)
+    for k, p in enumerate((0.3679, 0.3679, 0.1839, 0.0613, 0.0153)):
+        assert (w == k).mean() == pytest.approx(p, abs=0.004)
+    assert w.mean() == pytest.approx(1, abs=0.01) and np.corrcoef(w[0::2].ravel(), w[1::2].ravel())[0, 1] == pytest.approx(0, abs=0.02)
+
+
+def test_numpy_draws_equal_spark_draws(spark):
+    got = B.replicate(spark.range(7).select("id"), 50).select("id", "rep", B.draw(F.col("id"), F.col("rep")).alias("d")).toPandas().pivot(index="id", columns="rep", values="d")
+    assert (got.to_numpy() == B.hashed(np.arange(7), np.arange(50))).all()
+
+
+def test_path_drawdown_over_slices(spark, monkeypatch):
+    """States of slices joined in order equal the whole path, total losses included."""
+    monkeypatch.setattr(B, "BLOCK", 3)
     rng = np.random.default_rng(2)
-    rows = [(r, i, float(x)) for r in range(5) for i, x in enumerate(rng.normal(0, 0.2, 37))]
-    got = {r["rep"]: r["drawdown"] for r in B.path_drawdown(spark.createDataFrame(rows, "rep long, id long, x double"), "rep", "id", "x").collect()}
-    for rep, g in pd.DataFrame(rows, columns=["rep", "id", "x"]).groupby("rep"):
-        eq = (1 + g.sort_values("id")["x"]).cumprod()
-        assert got[rep] == pytest.approx(float((eq / eq.cummax() - 1).min()), abs=1e-9)
+    x = rng.normal(0, 0.3, 37)
+    x[[5, 30]] = -1.5
+    for values in (x, np.delete(x, [5, 30]), np.full(9, -0.1)):
+        ids = rng.permutation(len(values))
+        reps, cut = 6, len(values) // 3
+        parts = [B.path_states(ids[a:b], values[a:b], reps) for a, b in ((0, cut), (cut, cut + 1), (cut + 1, len(values)))]
+        rows = [(k, r, *[float(s[f][r]) for f in ("prod", "top", "low", "floor")]) for k, s in enumerate(parts) for r in range(reps)]
+        d = spark.createDataFrame(rows, "slice long, rep long, prod double, top double, low double, floor double")
+        got = {r["rep"]: r["d"] for r in d.groupBy("rep").agg(B.path_fall().alias("d")).collect()}
+        w = B.weights(ids, reps)
+        for rep in range(reps):
+            drawn = w[:, rep] > 0  # a row drawn k times moves the path once, by its k-th power
+            eq = np.cumprod(np.maximum(values[drawn] + 1, 0) ** w[drawn, rep])
+            peak = np.maximum.accumulate(eq) if len(eq) else eq
+            want = min([0.0, *[e / p - 1 if p > 0 else -1.0 for e, p in zip(eq, peak)]])
+            assert got[rep] == pytest.approx(want, abs=1e-9)
+        whole = B.path_states(ids, values, reps)
+        assert np.allclose(whole["c"], w.sum(0)) and np.allclose(whole["s"], values @ w)
 
 
 def test_pair_coverage_counts_markets_with_both_books(spark):
