@@ -1,9 +1,14 @@
-"""Exact removal of repeated substrings by prefix doubling on thinned suffix positions.
+"""Exact removal of repeated substrings by ranks of thinned suffix positions.
+
+The rounds of prefix doubling at growing offsets are replaced here by ranks of two
+fixed lengths: pairs at every byte, sorted once a round, would take several times
+the input of disk. What is left of the method is sorting (position, rank) pairs,
+dropping what is unique, and ending at the threshold.
 
 Every string of ``SPAN`` bytes names one of its positions, the one whose next
 ``K`` bytes have the smallest hash, so equal strings name equal positions (a
-synchronising set; about one position in 65 is named). Doubling then runs on
-(position, rank) pairs, a rank being the 64-bit name of a prefix:
+synchronising set; about one position in 65 is named). Ranks are 64-bit names of
+prefixes:
 
 1. Spark sorts the named positions by the rank of their first ``K`` bytes and,
    beyond it, by the rank of the whole range of strings that name them. A rank
@@ -14,8 +19,7 @@ synchronising set; about one position in 65 is named). Doubling then runs on
    of repeated text. Positions of one rank, one for each different range, meet
    with the bytes around them (at most ``SPAN + 127``), and the common string
    around the position decides: from ``SPAN`` bytes on it is repeated. Ranks with
-   more than ``GROUP`` such ranges, which must not meet in one task, are doubled
-   on: every start that one of them asks for gets a pair of ranks that name its
+   more than ``GROUP`` such ranges must not meet in one task; there, every start that one of them asks for gets a pair of ranks that name its
    ``SPAN`` bytes in two bases (128 bits), and pairs that occur again are past the
    threshold.
 
