@@ -15,7 +15,7 @@ one does not link to its hub can link only if they share a change to it (an
 addition or an omission): with none in common, J(u, v) <= J(u, hub). In further
 rounds the sets that share a change are therefore tested against one of
 themselves, and go on together only with those that share a further change
-(``linked`` has the argument). A few changes of each set decide who meets, and a group is
+(``linked`` has the argument). The rarest changes decide who meets, and a group is
 dropped once its sets are known to be connected. A round emits one pair per set
 and group, never the pairs of a group, and no link is lost. All tests compare the
 full shingle sets, so a link is never false; a pair at the threshold is missed
@@ -142,7 +142,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
 
 
 def changes(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, n, d, link, diff): set a of n shingles, the d shingles in which it differs from hub b (additions first, either in the order of sets), and whether they link."""
+    """(a, b, n, d, link, diff): set a of n shingles, the d shingles in which it differs from hub b, and whether they link."""
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("_sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("_sb")), "b")
     both = both.withColumns({"n": F.size("_sa"), "diff": F.concat(F.array_except("_sa", "_sb"), F.array_except("_sb", "_sa"))})
     common = (F.col("n") + F.size("_sb") - F.size("diff")) / 2
@@ -161,15 +161,13 @@ def regroup(paths: DataFrame, seen: DataFrame, percent: int = PERCENT) -> tuple[
     and the pairs (a, y) of groups of at most ``SMALL`` sets, which are tested at once.
 
     ``paths`` holds (path, b, a, link, top, c): sets a with component c as known,
-    and whether they are known to be connected with the tester of the path; ``top``
-    is that tester.
+    and whether they link to the tester of the path; ``top`` is that tester.
     ``seen`` holds the changes of a to b. Two sets u, v that link differ by at most
     r (n_u + n_v) shingles, r = (100 - percent) / (100 + percent). So d_u - r n_u <=
     d_v + r n_v, and they have (z_u + z_v) / 2 changes in common, z = d - r n, and
-    d_u - r (n_u + n_v): they meet in one of the first changes of both, in an order that
-    all sets of a path follow: additions, which few share, then omissions (prefix
-    filter; no change is counted for it). Two sets that are not connected with the tester (kind U) need more in
-    common than one with a connected set (kind L). z and hi are in units of
+    d_u - r (n_u + n_v): they meet in one of the rarest changes of both (prefix
+    filter). Two sets that are not linked to the tester (kind U) need more in
+    common than one with a linked set (kind L). z and hi are in units of
     1 / (100 + percent).
     """
     up, down = 100 + percent, 100 - percent
@@ -181,19 +179,22 @@ def regroup(paths: DataFrame, seen: DataFrame, percent: int = PERCENT) -> tuple[
     # without a tester in ``seen`` it is b itself, which has no change to b
     whole = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has"), *reach, *doubt).where("_nu > 0 and _c1 <> _c2").drop("_c1", "_c2", "_nl")
     able = F.col("top") | (F.col("link") & (F.col("hi") >= F.col("_zu"))) | (~F.col("link") & ((F.col("_nu") > 1) | (F.col("z") <= F.col("_hl"))))
-    rows = stored(rows.join(whole.drop("_size", "_has"), "path").where(able).drop("hi"))
-    # changes that all sets of a path share, its tester included
-    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has")).where("_has").drop("_has")
-    shared = rows.join(size, "path").select("path", "_size", F.explode("diff").alias("g")).groupBy("path", "_size", "g").agg(F.count(F.lit(1)).alias("_m"))
-    core = shared.where("_m = _size").groupBy("path").agg(F.collect_list("g").alias("_core"))
-    rest = rows.where("not top").join(core, "path", "left").withColumn("_core", F.coalesce("_core", F.array().cast("array<long>"))).withColumn("rest", F.array_except("diff", "_core"))
-    kinds = F.filter(F.array(F.when(~F.col("link") & (F.col("_nu") > 1), F.lit("U")), F.when(F.col("_zl").isNotNull(), F.lit("L"))), lambda k: k.isNotNull())
-    met = rest.withColumn("kind", F.explode(kinds))
+    rows = stored(rows.join(whole.drop("_size", "_has"), "path").where(able).drop("_nu", "hi"))
+    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"), F.max("top").alias("_has"))
+    each = rows.join(size, "path").select("path", "b", "a", "link", "top", "c", "n", "d", "z", "_zu", "_zl", "_nm", "_size", "_has", F.explode("diff").alias("g"))
+    # the sets of one path that hold one change are counted where they lie sorted; no table of counts is joined
+    of, own = W.partitionBy("path", "g"), W.partitionBy("path", "a")
+    names = ("_nu", "_nl", "_c1", "_c2")
+    met = each.withColumns({"_m": F.count(F.lit(1)).over(of), **{k: e.over(of) for k, e in zip(names, (F.count_if(free), F.count_if(held), F.min(mine("c")), F.max(mine("c"))))}})
+    met = met.withColumn("_core", F.col("_has") & (F.col("_m") == F.col("_size"))).withColumn("_k0", F.count_if("_core").over(own))
+    kinds = F.filter(F.array(F.when(F.col("_nu") > 1, F.lit("U")), F.when(F.col("_nl") > 0, F.lit("L"))), lambda k: k.isNotNull())
+    met = met.where("not top and not _core and _m > 1 and _nu > 0 and _c1 <> _c2").withColumn("kind", F.explode(kinds)).where("kind = 'L' or not link")
+    kind = W.partitionBy("path", "kind", "a")
+    met = met.withColumns({"_k": F.count(F.lit(1)).over(kind), "_r": F.row_number().over(kind.orderBy("_m", "g"))})
     least = F.when((F.col("kind") == "U") | F.col("link"), F.col("_zu")).otherwise(F.col("_zl"))
     other = F.least(F.col("_nm"), F.floor(100 * F.col("n") / F.lit(percent)))
-    need = F.greatest(F.ceil((F.col("z") + least) / F.lit(2 * up)), F.ceil((up * F.col("d") - down * (F.col("n") + other)) / F.lit(up))) - F.size("_core")
-    first = F.greatest(F.lit(0), F.size("rest") - F.greatest(F.lit(1), need) + 1).cast("int")
-    cells = stored(met.select("path", "kind", "b", "a", "link", "top", "c", "z", F.explode(F.slice("rest", F.lit(1), first)).alias("g")))
+    need = F.greatest(F.ceil((F.col("z") + least) / F.lit(2 * up)), F.ceil((up * F.col("d") - down * (F.col("n") + other)) / F.lit(up))) - F.col("_k0")
+    cells = stored(met.where(F.col("_r") <= F.col("_k") - F.greatest(F.lit(1), need) + 1).select("path", "kind", "g", "b", "a", "link", "top", "c", "z"))
     key = ["path", "kind", "g"]
     groups = cells.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("_m"), F.min_by("a", F.struct("z", "a")).alias("y"), F.bit_xor(F.xxhash64("a")).alias("_who"), *doubt)
     # the shingles around one changed word have the same sets: one of them is enough
@@ -224,9 +225,8 @@ def linked(members: DataFrame, sets: DataFrame, percent: int = PERCENT, max_roun
     seen = stored(changes(members.join(hubs, "key").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), sets, percent))
     counts = [seen.count()]
     roots = stored(components(seen.where("link").select("a", "b")))
-    known = lambda d, a="a", c="c": d.join(roots.select(F.col("node").alias(a), F.col("root").alias("_c")), a, "left").withColumn(c, F.coalesce("_c", a)).drop("_c")
-    first = known(known(seen.select("b", "a")), "b", "_cb")
-    paths, used, done = first.select(F.col("b").alias("path"), "b", "a", (F.col("c") == F.col("_cb")).alias("link"), F.lit(False).alias("top"), "c"), [seen], None
+    known = lambda d: d.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_c")), "a", "left").withColumn("c", F.coalesce("_c", "a")).drop("_c")
+    paths, used, done = known(seen.select(F.col("b").alias("path"), "b", "a", "link", F.lit(False).alias("top"))), [seen], None
     for _ in range(max_rounds):
         groups, direct = regroup(paths, seen, percent)
         used += [groups, direct]
@@ -240,8 +240,7 @@ def linked(members: DataFrame, sets: DataFrame, percent: int = PERCENT, max_roun
         if groups.isEmpty():
             break
         result = groups.select("path", "b", "y", "a", "c", high.alias("_u"), low.alias("_v")).join(done.select(F.col("a").alias("_u"), F.col("b").alias("_v"), "link"), ["_u", "_v"], "left")
-        result = known(result, "y", "_cy")
-        paths = result.select("path", "b", "a", (F.coalesce("link", F.lit(True)) | (F.col("c") == F.col("_cy"))).alias("link"), (F.col("a") == F.col("y")).alias("top"), "c")
+        paths = result.select("path", "b", "a", F.coalesce("link", F.lit(True)).alias("link"), (F.col("a") == F.col("y")).alias("top"), "c")
     else:
         raise RuntimeError("groups did not settle")
     edges = done.where("link").select("a", "b")
