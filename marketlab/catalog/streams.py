@@ -58,10 +58,28 @@ def r4(lake):
     return R.drain(R.sessions(trades(lake)), *fresh(lake, "r4"))
 
 
-@query("r5_running_returns", "SELECT user_id AS token_id, ts, (value + 1.2345678::DOUBLE) / 1000 AS mid, (value + 1.2345678::DOUBLE) / lag(value + 1.2345678::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) - 1 AS ret_1 FROM events", "", "mid ret_1")
+@query("r5_running_returns", "SELECT user_id AS token_id, ts, (value + 1.2345678::DOUBLE) / 1000 AS mid, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 DAY THEN (value + 1.2345678::DOUBLE) / lag(value + 1.2345678::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) - 1 END AS ret_1 FROM events", "", "mid ret_1")
 def r5(lake):
     q = R.event_stream(lake.spark, lake.path).select(F.col("user_id").alias("token_id"), "ts", ((F.col("value") + 1.2345678) / 1000).alias("mid"))
-    return R.drain(R.running_returns(q), *fresh(lake, "r5"))
+    return R.drain(R.running_returns(q, "3 days"), *fresh(lake, "r5"))
+
+
+_ARRIVAL = "CAST(date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // 7 AS BIGINT) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END"
+
+
+@query("r2_late_rows", f"WITH a AS (SELECT ts, {_ARRIVAL} AS k FROM events), s AS (SELECT k, max(ts) AS high FROM a GROUP BY 1), m AS (SELECT k, max(high) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM s) SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) FILTER (WHERE NOT late) AS accepted, count(*) FILTER (WHERE late) AS late FROM (SELECT ts, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark - INTERVAL 10 MINUTE, false) AS late FROM a JOIN m USING (k)) GROUP BY 1")
+def r2_late(lake):
+    """Events land week by week, each tenth a week late; every landing is one restart of the stream."""
+    out, state = fresh(lake, "r2late")
+    e = lake.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    week = F.floor(F.datediff("ts", e.agg(F.min(F.to_date("ts"))).scalar()) / 7)
+    e = e.withColumn("k", week + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).select("event_id", "ts", "k")
+    landed = f"{out}/landed"
+    for k in sorted(r[0] for r in e.select("k").distinct().collect()):  # weeks of the history
+        e.where(F.col("k") == k).select("event_id", "ts").write.mode("append").parquet(landed)
+        R.split_late(lake.spark.readStream.schema("event_id long, ts timestamp").parquet(landed), out, state)
+    got = lake.spark.read.schema("event_id long, ts timestamp, late boolean").parquet(f"{out}/rows")
+    return got.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count_if(~F.col("late")).alias("accepted"), F.count_if("late").alias("late"))
 
 
 @query("r6_upsert_sink", "SELECT token_id, ts, round(value, 6) AS ret_1h FROM (SELECT user_id::VARCHAR AS token_id, date_trunc('hour', ts) AS ts, value, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY value DESC) AS rn FROM events) WHERE rn = 1", "", "ret_1h")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marketlab.session import materialise
 from marketlab.sources.schemas import DAY_OF, KEYS, TABLES
 
+LOG = "day string, version long, batch string"
+
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Last-wins merge by key: new rows replace old ones, later rows earlier ones.
@@ -32,7 +34,8 @@ class Warehouse:
     An upsert reads and rewrites only the days it touches, as a new version.
     What a reader sees is listed in a small log (day, version), written after
     the data: a half-finished write is never seen, and only listed folders are
-    opened. One writer per table at a time; :meth:`retire` deletes what the log
+    opened; the next write of that version clears them first. A write can carry
+    the name of its batch; a batch that the log lists is not written again. One writer per table at a time; :meth:`retire` deletes what the log
     no longer points to.
     """
 
@@ -42,12 +45,16 @@ class Warehouse:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _entries(self, table: str) -> DataFrame:
+        at = f"{self.root}/_log/{table}"
+        return self.spark.read.schema(LOG).parquet(at) if exists(self.spark, at) else self.spark.createDataFrame([], LOG)
+
     def _log(self, table: str) -> list[tuple[str, int]]:
         """All (day, version) written so far; empty only if nothing was ever written."""
-        at = f"{self.root}/_log/{table}"
-        if not exists(self.spark, at):
-            return []
-        return [(r["day"], r["version"]) for r in self.spark.read.schema("day string, version long").parquet(at).collect()]
+        return [(r["day"], r["version"]) for r in self._entries(table).select("day", "version").collect()]
+
+    def written(self, table: str, batch: str) -> bool:
+        return not self._entries(table).where(F.col("batch") == batch).isEmpty()
 
     def _live(self, table: str) -> list[tuple[str, int]]:
         """The newest version of every day; without a key every write counts."""
@@ -65,8 +72,10 @@ class Warehouse:
     def read(self, table: str) -> DataFrame:
         return self._load(table, self._live(table))
 
-    def upsert(self, table: str, new: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-        """Merge rows into a table and return the merged table."""
+    def upsert(self, table: str, new: DataFrame, order: Sequence[str] = (), batch: str | None = None) -> DataFrame:
+        """Merge rows into a table and return the merged table; a batch already written changes nothing."""
+        if batch is not None and self.written(table, batch):
+            return self.read(table)
         spec = TABLES[table]
         rows = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in spec.fields])
         day = F.coalesce(F.date_format(DAY_OF[table], "yyyy-MM-dd"), F.lit("none")) if table in DAY_OF else F.lit("all")
@@ -78,8 +87,10 @@ class Warehouse:
         if KEYS[table]:
             old = self._load(table, [x for x in self._live(table) if x[0] in touched])
             rows = upsert(old, rows, KEYS[table], order)
+        for d in touched:
+            delete(self.spark, self._folder(table, d, version))  # left by a write that never reached the log
         rows.withColumns({"day": day, "version": F.lit(version).cast("long")}).write.mode("append").partitionBy("day", "version").parquet(self.path(table))
-        self.spark.createDataFrame([(d, version) for d in sorted(touched)], "day string, version long").coalesce(1).write.mode("append").parquet(f"{self.root}/_log/{table}")
+        self.spark.createDataFrame([(d, version, batch) for d in sorted(touched)], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_log/{table}")
         return self.read(table)
 
     def retire(self, table: str) -> int:
