@@ -124,3 +124,19 @@ def test_half_finished_write_is_cleared(spark, base):
     assert w.read("returns").count() == 1
     got = w.upsert("returns", new.withColumn("ret_1h", F.lit(0.7))).collect()
     assert [r["ret_1h"] for r in got] == [0.7]
+
+
+def test_retire_job_keeps_what_is_read(spark, base):
+    import os
+
+    from marketlab.plans.cli import main
+
+    w = Warehouse(spark, base)
+    for v in (0.1, 0.2, 0.3):
+        w.upsert("returns", spark.createDataFrame([("t", START, v)], "token_id string, ts timestamp, ret_1h double"))
+    w.upsert("edge_results", spark.range(3).select(F.col("id").cast("string").alias(w_column())))
+    w.upsert("edge_results", spark.range(2).select(F.col("id").cast("string").alias(w_column())))
+    main(["retire", "--warehouse", base])
+    assert os.listdir(f"{base}/returns/day=2024-03-01") == ["version=3"]
+    assert [r["ret_1h"] for r in w.read("returns").collect()] == [0.3]
+    assert w.read("edge_results").count() == 5
