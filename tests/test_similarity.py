@@ -77,6 +77,25 @@ def test_salted_index_gives_the_same_pairs(spark, docs, monkeypatch):
     assert key(M.jaccard_join(sets, sets, "block", 0.3, ordered_pairs=True)) == plain
 
 
+def test_pairs_of_two_sides_are_settled_where_they_meet(spark, docs):
+    # sets of both sides with words of their own, and columns that pairs keep
+    rows = docs + [(1000, "e1", ["only", "here"]), (1001, "e1", ["only", "here"]), (1002, None, ["rain", "sun"]), (1003, None, ["rain", "sun"])]
+    df = spark.createDataFrame(rows, "id long, block string, toks array<string>")
+    a = M.fold_sets(df.where("id % 2 = 0"), "block", "toks", "id").cache()
+    b = M.fold_sets(df.where("id % 2 = 1"), "block", "toks", "id", {"total": F.sum("id")}).cache()
+    p = M.jaccard_join(a, b, "block", 0.25, carry=("members", "total"))
+    want = {}
+    for x, y in itertools.product(a.collect(), b.collect()):
+        s, t = set(x["tokens"]), set(y["tokens"])
+        if x["block"] is not None and x["block"] == y["block"] and len(s & t) / len(s | t) >= 0.25 - 1e-12:
+            want[(x["set_id"], y["set_id"])] = (round(len(s & t) / len(s | t), 9), y["members"], y["total"])
+    got = [((r["l"], r["r"]), (round(r["jaccard"], 9), r["members"], r["total"])) for r in p.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    # no candidate travels: neither to be made distinct nor to fetch the words of its sets
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l#" not in plan and "hashpartitioning(r#" not in plan
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
