@@ -77,9 +77,9 @@ def first_run(t: Tables) -> dict[str, DataFrame]:
     frames["liquidity_buckets"] = E.bucket_errors(pre, "liquidity_score", 5, ("market_id", "token_id"), "liq_bucket")
     sign = F.when(trend.select("slope").scalar() > 0, lit(1)).otherwise(lit(-1))
     sig = SG.cross_section_z(mom.withColumnRenamed("snapshot_ts", "ts"), sign=sign).select("ts", "token_id", "signal")
-    # target weight of each signal as the traded quantity, marked at mids
+    # target weight of each signal as the traded quantity, marked at mids; at a price of zero nothing is traded
     target = F.col("signal") * 0.05 * PF.CAPITAL / F.col("mid")
-    fills = sig.join(t.snapshots.select(F.col("snapshot_ts").alias("ts"), "token_id", "mid"), ["ts", "token_id"]).withColumn("q", target)
+    fills = sig.join(t.snapshots.select(F.col("snapshot_ts").alias("ts"), "token_id", "mid").where("mid > 0"), ["ts", "token_id"]).withColumn("q", target)
     fills = split_series(fills, "token_id", "ts", 1)
     fills = whole_series(fills.withColumn("qty", F.col("q") - F.coalesce(F.lag("q").over(series_window(fills, "token_id", "ts")), lit(0))))
     book, by_cat = PF.mark_to_market(fills, E.price_frame(t.snapshots, t.markets))
