@@ -19,6 +19,7 @@ bias alone; without labels of both classes the score is the share of label 1
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +106,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, d
         if not pick.size:
             break
         idx = np.concatenate([samples[k][1] for k in pick])
-        share = np.concatenate([samples[k][2] / samples[k][2].sum() for k in pick]).astype(np.float32)
+        share = np.concatenate([c / c.sum() for c in (samples[k][2].astype(np.float32) for k in pick)])
         cuts = np.cumsum([0] + [samples[k][1].size for k in pick])[:-1]
         mean = np.add.reduceat(vec[idx] * share[:, None], cuts, axis=0)
         z = mean @ out + bias
@@ -122,10 +123,26 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, d
     return w.astype(np.float64), float(bias[1] - bias[0])
 
 
+def training_samples(rows: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, buckets, counts) of each row, in an order that only its content decides.
+
+    The arrays are views of the table, and rows are compared two at a time, so
+    the driver holds the sample once.
+    """
+    lists = lambda name: [x.values.to_numpy(False) for chunk in rows.column(name).chunks for x in chunk]
+
+    def compare(a: tuple, b: tuple) -> int:
+        for key in (lambda s: (s[0], s[1].size), lambda s: s[1].tobytes(), lambda s: s[2].astype(np.float32).tobytes()):
+            x, y = key(a), key(b)
+            if x != y:
+                return -1 if x < y else 1
+        return 0
+
+    return sorted(zip(rows.column("_y").to_pylist(), lists("idx"), lists("n")), key=cmp_to_key(compare))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, bits: int = BITS) -> tuple[np.ndarray, float]:
-    rows = count_features(training_rows(docs, labels, label, per_class), bits).toArrow()
-    samples = [(y, np.asarray(i, np.int64), np.asarray(n, np.float32)) for y, i, n in zip(rows.column("_y").to_pylist(), (x.values.to_numpy(False) for x in rows.column("idx")), (x.values.to_numpy(False) for x in rows.column("n")))]
-    samples.sort(key=lambda s: (s[0], s[1].size, s[1].tobytes(), s[2].tobytes()))
+    samples = training_samples(count_features(training_rows(docs, labels, label, per_class), bits).toArrow())
     kinds = {s[0] for s in samples}
     if len(kinds) < 2:
         share = 0.5 if not kinds else 0.999 if 1 in kinds else 0.001
