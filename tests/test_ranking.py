@@ -1,5 +1,7 @@
 """Distributed ranks and quantiles against pandas, with hot values and keys."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -44,6 +46,14 @@ def test_average_rank(hot):
     assert np.allclose(got, pdf["v"].rank(method="average").to_numpy())
 
 
+def test_average_rank_of_values_that_differ_when_taken_again(spark):
+    # as sums of doubles do that are shuffled again in another order
+    again = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
+    df = spark.range(200).select("id", again("id").alias("v"))
+    got = R.average_rank(df, "v", "r").orderBy("id").collect()
+    assert [(r["id"], r["r"]) for r in got] == [(i, i + 1.0) for i in range(200)]
+
+
 def test_prefix_sums_with_keys(hot):
     pdf, df = hot
     got = R.prefix_sums(df, [F.col("id").asc()], {"s": F.col("v")}, ["k"]).toPandas().sort_values("id")["s"].to_numpy()
