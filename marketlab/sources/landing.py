@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlab.functions.columns import lit, number
+from marketlab.session import materialise
 from marketlab.sources import schemas as S
 
 
@@ -132,6 +133,8 @@ def trades(raw: DataFrame) -> DataFrame:
 def remap_trades(t: DataFrame, condition_market: DataFrame) -> DataFrame:
     """Condition ids to market ids; unknown ones fall back to the requested market."""
     m = condition_market.where(F.col("condition_id").isNotNull()).select(F.col("condition_id").alias("_c"), F.col("market_id").cast("string").alias("_m")).dropDuplicates(["_c"])
+    # many trades share one unknown id: markets of known size are broadcast, and beside a plain scan a skewed join can be split
+    m = materialise(m)
     j = t.join(m, t["market_id"] == m["_c"], "left")
     return j.withColumn("market_id", F.coalesce("_m", "requested_market")).drop("_c", "_m", "requested_market")
 

@@ -120,3 +120,22 @@ def test_broken_table_is_an_error(spark, tmp_path):
     (tmp_path / "_log" / "returns" / "part-0.parquet").write_text("no table")
     with pytest.raises(Exception):
         Warehouse(spark, str(tmp_path)).read("returns")
+
+
+def test_trades_of_one_unknown_id_are_split(spark):
+    """A condition id that a fifth of all trades carry must not end in one task when markets are too many to broadcast."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        t = spark.range(0, 200_000, 1, 8).select(F.concat(F.lit("h"), F.xxhash64(i).cast("string")).alias("trade_id"), F.when(i % 5 < 3, "0xunknown").otherwise(F.concat(F.lit("0x"), (i % 1000).cast("string"))).alias("market_id"), (i % 1000).cast("string").alias("requested_market"))
+        m = spark.range(1000).select(F.concat(F.lit("0x"), F.col("id").cast("string")).alias("condition_id"), (F.col("id") + 5000).alias("market_id"))
+        out = L.remap_trades(t, m)
+        got = {r["market_id"] for r in out.collect()}
+        assert got == {str(n) for n in range(1000) if n % 5 < 3} | {str(n + 5000) for n in range(1000) if n % 5 >= 3}
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
