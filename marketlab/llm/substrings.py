@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marketlab.llm.common import CHUNK, forget, mix, row_blocks, stored, text_key, utf8
 
 SPAN, OFFSETS = 200, 128
+SEGMENT = 16  # offsets that are named together; a power of two
 GROUP = 64  # ranges of one rank that are compared with one another directly
 K = SPAN - OFFSETS + 1
 _BITS = np.uint64(22)
@@ -348,8 +349,13 @@ def common_strings(rows: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {kind}, _t long, a int, b int")
 
 
-def border_ranks(rows: DataFrame) -> DataFrame:
-    """(doc_id, _t, a, w1, w2): pairs of ranks of the asked strings that start before a position."""
+def border_segments(rows: DataFrame) -> DataFrame:
+    """Asked starts of positions in segments of ``SEGMENT`` offsets: what goes on is settled start by start.
+
+    All strings of a segment share its ``core`` (c1, c2). ``text`` is the union of those
+    of the row, from ``a`` on; where the row holds the whole segment, (u1, u2) name it.
+    ``starts`` marks the asked ones, the lowest bit for the start at ``a``.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,25 +364,102 @@ def border_ranks(rows: DataFrame) -> DataFrame:
                 t = batch.slice(i, 2048)
                 p, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("p", "lo", "hi"))
                 m = [t.column(f"a{k}").to_numpy().view(np.uint64) for k in (0, 1)]
+                left = np.array([len(x.as_py()) for x in t.column("left")])
                 texts = [x.as_py()[::-1] + y.as_py() for x, y in zip(t.column("left"), t.column("right"))]
-                piece = np.frombuffer(b"".join(texts), np.uint8)
+                raw = b"".join(texts)
+                piece = np.frombuffer(raw, np.uint8)
                 size = np.array([len(x) for x in texts])
-                zero = np.cumsum(size) - size + np.array([len(x.as_py()) for x in t.column("left")])
-                row, start = [], []
-                for o in range(OFFSETS):
-                    hit = np.flatnonzero(((m[o >> 6] >> np.uint64(o & 63)) & np.uint64(1)).astype(bool) & (lo <= o) & (o <= hi))
-                    row.append(hit)
-                    start.append(zero[hit] - o)
-                row, start = np.concatenate(row), np.concatenate(start)
+                zero = np.cumsum(size) - size + left
+                names = [Names(piece, k) for k in (0, 1)]
+                for low in range(0, OFFSETS, SEGMENT):
+                    high = low + SEGMENT - 1
+                    first, last = np.maximum(lo, low), np.minimum(hi, high)
+                    # bit k: the start k bytes after the first one of the row's part
+                    asked = (m[low >> 6] >> np.uint64(low & 63)) & np.uint64((1 << SEGMENT) - 1)
+                    starts = np.zeros(p.size, np.int64)
+                    for o in range(low, high + 1):
+                        hit = ((asked >> np.uint64(o - low)) & np.uint64(1)).astype(bool) & (first <= o) & (o <= last)
+                        starts[hit] |= np.int64(1) << (last[hit] - o)
+                    row = np.flatnonzero(starts)
+                    if not row.size:
+                        continue
+                    z, f, e = zero[row], first[row], last[row]
+                    core = [n.at(z - low, SPAN - SEGMENT + 1).view(np.int64) for n in names]
+                    full = (f == low) & (e == high)
+                    union = [np.zeros(row.size, np.int64) for _ in names]
+                    for u, n in zip(union, names):
+                        u[full] = n.at(z[full] - high, SPAN + SEGMENT - 1).view(np.int64)
+                    text = [raw[x:y] for x, y in zip((z - e).tolist(), (z - f + SPAN).tolist())]
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [t.column("doc_id").take(take), t.column("_t").take(take), pa.array(p[row] - e, pa.int32()), pa.array(np.full(row.size, low), pa.int32()), pa.array(starts[row])]
+                        + [pa.array(c) for c in core]
+                        + [pa.array(u, mask=~full) for u in union]
+                        + [pa.array(text, pa.binary())],
+                        names=["doc_id", "_t", "a", "low", "starts", "c1", "c2", "u1", "u2", "text"],
+                    )
+
+    return rows.mapInArrow(run, f"doc_id {kind}, _t long, a int, low int, starts long, c1 long, c2 long, u1 long, u2 long, text binary")
+
+
+def border_ranks(rows: DataFrame) -> DataFrame:
+    """(doc_id, _t, a, w1, w2): pairs of ranks of the asked strings of segments."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                t = batch.slice(i, 2048)
+                data, offs = utf8(t.column("text"))
+                data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+                a, starts = t.column("a").to_numpy().astype(np.int64), t.column("starts").to_numpy()
+                row, step = np.nonzero((starts[:, None] >> np.arange(SEGMENT)) & 1)
                 if not row.size:
                     continue
-                w1, w2 = (Names(piece, k).at(start, SPAN).view(np.int64) for k in (0, 1))
+                zero = offs[row] + step
+                w1, w2 = (Names(data, k).at(zero, SPAN).view(np.int64) for k in (0, 1))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([t.column("doc_id").take(take), t.column("_t").take(take), pa.array(p[row] + start - zero[row], pa.int32()), pa.array(w1), pa.array(w2)], names=["doc_id", "_t", "a", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([t.column("doc_id").take(take), t.column("_t").take(take), pa.array(a[row] + step, pa.int32()), pa.array(w1), pa.array(w2)], names=["doc_id", "_t", "a", "w1", "w2"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, _t long, a int, w1 long, w2 long")
 
 
+def border_strings(around: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(doc_id, _t, a, b): repeated strings at positions of ranks too large to compare directly.
+
+    Frames stored on the way are added to ``made``.
+
+    A segment whose union occurs again is repeated as a whole, and one row of
+    them answers for all; a core that occurs once is unique. Only the segments
+    between, where repeated text ends, are taken start by start.
+    """
+    segments = stored(border_segments(around))
+    whole = numbered_again(segments.where(F.col("u1").isNotNull()), ["u1", "u2"], made)
+    runs = whole.where("_again").select("doc_id", "_t", "a", (F.col("a") + SPAN + SEGMENT - 1).alias("b"))
+    open_ = whole.where("_first").drop("_again", "_first").unionByName(segments.where(F.col("u1").isNull()))
+    again = numbered_again(open_.drop("u1", "u2"), ["low", "c1", "c2"], made).where("_again")
+    pairs = stored(border_ranks(again.select("doc_id", "_t", "a", "starts", "text")))
+    made += [segments, pairs]
+    starts = repeated_pairs(pairs).select("doc_id", "_t", "a", (F.col("a") + SPAN).alias("b"))
+    return runs.unionByName(starts)
+
+
+def numbered_again(rows: DataFrame, keys: list[str], made: list[DataFrame], slices: int = 64) -> DataFrame:
+    """``rows`` with ``_again``, whether their keys occur again, and ``_first``, true for one row of equal keys.
+
+    As in :func:`repeated_pairs`, keys are counted in slices first.
+    """
+    own = W.partitionBy(*keys, "_s")
+    p = rows.withColumn("_s", F.pmod(F.xxhash64("_t", "a"), F.lit(slices)))
+    p = stored(p.withColumns({"_c": F.count(F.lit(1)).over(own), "_r": F.row_number().over(own.orderBy("_t", "a"))}))
+    made.append(p)
+    all_ = W.partitionBy(*keys)
+    heads = p.where("_r = 1").withColumns({"_m": F.count(F.lit(1)).over(all_), "_q": F.row_number().over(all_.orderBy("_s"))})
+    heads = heads.withColumns({"_again": (F.col("_c") > 1) | (F.col("_m") > 1), "_first": F.col("_q") == 1})
+    rest = p.where("_r > 1").withColumns({"_again": F.lit(True), "_first": F.lit(False)})
+    return heads.select(*rows.columns, "_again", "_first").unionByName(rest.select(*rows.columns, "_again", "_first"))
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Union of the intervals [a, b) as sorted runs."""
     if not a.size:
@@ -416,14 +499,13 @@ def repeated_spans(d: DataFrame) -> DataFrame:
     lists = members.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_list("x").alias("asked"))
     around = stored(surroundings(d.join(lists, d["doc_id"].eqNullSafe(lists["_d"]) & (d["_t"] == lists["_k"]))))
     few = common_strings(around.where(F.col("c") <= GROUP).drop("a0", "a1", "c", "lo", "hi"))
-    pairs = stored(border_ranks(around.where(F.col("c") > GROUP)))
-    many = repeated_pairs(pairs).select("doc_id", "_t", "a", (F.col("a") + SPAN).alias("b"))
+    made = [around, left]
+    many = border_strings(around.where(F.col("c") > GROUP), made)
     found = few.unionByName(many).select("doc_id", "_t", F.struct("a", "b").alias("x"))
     covered = left.where(F.col("rank").isNull()).select("doc_id", "_t", F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")).alias("x"))
     spans = stored(found.unionByName(covered).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_k")).agg(F.collect_set("x").alias("spans")))
-    forget(pairs)
-    forget(around)
-    forget(left)
+    for df in made:
+        forget(df)
     return spans
 
 

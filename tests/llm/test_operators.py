@@ -79,6 +79,34 @@ def test_repeats_in_pieces(spark):
     assert out == {1: [(700_000, 700_450), (1_048_400, 1_048_620), (1_060_001, 1_060_451)], 2: [(2, 222)], 3: []}
 
 
+def test_repeats_of_many_borders(spark, monkeypatch):
+    """Passages shared by more rows than are compared directly: their ends are found by segments, not by every start."""
+    rng = np.random.default_rng(17)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    one, two, far = word(330), word(260), word(60)
+    r = []
+    for i in range(240):
+        left = word(int(rng.integers(0, 150)))
+        if i % 3 == 0:  # some share more than the passage on the left, others end with it
+            left += far[int(rng.integers(0, 60)) :]
+        right = "" if i % 5 == 0 else word(int(rng.integers(1, 150)))
+        cut = int(rng.integers(0, 40)) if i % 7 == 0 else 0
+        r.append((i, left + one[cut:] + right + (two if i % 2 else "")))
+    seen = {}
+    for name in ("surroundings", "border_ranks"):
+        old = getattr(substrings, name)
+
+        def spy(df, old=old, name=name):
+            out = old(df)
+            seen[name] = out.where(f"c > {substrings.GROUP}").count() if name == "surroundings" else out.count()
+            return out
+
+        monkeypatch.setattr(substrings, name, spy)
+    d = spark.createDataFrame(r, "doc_id long, text string")
+    same(substrings.remove_repeats(d), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(r))
+    assert seen["surroundings"] > 500 and seen["border_ranks"] < 25 * seen["surroundings"], seen
+
+
 def test_near_duplicates(docs, none, rows):
     same(neardup.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], brute.near(texts(rows)))
     assert neardup.near_duplicates(none).count() == 0
