@@ -30,3 +30,12 @@ def test_rule_signal_of_scored_markets(spark):
     cols = ["token_id", "ambiguity_score", "signal", "confidence", "raw_signal"]
     got = [S.rule_ambiguity(x).select(cols).orderBy("token_id").collect() for x in (p, scored)]
     assert got[0] == got[1] and got[0]
+
+
+def test_one_pass_over_trades_writes_none(spark):
+    from marketlab.catalog import load_all, registry
+
+    queries, key = load_all(), (spark.sparkContext.applicationId, DATA + "/")
+    for name in ("p43_report_costs", "m11_portfolio_series"):
+        assert queries[name].run(spark, DATA + "/").count() > 0
+    assert "trades" not in registry._LAKES[key]._memo
