@@ -150,3 +150,31 @@ def test_similar_titles_against_brute_force(spark):
             want[(str(a), str(b))] = 0.6 * sim + 0.4 * jac
     assert got.keys() == want.keys() and len(want) >= 5
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_copies_meet_in_their_books(spark, tmp_path):
+    import glob
+    import os
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.conftest import DATA
+    from tools.check import table
+
+    con, path = duckdb.connect(), str(tmp_path)
+    for f in glob.glob(f"{DATA}/*.parquet"):
+        os.symlink(f, f"{path}/{os.path.basename(f)}")
+    os.unlink(f"{path}/documents.parquet")
+    # three texts of one source, each many times
+    con.execute(f"COPY (SELECT i::BIGINT AS doc_id, CASE i % 3 WHEN 0 THEN 'rain in june' WHEN 1 THEN 'rain in june, again' ELSE 'snow' END || chr(10) || 'rest' AS text, 'en' AS lang, 'src' AS source, 9::BIGINT AS n_chars FROM range(40) t(i)) TO '{path}/documents.parquet'")
+    for f in glob.glob(f"{path}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    name = "a60_inequality_violation"
+    df = entry.queries()[name](spark, path)
+    cur = con.execute(entry.oracle_sql()[name])
+    got, want = table(df.columns, [tuple(r) for r in df.collect()]), table([d[0] for d in cur.description], cur.fetchall())
+    assert got == want
+    k = con.execute("SELECT max(user_id // 2) + 1 FROM events").fetchone()[0]
+    every = {tuple(sorted((a % k, b % k))) for a, b in itertools.combinations(range(40), 2) if a % k != b % k and (a % 3 == 2) == (b % 3 == 2)}
+    assert {(r["market_a"], r["market_b"]) for r in df.collect()} == every
