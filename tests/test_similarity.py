@@ -152,7 +152,8 @@ def test_similar_titles_against_brute_force(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_copies_meet_in_their_books(spark, tmp_path):
+@pytest.mark.parametrize("name", ["a60_inequality_violation", "m10_unit_root"])
+def test_copies_meet_in_their_books(spark, tmp_path, name):
     import glob
     import os
 
@@ -170,7 +171,6 @@ def test_copies_meet_in_their_books(spark, tmp_path):
     con.execute(f"COPY (SELECT i::BIGINT AS doc_id, CASE i % 3 WHEN 0 THEN 'rain in june' WHEN 1 THEN 'rain in june, again' ELSE 'snow' END || chr(10) || 'rest' AS text, 'en' AS lang, 'src' AS source, 9::BIGINT AS n_chars FROM range(40) t(i)) TO '{path}/documents.parquet'")
     for f in glob.glob(f"{path}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    name = "a60_inequality_violation"
     df = entry.queries()[name](spark, path)
     cur = con.execute(entry.oracle_sql()[name])
     got, want = table(df.columns, [tuple(r) for r in df.collect()]), table([d[0] for d in cur.description], cur.fetchall())
