@@ -45,6 +45,15 @@ def inputs_of(t: Tables, unit: str = "hour") -> dict[str, DataFrame]:
     return {"panel": materialise(panel), "whale_flow": materialise(E.wallet_flow(t.trades, t.resolutions, 0.90, unit)), "pair_books": materialise(X.pair_books(t.snapshots, t.outcomes, t.markets, t.resolutions))}
 
 
+def cross_pairs(t: Tables, latest: DataFrame) -> DataFrame:
+    """Spread and stationarity of every pair of markets with related questions, copies of a question included."""
+    pairs = materialise(L.related_questions(latest).select("market_a", "market_b").distinct())
+    ids = pairs.select(F.explode(F.array("market_a", "market_b")).alias("market_id")).distinct()
+    hist = E.yes_probability_panel(t.snapshots, t.outcomes, ids)
+    root = E.unit_root_stat(pairs, hist).withColumn("stationary_p", two_sided(F.col("unit_root_t"), F.col("n").cast("double") - 2)).select("market_a", "market_b", "unit_root_t", "stationary_p")
+    return E.pair_spreads(pairs, hist).join(root, ["market_a", "market_b"], "left")
+
+
 def first_run(t: Tables) -> dict[str, DataFrame]:
     """Five edge studies, their roll-up and scores, and the marked momentum book."""
     latest = E.latest_yes_probabilities(t.snapshots, t.outcomes, t.markets)
@@ -65,11 +74,7 @@ def first_run(t: Tables) -> dict[str, DataFrame]:
     whales = E.welch(wallets.where("is_early"), "alpha_per_share", "is_whale", True, False).withColumn("p_value", two_sided(F.col("t_stat"), F.col("dof")))
     cross = t.snapshots.sparkSession.createDataFrame([], "market_a long, market_b long, spread_zscore double, stationary_p double")
     if "question" in latest.columns:
-        pairs = materialise(L.representative_questions(latest))
-        ids = pairs.select(F.explode(F.array("market_a", "market_b")).alias("market_id")).distinct()
-        hist = E.yes_probability_panel(t.snapshots, t.outcomes, ids)
-        root = E.unit_root_stat(pairs, hist).withColumn("stationary_p", two_sided(F.col("unit_root_t"), F.col("n").cast("double") - 2)).select("market_a", "market_b", "unit_root_t", "stationary_p")
-        cross = E.pair_spreads(pairs, hist).join(root, ["market_a", "market_b"], "left")
+        cross = cross_pairs(t, latest)
     frames["edge_summary"] = materialise(RP.edge_roll_up(cross, rules, liq, trend, whales))
     frames["edge_scores"] = S.score_edges(frames["edge_summary"])
     frames["metric_rows"] = S.metric_rows(frames["edge_summary"], "edge_name", F.current_timestamp(), ["p_value", "capacity_usd", "stability", "mean_return"])

@@ -178,3 +178,13 @@ def test_copies_meet_in_their_books(spark, tmp_path, name):
     k = con.execute("SELECT max(user_id // 2) + 1 FROM events").fetchone()[0]
     every = {tuple(sorted((a % k, b % k))) for a, b in itertools.combinations(range(40), 2) if a % k != b % k and (a % 3 == 2) == (b % 3 == 2)}
     assert {(r["market_a"], r["market_b"]) for r in df.collect()} == every
+
+
+def test_first_run_pairs_all_copies(spark):
+    from marketlab.plans.research import Tables, cross_pairs
+
+    latest = spark.createDataFrame([(i, "e", "will rain fall in june") for i in range(4)], "market_id long, event_id string, question string")
+    outcomes = spark.createDataFrame([(i, 2 * i, 0, "Yes") for i in range(4)], "market_id long, token_id long, outcome_index int, outcome_label string")
+    snaps = spark.range(48).selectExpr("id % 4 AS market_id", "2 * (id % 4) AS token_id", "timestamp'2024-01-01' + make_dt_interval(CAST(id DIV 4 AS INT)) AS snapshot_ts", "(id * 37 % 23) / 30.0D AS mid")
+    got = cross_pairs(Tables(snaps, latest, outcomes, None, None), latest).collect()
+    assert sorted((r["market_a"], r["market_b"], r["n_obs"]) for r in got) == [(a, b, 12) for a, b in itertools.combinations(range(4), 2)]
